@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from . import url_filter
+from . import chat_format, license_scan, url_filter
 
-QUERIES = {"op10_url_filter": url_filter.op10_url_filter}
-ORACLE_SQL = {"op10_url_filter": url_filter.OP10_SQL}
+QUERIES = {
+    "op7_license_scan": license_scan.op7_license_scan,
+    "op8_chat_format": chat_format.op8_chat_format,
+    "op10_url_filter": url_filter.op10_url_filter,
+}
+ORACLE_SQL = {
+    "op7_license_scan": license_scan.OP7_SQL,
+    "op8_chat_format": chat_format.OP8_SQL,
+    "op10_url_filter": url_filter.OP10_SQL,
+}
