@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, license_scan, url_filter
+from . import bpe, chat_format, license_scan, sharding, url_filter
 
 QUERIES = {
+    "op4_sharding": sharding.op4_sharding,
     "op7_license_scan": license_scan.op7_license_scan,
     "op8_chat_format": chat_format.op8_chat_format,
+    "op9_bpe": bpe.op9_bpe,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLE_SQL = {
