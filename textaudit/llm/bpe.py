@@ -15,6 +15,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words that a task remembers; beyond it the memory starts anew.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 1_000_000
 #: Bytes of text that are split and replayed together.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 NONE = np.int64(1) << np.int64(40)
 
 
@@ -43,15 +45,36 @@ class Vocabulary:
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = rank
         self.pairs = pairs
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.made = np.array([pairs[int(k)] for k in self.keys], np.int64)
+        self.slots = max(20, (4 * len(pairs)).bit_length())
+        self.keys, self.made = np.full(1 << self.slots, -1, np.int64), np.full(1 << self.slots, NONE, np.int64)
+        self.probes = 1
+        for key, at in zip(pairs, self._slot(np.fromiter(pairs, np.int64, len(pairs))).tolist(), strict=True):
+            first = at
+            while self.keys[at] >= 0:
+                at = (at + 1) & ((1 << self.slots) - 1)
+            self.keys[at], self.made[at] = key, pairs[key]
+            self.probes = max(self.probes, (at - first) % (1 << self.slots) + 1)
         self.bytes_rank = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of the token that each pair makes, or NONE."""
-        key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.made[at], NONE)
+        key = np.where((left < 0) | (right < 0), np.int64(-2), left << 32 | right)
+        at = self._slot(key)
+        there = self.keys[at]
+        out = np.where(there == key, self.made[at], NONE)
+        open_ = np.flatnonzero((there != key) & (there >= 0))  # the slot holds another pair: look at the next ones
+        for i in range(1, self.probes):
+            if not len(open_):
+                break
+            near = (at[open_] + i) & ((1 << self.slots) - 1)
+            there = self.keys[near]
+            hit = there == key[open_]
+            out[open_[hit]] = self.made[near[hit]]
+            open_ = open_[~hit & (there >= 0)]
+        return out
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.slots)).astype(np.int64)
 
     def encode_alone(self, word: bytes) -> list[int]:
         """Greedy: the lowest rank first, the leftmost of equals."""
@@ -139,13 +162,33 @@ class Vocabulary:
             before = prv[at]
             look(np.unique(np.concatenate((before[before < n], at[after < n]))), rank)
         alive = np.flatnonzero(tok[:n] >= 0)
-        ids = tok[alive]
+        ids = tok[alive].tolist()
         cut = np.searchsorted(alive, ends)
         for k, (i, a, b) in enumerate(zip(todo, np.append(0, cut[:-1]).tolist(), cut.tolist(), strict=True)):
-            out[i] = self.encode_alone(words[i]) if k in again else ids[a:b].tolist()
+            out[i] = self.encode_alone(words[i]) if k in again else ids[a:b]
         return out
 
 
+#: What the narrow pattern doesn't cover: later scripts, and four controls that re counts as white space.
+NEAR = 0x250
+FAR = re.compile(f"[^\\x00-\\x1b\\x20-{chr(NEAR - 1)}]").search
+
+
+def narrow(pattern: str):
+    """findall of the same pattern for texts of Latin letters, with \\p{L} and \\p{N} written out for the faster re module."""
+    if re.sub(r"\\p\{[LN]\}", "", pattern).count("\\p"):
+        return None
+    names = {k: "".join(re.escape(chr(c)) for c in range(NEAR) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
+    out, inside = [], False
+    for part in re.split(r"(\\p\{[LN]\}|\\.|[\[\]])", pattern):
+        if part in ("[", "]"):
+            inside = part == "["
+        if part[:2] == "\\p":
+            part = names[part[3]] if inside else f"[{names[part[3]]}]"
+        out.append(part)
+    return re.compile("".join(out)).findall
+
+
 @lru_cache(maxsize=4)
 def _vocabulary(lines: bytes) -> Vocabulary:
     return Vocabulary(lines)
@@ -157,7 +200,11 @@ class Encoder:
     def __init__(self, lines: bytes, pattern: str):
         import regex
 
-        self.vocabulary, self.split, self.words = _vocabulary(lines), regex.compile(pattern).findall, {}
+        self.vocabulary, self.words = _vocabulary(lines), {}
+        self.any_split, self.near_split = regex.compile(pattern).findall, narrow(pattern)
+
+    def split(self, text: str) -> list[str]:
+        return (self.any_split if self.near_split is None or FAR(text) else self.near_split)(text)
 
     def encode(self, texts: list[str]) -> list[list[list[int]]]:
         """For every text the ids of each of its words."""
@@ -165,7 +212,7 @@ class Encoder:
             self.words = {}
         words = self.words
         cut = [self.split(t) for t in texts]
-        new = list({w for ws in cut for w in ws if w not in words})
+        new = list(set().union(*cut) - words.keys())
         for w, ids in zip(new, self.vocabulary.replay([w.encode("utf-8") for w in new]), strict=True):
             words[w] = ids
         get = words.__getitem__
