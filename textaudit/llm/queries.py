@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, license_scan, sharding, url_filter
+from . import bpe, chat_format, license_scan, quality, sharding, url_filter
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op4_sharding": sharding.op4_sharding,
     "op7_license_scan": license_scan.op7_license_scan,
     "op8_chat_format": chat_format.op8_chat_format,

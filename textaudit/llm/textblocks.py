@@ -42,11 +42,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def blocks(texts: list[str], most: int = BLOCK_BYTES):
-    """Slices of texts (lower-cased, encoded; None is empty) of about `most` bytes: (first index, list of bytes)."""
+def blocks(texts: list[str], most: int = BLOCK_BYTES, lower: bool = True):
+    """Slices of texts (encoded, lower-cased unless told not to; None is empty) of about `most` bytes: (first index, list of bytes)."""
     first, got, size = 0, [], 0
     for i, t in enumerate(texts):
-        b = b"" if t is None else t.lower().encode("utf-8", "replace")
+        b = b"" if t is None else (t.lower() if lower else t).encode("utf-8", "replace")
         got.append(b)
         size += len(b) + 1
         if size >= most:
@@ -56,22 +56,26 @@ def blocks(texts: list[str], most: int = BLOCK_BYTES):
         yield first, got
 
 
-def word_hashes(block: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word of the block in order, number of words of each text)."""
+def spans(block: list[bytes], kind: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of the block, starts and ends of the maximal runs of bytes of a kind, number of runs of each text)."""
     data = np.frombuffer(b" ".join(block) + b" ", np.uint8)
-    word = _WORD[data]
+    word = kind[data]
     edge = np.flatnonzero(word[1:] != word[:-1]) + 1
     if len(word) and word[0]:
         edge = np.concatenate(([0], edge))
     starts, ends = edge[0::2], edge[1::2]  # the block ends with a space
+    limits = np.cumsum([len(b) + 1 for b in block])
+    return data, starts, ends, np.diff(np.searchsorted(starts, limits), prepend=0)
+
+
+def word_hashes(block: list[bytes], kind: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word of the block in order, number of words of each text)."""
+    data, starts, ends, counts = spans(block, kind)
     up, down = powers(len(data) + 1)
     total = np.empty(len(data) + 1, U)
     total[0] = 0
     np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
-    limits = np.cumsum([len(b) + 1 for b in block])
-    counts = np.diff(np.searchsorted(starts, limits), prepend=0)
-    return hashes, counts
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U)), counts
 
 
 def shingle_hashes(words: np.ndarray, counts: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
