@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, license_scan, quality, sharding, url_filter
+from . import bpe, chat_format, decontaminate, license_scan, quality, sharding, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op3_decontamination": decontaminate.op3_decontamination,
     "op4_sharding": sharding.op4_sharding,
     "op7_license_scan": license_scan.op7_license_scan,
     "op8_chat_format": chat_format.op8_chat_format,
@@ -13,6 +14,7 @@ QUERIES = {
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLE_SQL = {
+    "op3_decontamination": decontaminate.OP3_SQL,
     "op7_license_scan": license_scan.OP7_SQL,
     "op8_chat_format": chat_format.OP8_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
