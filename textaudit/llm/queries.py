@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, decontaminate, license_scan, quality, sharding, url_filter
+from . import bpe, chat_format, decontaminate, license_scan, neardup, quality, sharding, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_sharding": sharding.op4_sharding,
+    "op5_neardup": neardup.op5_neardup,
     "op7_license_scan": license_scan.op7_license_scan,
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_bpe": bpe.op9_bpe,
