@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
-from .components import components
+from .components import components, rest_of_bands
 from .textblocks import U, blocks, mix, shingle_hashes, unique_by_text, word_hashes
 
 THRESHOLD = 0.8
@@ -272,7 +272,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     led = scratch.put(bands.join(least, "band").where("uid <> b").select("band", F.col("uid").alias("a"), "b"))
     first = scratch.put(_verify(led.select("a", "b").distinct(), texts))
     good = first.where(F.col("j") >= THRESHOLD).select("a", "b")
-    second = scratch.put(_second_round(led, first, components(good.unionByName(copies), scratch), texts))
+    second = scratch.put(_verify(rest_of_bands(led, first, components(good.unionByName(copies), scratch), THRESHOLD), texts))
     links = good.unionByName(second.where(F.col("j") >= THRESHOLD).select("a", "b"))
     roots = components(links.unionByName(copies), scratch)
     rooted = texts.select("uid", "members").join(roots.withColumnRenamed("node", "uid"), "uid", "left").select(F.coalesce("root", "uid").alias("root"), F.explode("members").alias("id"))
@@ -284,19 +284,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out
 
 
-def _second_round(led: DataFrame, first: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
-    """Similarities of the pairs of one band, neither of them its least text, that may be links between two components.
-
-    By the triangle inequality, two texts that are within 1 - THRESHOLD of each other have distances to the least text
-    that differ by no more than that; two that it both joins are in one component.
-    """
-    far = led.join(first.select("a", "b", (1 - F.col("j")).alias("d")), ["a", "b"])
-    far = far.join(roots.withColumnRenamed("node", "a"), "a", "left").select("band", "a", "d", F.coalesce("root", "a").alias("root"))
-    failed = far.where(F.col("d") > 1 - THRESHOLD).select("band", F.col("a").alias("x"), F.col("d").alias("dx"), F.col("root").alias("rx"))
-    pairs = failed.join(far, "band").where((F.col("root") != F.col("rx")) & (F.abs(F.col("dx") - F.col("d")) <= 1 - THRESHOLD + 1e-9))
-    pairs = pairs.select(F.greatest("a", "x").alias("a"), F.least("a", "x").alias("b")).distinct()
-    return _verify(pairs, texts)
-
-
 def op5_neardup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, decontaminate, license_scan, neardup, quality, sharding, url_filter
+from . import bpe, chat_format, decontaminate, license_scan, linededup, neardup, quality, sharding, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_line_dedup": linededup.op2_line_dedup,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_sharding": sharding.op4_sharding,
     "op5_neardup": neardup.op5_neardup,
