@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, decontaminate, license_scan, linededup, neardup, quality, sharding, url_filter
+from . import ann, bpe, chat_format, decontaminate, license_scan, linededup, neardup, quality, sharding, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_sharding": sharding.op4_sharding,
     "op5_neardup": neardup.op5_neardup,
+    "op6_ann": ann.op6_ann,
     "op7_license_scan": license_scan.op7_license_scan,
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_bpe": bpe.op9_bpe,
