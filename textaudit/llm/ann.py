@@ -34,16 +34,21 @@ def usable(vector: Column) -> Column:
 
 
 def choose_pivots(sample: np.ndarray, n: int = PIVOTS) -> np.ndarray:
-    """n of the rows, spread out: each the farthest from those before among a few drawn in turn."""
+    """n of the rows in random order, without any that is within half the median distance of one before.
+
+    Pivots that lie together say the same, and their order among themselves is noise; a dense group gives one pivot.
+    """
     rng = np.random.default_rng(5)
-    rest = list(rng.permutation(len(sample)))
-    chosen = [rest.pop()]
-    while rest and len(chosen) < n:
-        draw = rest[-3:]
-        gap = [((sample[chosen[-64:]] - sample[i]) ** 2).sum(1).min() for i in draw]
-        best = draw[int(np.argmax(gap))]
-        rest.remove(best)
-        chosen.append(best)
+    order = rng.permutation(len(sample))
+    a, b = rng.integers(0, len(sample), (2, 2000))
+    gaps = np.sqrt(((sample[a] - sample[b]) ** 2).sum(1))
+    apart = 0.5 * float(np.median(gaps[a != b])) if (a != b).any() else 0.0
+    chosen: list[int] = []
+    for i in order.tolist():
+        if len(chosen) == n:
+            break
+        if not chosen or np.sqrt(((sample[chosen] - sample[i]) ** 2).sum(1)).min() >= apart:
+            chosen.append(i)
     return sample[chosen]
 
 
