@@ -103,6 +103,23 @@ class Items:
                     yield t, members[i], 1
 
 
+def _item_blocks(items: DataFrame, item_id: str, item_text: str):
+    """Blocks of about ITEMS distinct items, as broadcasts."""
+    known = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("t is not null").distinct()
+    scans = max(1, -(-known.count() // ITEMS))
+    for s in range(scans):
+        block = sorted(known.where(F.pmod(F.xxhash64("i", "t"), F.lit(scans)) == s).collect(), key=str)  # about ITEMS rows
+        yield items.sparkSession.sparkContext.broadcast(Items([r[0] for r in block], [r[1] for r in block]))
+
+
+def _search(found: Items, texts: list):
+    for first, block in blocks(texts):
+        words, counts = word_hashes(block)
+        hashes, runs = shingle_hashes(words, counts)
+        for t, i, n in found.search(hashes, runs, words, counts):
+            yield first + t, i, n
+
+
 def find_contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item_id, shared, item_size): one row for each row of docs that holds at least CONTAINMENT of an item's shingles.
 
@@ -110,25 +127,16 @@ def find_contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     Equal item rows count once; of an item id with several texts each is searched. Rows of docs that repeat give their
     rows each. Other columns are not read.
     """
-    spark = docs.sparkSession
-    known = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("t is not null").distinct()
-    n = known.count()
-    scans = max(1, -(-n // ITEMS))
+    item_type = items.schema[item_id].dataType
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {docs.schema[id_col].dataType.simpleString()}, item_id {items.schema[item_id].dataType.simpleString()}, shared long, item_size long"
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, item_id {item_type.simpleString()}, shared long, item_size long"
     out = None
-    for s in range(scans):
-        block = known.where(F.pmod(F.xxhash64("i", "t"), F.lit(scans)) == s).collect()  # about ITEMS rows
-        shared = spark.sparkContext.broadcast(Items([r[0] for r in block], [r[1] for r in block]))
+    for shared in _item_blocks(items, item_id, item_text):
 
         def run(batches, shared=shared):
             found = shared.value
             for batch in batches:
-                rows = []
-                for first, block in blocks(batch.column(1).to_pylist()):
-                    words, counts = word_hashes(block)
-                    hashes, runs = shingle_hashes(words, counts)
-                    rows += [(first + t, i, n) for t, i, n in found.search(hashes, runs, words, counts)]
+                rows = list(_search(found, batch.column(1).to_pylist()))
                 if rows:
                     at, item, n = (list(x) for x in zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array([found.ids[i] for i in item]), pa.array(n, pa.int64()), pa.array([len(found.shingles[i]) for i in item], pa.int64())], ["id", "item_id", "shared", "item_size"])
@@ -138,6 +146,22 @@ def find_contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     return out.withColumnRenamed("id", id_col)
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that hold no item (as find_contained finds them)."""
+    at = docs.columns.index(text_col)
+    out = docs
+    for shared in _item_blocks(items, item_id, item_text):
+
+        def run(batches, shared=shared):
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                clean[[t for t, _, _ in _search(shared.value, batch.column(at).to_pylist())]] = False
+                yield batch.filter(pa.array(clean))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
+
+
 def op3_decontamination(spark, sf_dir):
     return find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
