@@ -25,7 +25,7 @@ def after_cursor(events: DataFrame, key: str, order: str, cursors: DataFrame, cu
 
 def rate_limit(events: DataFrame, key: str, ts: str, seconds: int, most: int) -> DataFrame:
     """in_window: events of the key in the `seconds` up to each event; allowed: no more than `most`."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros(ts)).rangeBetween(-seconds * 1_000_000, 0)
+    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
     return events.withColumn("in_window", F.count("*").over(w)).withColumn("allowed", F.col("in_window") <= most)
 
 
