@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textaudit.functions import lexicons as L
 from textaudit.functions import text as T
-from textaudit.operators import audit, pairs
+from textaudit.operators import audit, pairs, segment, select
 from textaudit.sources.tables import table
 
 # --- SQL of the shared measures, over a relation src(id..., text) -----------------------------------------------------
@@ -345,7 +345,64 @@ n as (select source, lang, family, case when w <= 12 then 0 when w <= 32 then 1
 select source, count(*) as skeletons, sum(n)::bigint as sentences, max(n)::bigint as commonest from n group by source
 """
 
+
+
+# --- chunks, masks, candidates, folds ---------------------------------------------------------------------------------
+def chunk_manifest(spark, sf_dir):
+    """Each document's chunks of at most 850 characters: their number, the longest, and the characters in all."""
+    c = segment.chunks(docs(spark, sf_dir), "doc_id")
+    return c.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max("chars").alias("longest"), F.sum(F.length(F.regexp_replace("text", r"\s+", ""))).alias("characters"), F.count_distinct("paragraph").alias("paragraphs"))
+
+
+def split_reasons(spark, sf_dir):
+    """Lines by whether they had to be split."""
+    lines = docs(spark, sf_dir).select(F.explode(T.lines(F.coalesce("text", F.lit("")))).alias("line"))
+    return lines.groupBy(F.when(F.length("line") <= 850, "whole").otherwise("split").alias("reason")).agg(F.count("*").alias("n"))
+
+
+SPLIT_SQL = f"""with l as (select unnest({lines_sql("coalesce(text, '')")}) as line from documents) select case when length(line) <= 850 then 'whole' else 'split' end as reason, count(*) as n from l group by 1"""
+
+
+def mask_round_trip(spark, sf_dir):
+    """Documents with protected spans: how many of each, and that the text comes back."""
+    m = docs(spark, sf_dir).where("text is not null").select("doc_id", "text", segment.mask(F.col("text")).alias("m"))
+    m = m.where("size(m.spans) > 0").select("doc_id", F.size("m.spans").cast("long").alias("spans"), (segment.unmask(F.col("m.masked"), F.col("m.spans")) == F.col("text")).alias("same"))
+    return m.groupBy("spans", "same").agg(F.count("*").alias("n"))
+
+
+def candidate_choice(spark, sf_dir):
+    """A conversation's first assistant turn is the baseline, the later ones candidates; risk points are the penalty."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = audit.audit(table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", "text"))
+    c = c.withColumn("attempt", F.row_number().over(w) - 1).select(
+        "conv_id", F.col("turn").alias("candidate_id"), F.when(F.col("attempt") == 0, "baseline").otherwise("model").alias("origin"), "attempt",
+        (F.length("text") >= 12).alias("eligible"), F.col("risk_points").cast("double").alias("penalty"), (F.col("sentence_count") / 100.0).cast("double").alias("retention"),
+    )
+    return select.best_candidate(c, "conv_id")
+
+
+CANDIDATE_SQL = f"""with src as (select conv_id, turn, text from conversations where role = 'assistant'), {audit_sql('src', 'conv_id, turn')},
+c as (select conv_id, turn, length(t) >= 12 as eligible, risk_points::double as penalty, sentence_count / 100.0 as retention, row_number() over (partition by conv_id order by turn) - 1 as attempt from audited),
+best as (select * from c where attempt > 0 and eligible qualify row_number() over (partition by conv_id order by penalty, retention desc, attempt, turn) = 1)
+select c.conv_id, case when b.penalty <= c.penalty - 0.05 then b.turn else c.turn end as candidate_id, case when b.conv_id is null then 'no_eligible_candidate' when b.penalty <= c.penalty - 0.05 then 'penalty_improved' else 'no_measurable_gain' end as reason from c left join best b using (conv_id) where c.attempt = 0"""
+
+
+def document_fold(spark, sf_dir):
+    """Turns are accepted in order while the conversation's growth of sentences stays within 12."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(T.sentences(F.coalesce("text", F.lit("")))).cast("long").alias("n"))
+    c = c.withColumn("growth", F.col("n") - F.coalesce(F.lag("n").over(w), F.lit(0)))
+    return select.accept_in_order(c, "conv_id", "turn", "growth", 12)
+
+
+FOLD_SQL = f"""with recursive c as (select conv_id, turn, len({sentences_sql("coalesce(text, '')")})::bigint as n, row_number() over (partition by conv_id order by turn) as i from conversations),
+g as (select *, n - coalesce(lag(n) over (partition by conv_id order by turn), 0) as growth, from c), tot as (select conv_id, sum(growth) as t from g group by 1),
+f as (select g.*, g.growth <= 12 or t <= 12 as accepted, case when g.growth <= 12 or t <= 12 then g.growth else 0 end as total, t from g join tot using (conv_id) where i = 1
+  union all select g.*, f.total + g.growth <= 12 or f.t <= 12, case when f.total + g.growth <= 12 or f.t <= 12 then f.total + g.growth else f.total end, f.t from f join g on g.conv_id = f.conv_id and g.i = f.i + 1)
+select conv_id, turn, n, growth, accepted from f"""
+
 QUERIES = {
+    "chunk_manifest": (chunk_manifest, None), "split_reasons": (split_reasons, SPLIT_SQL), "mask_round_trip": (mask_round_trip, None), "candidate_choice": (candidate_choice, CANDIDATE_SQL), "document_fold": (document_fold, FOLD_SQL),
     "sentence_length_stats": (sentence_length_stats, SENTENCE_LENGTH_SQL), "paragraph_uniformity": (paragraph_uniformity, PARAGRAPH_SQL), "opening_profile": (opening_profile, OPENING_SQL),
     "language_crosstab": (language_crosstab, LANGUAGE_SQL), "sentence_length_buckets": (length_buckets, BUCKET_SQL), "excerpts": (excerpts, EXCERPT_SQL), "exact_copies": (exact_copies, COPIES_SQL),
     "numbers_and_citations": (numbers_and_citations, None), "term_overlap_benchmark": (term_overlap_benchmark, OVERLAP_SQL), "style_audit": (style_audit, STYLE_SQL), "dimension_status": (dimension_status, DIMENSION_SQL),
