@@ -50,7 +50,7 @@ class Scratch:
         path = f"{self.base}/{self.n}"
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-        out = self.spark.read.schema(self.spark.read.parquet(path).schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._textaudit_path = path
         return out
