@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textaudit.functions import text as T
-from textaudit.operators import audit, docroles, events, history, pairs, segment, select
+from textaudit.operators import audit, docroles, events, guards, history, pairs, segment, select
 from textaudit.sources import tables
 
 TEXTS = {
@@ -119,6 +119,21 @@ def test_candidates_and_fold(spark):
     assert taken == {("x", 0): True, ("x", 1): False, ("x", 2): True, ("x", 3): True, ("x", 4): True, ("y", 0): True, ("y", 1): True}
 
 
+RELATIONS = [
+    ("same", "MySQL, RESTful and JSON are used respectively.", "MySQL, RESTful and JSON are used respectively.", []), ("order", "MySQL, RESTful and JSON are used respectively.", "JSON, RESTful and MySQL are used respectively.", ["entity_order_changed"]),
+    ("swap", "MySQL feeds JSON.", "JSON comes from MySQL.", []), ("gone", "MySQL feeds JSON.", "The base feeds JSON.", ["entity_missing"]), ("not", "It does not change the result.", "It changes the result.", ["negation_scope_removed"]),
+]
+
+
+def test_relations_and_scope(spark):
+    df = spark.createDataFrame([(k, a, b) for k, a, b, _ in RELATIONS], "id string, input_text string, output_text string")
+    assert {r.id: r.relation_issues for r in guards.relation_issues(df).collect()} == {k: want for k, _, _, want in RELATIONS}
+    profile = lambda t: guards.scope_profile(spark.createDataFrame([("d", t)], "id string, text string"), "id")
+    a, b = profile("只有通过测试才能发布。\n\n不仅如此，所有结果均有效。"), profile("通过测试才能发布。\n\n不仅如此，所有结果均有效。只有一次。")
+    assert {(r.paragraph, r.kind, r.n) for r in a.collect()} == {(0, "exclusive", 1), (1, "universal", 2)}
+    assert {(r.paragraph, r.kind, r.n_before, r.n_after) for r in guards.scope_changes(a, b, "id").collect()} == {(0, "exclusive", 1, 0), (1, "exclusive", 0, 1)}
+
+
 def test_document_roles(spark):
     units = ["Title", "Abstract", "This is about a method.", "1 Introduction", "The text of the body stands here.", "Figure 1 The set-up", "x = y + 2", "References", "[1] Someone, A title."]
     got = docroles.classify(spark.createDataFrame([("d", i, t) for i, t in enumerate(units)], "doc string, i int, text string"), "doc", "i").orderBy("i").collect()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textaudit.functions import lexicons as L
 from textaudit.functions import text as T
-from textaudit.operators import audit, pairs, segment, select
+from textaudit.operators import audit, guards, pairs, segment, select
 from textaudit.sources.tables import table
 
 # --- SQL of the shared measures, over a relation src(id..., text) -----------------------------------------------------
@@ -347,6 +347,27 @@ select source, count(*) as skeletons, sum(n)::bigint as sentences, max(n)::bigin
 
 
 
+def scope_profile(spark, sf_dir):
+    """Scope qualifiers of English documents by kind."""
+    d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text")
+    return guards.scope_profile(d, "doc_id").groupBy("kind").agg(F.count_distinct("doc_id").alias("documents"), F.sum("n").alias("n"))
+
+
+SCOPE_SQL = """with t as (select doc_id, unnest(regexp_extract_all(lower(text), '\\b(?:only|solely|all|every|any|necessarily|always)\\b')) as token from documents where lang = 'en')
+select case when token in ('only', 'solely') then 'exclusive' when token = 'necessarily' then 'necessary' else 'universal' end as kind, count(distinct doc_id) as documents, count(*) as n from t group by 1"""
+
+
+def negation_loss(spark, sf_dir):
+    """Turns whose negations the next turn lacks, and entities it doesn't name."""
+    p = guards.relation_issues(turn_pairs(spark, sf_dir))
+    return p.select("conv_id", "turn", guards.negations(F.coalesce("input_text", F.lit(""))).cast("long").alias("negations"), F.array_contains("relation_issues", "negation_scope_removed").alias("lost"))
+
+
+NEGATION_SQL = """with p as (select conv_id, turn, coalesce(text, '') as a, lead(coalesce(text, '')) over w as b, lead(turn) over w as nx from conversations window w as (partition by conv_id order by turn)),
+n as (select *, len(regexp_extract_all(a, '(?i)不|没有|未|无法|并非|\\b(?:no|not|never|without|cannot|neither|nor)\\b|n''t\\b')) as x, len(regexp_extract_all(b, '(?i)不|没有|未|无法|并非|\\b(?:no|not|never|without|cannot|neither|nor)\\b|n''t\\b')) as y from p where nx is not null)
+select conv_id, turn, x::bigint as negations, x > 0 and y = 0 as lost from n"""
+
+
 # --- chunks, masks, candidates, folds ---------------------------------------------------------------------------------
 def chunk_manifest(spark, sf_dir):
     """Each document's chunks of at most 850 characters: their number, the longest, and the characters in all."""
@@ -402,6 +423,7 @@ f as (select g.*, g.growth <= 12 or t <= 12 as accepted, case when g.growth <= 1
 select conv_id, turn, n, growth, accepted from f"""
 
 QUERIES = {
+    "scope_profile": (scope_profile, SCOPE_SQL), "negation_loss": (negation_loss, NEGATION_SQL),
     "chunk_manifest": (chunk_manifest, None), "split_reasons": (split_reasons, SPLIT_SQL), "mask_round_trip": (mask_round_trip, None), "candidate_choice": (candidate_choice, CANDIDATE_SQL), "document_fold": (document_fold, FOLD_SQL),
     "sentence_length_stats": (sentence_length_stats, SENTENCE_LENGTH_SQL), "paragraph_uniformity": (paragraph_uniformity, PARAGRAPH_SQL), "opening_profile": (opening_profile, OPENING_SQL),
     "language_crosstab": (language_crosstab, LANGUAGE_SQL), "sentence_length_buckets": (length_buckets, BUCKET_SQL), "excerpts": (excerpts, EXCERPT_SQL), "exact_copies": (exact_copies, COPIES_SQL),
