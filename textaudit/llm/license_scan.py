@@ -67,6 +67,7 @@ RULES = (
 )
 #: Every known sentence holds one of these, so texts without any are not cut.
 HINTS = r"(?i)licen[sc]e|licensed|copyright|permission|redistribut|public|warrant|without|compliance"
+TAG = r"(?i)spdx-license-identifier:[ \t]*"
 CUT = "\x01"
 
 
@@ -100,6 +101,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = ", ".join(f"('{s}', '{k}')" for s, k in sorted(known_sentences().items()))
     known = F.broadcast(spark.sql(f"select * from values {rows} as t(sentence, sid)"))
     d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").rlike(HINTS))
+    d = d.withColumn("_text", F.regexp_replace("_text", TAG, "spdx license identifier "))  # its colon ends no sentence
     readings = F.array(F.struct(F.lit(0).alias("way"), by_line(F.col("_text")).alias("parts")), F.struct(F.lit(1).alias("way"), by_paragraph(F.col("_text")).alias("parts")))
     pieces = d.select("_id", F.explode(readings).alias("r")).select("_id", "r.way", F.posexplode("r.parts").alias("pos", "part"))
     # the longest known sentence bounds what is worth normalising
@@ -145,7 +147,7 @@ def _sql() -> str:
     lower = "translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return rf"""
 with known(sentence, sid) as (values {values}),
-d as (select doc_id as _id, text from documents where regexp_matches(text, '{HINTS}')),
+d as (select doc_id as _id, regexp_replace(text, '{TAG}', 'spdx license identifier ', 'g') as text from documents where regexp_matches(text, '{HINTS}')),
 lines as (select _id, 0 as way, string_split(regexp_replace(regexp_replace(text, '\r?\n', chr(1), 'g'), '([.!?;:])[ \t]+', '\1' || chr(1), 'g'), chr(1)) as parts from d
   union all select _id, 1, string_split(regexp_replace(regexp_replace(regexp_replace(text, '\n[ \t\r]*\n', chr(1), 'g'), '[ \t\r\n\f]+', ' ', 'g'), '([.!?;:]) ', '\1' || chr(1), 'g'), chr(1)) from d),
 pieces as (select _id, way, unnest(parts) as part, generate_subscripts(parts, 1) as pos from lines),
