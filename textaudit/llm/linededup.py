@@ -5,8 +5,8 @@
    bytes: one permutation cut in SAMPLES bins, empty bins filled from others (optimal densification), in bands.
 2. Band values go to buckets by range, packed as one binary per chunk and bucket; a bucket yields links from the least
    line of each band to the others, never all pairs.
-3. Linked lines are compared by exact Jaccard similarity of their shingle sets; a line that fails is compared with the
-   rest of its bands that the triangle inequality leaves possible.
+3. Linked lines are compared by exact Jaccard similarity of their shingle sets; a line that fails is then searched among
+   all lines of the same leader, in parts of bounded size, so no link between different lines is lost.
 4. Distributed union-find over equal and verified lines; each component keeps its line at the least (id, line number).
 
 A line that a third of the documents hold meets as one row per chunk.
@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, small, table
-from .components import components, rest_of_bands
-from .textblocks import U, blocks, byte_grams, mix
+from .components import components
+from .textblocks import U, blocks, byte_grams, mix, unique_by_text
 
 THRESHOLD = 0.8
 SHINGLE = 8
@@ -32,6 +32,8 @@ SAMPLES = BANDS * ROWS
 LEAST_GRAMS = 4
 CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 2 << 20
+#: Characters of the lines of one leader that are compared together.
+PART_BYTES = 1 << 20
 EMPTY = np.uint32(0xFFFFFFFF)
 _rng = np.random.default_rng(3)
 #: For each attempt the bin that an empty bin looks at.
@@ -142,7 +144,7 @@ def _before(a: tuple, b: tuple) -> bool:
 
 
 def _leaders(sent: pa.Table) -> pa.Table:
-    """One bucket's band values -> (band, a, b): b is the least line of the band, a another."""
+    """One bucket's band values -> distinct (a, b): b is the least line of a band, a another of its lines."""
     bands, lines = [], []
     for base, p in zip(sent.column("uid").to_pylist(), sent.column("payload").to_pylist(), strict=True):
         n = len(p) // 12
@@ -153,37 +155,104 @@ def _leaders(sent: pa.Table) -> pa.Table:
     band, line = band[order], line[order]
     first = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
     least = np.repeat(line[first], np.diff(np.append(first, len(band))))
-    other = line != least
-    return pa.table({"band": pa.array(band[other].astype(np.int64)), "a": pa.array(line[other]), "b": pa.array(least[other])})
+    pairs = np.unique(np.stack((line, least), axis=1)[line != least], axis=0)
+    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+
+def _gram_sets(texts: list[str]) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of every text."""
+    out: list[np.ndarray] = []
+    for _, block in blocks(texts, lower=False):
+        values, _, n = unique_by_text(*byte_grams(block, SHINGLE))
+        out += np.split(values, np.cumsum(n)[:-1])
+    return out
 
 
 def _similarity(batches):
     for batch in batches:
         a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
-        sets: dict[str, set] = {}
-
-        def grams(t: str, sets=sets) -> set:
-            if t not in sets:
-                x = t.encode()
-                sets[t] = {x[i : i + SHINGLE] for i in range(max(1, len(x) - SHINGLE + 1))}
-            return sets[t]
-
+        texts = list(dict.fromkeys([*ta, *tb]))
+        sets = dict(zip(texts, _gram_sets(texts), strict=True))
         out = []
         for x, y in zip(ta, tb, strict=True):
-            both = len(grams(x) & grams(y))
-            out.append(both / (len(grams(x)) + len(grams(y)) - both))
-            if len(sets) > 2000:
-                sets.clear()
+            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            out.append(both / (len(sets[x]) + len(sets[y]) - both))
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(out, pa.float64())], ["a", "b", "j"])
 
 
+def _wanted(lines: DataFrame, uids: DataFrame, n: int) -> DataFrame:
+    return lines.select("uid", "text").join(small(uids, n), "uid", "left_semi")
+
+
 def _verify(pairs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
     pairs = scratch.put(pairs)
     wanted = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-    texts = lines.select("uid", "text").join(small(wanted, 2 * pairs.count()), "uid", "left_semi")
+    texts = scratch.put(_wanted(lines, wanted, 2 * pairs.count()))
     side = lambda x: texts.select(F.col("uid").alias(x), F.col("text").alias(f"t{x}"))
     out = scratch.put(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(_similarity, "a long, b long, j double"))
-    scratch.drop(pairs)
+    scratch.drop(pairs, texts)
+    return out
+
+
+def _rest_of_leader(group: pa.Table) -> pa.Table:
+    """Links between a line that its leader doesn't join and other lines of that leader, by exact similarity.
+
+    A shingle that one line of the group has alone is in no intersection, so a line of which less than THRESHOLD is left
+    without those has no link here. For the others, the postings of their shingles give all intersections at once. Of the
+    links of a line to one component one is enough.
+    """
+    uid, roots, part = (group.column(c).to_numpy() for c in ("a", "root", "part"))
+    failed = group.column("failed").to_numpy(zero_copy_only=False)
+    order = np.argsort(uid)  # the order of arrival must not matter
+    sets = _gram_sets([group.column("text")[int(i)].as_py() for i in order])
+    uid, roots, part, failed = uid[order], roots[order], part[order], failed[order]
+    sizes = np.array([len(x) for x in sets])
+    lines = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(grams := np.concatenate(sets), kind="stable")
+    grams, holders = grams[order], lines[order]
+    first = np.append(True, grams[1:] != grams[:-1])
+    number = np.cumsum(first) - 1
+    starts = np.flatnonzero(first)
+    often = np.diff(np.append(starts, len(grams)))
+    common = np.bincount(holders[often[number] > 1], minlength=len(sets))
+    of = np.empty(len(grams), np.int64)
+    of[order] = number
+    offsets = np.cumsum(sizes) - sizes
+    both = len(np.unique(part)) > 1
+    found = []
+    for x in np.flatnonzero(failed & (common >= THRESHOLD * sizes - 1e-9)):
+        mine = of[offsets[x] : offsets[x] + sizes[x]]
+        mine = mine[often[mine] > 1]
+        count = np.zeros(len(sets), np.int64)
+        for s, n in zip(starts[mine].tolist(), often[mine].tolist(), strict=True):
+            count[holders[s : s + n]] += 1
+        near = (count >= THRESHOLD * (sizes + sizes[x] - count) - 1e-9) & (roots != roots[x])
+        if both:  # pairs within one part are another group's
+            near &= part != part[x]
+        at = np.flatnonzero(near)
+        found += [(int(uid[x]), int(uid[y])) for y in at[np.unique(roots[at], return_index=True)[1]].tolist()]
+    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+
+def _second_round(first: DataFrame, roots: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): links among the lines of one leader that the comparison with the leader didn't find.
+
+    A leader's lines are cut in parts of about PART_BYTES, and every two parts (or one alone) are a group, so no task gets
+    more than that; what a group yields is links, never pairs to be compared.
+    """
+    weak = first.where(F.col("j") < THRESHOLD).select("b").distinct()
+    members = first.join(weak, "b", "left_semi").select("a", "b", (F.col("j") < THRESHOLD).alias("failed"))
+    members = members.join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    members = scratch.put(members)
+    uids = members.select(F.col("a").alias("uid")).distinct()
+    texts = _wanted(lines, uids, members.count())
+    full = scratch.put(members.join(texts.withColumnRenamed("uid", "a"), "a"))
+    parts = full.groupBy("b").agg(F.ceil(F.sum(F.length("text")) / PART_BYTES).cast("int").alias("parts"))
+    full = full.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    full = full.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    full = full.select("a", "b", "failed", "root", "text", "part", F.least("part", "with").alias("lo"), F.greatest("part", "with").alias("hi"))
+    out = scratch.put(full.groupBy("b", "lo", "hi").applyInArrow(_rest_of_leader, "a long, b long").distinct())
+    scratch.drop(members)
     return out
 
 
@@ -201,15 +270,15 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     run, ddl = _send(max(8, min(1 << 22, -(-size // BUCKET_BYTES))), to_arrow_type(docs.schema[id_col].dataType))
     sent = scratch.put(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, ddl), "kind")
     lines = sent.where("kind = 0")
-    led = scratch.put(sent.where("kind = 1").select("bucket", "uid", "payload").groupBy("bucket").applyInArrow(_leaders, "band long, a long, b long"))
+    led = scratch.put(sent.where("kind = 1").select("bucket", "uid", "payload").groupBy("bucket").applyInArrow(_leaders, "a long, b long").distinct())
     least = lines.groupBy("key").agg(F.min("uid").alias("b"), F.count("*").alias("n")).where("n > 1")
     equal = scratch.put(lines.select("key", F.col("uid").alias("a")).join(least, "key").where("a <> b").select("a", "b"))
     known = equal.select("a", "b", F.lit(1).alias("_same"))
-    first = led.select("a", "b").distinct()
-    first = _verify(first.join(known, ["a", "b"], "left_anti"), lines, scratch).unionByName(first.join(known, ["a", "b"], "left_semi").withColumn("j", F.lit(1.0)))
+    first = _verify(led.join(known, ["a", "b"], "left_anti"), lines, scratch).unionByName(led.join(known, ["a", "b"], "left_semi").withColumn("j", F.lit(1.0)))
+    first = scratch.put(first)
     good = first.where(F.col("j") >= THRESHOLD).select("a", "b")
-    second = _verify(rest_of_bands(led, first, components(good.unionByName(equal), scratch), THRESHOLD), lines, scratch)
-    roots = components(good.unionByName(equal).unionByName(second.where(F.col("j") >= THRESHOLD).select("a", "b")), scratch)
+    second = _second_round(first, components(good.unionByName(equal), scratch), lines, scratch)
+    roots = components(good.unionByName(equal).unionByName(second), scratch)
     held = lines.select("uid", "id", "line", "more").join(roots.withColumnRenamed("node", "uid"), "uid", "left").where("root is not null or more is not null")
     held = held.withColumn("root", F.coalesce("root", "uid"))
     keep = held.groupBy("root").agg(F.min(F.struct("id", "line")).alias("keep"))
