@@ -119,6 +119,26 @@ def test_candidates_and_fold(spark):
     assert taken == {("x", 0): True, ("x", 1): False, ("x", 2): True, ("x", 3): True, ("x", 4): True, ("y", 0): True, ("y", 1): True}
 
 
+def test_careful_sentences(spark):
+    cases = [
+        ("Dr. Smith met J. Doe. They left at 3. 5 people stayed.", ["Dr. Smith met J. Doe.", "They left at 3. 5 people stayed."]), ("See fig. 3 of v1.2. The rest follows.", ["See fig. 3 of v1.2. The rest follows."]),
+        ('He said "stop." Then it ended. no capital.', ['He said "stop."', "Then it ended. no capital."]), ("一。二！“三？”四", ["一。", "二！", "“三？”", "四"]), ("", []), ("one", ["one"]),
+    ]
+    got = spark.createDataFrame([(t,) for t, _ in cases], "t string").select(T.careful_sentences(F.col("t"))).collect()
+    assert [r[0] for r in got] == [w for _, w in cases]
+
+
+def test_merged_paragraphs_ratios_and_json(spark):
+    lines = ["A heading", "First line of the text stands here.", "Second line of the text stands here.", "这一行是中文并且有句号。", "x" * 300 + "."]
+    got = segment.merge_paragraphs(spark.createDataFrame([("d", "\n".join(lines)), ("e", None)], "k string, text string"), "k", limit=120).orderBy("chunk").collect()
+    assert [(r.first, r.last) for r in got] == [(0, 0), (1, 2), (3, 3), (4, 4)]
+    parts = segment.split_by_ratio("One short sentence. A second, longer sentence follows it. End.", [20, 38, 4])
+    assert parts == ["One short sentence.", "A second, longer sentence follows it.", "End."]
+    assert segment.split_by_ratio("abc", [1, 1, 1, 1, 1])[-1] == "" or len(segment.split_by_ratio("abc", [1, 1, 1])) == 3
+    texts = ['say {"b": 1, "a": [2]} end', "none", None, '{"a": [1, 2,], // x\n "b": 3', "[1, {bad} 2] {\"ok\": true}"]
+    assert [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(segment.json_payload("t")).collect()] == ['{"a":[2],"b":1}', None, None, '{"a":[1,2],"b":3}', '{"ok":true}']
+
+
 RELATIONS = [
     ("same", "MySQL, RESTful and JSON are used respectively.", "MySQL, RESTful and JSON are used respectively.", []), ("order", "MySQL, RESTful and JSON are used respectively.", "JSON, RESTful and MySQL are used respectively.", ["entity_order_changed"]),
     ("swap", "MySQL feeds JSON.", "JSON comes from MySQL.", []), ("gone", "MySQL feeds JSON.", "The base feeds JSON.", ["entity_missing"]), ("not", "It does not change the result.", "It changes the result.", ["negation_scope_removed"]),

@@ -102,6 +102,8 @@ STOPWORDS = [
 REPEATED_PUNCTUATION = r"([，,。！？!?；;：:、])\1+"
 SENTENCE_TERMINAL = r"[。！？!?；;.][\"'”’）)\]】》]*$"
 WEAK_TRAILING = r"[，,、：:（(【\[][\"'”’）)\]】》]*$"
+# --- fixed values: abbreviations whose full stop ends no sentence -----------------------------------------------------
+ABBREVIATIONS = ["al", "approx", "dept", "dr", "eq", "etc", "fig", "inc", "jr", "mr", "mrs", "ms", "no", "prof", "sr", "st", "vs"]
 # --- fixed values: dimensions of the audit, the codes of each, points by level ----------------------------------------
 DIMENSIONS = (
     ("rhythm", ("low_burstiness_ratio", "sentence_fragment_gaming", "structure_template_concentration"), True),

@@ -70,6 +70,20 @@ def sentences(text: Column) -> Column:
     return F.when((F.size(cut) <= 1) & F.contains(text, F.lit("\n")), _pieces(text, r"\n+")).otherwise(cut)
 
 
+def careful_sentences(text: Column) -> Column:
+    """Like sentences, but no sentence ends at the full stop of an abbreviation, an initial, a number or a dotted token, or
+    before a small letter; closing quotes and brackets stay with the sentence before them."""
+    close, held = r"[\"'”’)\]）】》]*", "\x02"
+    t = collapse(text)
+    for pattern in (
+        r"(?i)\b(" + "|".join(L.ABBREVIATIONS) + r")\.", r"(?<![A-Za-z])([A-Za-z])\.", r"(\d)\.(?=" + close + r"\s+\d)",
+        r"((?<![A-Za-z0-9_.-])[A-Za-z0-9_-]*(?:\d[A-Za-z0-9_-]*\.|\.[A-Za-z0-9_.-]*\d)[A-Za-z0-9_.-]*)\.(?=\s)",
+    ):
+        t = F.regexp_replace(t, pattern + r"(?!" + close + r"$)", f"$1{held}")
+    t = F.regexp_replace(t, r"([。！？!?；;]" + close + r"|\." + close + r"(?=\s+[\"'“‘(\[（]*[\p{Lu}\d㐀-䶿一-鿿]|$))", f"$1{MARK}")
+    return F.transform(_pieces(t, MARK), lambda x: F.replace(x, F.lit(held), F.lit(".")))
+
+
 def paragraphs(text: Column) -> Column:
     """At blank lines."""
     return _pieces(text, r"\n\s*\n")
