@@ -219,7 +219,7 @@ def brute_near(rows):
         s = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
         sets.append(s)
         df.update(s.keys())
-    weights = [{s: c * (log((1 + n) / (1 + df[s])) + 1) for s, c in x.items()} for x in sets]
+    weights = [{s: c * (1 + 0.25 * log((1 + n) / (1 + df[s])) / log(1 + n)) for s, c in x.items()} for x in sets]
     root = list(range(n))
 
     def find(x):

@@ -12,6 +12,24 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
+class Forest:
+    """Union-find over the roots that one bounded group meets; join says whether two of them weren't joined yet."""
+
+    def __init__(self):
+        self.above: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.above.get(x, x)) != x:
+            self.above[x] = self.above.get(up, up)
+            x = up
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.above[max(x, y)] = min(x, y)
+        return x != y
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """edges (a, b) of longs -> (node, root): each node that has a link, and the least node of its component."""
     now = scratch.put(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -33,17 +51,3 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 def _mark(edges: DataFrame) -> tuple:
     """Count and an order-free checksum: equal when a step changed nothing."""
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-
-def rest_of_bands(led: DataFrame, first: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of members of one band, neither of them its least, that may yet link two components.
-
-    led: (band, a, b) with b the least member; first: (a, b, j) similarities to it; roots: components found so far.
-    By the triangle inequality, two members that are within 1 - threshold of each other have distances to the least
-    member that differ by no more than that; two that it both joins are in one component.
-    """
-    far = led.join(first.select("a", "b", (1 - F.col("j")).alias("d")), ["a", "b"])
-    far = far.join(roots.withColumnRenamed("node", "a"), "a", "left").select("band", "a", "d", F.coalesce("root", "a").alias("root"))
-    failed = far.where(F.col("d") > 1 - threshold).select("band", F.col("a").alias("x"), F.col("d").alias("dx"), F.col("root").alias("rx"))
-    pairs = failed.join(far, "band").where((F.col("root") != F.col("rx")) & (F.abs(F.col("dx") - F.col("d")) <= 1 - threshold + 1e-9))
-    return pairs.select(F.greatest("a", "x").alias("a"), F.least("a", "x").alias("b")).distinct()

@@ -8,8 +8,8 @@
    shared weight is under THRESHOLD of its total has no near duplicate and needs no signature. The others get SAMPLES
    consistent samples (hash and level), cut in bands.
 4. Texts that agree on a band are compared with the band's least text by exact weighted Jaccard similarity. A text that
-   fails is then compared with all others in its band that the triangle inequality of the Jaccard distance leaves
-   possible and that no link has joined to it yet, so no link between different texts is lost, without all pairs.
+   fails is then searched among all texts of the same leader, in parts of bounded size, so no link between different
+   texts is lost and no pair leaves a task but links.
 5. Components of the verified links, with equal texts, are the classes.
 
 Groups of copies meet as one row per chunk, band groups only as minima and joins with their least member.
@@ -24,17 +24,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
-from .components import components, rest_of_bands
+from .components import Forest, components
 from .textblocks import U, blocks, mix, shingle_hashes, unique_by_text, word_hashes
 
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 4
+#: How much the inverse document frequency adds to a shingle's weight at most.
+IDF_SHARE = 0.25
 SAMPLES = BANDS * ROWS
 #: Bytes of text and number of documents of a chunk.
 CHUNK_BYTES = 8 << 20
 CHUNK_DOCS = 1 << 16
 #: Input bytes for each bucket of shingle hashes.
 BUCKET_BYTES = 1 << 20
+#: Bytes of the shingle hashes and number of one leader's texts that are compared together.
+PART_BYTES = 4 << 20
+PART_TEXTS = 4096
 HASH_BITS = 56
 _POOL = 1 << 16
 _rng = np.random.default_rng(20)
@@ -182,7 +187,12 @@ def signatures(h: np.ndarray, w: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def idf(df, n: int):
-    return np.log((1 + n) / (1 + df)) + 1
+    """1 for a shingle of every document, up to 1 + IDF_SHARE for one of a single document.
+
+    The inverse document frequency is scaled to 0..1, or what thousands of near copies have in common would weigh next to
+    nothing against a few changed words, and they would not be near copies of each other any more.
+    """
+    return 1 + IDF_SHARE * np.log((1 + n) / (1 + df)) / np.log(1 + max(n, 1))
 
 
 def _weigh(n: int, id_type: pa.DataType):
@@ -237,6 +247,66 @@ def _similarity(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(out, pa.float64())], ["a", "b", "j"])
 
 
+def _rest_of_leader(group: pa.Table) -> pa.Table:
+    """Links between a text that its leader doesn't join and other texts of that leader, by exact similarity.
+
+    A shingle that one text of the group has alone is in no intersection, so a text of which less than THRESHOLD is left
+    without those has no link here. For the others, the postings of their shingles give all intersections at once. Of the
+    links found, those that join two components are kept.
+    """
+    uid = group.column("a").to_numpy()
+    order = np.argsort(uid)  # the order of arrival must not matter
+    uid, roots, part, total = uid[order], *(group.column(c).to_numpy()[order] for c in ("root", "part", "weight"))
+    failed = group.column("failed").to_numpy(zero_copy_only=False)[order]
+    hashes, weights = ([np.frombuffer(group.column(c)[int(i)].as_py(), t) for i in order] for c, t in (("hashes", U), ("weights", np.float64)))
+    sizes = np.array([len(x) for x in hashes])
+    texts = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(shingles := np.concatenate(hashes), kind="stable")
+    shingles, holders, w = shingles[order], texts[order], np.concatenate(weights)[order]
+    first = np.append(True, shingles[1:] != shingles[:-1])
+    number = np.cumsum(first) - 1
+    starts = np.flatnonzero(first)
+    often = np.diff(np.append(starts, len(shingles)))
+    common = np.bincount(holders, weights=w * (often[number] > 1), minlength=len(sizes))
+    of = np.empty(len(shingles), np.int64)
+    of[order] = number
+    offsets = np.cumsum(sizes) - sizes
+    across = len(np.unique(part)) > 1
+    found, forest = [], Forest()
+    for x in np.flatnonzero(failed & (common >= THRESHOLD * total - 1e-9)):
+        mine = of[offsets[x] : offsets[x] + sizes[x]]
+        both = np.zeros(len(sizes))
+        for s, n, own in zip(starts[mine].tolist(), often[mine].tolist(), weights[x].tolist(), strict=True):
+            if n > 1:
+                both[holders[s : s + n]] += np.minimum(w[s : s + n], own)
+        near = (both >= THRESHOLD * (total + total[x] - both) - 1e-12) & (roots != roots[x])
+        if across:  # pairs within one part are another group's
+            near &= part != part[x]
+        at = np.flatnonzero(near)
+        some = at[np.unique(roots[at], return_index=True)[1]]  # one of each component
+        found += [(int(uid[x]), int(uid[y])) for y in some.tolist() if forest.join(int(roots[x]), int(roots[y]))]
+    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+
+def _second_round(first: DataFrame, roots: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): links among the texts of one leader that the comparison with the leader didn't find.
+
+    A leader's texts are cut in parts of about PART_BYTES, and every two parts (or one alone) are a group, so no task gets
+    more than that; what a group yields is links, never pairs to be compared.
+    """
+    weak = first.where(F.col("j") < THRESHOLD).select("b").distinct()
+    members = first.join(weak, "b", "left_semi").select("a", "b", (F.col("j") < THRESHOLD).alias("failed"))
+    members = members.join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    full = scratch.put(members.join(texts.select(F.col("uid").alias("a"), "weight", "hashes", "weights"), "a"))
+    parts = full.groupBy("b").agg(F.ceil(F.greatest(F.sum(F.octet_length("hashes")) / PART_BYTES, F.count("*") / PART_TEXTS)).cast("int").alias("parts"))
+    cut = full.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cut = cut.select("a", "b", "failed", "root", "weight", "hashes", "weights", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    out = scratch.put(cut.groupBy("b", "lo", "hi").applyInArrow(_rest_of_leader, "a long, b long").distinct())
+    scratch.drop(full)
+    return out
+
+
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     side = lambda x: texts.select(F.col("uid").alias(x), F.col("hashes").alias(f"h{x}"), F.col("weights").alias(f"w{x}"), F.col("weight").alias(f"t{x}"))
     full = pairs.join(side("b"), "b").join(side("a"), "a")
@@ -247,8 +317,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, class_id, class_size, links): one row per row of docs; class_id is the least id of the class.
 
     A class joins equal texts and texts of weighted Jaccard similarity THRESHOLD or more over TF-IDF weighted five-word
-    shingles (texts of fewer words: one shingle of all), transitively. links: verified links between different texts of
-    the class. Null and empty texts are a class of their own each; texts without words are copies only of equal texts.
+    shingles (texts of fewer words: one shingle of all), transitively. links: verified links between different texts that
+    make the class. Null and empty texts are a class of their own each; texts without words are copies only of equal texts.
     Rows that share an id have the same class id, and null ids count as less than others. Other columns are not read.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "neardup")
@@ -269,11 +339,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hopeful = texts.where("bands is not null").join(copies.select(F.col("a").alias("uid")), "uid", "left_anti")
     bands = scratch.put(hopeful.select("uid", F.explode("bands").alias("band")))
     least = bands.groupBy("band").agg(F.min("uid").alias("b"), F.count("*").alias("n")).where("n > 1").select("band", "b")
-    led = scratch.put(bands.join(least, "band").where("uid <> b").select("band", F.col("uid").alias("a"), "b"))
-    first = scratch.put(_verify(led.select("a", "b").distinct(), texts))
+    led = scratch.put(bands.join(least, "band").where("uid <> b").select(F.col("uid").alias("a"), "b").distinct())
+    first = scratch.put(_verify(led, texts))
     good = first.where(F.col("j") >= THRESHOLD).select("a", "b")
-    second = scratch.put(_verify(rest_of_bands(led, first, components(good.unionByName(copies), scratch), THRESHOLD), texts))
-    links = good.unionByName(second.where(F.col("j") >= THRESHOLD).select("a", "b"))
+    second = _second_round(first, components(good.unionByName(copies), scratch), texts, scratch)
+    links = good.unionByName(second)
     roots = components(links.unionByName(copies), scratch)
     rooted = texts.select("uid", "members").join(roots.withColumnRenamed("node", "uid"), "uid", "left").select(F.coalesce("root", "uid").alias("root"), F.explode("members").alias("id"))
     counted = links.join(roots, links.a == roots.node).groupBy("root").agg(F.count("*").alias("links"))
