@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, small, table
-from .components import components
-from .textblocks import U, blocks, byte_grams, mix, unique_by_text
+from .components import Forest, components
+from .textblocks import U, blocks, byte_grams, mix
 
 THRESHOLD = 0.8
 SHINGLE = 8
@@ -32,8 +32,9 @@ SAMPLES = BANDS * ROWS
 LEAST_GRAMS = 4
 CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 2 << 20
-#: Characters of the lines of one leader that are compared together.
+#: Characters and number of the lines of one leader that are compared together.
 PART_BYTES = 1 << 20
+PART_LINES = 4096
 EMPTY = np.uint32(0xFFFFFFFF)
 _rng = np.random.default_rng(3)
 #: For each attempt the bin that an empty bin looks at.
@@ -68,7 +69,7 @@ def signatures(hashes: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return out
 
 
-def _send(buckets: int, id_type: pa.DataType):
+def _send(buckets: int, id_type: pa.DataType, ddl_id: str):
     schema = pa.schema([("kind", pa.int32()), ("uid", pa.int64()), ("key", pa.binary()), ("id", id_type), ("line", pa.int32()), ("text", pa.string()), ("more", pa.list_(pa.struct([("id", id_type), ("line", pa.int32())]))), ("bucket", pa.int64()), ("payload", pa.binary())])
     edges = (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(U)
 
@@ -134,7 +135,6 @@ def _send(buckets: int, id_type: pa.DataType):
                     yield out
                 base, at = base + n, end
 
-    ddl_id = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string"}[id_type]
     return run, f"kind int, uid long, key binary, id {ddl_id}, line int, text string, more array<struct<id: {ddl_id}, line: int>>, bucket long, payload binary"
 
 
@@ -163,8 +163,36 @@ def _gram_sets(texts: list[str]) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of every text."""
     out: list[np.ndarray] = []
     for _, block in blocks(texts, lower=False):
-        values, _, n = unique_by_text(*byte_grams(block, SHINGLE))
-        out += np.split(values, np.cumsum(n)[:-1])
+        hashes, grams = byte_grams(block, SHINGLE)
+        for x in np.split(hashes, np.cumsum(grams)[:-1]):
+            x = np.sort(x)
+            out.append(x[np.append(True, x[1:] != x[:-1])] if len(x) else x)
+    return out
+
+
+def _shared(holders: np.ndarray, number: np.ndarray, starts: np.ndarray, often: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """How many shingles each of the lines `rows` has in common with each of n lines.
+
+    holders and number: line and shingle of every entry, in order of the shingles; starts and often: each shingle's entries.
+    By matrix products over slices of the shingles where lines share many of them, else by postings.
+    """
+    out = np.zeros((len(rows), n), np.float32)
+    postings = float((often.astype(np.float64) ** 2).sum())
+    if 2e-11 * n * len(rows) * len(starts) < 6e-9 * postings * len(rows) / max(n, 1):
+        for first in range(0, len(starts), 2048):
+            last = min(first + 2048, len(starts))
+            s = slice(starts[first], starts[last - 1] + often[last - 1])
+            table = np.zeros((n, last - first), np.float32)
+            table[holders[s], number[s] - first] = 1
+            out += table[rows] @ table.T
+        return out
+    order = np.argsort(holders, kind="stable")
+    cuts = np.searchsorted(holders[order], np.arange(n + 1))
+    for k, x in enumerate(rows.tolist()):
+        mine = number[order[cuts[x] : cuts[x + 1]]]
+        size = often[mine]
+        at = np.arange(size.sum()) + np.repeat(starts[mine] - np.cumsum(size) + size, size)
+        out[k] = np.bincount(holders[at], minlength=n)
     return out
 
 
@@ -199,12 +227,13 @@ def _rest_of_leader(group: pa.Table) -> pa.Table:
 
     A shingle that one line of the group has alone is in no intersection, so a line of which less than THRESHOLD is left
     without those has no link here. For the others, the postings of their shingles give all intersections at once. Of the
-    links of a line to one component one is enough.
+    links found, those that join two components are kept.
     """
     uid, roots, part = (group.column(c).to_numpy() for c in ("a", "root", "part"))
     failed = group.column("failed").to_numpy(zero_copy_only=False)
     order = np.argsort(uid)  # the order of arrival must not matter
-    sets = _gram_sets([group.column("text")[int(i)].as_py() for i in order])
+    texts = group.column("text").to_pylist()
+    sets = _gram_sets([texts[i] for i in order])
     uid, roots, part, failed = uid[order], roots[order], part[order], failed[order]
     sizes = np.array([len(x) for x in sets])
     lines = np.repeat(np.arange(len(sets)), sizes)
@@ -215,22 +244,21 @@ def _rest_of_leader(group: pa.Table) -> pa.Table:
     starts = np.flatnonzero(first)
     often = np.diff(np.append(starts, len(grams)))
     common = np.bincount(holders[often[number] > 1], minlength=len(sets))
-    of = np.empty(len(grams), np.int64)
-    of[order] = number
-    offsets = np.cumsum(sizes) - sizes
     both = len(np.unique(part)) > 1
-    found = []
-    for x in np.flatnonzero(failed & (common >= THRESHOLD * sizes - 1e-9)):
-        mine = of[offsets[x] : offsets[x] + sizes[x]]
-        mine = mine[often[mine] > 1]
-        count = np.zeros(len(sets), np.int64)
-        for s, n in zip(starts[mine].tolist(), often[mine].tolist(), strict=True):
-            count[holders[s : s + n]] += 1
+    wanted = np.flatnonzero(failed & (common >= THRESHOLD * sizes - 1e-9))
+    kept = often[number] > 1
+    held = np.where(often > 1, often, 0)[often > 1]
+    renumbered = (np.cumsum(often > 1) - 1)[number[kept]]
+    rows = (wanted[i : i + 1024] for i in range(0, len(wanted), 1024))  # so that counts take some MB
+    counts = ((x, c) for some in rows for x, c in zip(some, _shared(holders[kept], renumbered, np.cumsum(held) - held, held, some, len(sets)), strict=True))
+    found, forest = [], Forest()
+    for x, count in counts:
         near = (count >= THRESHOLD * (sizes + sizes[x] - count) - 1e-9) & (roots != roots[x])
         if both:  # pairs within one part are another group's
             near &= part != part[x]
         at = np.flatnonzero(near)
-        found += [(int(uid[x]), int(uid[y])) for y in at[np.unique(roots[at], return_index=True)[1]].tolist()]
+        some = at[np.unique(roots[at], return_index=True)[1]]  # one of each component
+        found += [(int(uid[x]), int(uid[y])) for y in some.tolist() if forest.join(int(roots[x]), int(roots[y]))]
     return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
 
@@ -247,7 +275,7 @@ def _second_round(first: DataFrame, roots: DataFrame, lines: DataFrame, scratch:
     uids = members.select(F.col("a").alias("uid")).distinct()
     texts = _wanted(lines, uids, members.count())
     full = scratch.put(members.join(texts.withColumnRenamed("uid", "a"), "a"))
-    parts = full.groupBy("b").agg(F.ceil(F.sum(F.length("text")) / PART_BYTES).cast("int").alias("parts"))
+    parts = full.groupBy("b").agg(F.ceil(F.greatest(F.sum(F.length("text")) / PART_BYTES, F.count("*") / PART_LINES)).cast("int").alias("parts"))
     full = full.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
     full = full.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     full = full.select("a", "b", "failed", "root", "text", "part", F.least("part", "with").alias("lo"), F.greatest("part", "with").alias("hi"))
@@ -267,7 +295,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lines")
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    run, ddl = _send(max(8, min(1 << 22, -(-size // BUCKET_BYTES))), to_arrow_type(docs.schema[id_col].dataType))
+    run, ddl = _send(max(8, min(1 << 22, -(-size // BUCKET_BYTES))), to_arrow_type(docs.schema[id_col].dataType), docs.schema[id_col].dataType.simpleString())
     sent = scratch.put(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, ddl), "kind")
     lines = sent.where("kind = 0")
     led = scratch.put(sent.where("kind = 1").select("bucket", "uid", "payload").groupBy("bucket").applyInArrow(_leaders, "a long, b long").distinct())
