@@ -11,9 +11,11 @@ holds a third of the rows costs no more than any other; scores are computed once
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch, table
+
 #: (verdict, host, path): a rule fits its host and all subdomains when the path starts with the rule's; longest wins.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 CONTEXT = 5
@@ -50,27 +52,30 @@ def _grams(text: Column) -> Column:
 
 
 def gram_scores(grams: DataFrame) -> DataFrame:
-    """grams: (gram, na, nr), distinct, with counts in both classes -> (gram, llr) in millionths of a nat."""
-    suffix = F.transform(F.sequence(F.lit(1), F.lit(CONTEXT + 1)), lambda k: F.right(F.col("gram"), k))
-    parts = grams.select("gram", "na", "nr", F.explode(suffix).alias("s"))
-    counts = parts.where("na > 0 or nr > 0").groupBy("s").agg(F.sum("na").alias("na"), F.sum("nr").alias("nr"))
-    context = F.expr("left(s, length(s) - 1)")
-    contexts = counts.groupBy(context.alias("c")).agg(
-        F.sum("na").alias("ca"), F.sum("nr").alias("cr"), F.count_if(F.col("na") > 0).alias("ta"), F.count_if(F.col("nr") > 0).alias("tr")
-    )
-    rows = (
-        parts.select("gram", "s", context.alias("c")).join(counts, "s", "left").join(contexts, "c", "left")
-        .groupBy("gram").agg(F.array_sort(F.collect_list(F.struct(F.length("s").alias("k"), *[F.coalesce(x, F.lit(0)).cast("double").alias(x) for x in ("na", "nr", "ca", "cr", "ta", "tr")]))).alias("orders"))
-    )
+    """grams: (gram, na, nr), distinct, with counts in both classes -> (gram, llr) in millionths of a nat.
+
+    One level for each order: the distinct suffixes of a length with their counts, the sums of their context (the rows
+    that share it are its next characters) and the probability of their own suffix from the level below. No key of any
+    level has more rows than the alphabet has characters.
+    """
+    longest = Scratch(grams.sparkSession, "grams").put(grams)  # read once for each level
+    levels = {k: longest.groupBy(F.right(F.col("gram"), F.lit(k)).alias("s")).agg(F.sum("na").alias("na"), F.sum("nr").alias("nr")) for k in range(1, CONTEXT + 1)}
+    levels[CONTEXT + 1] = longest.select(F.col("gram").alias("s"), "na", "nr")
 
     def step(p: Column, n: Column, c: Column, t: Column) -> Column:
         return F.when(c > 0, (n + t * p) / (c + t)).otherwise(p)
 
-    p = F.aggregate(
-        "orders", F.struct(F.lit(1.0 / SYMBOLS).alias("a"), F.lit(1.0 / SYMBOLS).alias("r")),
-        lambda acc, x: F.struct(step(acc.a, x.na, x.ca, x.ta).alias("a"), step(acc.r, x.nr, x.cr, x.tr).alias("r")),
-    )
-    return rows.select("gram", p.alias("p")).select("gram", F.floor((F.log("p.a") - F.log("p.r")) * 1e6 + 0.5).alias("llr"))
+    below = None
+    for k in range(1, CONTEXT + 2):
+        w = Window.partitionBy(F.left(F.col("s"), F.lit(k - 1)))
+        sums = {"ca": F.sum("na").over(w), "cr": F.sum("nr").over(w), "ta": F.count_if(F.col("na") > 0).over(w), "tr": F.count_if(F.col("nr") > 0).over(w)}
+        rows = levels[k].withColumns({name: c.cast("double") for name, c in sums.items()})
+        if below is None:
+            rows = rows.withColumns({"pa": F.lit(1.0 / SYMBOLS), "pr": F.lit(1.0 / SYMBOLS)})
+        else:
+            rows = rows.withColumn("_suffix", F.right(F.col("s"), F.lit(k - 1))).join(below.withColumnRenamed("s", "_suffix"), "_suffix")
+        below = rows.select("s", step(F.col("pa"), F.col("na"), F.col("ca"), F.col("ta")).alias("pa"), step(F.col("pr"), F.col("nr"), F.col("cr"), F.col("tr")).alias("pr"))
+    return below.select(F.col("s").alias("gram"), F.floor((F.log("pa") - F.log("pr")) * 1e6 + 0.5).alias("llr"))
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
@@ -102,20 +107,16 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 def threshold(held: DataFrame) -> DataFrame:
     """One row (_limit): the bin edge with the least balanced error over (cls, score_micro); then the one nearest 0."""
-    from pyspark.sql import Window as W
-
     bins = held.groupBy(F.floor(F.col("score_micro") / BIN).alias("b")).agg(F.count_if(F.col("cls") == "allow").alias("a"), F.count_if(F.col("cls") == "block").alias("r"))
-    over = W.orderBy("b")  # the bins' number is bounded by the range of a log-probability, not by the rows
-    every = W.partitionBy()
-    below = bins.select("b", F.coalesce(F.sum("a").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("miss"), F.sum("r").over(over.rowsBetween(0, W.unboundedFollowing)).alias("slip"), F.sum("a").over(every).alias("na"), F.sum("r").over(every).alias("nr"))
+    over = Window.orderBy("b")  # the bins' number is bounded by the range of a log-probability, not by the rows
+    every = Window.partitionBy()
+    below = bins.select("b", F.coalesce(F.sum("a").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("miss"), F.sum("r").over(over.rowsBetween(0, Window.unboundedFollowing)).alias("slip"), F.sum("a").over(every).alias("na"), F.sum("r").over(every).alias("nr"))
     # whole numbers, so that ties are exact: misses x rejected + slips x accepted
     best = below.select("b", (F.col("miss") * F.col("nr") + F.col("slip") * F.col("na")).alias("cost"), "na", "nr")
     return best.agg(F.min(F.when((F.col("na") > 0) & (F.col("nr") > 0), F.struct("cost", F.abs("b").alias("d"), "b"))).alias("m")).select(F.coalesce(F.col("m.b") * BIN, F.lit(0)).alias("_limit"))
 
 
 def op10_url_filter(spark, sf_dir):
-    from .common import table
-
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
