@@ -4,12 +4,14 @@ import base64
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 from math import log
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from textaudit.llm import ann, bpe, chat_format, decontaminate, license_scan, linededup, neardup, quality, sharding, textblocks, url_filter
 
@@ -321,6 +323,58 @@ def test_licenses(spark):
     assert all(re.search(license_scan.HINTS, s) for s in license_scan.known_sentences())
 
 
+#: Licences and the paragraphs of their headers, as the licences' own texts have them.
+GPL_BODY = "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+GPL_HOPE = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+MIT_TEXT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+)
+MIT_ASIS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE."
+BSD_TEXT = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+)
+BSD_ENDORSE = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+APACHE = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"
+APACHE_ASIS = "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License."
+HEADERS = [
+    ("GPL-3.0-or-later", (f"This program is free software: you can redistribute it and/or modify {GPL_BODY.format(3)}", GPL_HOPE)),
+    ("GPL-3.0-or-later", (f"This program is free software; you can redistribute it and/or modify {GPL_BODY.format(3)}",)),
+    ("GPL-2.0-or-later", (f"This program is free software; you can redistribute it and/or modify {GPL_BODY.format(2)}", GPL_HOPE)),
+    ("GPL-2.0-or-later", (f"This program is free software; you can redistribute it and/or modify {GPL_BODY.format(2)}",)),
+    *[("MPL-2.0", (f"This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http{s}://mozilla.org/MPL/2.0/.",)) for s in ("", "s")],
+    ("MPL-2.0", ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",)),
+    ("MIT", (*MIT_TEXT, MIT_ASIS)), ("MIT", MIT_TEXT), ("BSD-2-Clause", BSD_TEXT), ("BSD-3-Clause", (*BSD_TEXT, BSD_ENDORSE)),
+    ("ISC", ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",)),
+    ("Apache-2.0", (APACHE, "http://www.apache.org/licenses/LICENSE-2.0", APACHE_ASIS)), ("Apache-2.0", ("Licensed under the Apache License, Version 2.0.",)),
+    ("AGPL-3.0", ("Licensed under the GNU Affero General Public License, version 3.",)), ("LGPL-3.0", ("Licensed under the GNU Lesser General Public License, version 3.",)),
+    ("GPL-3.0", ("This work is licensed under the GNU General Public License, version 3.",)), ("GPL-2.0", ("Licensed under the GNU General Public License, version 2.",)), ("MIT", ("This project is licensed under the MIT License.",)),
+    ("CC-BY-NC-4.0", ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",)), ("CC-BY-SA-4.0", ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",)),
+    ("CC-BY-4.0", ("This work is licensed under a Creative Commons Attribution 4.0 International License.",)), ("CC0-1.0", ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",)),
+]
+TAGS = {
+    "Apache-2.0": "Apache-2.0", "MIT": "MIT", "BSD-3-Clause": "BSD-3-Clause", "BSD-2-Clause": "BSD-2-Clause", "ISC": "ISC", "GPL-3.0-or-later": "GPL-3.0-or-later", "GPL-2.0-or-later": "GPL-2.0-or-later", "GPL-3.0-only": "GPL-3.0", "GPL-2.0-only": "GPL-2.0",
+    "LGPL-3.0-only": "LGPL-3.0", "LGPL-3.0-or-later": "LGPL-3.0", "AGPL-3.0-only": "AGPL-3.0", "AGPL-3.0-or-later": "AGPL-3.0", "MPL-2.0": "MPL-2.0", "CC-BY-4.0": "CC-BY-4.0", "CC-BY-NC-4.0": "CC-BY-NC-4.0", "CC-BY-SA-4.0": "CC-BY-SA-4.0", "CC0-1.0": "CC0-1.0",
+}
+
+
+def test_licence_headers_in_both_readings(spark):
+    """Every rule fires on its licence's header: a paragraph a line, and wrapped behind comment marks. No known sentence is one that the cutter never leaves whole."""
+    texts = [(name, text) for name, parts in HEADERS for text in ("\n\n".join(parts), "\n\n".join(textwrap.fill(p, 60, initial_indent=" * ", subsequent_indent=" * ") for p in parts))]
+    texts += [(name, f"/* SPDX-License-Identifier: {tag} */\ncode") for tag, name in TAGS.items()]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame([(i, t, 0, 1, 2, "s") for i, (_, t) in enumerate(texts)], DOCS)).collect()}
+    assert [(got[i].licenses, got[i].unmatched_ids) if i in got else None for i in range(len(texts))] == [(name, "") for name, _ in texts]
+    assert {k for r in got.values() for k in r.sentence_ids.split(",")} == set(license_scan.known_sentences().values())
+    assert {name for name, _ in texts} == {name for name, _ in license_scan.RULES}
+    for way in (license_scan.by_line, license_scan.by_paragraph):
+        rows = [(s, f"{s.capitalize()}. Next") for s in license_scan.known_sentences()]
+        cut = spark.createDataFrame(rows, "s string, t string").select("s", license_scan.normal(F.get(way(F.col("t")), F.lit(0))).alias("first")).collect()
+        assert all(r.s == r.first for r in cut)
+
+
+
 # --- op 8 -------------------------------------------------------------------------------------------------------------
 def test_chat_round_trip(spark):
     pieces = ["</s>", "[INST]", "[/INST]", "<s>", "[SYS] ", " [/SYS]", "[ROLE x] ", "[/ROLE]", "\\e", "\\l", "\\", "[", "<", "]", "a", " ", "\n", "é", "日", ""]

@@ -14,7 +14,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Known sentences in normal form (lower case; runs of other characters than letters, digits and . are one space).
+#: Known sentences in normal form (lower case; runs of other characters than letters, digits and . are one space), cut as
+#: the readings cut: behind each of . ! ? ; : before white space. Those without any text are known by their SPDX tag alone.
+#: The rest of mpl2-form's sentence, "2.0", is too short to be one; no other version of that licence has these words.
 SENTENCES = {
     "apache2-ref": ["licensed under the apache license version 2.0", "licensed under the apache license version 2.0 the license", "this project is licensed under the apache license version 2.0", "released under the apache license version 2.0"],
     "apache2-comply": ["you may not use this file except in compliance with the license"],
@@ -26,38 +28,61 @@ SENTENCES = {
     "mit-asis": ["the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"],
     "gpl3-ref": ["this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3", "released under the gnu general public license version 3"],
     "gpl2-ref": ["this work is licensed under the gnu general public license version 2", "licensed under the gnu general public license version 2"],
-    "gpl-free": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
-    "gpl-hope": ["this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
+    "gpl-free-1": ["this program is free software"],
+    "gpl-free-2": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "gpl2-free-2": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"],
+    "gpl-hope-1": ["this program is distributed in the hope that it will be useful but without any warranty"],
+    "gpl-hope-2": ["without even the implied warranty of merchantability or fitness for a particular purpose"],
+    "gpl3-later": [],
+    "gpl2-later": [],
     "lgpl3-ref": ["licensed under the gnu lesser general public license version 3"],
     "agpl3-ref": ["licensed under the gnu affero general public license version 3"],
-    "mpl2-ref": ["this source code form is subject to the terms of the mozilla public license v. 2.0"],
+    "mpl2-ref": [],
+    "mpl2-form": ["this source code form is subject to the terms of the mozilla public license v"],
+    "mpl2-obtain": ["if a copy of the mpl was not distributed with this file you can obtain one at http mozilla.org mpl 2.0", "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla.org mpl 2.0"],
+    "bsd3-ref": [],
+    "bsd2-ref": [],
     "bsd-grant": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
     "bsd-source": ["redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"],
     "bsd-binary": ["redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"],
     "bsd-endorse": ["neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
+    "isc-ref": [],
     "isc-grant": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
     "ccbync4-ref": ["licensed under cc by nc 4.0", "this work is licensed under cc by nc 4.0", "this work is licensed under a creative commons attribution noncommercial 4.0 international license"],
     "ccby4-ref": ["licensed under cc by 4.0", "this work is licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license"],
-    "ccbysa4-ref": ["licensed under cc by sa 4.0", "this work is licensed under cc by sa 4.0"],
+    "ccbysa4-ref": ["licensed under cc by sa 4.0", "this work is licensed under cc by sa 4.0", "this work is licensed under a creative commons attribution sharealike 4.0 international license"],
     "cc0-ref": ["to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "licensed under cc0 1.0"],
 }
-#: SPDX tags are sentences, too: spdx license identifier <name>.
-SPDX = {"apache2-ref": "apache 2.0", "mit-ref": "mit", "gpl3-ref": "gpl 3.0 only", "gpl2-ref": "gpl 2.0 only", "mpl2-ref": "mpl 2.0", "ccby4-ref": "cc by 4.0", "ccbync4-ref": "cc by nc 4.0", "cc0-ref": "cc0 1.0"}
+#: SPDX tags are sentences, too: spdx license identifier <name>. GPL-2.0 and GPL-2.0+ are one in normal form, so neither is here.
+SPDX = {
+    "apache2-ref": ["apache 2.0"], "mit-ref": ["mit"], "bsd3-ref": ["bsd 3 clause"], "bsd2-ref": ["bsd 2 clause"], "isc-ref": ["isc"], "gpl3-later": ["gpl 3.0 or later"], "gpl2-later": ["gpl 2.0 or later"],
+    "gpl3-ref": ["gpl 3.0 only"], "gpl2-ref": ["gpl 2.0 only"], "lgpl3-ref": ["lgpl 3.0 only", "lgpl 3.0 or later"], "agpl3-ref": ["agpl 3.0 only", "agpl 3.0 or later"],
+    "mpl2-ref": ["mpl 2.0"], "ccby4-ref": ["cc by 4.0"], "ccbync4-ref": ["cc by nc 4.0"], "ccbysa4-ref": ["cc by sa 4.0"], "cc0-ref": ["cc0 1.0"],
+}
 #: Ordered: (licence, identifiers in order, with others between them allowed).
 RULES = (
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("MIT", ("mit-grant", "mit-notice", "mit-asis")),
     ("MIT", ("mit-grant", "mit-notice")),
+    ("BSD-3-Clause", ("bsd3-ref",)),
+    ("BSD-2-Clause", ("bsd2-ref",)),
     ("ISC", ("isc-grant",)),
+    ("ISC", ("isc-ref",)),
     ("Apache-2.0", ("apache2-ref", "apache2-comply", "apache2-copy", "apache2-asis")),
     ("Apache-2.0", ("apache2-ref",)),
-    ("GPL-3.0-or-later", ("gpl-free", "gpl-hope")),
-    ("GPL-3.0-or-later", ("gpl-free",)),
+    ("GPL-3.0-or-later", ("gpl-free-1", "gpl-free-2", "gpl-hope-1", "gpl-hope-2")),
+    ("GPL-3.0-or-later", ("gpl-free-1", "gpl-free-2")),
+    ("GPL-3.0-or-later", ("gpl3-later",)),
+    ("GPL-2.0-or-later", ("gpl-free-1", "gpl2-free-2", "gpl-hope-1", "gpl-hope-2")),
+    ("GPL-2.0-or-later", ("gpl-free-1", "gpl2-free-2")),
+    ("GPL-2.0-or-later", ("gpl2-later",)),
     ("AGPL-3.0", ("agpl3-ref",)),
     ("LGPL-3.0", ("lgpl3-ref",)),
     ("GPL-3.0", ("gpl3-ref",)),
     ("GPL-2.0", ("gpl2-ref",)),
+    ("MPL-2.0", ("mpl2-form", "mpl2-obtain")),
+    ("MPL-2.0", ("mpl2-form",)),
     ("MPL-2.0", ("mpl2-ref",)),
     ("MIT", ("mit-ref",)),
     ("CC-BY-NC-4.0", ("ccbync4-ref",)),
@@ -66,14 +91,14 @@ RULES = (
     ("CC0-1.0", ("cc0-ref",)),
 )
 #: Every known sentence holds one of these, so texts without any are not cut.
-HINTS = r"(?i)licen[sc]e|licensed|copyright|permission|redistribut|public|warrant|without|compliance"
+HINTS = r"(?i)licen[sc]e|licensed|copyright|permission|redistribut|public|warrant|without|compliance|software|mozilla"
 TAG = r"(?i)spdx-license-identifier:[ \t]*"
 CUT = "\x01"
 
 
 def known_sentences() -> dict[str, str]:
     out = {s: k for k, ss in SENTENCES.items() for s in ss}
-    return out | {f"spdx license identifier {name}": k for k, name in SPDX.items()}
+    return out | {f"spdx license identifier {name}": k for k, names in SPDX.items() for name in names}
 
 
 def normal(sentence: Column) -> Column:
