@@ -135,6 +135,22 @@ def test_lines_agree_with_brute_force(spark):
             assert out[i].text == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
 
 
+def test_short_fuzzy_lines_by_characters(spark):
+    """One edit in mid-line is found from 49 characters on, in any script; the brute force has shingles of its own."""
+    rng, rows = random.Random(8), []
+    for alphabet, edit in (("abcdefghijklmnopqrst ", "z"), ("éèêàâîôùûçäöüßñ ", "ÿ"), ("абвгдежзийклмнопрстуфхц ", "я"), ("天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏", "龍"), ("0123456789,. ", "x")):
+        for n in (20, 48, 49, 60, 78):
+            line = "".join(rng.choice(alphabet) for _ in range(n - 1)).strip().ljust(n, alphabet[0])
+            line = linededup.normal(line).ljust(n, alphabet[0])
+            rows += [(len(rows), line), (len(rows) + 1, line[: n // 2] + edit + line[n // 2 + 1 :])]
+    rows += [(len(rows) + i, t) for i, t in enumerate(("-----", "--------", "----", "ababab", "bababa", "aaaaab", "aaaaaab", "one", "two"))]
+    grams = {i: {t[j : j + 5] for j in range(max(1, len(t) - 4))} for i, t in ((i, linededup.normal(t)) for i, t in rows)}
+    keeper = {i: min(j for j in grams if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])) for i in grams}
+    got = {r.doc_id: r.drops[0].keeper for r in linededup.repeated_lines(spark.createDataFrame([(i, t, 0, 1, 2, "s") for i, t in rows], DOCS)).collect()}
+    assert got == {i: k for i, k in keeper.items() if i != k}
+    assert len(got) == 5 * 3 + 3
+
+
 def test_lines_of_odd_tables(spark):
     out = linededup.dedup_lines(odd_docs(spark))
     assert out.count() == 12 and out.columns[:6] == [c.split()[0] for c in DOCS.split(", ")]

@@ -1,8 +1,8 @@
 """Fuzzy line deduplication by MinHash.
 
 1. Per chunk of texts: lines in normal form (lower case, runs of white space as one space) that are equal collapse to one
-   with the positions of the others. Lines of enough characters get a MinHash signature over their shingles of SHINGLE
-   bytes: one permutation cut in SAMPLES bins, empty bins filled from others (optimal densification), in bands.
+   with the positions of the others. Lines of SHINGLE characters get a MinHash signature over their shingles of SHINGLE
+   characters: one permutation cut in SAMPLES bins, empty bins filled from others (optimal densification), in bands.
 2. Band values go to buckets by range, packed as one binary per chunk and bucket; a bucket yields links from the least
    line of each band to the others, never all pairs.
 3. Linked lines are compared by exact Jaccard similarity of their shingle sets; a line that fails is then searched among
@@ -22,14 +22,14 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, small, table
 from .components import Forest, components
-from .textblocks import U, blocks, byte_grams, mix
+from .textblocks import U, char_grams, mix, slices
 
 THRESHOLD = 0.8
-SHINGLE = 8
+#: Code points. An edited character in mid-line changes so many shingles on each side, so it passes from 49 characters. With 3
+#: it would from 29, but long lines of one language share most of their trigrams without being copies.
+SHINGLE = 5
 BANDS, ROWS = 15, 5
 SAMPLES = BANDS * ROWS
-#: A line of fewer shingles can't be THRESHOLD similar to another without being equal.
-LEAST_GRAMS = 4
 CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 2 << 20
 #: Characters and number of the lines of one leader that are compared together.
@@ -104,9 +104,9 @@ def _send(buckets: int, id_type: pa.DataType, ddl_id: str):
             line=pa.array([f[1] for f in first], pa.int32()), text=pa.array(lines), more=pa.array([[{"id": a, "line": b} for a, b in m] or None for m in more], schema.field("more").type),
         )
         bands, owner = [], []
-        for at, block in blocks(lines, lower=False):
-            hashes, grams = byte_grams(block, SHINGLE)
-            long = grams >= LEAST_GRAMS
+        for at, block in slices(lines):
+            hashes, grams = char_grams(block, SHINGLE)
+            long = np.array([len(x) for x in block]) >= SHINGLE  # a shorter line is its only shingle
             if long.any():
                 keep = np.repeat(long, grams)
                 bands.append(signatures(hashes[keep], grams[long]).ravel())
@@ -162,8 +162,8 @@ def _leaders(sent: pa.Table) -> pa.Table:
 def _gram_sets(texts: list[str]) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of every text."""
     out: list[np.ndarray] = []
-    for _, block in blocks(texts, lower=False):
-        hashes, grams = byte_grams(block, SHINGLE)
+    for _, block in slices(texts):
+        hashes, grams = char_grams(block, SHINGLE)
         for x in np.split(hashes, np.cumsum(grams)[:-1]):
             x = np.sort(x)
             out.append(x[np.append(True, x[1:] != x[:-1])] if len(x) else x)

@@ -1,8 +1,8 @@
 """Shingle hashing over blocks of texts with numpy: whole UTF-8 texts in, 64-bit hashes out.
 
 Words are maximal runs of ASCII letters and digits or of any other non-ASCII characters, lower-cased. The hash of a word
-or of k bytes is a polynomial in its bytes modulo 2**64, mixed afterwards; equal content always has equal hashes, and
-different content collides with a chance of about 2**-64.
+or of k bytes or characters is a polynomial in them modulo 2**64, mixed afterwards; equal content always has equal
+hashes, and different content collides with a chance of about 2**-64.
 """
 
 from __future__ import annotations
@@ -56,6 +56,18 @@ def blocks(texts: list[str], most: int = BLOCK_BYTES, lower: bool = True):
         yield first, got
 
 
+def slices(texts: list[str], most: int = BLOCK_BYTES // 4):
+    """Slices of texts of about `most` characters: (first index, texts)."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t) + 1
+        if size >= most:
+            yield first, texts[first : i + 1]
+            first, size = i + 1, 0
+    if first < len(texts):
+        yield first, texts[first:]
+
+
 def spans(block: list[bytes], kind: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bytes of the block, starts and ends of the maximal runs of bytes of a kind, number of runs of each text)."""
     data = np.frombuffer(b" ".join(block) + b" ", np.uint8)
@@ -95,8 +107,16 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, k: int = SHINGLE) -> t
 
 def byte_grams(block: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every k bytes within one text, their number by text); shorter texts that aren't empty: one of all bytes."""
-    data = np.frombuffer(b"".join(block) + b"\0" * k, np.uint8).astype(U) + U(1)
-    sizes = np.array([len(b) for b in block], np.int64)
+    return _grams(np.frombuffer(b"".join(block) + b"\0" * k, np.uint8), np.array([len(b) for b in block], np.int64), k)
+
+
+def char_grams(block: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Like byte_grams, of code points."""
+    return _grams(np.frombuffer(("".join(block) + "\0" * k).encode("utf-32-le", "replace"), "<u4"), np.array([len(t) for t in block], np.int64), k)
+
+
+def _grams(data: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    data = data.astype(U) + U(1)
     grams = np.where(sizes >= k, sizes - k + 1, np.minimum(sizes, 1))
     first = np.cumsum(sizes) - sizes
     at = np.arange(grams.sum()) - np.repeat(np.cumsum(grams) - grams - first, grams)
