@@ -40,6 +40,20 @@ def test_paragraph_symmetry_and_structure(spark):
     assert "paragraph_length_symmetry" in rows["p"] and "structure_template_concentration" in rows["s"]
 
 
+def test_long_texts_are_audited_whole(spark):
+    """What stands behind the first 300,000 characters counts, with either line end."""
+    head = "The probe was lowered to nine metres in rain. " * 7000
+    tail = "In conclusion, it ran higher.\r\n\r\nWe saw it. We saw two. "
+    r = audit.audit(spark.createDataFrame([(head + tail,)], "text string")).collect()[0]
+    assert len(head) > 300_000 and r.sentence_count == 7003 and r.paragraph_count == 2
+    assert r.opening_top == 7000 and r.opening_total == 7003 and r.closing_count == 1
+
+
+def test_commonest_value(spark):
+    rows = [([],), (["b"],), (["b", "a", "b", "c", "a", "b"],), (["", "", "x"],)]
+    assert [r[0] for r in spark.createDataFrame(rows, "v array<string>").select(audit.most_often(F.col("v"))).collect()] == [0, 1, 3, 2]
+
+
 def test_delta_recommendation_and_next_step(spark):
     before = audit.audit(spark.createDataFrame([("a", TEXTS["connectors"][0]), ("b", TEXTS["plain"][0]), ("c", TEXTS["passive"][0])], "id string, text string"))
     after = audit.audit(spark.createDataFrame([("a", TEXTS["plain"][0]), ("b", TEXTS["templates"][0]), ("c", TEXTS["passive"][0])], "id string, text string"))

@@ -50,9 +50,13 @@ def excerpt(text: Column, limit: int = 180) -> Column:
     return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.rtrim(F.left(flat, F.lit(limit))), F.lit("…")))
 
 
+def unix_lines(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+
+
 def bounded(text: Column, most: int = L.MOST_CHARS) -> Column:
     """Unix line ends; beyond `most` characters cut behind the last line or CJK sentence end in the final 15 %, if any."""
-    unix = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    unix = unix_lines(text)
     head = F.left(unix, F.lit(most))
     cut = F.length(head) - F.length(F.regexp_extract(head, r"[^\n。！？]*$", 0))
     short = F.when(cut - 1 >= int(most * 0.85), F.left(head, cut)).otherwise(head)

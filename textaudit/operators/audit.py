@@ -16,9 +16,9 @@ STRUCTURE_LEAST, STRUCTURE_SHARE = 8, 9000
 
 
 def metrics(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the metrics of a text. Densities, shares and coefficients of variation are whole ten thousandths (rounded half up)."""
+    """Adds the metrics of a whole text. Densities, shares and coefficients of variation are whole ten thousandths (rounded half up)."""
     t = F.coalesce(F.col(text), F.lit(""))
-    out = df.withColumn("_t", T.bounded(t)).withColumn("language", T.language(F.col("_t"))).withColumn("_s", T.sentences(F.col("_t")))
+    out = df.withColumn("_t", T.unix_lines(t)).withColumn("language", T.language(F.col("_t"))).withColumn("_s", T.sentences(F.col("_t")))
     en = F.col("language") == "en"
     n = F.size("_s")
     count = lambda zh, en_: F.when(en, T.count_of(F.col("_t"), en_)).otherwise(T.count_of(F.col("_t"), zh))
@@ -41,7 +41,7 @@ def metrics(df: DataFrame, text: str = "text") -> DataFrame:
         "short_sentences": F.size(F.filter("_l", lambda x: x <= 6)),
         "paragraph_variation": F.when(F.size("_p") >= 2, T.variation(F.col("_p"))).otherwise(F.lit(0).cast("long")),
         "paragraph_uniformity": uniformity(F.col("_p")), "_per_class": per_class, "structure_total": F.size("_classes"),
-        "opening_top": F.coalesce(F.array_max(F.transform(F.array_distinct("_open"), lambda v: F.size(F.filter("_open", lambda x: x == v)))), F.lit(0)),
+        "opening_top": most_often(F.col("_open")),
         "opening_total": F.size("_open"),
     })
     top = F.array_max("_per_class")
@@ -57,6 +57,17 @@ def per_10000(count: Column, of: Column) -> Column:
     return F.floor(count.cast("double") / F.greatest(of, F.lit(1)) * 10000 + 0.5).cast("long")
 
 
+def most_often(values: Column) -> Column:
+    """How often the commonest value occurs (0 for none), in one pass over the sorted values: whole books have many."""
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("top"))
+
+    def step(a: Column, x: Column) -> Column:
+        run = F.when(a["last"] == x, a["run"] + 1).otherwise(1)
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(a["top"], run).alias("top"))
+
+    return F.aggregate(F.array_sort(values), start, step, lambda a: a["top"])
+
+
 def uniformity(lengths: Column) -> Column:
     """Mean of min / max of neighbouring lengths, in ten thousandths; 0 for fewer than two."""
     pairs = F.transform(F.sequence(F.lit(1), F.size(lengths) - 1), lambda i: F.least(F.get(lengths, i), F.get(lengths, i - 1)).cast("double") / F.greatest(F.get(lengths, i), F.get(lengths, i - 1), F.lit(1)))
