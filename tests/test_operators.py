@@ -1,12 +1,14 @@
 """The reference operators on inline fixtures: codes that must and must not appear, and order-dependent folds."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from textaudit.functions import text as T
 from textaudit.operators import audit, docroles, events, guards, history, pairs, segment, select
+from textaudit.plans import text_queries
 from textaudit.sources import tables
 
 TEXTS = {
@@ -168,6 +170,22 @@ def test_relations_and_scope(spark):
     assert {(r.paragraph, r.kind, r.n_before, r.n_after) for r in guards.scope_changes(a, b, "id").collect()} == {(0, "exclusive", 1, 0), (1, "exclusive", 0, 1)}
 
 
+def test_scope_profile_reads_every_language(spark, tmp_path):
+    """Against a count by hand: documents labelled zh, otherwise or not at all, and null texts."""
+    rows = [(1, "en", "Only this. All of any."), (2, "zh", "只有通过测试才能发布。\n\n不仅如此，所有结果均有效，必然如此。只要一次。"), (3, None, "It is always so, only here."), (4, "fr", "任何人 only"), (5, "zh", None), (6, None, "")]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    token = re.compile(f"{guards.SCOPE_ZH}|{guards.SCOPE_EN.removeprefix('(?i)')}", re.IGNORECASE)
+    kind = {m: k for k, members in guards.KINDS for m in members}
+    want = {}
+    for i, _, t in rows:
+        for x in token.findall(t or ""):
+            if x not in guards.ADDITIVE:
+                want.setdefault(kind[x.lower()], []).append(i)
+    got = {r.kind: (r.documents, r.n) for r in text_queries.scope_profile(spark, str(tmp_path)).collect()}
+    assert got == {k: (len(set(v)), len(v)) for k, v in want.items()}
+    assert got == {"exclusive": (4, 4), "universal": (4, 6), "necessary": (1, 1), "sufficient": (1, 1)}
+
+
 def test_document_roles(spark):
     units = ["Title", "Abstract", "This is about a method.", "1 Introduction", "The text of the body stands here.", "Figure 1 The set-up", "x = y + 2", "References", "[1] Someone, A title."]
     got = docroles.classify(spark.createDataFrame([("d", i, t) for i, t in enumerate(units)], "doc string, i int, text string"), "doc", "i").orderBy("i").collect()

@@ -348,8 +348,8 @@ select source, count(*) as skeletons, sum(n)::bigint as sentences, max(n)::bigin
 
 
 def scope_profile(spark, sf_dir):
-    """Scope qualifiers of English documents by kind."""
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text")
+    """Scope qualifiers of all documents by kind, Chinese and English ones, whatever language a document is labelled with."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
     return guards.scope_profile(d, "doc_id").groupBy("kind").agg(F.count_distinct("doc_id").alias("documents"), F.sum("n").alias("n"))
 
 
