@@ -79,14 +79,20 @@ def test_hinge_fit_is_deterministic_and_separates():
 
 
 # --- op 2 -------------------------------------------------------------------------------------------------------------
+def shingles_of(line):
+    return {line[i : i + 5] for i in range(max(1, len(line) - 4))}
+
+
 def brute_lines(rows):
-    at, keys = defaultdict(list), []
-    for i, t in rows:
-        for k, line in enumerate((t or "").split("\n")):
-            if (n := linededup.normal(line)):
-                at[n].append((i, k))
+    """For every row the set of (line, keeper id) that it loses; rows that repeat an id and a text after the first lose all."""
+    order = sorted(range(len(rows)), key=lambda r: (rows[r][0] is not None, rows[r][0] or 0, hashlib.md5((rows[r][1] or "").encode()).digest()))
+    at = defaultdict(list)
+    for r in order:
+        for k, line in enumerate((rows[r][1] or "").split("\n")):
+            if n := linededup.normal(line):
+                at[n].append((r, k))
     keys = list(at)
-    grams = {k: {k.encode()[i : i + linededup.SHINGLE] for i in range(max(1, len(k.encode()) - linededup.SHINGLE + 1))} for k in keys}
+    grams = {k: shingles_of(k) for k in keys}
     root = {k: k for k in keys}
 
     def find(x):
@@ -102,12 +108,31 @@ def brute_lines(rows):
     classes = defaultdict(list)
     for k in keys:
         classes[find(k)] += at[k]
-    out = defaultdict(set)
+    out = [set() for _ in rows]
+    place = {r: n for n, r in enumerate(order)}
     for places in classes.values():
-        for p in places:
-            if p != min(places):
-                out[p[0]].add((p[1], min(places)[0]))
-    return dict(out)
+        keeper = min(places, key=lambda p: (place[p[0]], p[1]))
+        for r, k in places:
+            if (r, k) != keeper:
+                out[r].add((k, rows[keeper[0]][0]))
+    return out
+
+
+def assert_lines(spark, rows, extra=()):
+    """dedup_lines gives what brute force gives, row by row (rows that repeat id and text in any order)."""
+    schema = "doc_id long, text string" + "".join(f", {c} int" for c in extra)
+    docs = spark.createDataFrame([(*r, *range(len(extra))) for r in rows], schema)
+    out = linededup.dedup_lines(docs)
+    assert out.columns[: 2 + len(extra)] == ["doc_id", "text", *extra] and len(set(out.columns)) == 5 + len(extra)
+    want = Counter()
+    for (i, t), gone in zip(rows, brute_lines(rows), strict=True):
+        lost = {k for k, _ in gone}
+        kept = t and "\n".join(x for k, x in enumerate(t.split("\n")) if k not in lost)
+        want[(i, kept, *range(len(extra)), tuple(sorted(gone)) or None, len(t.split("\n")) if t else 0)] += 1
+    n = 2 + len(extra)
+    got = Counter((*r[:n], tuple(sorted(zip(r[n], r[n + 1], strict=True))) if r[n] else None, r[n + 2]) for r in out.collect())
+    assert got == want
+    return want
 
 
 def test_lines_agree_with_brute_force(spark):
@@ -123,16 +148,16 @@ def test_lines_agree_with_brute_force(spark):
     for i in range(60):
         lines = [rng.choice(base + chain) if rng.random() < 0.6 else prose(1000 + i * 10 + j, 9) for j in range(4)]
         rows.append((i, "\n".join(lines)))
-    rows += [(100, None), (101, ""), (102, "\n \n"), (103, base[0].upper() + "  "), (104, "a\na\nA")]
-    docs = spark.createDataFrame([(i, t, 0, 1, 2, "s") for i, t in rows], DOCS)
-    got = {r.doc_id: {(d.line, d.keeper) for d in r.drops} for r in linededup.repeated_lines(docs).collect()}
-    assert got == brute_lines(rows)
-    out = {r.doc_id: r for r in linededup.dedup_lines(docs).collect()}
-    assert len(out) == len(rows) and out[100].text is None and out[101].text == "" and out[104].text == "a"
-    for i, t in rows:
-        if t:
-            gone = {k for k, _ in got.get(i, ())}
-            assert out[i].text == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
+    rows += [(100, None), (101, ""), (102, "\n \n"), (103, base[0].upper() + "  "), (104, "a\na\nA"), (105, "\u3000a\u00a0\t b\r\na b")]
+    assert_lines(spark, rows)
+
+
+def test_lines_of_rows_that_share_ids(spark):
+    """Rows are told apart by id and text; of rows that repeat both one keeps its lines; clashing names; null ids."""
+    one, two, three, four = (prose(400 + i, 12) for i in range(4))
+    rows = [(1, one), (2, one + "\n" + two), (2, three + "\n" + four), (2, three + "\n" + four), (7, four), (None, two), (None, two), (None, None), (8, "  "), (8, "  "), (9, one)]
+    rows += [(11, prose(500, 30))] * 25
+    assert_lines(spark, rows, ("_id", "_dropped", "_keepers", "_n_lines", "n_lines", "dropped_lines", "keepers", "_key", "_first", "_lines", "_rid", "_number", "_least"))
 
 
 def test_short_fuzzy_lines_by_characters(spark):
@@ -146,7 +171,8 @@ def test_short_fuzzy_lines_by_characters(spark):
     rows += [(len(rows) + i, t) for i, t in enumerate(("-----", "--------", "----", "ababab", "bababa", "aaaaab", "aaaaaab", "one", "two"))]
     grams = {i: {t[j : j + 5] for j in range(max(1, len(t) - 4))} for i, t in ((i, linededup.normal(t)) for i, t in rows)}
     keeper = {i: min(j for j in grams if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])) for i in grams}
-    got = {r.doc_id: r.drops[0].keeper for r in linededup.repeated_lines(spark.createDataFrame([(i, t, 0, 1, 2, "s") for i, t in rows], DOCS)).collect()}
+    out = linededup.dedup_lines(spark.createDataFrame([(i, t, 0, 1, 2, "s") for i, t in rows], DOCS)).collect()
+    got = {r.doc_id: r.keepers[0] for r in out if r.keepers}
     assert got == {i: k for i, k in keeper.items() if i != k}
     assert len(got) == 5 * 3 + 3
 
@@ -168,10 +194,20 @@ def test_parts_of_one_leader_give_the_same_links(spark, monkeypatch):
         if i % 2:
             words[49] = f"last{i}"
         rows.append((i, " ".join(words)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(linededup, "PART_BYTES", 3000)
-    got = {r.doc_id: {(d.line, d.keeper) for d in r.drops} for r in linededup.repeated_lines(docs).collect()}
-    assert got == brute_lines(rows)
+    assert_lines(spark, rows)
+
+
+def test_near_threshold_members_visit_other_parts(spark, monkeypatch):
+    """Texts that all share a template but hold pairs of near copies far from the leader: links across parts only."""
+    head = prose(70, 30)
+    tails = [prose(700 + i, 12) for i in range(60)]
+    rows = [(i, f"{head} {tails[i // 2]}{'' if i % 2 else ' x'}") for i in range(120)]
+    rng = random.Random(3)
+    rng.shuffle(rows)
+    monkeypatch.setattr(linededup, "PART_BYTES", 2000)
+    want = assert_lines(spark, rows)
+    assert sum(len(k[2] or ()) for k in want) >= 60
 
 
 # --- op 3 -------------------------------------------------------------------------------------------------------------

@@ -5,12 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of (key, small value) up to which one side of a join is broadcast; a longer side is shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which one side of a join is broadcast; a larger side is shuffled.
+BROADCAST_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a new temporary folder that is then set."""
+    """The folder in spark.checkpoint.dir. Where it is unset: on a local master (tests) a temporary folder, else an error,
+    as executors of a cluster don't see each other's disks."""
     where = spark.conf.get("spark.checkpoint.dir", None) or getattr(shared_dir, "own", None)
     if not where:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder when the master is {master}")
         where = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="textaudit-")
     return where.rstrip("/")
 
@@ -42,7 +47,6 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/textaudit/{what}-{uuid.uuid4().hex[:12]}", 0
-        self.paths: dict[int, str] = {}
         atexit.register(_delete, spark, self.base)
 
     def put(self, df: DataFrame, *partition_by: str) -> DataFrame:
@@ -51,7 +55,6 @@ class Scratch:
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._textaudit_path = path
         return out
 
@@ -60,9 +63,49 @@ class Scratch:
             _delete(self.spark, df._textaudit_path)
 
 
-def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if its counted rows are within the bound; else unmarked, for a shuffled join."""
-    return F.broadcast(df) if rows <= most else df
+def small(df: DataFrame, size: int, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcast if its size (bytes, from counted rows) is within the bound; else unmarked, for a shuffled join."""
+    return F.broadcast(df) if size <= most else df
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """name, with underscores before it until no column is called so, whatever the case of its letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def text_key(text_col: str):
+    """16 bytes that tell apart texts; null for null. With the id it tells rows apart, but for rows that repeat both."""
+    return F.unhex(F.md5(F.col(text_col)))
+
+
+def same_row(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]):
+    """Condition of a join on columns that may be null: null meets null."""
+    return reduce(lambda x, y: x & y, (left[a].eqNullSafe(right[b]) for a, b in pairs))
+
+
+def first_of_repeated(docs: DataFrame, repeated: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, str]:
+    """docs with a boolean column (its name is returned, too): false on all rows but one of those that repeat an id and a text.
+
+    repeated: (id, key), the distinct ids and text keys of rows that repeat. Only those rows are written and compared, by
+    minima with map-side partial results, so that a row that a third of all repeat is never one task's.
+    """
+    key, number, first, least = (fresh(c, docs.columns) for c in ("_key", "_number", "_first", "_least"))
+    n = repeated.count()
+    if not n:
+        return docs.withColumn(first, F.lit(True)), first
+    repeated = repeated.toDF("_rid", "_rkey")
+    width = 64 if dict(repeated.dtypes)["_rid"] == "string" else 24
+    keyed = docs.withColumn(key, text_key(text_col))
+    match = same_row(keyed, repeated, [(id_col, "_rid"), (key, "_rkey")])
+    those = scratch.put(keyed.join(small(repeated, width * n), match, "left_semi").withColumn(number, F.monotonically_increasing_id()))
+    leasts = those.groupBy(id_col, key).agg(F.min(number).alias(least)).select(least)
+    flagged = those.join(leasts, those[number] == leasts[least], "left").withColumn(first, F.col(least).isNotNull())
+    others = keyed.join(small(repeated, width * n), match, "left_anti").withColumn(first, F.lit(True))
+    columns = [*docs.columns, first]
+    return others.select(*columns).unionByName(flagged.select(*columns)), first
 
 
 def utf8_size(col):

@@ -3,11 +3,13 @@
 1. Per chunk of texts: lines in normal form (lower case, runs of white space as one space) that are equal collapse to one
    with the positions of the others. Lines of SHINGLE characters get a MinHash signature over their shingles of SHINGLE
    characters: one permutation cut in SAMPLES bins, empty bins filled from others (optimal densification), in bands.
-2. Band values go to buckets by range, packed as one binary per chunk and bucket; a bucket yields links from the least
-   line of each band to the others, never all pairs.
-3. Linked lines are compared by exact Jaccard similarity of their shingle sets; a line that fails is then searched among
-   all lines of the same leader, in parts of bounded size, so no link between different lines is lost.
-4. Distributed union-find over equal and verified lines; each component keeps its line at the least (id, line number).
+2. Band values go to buckets by range, packed as one binary per chunk and bucket (where chunks and buckets are so many
+   that a binary holds one line, there are as many rows as lines and bands). Equal lines of a band count once, and a bucket
+   yields the least line of each band with its other lines, never all pairs.
+3. Lines that share a least line are compared by exact Jaccard similarity of their shingle sets (bandsearch.py): all links
+   between different lines are found, those that join components leave.
+4. Distributed union-find over those links; equal lines follow the least of them. Each component keeps its line at the
+   least place: by id, text, line number.
 
 A line that a third of the documents hold meets as one row per chunk.
 """
@@ -20,8 +22,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small, table
-from .components import Forest, components
+from .bandsearch import exact_links
+from .common import Scratch, first_of_repeated, fresh, same_row, small, table, text_key
+from .components import components
 from .textblocks import U, char_grams, mix, slices
 
 THRESHOLD = 0.8
@@ -31,26 +34,37 @@ SHINGLE = 5
 BANDS, ROWS = 15, 5
 SAMPLES = BANDS * ROWS
 CHUNK_BYTES = 8 << 20
-BUCKET_BYTES = 2 << 20
-#: Characters and number of the lines of one leader that are compared together.
+#: Bytes of the band entries of a bucket.
+BUCKET_BYTES = 4 << 20
+#: Bytes of the lines that are compared together.
 PART_BYTES = 1 << 20
-PART_LINES = 4096
 EMPTY = np.uint32(0xFFFFFFFF)
 _rng = np.random.default_rng(3)
 #: For each attempt the bin that an empty bin looks at.
 FILL = np.stack([_rng.integers(0, SAMPLES, SAMPLES) for _ in range(512)])
+#: White space that isn't a plain space or the end of a line.
+ODD_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
 
 def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+def normal_lines(text: str) -> list[str]:
+    """The normal forms of a text's lines."""
+    text = text.lower()
+    if "  " in text or any(c in text for c in ODD_SPACES):
+        return [" ".join(x.split()) for x in text.split("\n")]
+    return [x.strip(" ") for x in text.split("\n")]
+
+
 def signatures(hashes: np.ndarray, grams: np.ndarray) -> np.ndarray:
     """Bands of every text with any gram: hashes of their grams in order, number of grams by text."""
     n = len(grams)
     sig = np.full(n * SAMPLES, EMPTY, np.uint32)
-    where = np.repeat(np.arange(n, dtype=np.int64) * SAMPLES, grams) + (((hashes >> U(32)) * U(SAMPLES)) >> U(32)).astype(np.int64)
-    np.minimum.at(sig, where, np.minimum((hashes & U(0xFFFFFFFF)).astype(np.uint32), EMPTY - np.uint32(1)))
+    where = (((hashes >> U(32)) * U(SAMPLES)) >> U(32)).astype(np.int64)
+    where += np.repeat(np.arange(n, dtype=np.int64) * SAMPLES, grams)
+    np.minimum.at(sig, where, np.minimum(hashes.astype(np.uint32), EMPTY - np.uint32(1)))
     filled = sig.copy()
     left = np.flatnonzero(sig == EMPTY)
     for bins in FILL:
@@ -59,274 +73,209 @@ def signatures(hashes: np.ndarray, grams: np.ndarray) -> np.ndarray:
         value = sig[left - left % SAMPLES + bins[left % SAMPLES]]
         filled[left] = value
         left = left[value == EMPTY]
-    sig = filled.reshape(n, SAMPLES).astype(U)
-    out = np.empty((n, BANDS), U)
-    for b in range(BANDS):
-        x = np.full(n, U(b))
-        for k in range(b * ROWS, (b + 1) * ROWS):
-            x = mix(x ^ sig[:, k]) + U(1)
-        out[:, b] = x
-    return out
+    sig = filled.reshape(n, BANDS, ROWS).astype(U)
+    x = np.tile(np.arange(BANDS, dtype=U), (n, 1))
+    for k in range(ROWS):
+        x = mix(x ^ sig[:, :, k]) + U(1)
+    return x
+
+
+#: One entry of a bucket: the low bits of the band value (the bucket has the high ones), the line within its chunk, and
+#: bits of the line's key. Different lines with equal bits of their keys (2**-32 a pair) would count as equal in a band.
+ENTRY = np.dtype([("band", "<u4"), ("more", "u1"), ("owner", "<u4"), ("key", "<u4")])
 
 
 def _send(buckets: int, id_type: pa.DataType, ddl_id: str):
-    schema = pa.schema([("kind", pa.int32()), ("uid", pa.int64()), ("key", pa.binary()), ("id", id_type), ("line", pa.int32()), ("text", pa.string()), ("more", pa.list_(pa.struct([("id", id_type), ("line", pa.int32())]))), ("bucket", pa.int64()), ("payload", pa.binary())])
+    place = pa.struct([("id", id_type), ("row", pa.binary()), ("line", pa.int32())])
+    schema = pa.schema([("kind", pa.int32()), ("uid", pa.int64()), ("key", pa.binary()), ("place", place), ("text", pa.string()), ("more", pa.list_(place)), ("bucket", pa.int64()), ("payload", pa.binary())])
     edges = (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(U)
 
     def batch_of(n: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
-    def chunk_of(base: int, ids: list, texts: list):
+    def places(at: list[tuple[int, int]], ids: pa.Array, rows: pa.Array) -> pa.StructArray:
+        of = pa.array([x[0] for x in at], pa.int64())
+        return pa.StructArray.from_arrays([ids.take(of), rows.take(of), pa.array([x[1] for x in at], pa.int32())], fields=list(place))
+
+    def chunk_of(base: int, ids: pa.Array, rows: pa.Array, texts: list):
         import xxhash
 
+        digest = xxhash.xxh3_128_digest
+        order = sorted(range(len(texts)), key=lambda i, a=ids.to_pylist(), b=rows.to_pylist(): (a[i] is not None, a[i] or 0, b[i] or b""))
         of: dict[bytes, int] = {}
-        keys, lines, first, more = [], [], [], []
-        for i, t in zip(ids, texts, strict=True):
-            for k, line in enumerate(t.split("\n")) if t else ():
-                line = normal(line)
-                if not line:
-                    continue
-                key = xxhash.xxh3_128_digest(line.encode("utf-8", "replace"))
-                at = of.setdefault(key, len(keys))
-                if at == len(keys):
-                    keys.append(key), lines.append(line), first.append((i, k)), more.append([])
-                elif _before((i, k), first[at]):
-                    more[at].append(first[at])
-                    first[at] = (i, k)
-                else:
-                    more[at].append((i, k))
-        n = len(keys)
+        lines, at, more = [], [], []
+        for i in order:  # so the first place of a line is its least
+            for k, line in enumerate(normal_lines(texts[i]) if texts[i] else ()):
+                if line:
+                    key = digest(line.encode("utf-8", "replace"))
+                    n = len(lines)
+                    known = of.setdefault(key, n)
+                    if known == n:
+                        lines.append(line), at.append((i, k))
+                    else:
+                        more.append((known, (i, k)))
+        n = len(lines)
         if not n:
             return
-        uid = np.arange(base, base + n)
-        yield batch_of(
-            n, kind=pa.array(np.zeros(n, np.int32)), uid=pa.array(uid), key=pa.array(keys, pa.binary()), id=pa.array([f[0] for f in first], id_type),
-            line=pa.array([f[1] for f in first], pa.int32()), text=pa.array(lines), more=pa.array([[{"id": a, "line": b} for a, b in m] or None for m in more], schema.field("more").type),
-        )
+        uid, keys = np.arange(base, base + n), list(of)
+        more.sort(key=lambda x: x[0])
+        counts = np.bincount([x[0] for x in more], minlength=n) if more else np.zeros(n, np.int64)
+        others = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), places([x[1] for x in more], ids, rows), mask=pa.array(counts == 0))
+        yield batch_of(n, kind=pa.array(np.zeros(n, np.int32)), uid=pa.array(uid), key=pa.array(keys, pa.binary()), place=places(at, ids, rows), text=pa.array(lines, pa.string()), more=others)
+        bits = np.frombuffer(b"".join(keys), "<u4")[::4]
         bands, owner = [], []
-        for at, block in slices(lines):
+        for first, block in slices(lines):
             hashes, grams = char_grams(block, SHINGLE)
             long = np.array([len(x) for x in block]) >= SHINGLE  # a shorter line is its only shingle
             if long.any():
-                keep = np.repeat(long, grams)
-                bands.append(signatures(hashes[keep], grams[long]).ravel())
-                owner.append(np.repeat(uid[at : at + len(block)][long], BANDS))
+                bands.append(signatures(hashes if long.all() else hashes[np.repeat(long, grams)], grams[long]).ravel())
+                owner.append(np.repeat(np.flatnonzero(long) + first, BANDS))
         if not bands:
             return
-        band, owner = np.concatenate(bands), np.concatenate(owner) - base
-        order = np.argsort(band, kind="stable")
-        band, owner = band[order], owner[order].astype("<u4")
+        band, owner = np.concatenate(bands), np.concatenate(owner)
+        order = np.argsort(band)
+        band, owner = band[order], owner[order]
+        entry = np.empty(len(band), ENTRY)
+        entry["band"], entry["more"], entry["owner"], entry["key"] = band & U(0xFFFFFFFF), band >> U(32) & U(0xFF), owner, bits[owner]
         cuts = [0, *np.searchsorted(band, edges).tolist(), len(band)]
-        rows = [(b, band[x:y].tobytes() + owner[x:y].tobytes()) for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if x < y]
-        yield batch_of(len(rows), kind=pa.array(np.ones(len(rows), np.int32)), uid=pa.array(np.full(len(rows), base)), bucket=pa.array([r[0] for r in rows], pa.int64()), payload=pa.array([r[1] for r in rows], pa.binary()))
+        packed = [(b, entry[x:y].tobytes()) for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if x < y]
+        yield batch_of(len(packed), kind=pa.array(np.ones(len(packed), np.int32)), uid=pa.array(np.full(len(packed), base)), bucket=pa.array([r[0] for r in packed], pa.int64()), payload=pa.array([r[1] for r in packed], pa.binary()))
 
     def run(batches):
         base = TaskContext.get().partitionId() << 32
         for batch in batches:
-            ids, texts, at = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
+            texts, at = batch.column(2).to_pylist(), 0
             while at < len(texts):
                 end, size = at, 0
                 while end < len(texts) and size < CHUNK_BYTES:
                     size += len(texts[end] or "")
                     end += 1
                 n = 0
-                for out in chunk_of(base, ids[at:end], texts[at:end]):
+                for out in chunk_of(base, batch.column(0).slice(at, end - at), batch.column(1).slice(at, end - at), texts[at:end]):
                     n = n or out.num_rows  # the lines come first
                     yield out
                 base, at = base + n, end
 
-    return run, f"kind int, uid long, key binary, id {ddl_id}, line int, text string, more array<struct<id: {ddl_id}, line: int>>, bucket long, payload binary"
-
-
-def _before(a: tuple, b: tuple) -> bool:
-    """Order of positions: null ids first."""
-    return (a[0] is not None, a[0] or 0, a[1]) < (b[0] is not None, b[0] or 0, b[1])
+    ddl_place = f"struct<id: {ddl_id}, row: binary, line: int>"
+    return run, f"kind int, uid long, key binary, place {ddl_place}, text string, more array<{ddl_place}>, bucket long, payload binary"
 
 
 def _leaders(sent: pa.Table) -> pa.Table:
-    """One bucket's band values -> distinct (a, b): b is the least line of a band, a another of its lines."""
-    bands, lines = [], []
-    for base, p in zip(sent.column("uid").to_pylist(), sent.column("payload").to_pylist(), strict=True):
-        n = len(p) // 12
-        bands.append(np.frombuffer(p, U, n))
-        lines.append(np.frombuffer(p, "<u4", n, 8 * n).astype(np.int64) + base)
-    band, line = np.concatenate(bands), np.concatenate(lines)
-    order = np.lexsort((line, band))
-    band, line = band[order], line[order]
-    first = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
-    least = np.repeat(line[first], np.diff(np.append(first, len(band))))
-    pairs = np.unique(np.stack((line, least), axis=1)[line != least], axis=0)
-    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
-
-
-def _gram_sets(texts: list[str]) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of every text."""
-    out: list[np.ndarray] = []
-    for _, block in slices(texts):
+    """One bucket's entries -> distinct (a, b): b is the least line of a band of several lines, a one of them (b, too)."""
+    payloads = sent.column("payload").to_pylist()
+    entry = np.frombuffer(b"".join(payloads), ENTRY)
+    line = np.repeat(sent.column("uid").to_numpy(), [len(p) // ENTRY.itemsize for p in payloads]) + entry["owner"]
+    band = entry["band"].astype(np.int64) | entry["more"].astype(np.int64) << 32
+    order = np.argsort(band)
+    band = band[order]
+    twice = np.append(band[1:] == band[:-1], False)
+    twice[1:] |= twice[:-1]
+    order = order[twice]
+    band, line, key = band[twice], line[order], entry["key"][order]
+    order = np.lexsort((line, key, band))
+    band, line, key = band[order], line[order], key[order]
+    new_band = np.append(True, band[1:] != band[:-1])
+    least_of_key = np.append(True, new_band[1:] | (key[1:] != key[:-1])) if len(band) else np.zeros(0, bool)
+    band, line, new_band = band[least_of_key], line[least_of_key], new_band[least_of_key] if len(band) else np.zeros(0, bool)
+    if not len(band):
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    first = np.flatnonzero(new_band)
+    sizes = np.diff(np.append(first, len(band)))
+    least = np.repeat(np.minimum.reduceat(line, first), sizes)
+    several = np.repeat(sizes > 1, sizes)
+    a, b = line[several], least[several]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.zeros(0, bool)
+    return pa.table({"a": pa.array(a[new]), "b": pa.array(b[new])})
+
+
+def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, shingle) of every distinct shingle hash of every text, in order."""
+    owner, found = [np.zeros(0, np.int64)], [np.zeros(0, U)]
+    for at, block in slices(texts):
         hashes, grams = char_grams(block, SHINGLE)
-        for x in np.split(hashes, np.cumsum(grams)[:-1]):
-            x = np.sort(x)
-            out.append(x[np.append(True, x[1:] != x[:-1])] if len(x) else x)
-    return out
-
-
-def _shared(holders: np.ndarray, number: np.ndarray, starts: np.ndarray, often: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """How many shingles each of the lines `rows` has in common with each of n lines.
-
-    holders and number: line and shingle of every entry, in order of the shingles; starts and often: each shingle's entries.
-    By matrix products over slices of the shingles where lines share many of them, else by postings.
-    """
-    out = np.zeros((len(rows), n), np.float32)
-    postings = float((often.astype(np.float64) ** 2).sum())
-    if 2e-11 * n * len(rows) * len(starts) < 6e-9 * postings * len(rows) / max(n, 1):
-        for first in range(0, len(starts), 2048):
-            last = min(first + 2048, len(starts))
-            s = slice(starts[first], starts[last - 1] + often[last - 1])
-            table = np.zeros((n, last - first), np.float32)
-            table[holders[s], number[s] - first] = 1
-            out += table[rows] @ table.T
-        return out
-    order = np.argsort(holders, kind="stable")
-    cuts = np.searchsorted(holders[order], np.arange(n + 1))
-    for k, x in enumerate(rows.tolist()):
-        mine = number[order[cuts[x] : cuts[x + 1]]]
-        size = often[mine]
-        at = np.arange(size.sum()) + np.repeat(starts[mine] - np.cumsum(size) + size, size)
-        out[k] = np.bincount(holders[at], minlength=n)
-    return out
-
-
-def _similarity(batches):
-    for batch in batches:
-        a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
-        texts = list(dict.fromkeys([*ta, *tb]))
-        sets = dict(zip(texts, _gram_sets(texts), strict=True))
-        out = []
-        for x, y in zip(ta, tb, strict=True):
-            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-            out.append(both / (len(sets[x]) + len(sets[y]) - both))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(out, pa.float64())], ["a", "b", "j"])
-
-
-def _wanted(lines: DataFrame, uids: DataFrame, n: int) -> DataFrame:
-    return lines.select("uid", "text").join(small(uids, n), "uid", "left_semi")
-
-
-def _verify(pairs: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
-    pairs = scratch.put(pairs)
-    wanted = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-    texts = scratch.put(_wanted(lines, wanted, 2 * pairs.count()))
-    side = lambda x: texts.select(F.col("uid").alias(x), F.col("text").alias(f"t{x}"))
-    out = scratch.put(pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(_similarity, "a long, b long, j double"))
-    scratch.drop(pairs, texts)
-    return out
-
-
-def _rest_of_leader(group: pa.Table) -> pa.Table:
-    """Links between a line that its leader doesn't join and other lines of that leader, by exact similarity.
-
-    A shingle that one line of the group has alone is in no intersection, so a line of which less than THRESHOLD is left
-    without those has no link here. For the others, the postings of their shingles give all intersections at once. Of the
-    links found, those that join two components are kept.
-    """
-    uid, roots, part = (group.column(c).to_numpy() for c in ("a", "root", "part"))
-    failed = group.column("failed").to_numpy(zero_copy_only=False)
-    order = np.argsort(uid)  # the order of arrival must not matter
-    texts = group.column("text").to_pylist()
-    sets = _gram_sets([texts[i] for i in order])
-    uid, roots, part, failed = uid[order], roots[order], part[order], failed[order]
-    sizes = np.array([len(x) for x in sets])
-    lines = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(grams := np.concatenate(sets), kind="stable")
-    grams, holders = grams[order], lines[order]
-    first = np.append(True, grams[1:] != grams[:-1])
-    number = np.cumsum(first) - 1
-    starts = np.flatnonzero(first)
-    often = np.diff(np.append(starts, len(grams)))
-    common = np.bincount(holders[often[number] > 1], minlength=len(sets))
-    both = len(np.unique(part)) > 1
-    wanted = np.flatnonzero(failed & (common >= THRESHOLD * sizes - 1e-9))
-    kept = often[number] > 1
-    held = np.where(often > 1, often, 0)[often > 1]
-    renumbered = (np.cumsum(often > 1) - 1)[number[kept]]
-    rows = (wanted[i : i + 1024] for i in range(0, len(wanted), 1024))  # so that counts take some MB
-    counts = ((x, c) for some in rows for x, c in zip(some, _shared(holders[kept], renumbered, np.cumsum(held) - held, held, some, len(sets)), strict=True))
-    found, forest = [], Forest()
-    for x, count in counts:
-        near = (count >= THRESHOLD * (sizes + sizes[x] - count) - 1e-9) & (roots != roots[x])
-        if both:  # pairs within one part are another group's
-            near &= part != part[x]
-        at = np.flatnonzero(near)
-        some = at[np.unique(roots[at], return_index=True)[1]]  # one of each component
-        found += [(int(uid[x]), int(uid[y])) for y in some.tolist() if forest.join(int(roots[x]), int(roots[y]))]
-    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
-
-
-def _second_round(first: DataFrame, roots: DataFrame, lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b): links among the lines of one leader that the comparison with the leader didn't find.
-
-    A leader's lines are cut in parts of about PART_BYTES, and every two parts (or one alone) are a group, so no task gets
-    more than that; what a group yields is links, never pairs to be compared.
-    """
-    weak = first.where(F.col("j") < THRESHOLD).select("b").distinct()
-    members = first.join(weak, "b", "left_semi").select("a", "b", (F.col("j") < THRESHOLD).alias("failed"))
-    members = members.join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
-    members = scratch.put(members)
-    uids = members.select(F.col("a").alias("uid")).distinct()
-    texts = _wanted(lines, uids, members.count())
-    full = scratch.put(members.join(texts.withColumnRenamed("uid", "a"), "a"))
-    parts = full.groupBy("b").agg(F.ceil(F.greatest(F.sum(F.length("text")) / PART_BYTES, F.count("*") / PART_LINES)).cast("int").alias("parts"))
-    full = full.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
-    full = full.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    full = full.select("a", "b", "failed", "root", "text", "part", F.least("part", "with").alias("lo"), F.greatest("part", "with").alias("hi"))
-    out = scratch.put(full.groupBy("b", "lo", "hi").applyInArrow(_rest_of_leader, "a long, b long").distinct())
-    scratch.drop(members)
-    return out
-
-
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, drops array<struct<line, keeper>>), one row per id that loses lines: the line (from 0) and the id that keeps it.
-
-    Lines are cut at \\n. Lines that are empty in normal form stay; null and empty texts have none to lose. Rows that share
-    an id are one document (a line that stands at the same place in several of them stays in all). Rows with null ids come
-    first: they keep their lines.
+        text = np.repeat(np.arange(at, at + len(block)), grams)
+        order = np.lexsort((hashes, text))
+        hashes, text = hashes[order], text[order]
+        new = np.append(True, (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1]))[: len(hashes)]
+        owner.append(text[new]), found.append(hashes[new])
+    return np.concatenate(owner), np.concatenate(found)
+
+
+def _entries(rows: pa.Table):
+    texts = rows.column("text").to_pylist()
+    distinct = list(dict.fromkeys(texts))  # a line of several leaders is cut once
+    owner, found = shingle_sets(distinct)
+    sizes = np.bincount(owner, minlength=len(distinct))
+    starts = np.cumsum(sizes) - sizes
+    number = {t: i for i, t in enumerate(distinct)}
+    of = np.array([number[t] for t in texts])
+    each = sizes[of]
+    at = np.arange(each.sum()) + np.repeat(starts[of] - np.cumsum(each) + each, each)
+    return np.repeat(np.arange(len(texts)), each), found[at], None, each.astype(np.float64)
+
+
+def repeated_lines(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """(id, key, lines array<struct<line, keeper, kept>>, copies), one row per row (told by id and text_key) that holds lines
+    which stand elsewhere, too: the line (from 0), the id that keeps it, whether this is the place that keeps it; and how
+    many rows there are with this id and text.
+
+    Lines are cut at \\n. Lines that are empty in normal form are nobody's copies.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lines")
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    run, ddl = _send(max(8, min(1 << 22, -(-size // BUCKET_BYTES))), to_arrow_type(docs.schema[id_col].dataType), docs.schema[id_col].dataType.simpleString())
-    sent = scratch.put(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, ddl), "kind")
+    source = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("row"), F.col(text_col).alias("text"))
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # a line of 300 characters has 15 entries of 13 bytes
+    run, ddl = _send(max(8, min(1 << 22, -(-int(size) * 2 // 3 // BUCKET_BYTES))), to_arrow_type(docs.schema[id_col].dataType), docs.schema[id_col].dataType.simpleString())
+    sent = scratch.put(source.mapInArrow(run, ddl), "kind")
     lines = sent.where("kind = 0")
     led = scratch.put(sent.where("kind = 1").select("bucket", "uid", "payload").groupBy("bucket").applyInArrow(_leaders, "a long, b long").distinct())
-    least = lines.groupBy("key").agg(F.min("uid").alias("b"), F.count("*").alias("n")).where("n > 1")
-    equal = scratch.put(lines.select("key", F.col("uid").alias("a")).join(least, "key").where("a <> b").select("a", "b"))
-    known = equal.select("a", "b", F.lit(1).alias("_same"))
-    first = _verify(led.join(known, ["a", "b"], "left_anti"), lines, scratch).unionByName(led.join(known, ["a", "b"], "left_semi").withColumn("j", F.lit(1.0)))
-    first = scratch.put(first)
-    good = first.where(F.col("j") >= THRESHOLD).select("a", "b")
-    second = _second_round(first, components(good.unionByName(equal), scratch), lines, scratch)
-    roots = components(good.unionByName(equal).unionByName(second), scratch)
-    held = lines.select("uid", "id", "line", "more").join(roots.withColumnRenamed("node", "uid"), "uid", "left").where("root is not null or more is not null")
-    held = held.withColumn("root", F.coalesce("root", "uid"))
-    keep = held.groupBy("root").agg(F.min(F.struct("id", "line")).alias("keep"))
-    every = held.select("root", F.explode(F.concat(F.array(F.struct("id", "line")), F.coalesce("more", F.array().cast(held.schema["more"].dataType)))).alias("at"))
-    drops = every.join(keep, "root").where("at.id is not null and not (at.id <=> keep.id and at.line = keep.line)")
-    out = scratch.put(drops.groupBy(F.col("at.id").alias("id")).agg(F.array_sort(F.collect_set(F.struct(F.col("at.line").alias("line"), F.col("keep.id").alias("keeper")))).alias("drops")))
-    scratch.drop(sent, led, equal)
-    return out.withColumnRenamed("id", id_col)
+    texts = lines.select(F.col("uid").alias("a"), "text")
+    texts = texts.join(small(led.select("a").distinct(), 8 * led.count()), "a", "left_semi")
+    members = scratch.put(led.join(texts, "a"))
+    links = exact_links(members, "text", _entries, THRESHOLD, PART_BYTES, scratch)
+    roots = components(links, scratch)
+    least = lines.groupBy("key").agg(F.min("uid").alias("rep"), F.count("*").alias("n"), F.max(F.col("more").isNotNull()).alias("again")).where("n > 1 or again").select("key", "rep")
+    # a line is known by the least of its equals; one that stands once and has no links is dropped here
+    rooted = least.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("root"))
+    single = lines.join(roots, lines["uid"] == roots["node"]).select("key", "root")
+    of_key = scratch.put(rooted.unionByName(single).distinct())
+    of_key = small(of_key, 40 * of_key.count())
+    held = scratch.put(lines.select("key", "place", "more").join(of_key, "key").select("root", "place", "more"))
+    keep = scratch.put(held.groupBy("root").agg(F.min("place").alias("keep")))
+    kept = held.join(small(keep, 64 * keep.count()), "root")
+    nothing = F.array().cast(held.schema["more"].dataType)
+    every = kept.select("keep", F.explode(F.concat(F.array("place"), F.coalesce("more", nothing))).alias("at"))
+    every = every.groupBy("at").agg(F.min("keep").alias("keep"), F.count("*").alias("n"))
+    line = F.struct(F.col("at.line").alias("line"), F.col("keep.id").alias("keeper"), (F.col("at") == F.col("keep")).alias("kept"))
+    every = every.groupBy(F.col("at.id").alias("id"), F.col("at.row").alias("key")).agg(F.array_sort(F.collect_list(line)).alias("lines"), F.max("n").alias("copies"))
+    out = scratch.put(every.where("copies > 1 or exists(lines, x -> not x.kept)"))
+    scratch.drop(sent, led, members, held)
+    return out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with their texts without the lines that another place keeps, and _n_lines, _dropped, _keepers (arrays).
+    """docs with their texts without the lines that another place keeps, and three more columns: n_lines, dropped_lines and
+    keepers (arrays or null), with underscores before a name that docs has already.
 
-    One row per row of docs, with all its columns; see repeated_lines for what is dropped. A document can lose all its
-    lines: its text is then empty. Null texts stay null.
+    One row per row of docs, with all its columns. A line's places are ordered by id (null first), text and number, and the
+    first keeps it. Lines are cut at \\n; lines that are empty in normal form stay. A document can lose all its lines: its
+    text is then empty. Null texts stay null, null and empty texts have no lines to lose. Rows that share an id are rows of
+    their own; of rows that repeat an id and a text one may keep lines, the others lose all. An empty table gives none.
     """
-    drops = repeated_lines(docs, id_col, text_col)
-    joined = docs.join(small(drops.withColumnRenamed(id_col, "_id"), drops.count()), docs[id_col] == F.col("_id"), "left")
-    columns = [docs[c] for c in docs.columns]
-    joined = joined.select(*columns, F.col("drops.line").alias("_dropped"), F.col("drops.keeper").alias("_keepers"))
+    scratch = Scratch(docs.sparkSession, "lines")
+    fate = repeated_lines(docs, id_col, text_col, scratch)
+    flagged, first = first_of_repeated(docs, fate.where("copies > 1").select("id", "key"), id_col, text_col, scratch)
+    size = fate.agg(F.sum(48 + 24 * F.size("lines"))).first()[0] or 0
+    key, rid, rkey, lines = (fresh(c, flagged.columns) for c in ("_key", "_rid", "_rkey", "_lines"))
+    keyed, fate = flagged.withColumn(key, text_key(text_col)), fate.select(F.col("id").alias(rid), F.col("key").alias(rkey), F.col("lines").alias(lines))
+    joined = keyed.join(small(fate, int(size)), same_row(keyed, fate, [(id_col, rid), (key, rkey)]), "left")
+    gone = F.filter(F.col(lines), lambda x: ~F.col(first) | ~x["kept"])
+    gone = F.when(F.size(gone) > 0, gone)
+    dropped, keepers, n_lines = (fresh(c, docs.columns) for c in ("dropped_lines", "keepers", "n_lines"))
+    joined = joined.withColumn(lines, gone).select(*docs.columns, F.col(lines)["line"].alias(dropped), F.col(lines)["keeper"].alias(keepers))
     at, n = docs.columns.index(text_col), len(docs.columns)
 
     def run(batches):
@@ -342,14 +291,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 out.append(t)
             columns = batch.columns
             columns[at] = pa.array(out, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(count, pa.int32())], [*batch.schema.names, "_n_lines"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(count, pa.int32())], [*batch.schema.names, n_lines])
 
     from pyspark.sql.types import IntegerType, StructField, StructType
 
-    return joined.mapInArrow(run, StructType([*joined.schema.fields, StructField("_n_lines", IntegerType())]))
+    return joined.mapInArrow(run, StructType([*joined.schema.fields, StructField(n_lines, IntegerType())]))
 
 
 def op2_line_dedup(spark, sf_dir):
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    gone = F.coalesce("_dropped", F.array().cast("array<int>"))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.size(gone).alias("n_dropped"), gone.alias("dropped_lines"), F.coalesce("_keepers", F.array().cast("array<long>")).alias("keeper_doc_ids"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+    gone = F.coalesce("dropped_lines", F.array().cast("array<int>"))
+    return out.select("doc_id", "n_lines", F.size(gone).alias("n_dropped"), gone.alias("dropped_lines"), F.coalesce("keepers", F.array().cast("array<long>")).alias("keeper_doc_ids"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))

@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sizes = {r[0]: r[1] for r in y.groupBy("_y").count().collect()}
     rates = {k: min(1.0, sample / n) for k, n in sizes.items()}
     rate = F.when(F.col("_y") == 1, F.lit(rates.get(1, 0.0))).otherwise(F.lit(rates.get(0, 0.0)))
-    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(small(y, sum(sizes.values())), "_id")
+    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(small(y, 12 * sum(sizes.values())), "_id")
     d = d.select("_text", "_y", (F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < rate * (1 << 30)).alias("_in"))
 
     def run(batches):

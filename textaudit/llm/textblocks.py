@@ -115,23 +115,45 @@ def char_grams(block: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     return _grams(np.frombuffer(("".join(block) + "\0" * k).encode("utf-32-le", "replace"), "<u4"), np.array([len(t) for t in block], np.int64), k)
 
 
+def _rolled(data: np.ndarray, k: int) -> np.ndarray:
+    """The polynomial of every k numbers in a row; halves are shared."""
+    if k == 1:
+        return data
+    half = k // 2
+    front, power = _rolled(data, half), U(pow(int(BASE), half, 1 << 64))
+    out = front[: len(front) - half] * power
+    out += front[half:]
+    if k % 2:
+        out = out[:-1] * BASE
+        out += data[k - 1 :]
+    return out
+
+
 def _grams(data: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     data = data.astype(U) + U(1)
     grams = np.where(sizes >= k, sizes - k + 1, np.minimum(sizes, 1))
-    first = np.cumsum(sizes) - sizes
-    at = np.arange(grams.sum()) - np.repeat(np.cumsum(grams) - grams - first, grams)
-    length = np.repeat(np.minimum(sizes, k), grams)
-    rolled = np.zeros(len(data) - k + 1, U)
-    for j in range(k):
-        rolled = rolled * BASE + data[j : len(data) - k + 1 + j]
-    out = rolled[at] if len(at) else np.zeros(0, U)
-    for i in np.flatnonzero(length < k):  # one for each short text
-        h = U(0)
-        with np.errstate(over="ignore"):
-            for b in data[at[i] : at[i] + length[i]]:
-                h = h * BASE + b
-        out[i] = h
-    return mix(out + length.astype(U)), grams
+    rolled = _rolled(data, k)
+    # the last k - 1 numbers of a text start nothing, unless it is shorter: then its first stands for all
+    ends = np.cumsum(sizes)
+    starts = np.ones(len(rolled), bool)
+    starts[ends[-1] if len(ends) else 0 :] = False
+    for back in range(1, k):
+        starts[ends[sizes >= back] - back] = False
+    short = np.flatnonzero((sizes < k) & (sizes > 0))
+    first = ends[short] - sizes[short]
+    starts[first] = True
+    for at, n in zip(first.tolist(), sizes[short].tolist(), strict=True):
+        h = 0
+        for x in data[at : at + n].tolist():
+            h = (h * int(BASE) + x) & 0xFFFFFFFFFFFFFFFF
+        rolled[at] = U(h)
+    out = rolled[starts]
+    if len(short):
+        lengths = np.full(len(out), U(k))
+        lengths[(np.cumsum(grams) - grams)[short]] = sizes[short]
+        return mix(out + lengths), grams
+    out += U(k)
+    return mix(out), grams
 
 
 def unique_by_text(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
