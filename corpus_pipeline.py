@@ -25,7 +25,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = linededup.dedup_lines(docs).where("not (_dropped is not null and coalesce(trim(regexp_replace(text, '\\\\s+', ' ')), '') = '')")
+    """Documents without the lines that an earlier place keeps. Those that lose all they hold go; empty ones before stay.
+
+    Rows are told apart by id and text (linededup.dedup_lines). n_chars, where there is one, follows the text.
+    """
+    out = linededup.dedup_lines(docs)
+    dropped = out.columns[len(docs.columns)]
+    out = out.where(F.col(dropped).isNull() | (F.trim(F.regexp_replace("text", r"\\s+", " ")) != ""))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
