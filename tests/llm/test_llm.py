@@ -333,12 +333,26 @@ def test_near_duplicates_of_odd_tables(spark):
 
 def test_packed_shingles_come_back():
     rng = np.random.default_rng(0)
-    for n in (1, 2, 1000):
+    for n in (0, 1, 2, 1000):
         for top in (2**20, 2**56):
             h = np.unique(rng.integers(0, top, n).astype(np.uint64))
-            d, tf, c = (rng.integers(1, 60_000, len(h)) for _ in range(3))
-            back = neardup.unpack(neardup.pack(h, d, tf, c))
-            assert all(np.array_equal(x, y) for x, y in zip(back, (h, d, tf, c), strict=True))
+            d, tf, c = (rng.integers(1, high, len(h)) for high in (2, 3, 2**40))
+            packed = neardup._Bytes().put_sorted(h).put_counts(d).put_counts(tf).put(c)
+            back = neardup._Bytes(packed.data).put_counts(c)
+            got = back.get_sorted(), back.get_counts(), back.get_counts(), back.get(np.int64), back.get_counts()
+            assert all(np.array_equal(x, y) for x, y in zip(got, (h, d, tf, c, c), strict=True))
+
+
+def test_one_row_of_each_class_stays(spark):
+    """Rows are told apart by id and text: the case of rows that share ids, repeated rows, null ids, clashing names."""
+    x, y = prose(31, 60), prose(32, 60)
+    tail = y.rsplit(" ", 1)[0] + " tail"
+    rows = [(1, x), (2, x), (2, y), (7, tail), (8, x), (8, x), (9, None), (9, None), (10, ""), (10, ""), (11, prose(33, 60)), (11, prose(33, 60)), (None, prose(34, 60)), (None, prose(34, 60))]
+    docs = spark.createDataFrame([(i, t, *range(8)) for i, t in rows], "doc_id long, text string, id int, row int, root int, class_id int, least int, _key int, _rid int, _first int")
+    got = Counter((r[0], r[1]) for r in neardup.drop_copies(docs).collect())
+    want = Counter([(1, x), (2, y), (9, None), (9, None), (10, ""), (10, ""), (11, prose(33, 60)), (None, prose(34, 60))])
+    assert got == want and neardup.drop_copies(docs).columns == docs.columns
+    assert neardup.drop_copies(empty_docs(spark)).count() == 0
 
 
 # --- op 6 -------------------------------------------------------------------------------------------------------------

@@ -1,16 +1,17 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles, banded, verified.
 
-1. Per chunk of texts: equal texts collapse to one; the distinct five-word shingles of each text, with counts, go to
-   buckets by range of their 56-bit hash, packed (delta-coded) as one binary per chunk and bucket.
+1. Per chunk of texts: equal texts collapse to one. The chunk keeps the distinct five-word shingles of each text, with
+   counts, as one row; its distinct shingles, each with the number of texts and documents that hold it, go to buckets by
+   range of their 56-bit hash, packed as one binary per chunk and bucket.
 2. Per bucket: exact document frequencies over the whole corpus. A shingle that only one text holds can't be shared by
-   two, so only the others are sent back to their chunks.
+   two, so only the others' frequencies go back to their chunks. A shingle that a third of all documents hold is one entry
+   per chunk here.
 3. Per chunk: weights tf x idf. The weight that a text shares with any other bounds its similarity to it, so a text whose
    shared weight is under THRESHOLD of its total has no near duplicate and needs no signature. The others get SAMPLES
    consistent samples (hash and level), cut in bands.
-4. Texts that agree on a band are compared with the band's least text by exact weighted Jaccard similarity. A text that
-   fails is then searched among all texts of the same leader, in parts of bounded size, so no link between different
-   texts is lost and no pair leaves a task but links.
-5. Components of the verified links, with equal texts, are the classes.
+4. Texts that agree on a band share its least text as leader and are compared by exact weighted Jaccard similarity
+   (bandsearch.py): no link between different texts is lost and no pair leaves a task but links.
+5. Components of the links are the classes; equal texts follow the least of them.
 
 Groups of copies meet as one row per chunk, band groups only as minima and joins with their least member.
 """
@@ -23,8 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
-from .components import Forest, components
+from .bandsearch import exact_links
+from .common import Scratch, first_of_repeated, fresh, same_row, small, table, text_key
+from .components import components
 from .textblocks import U, blocks, mix, shingle_hashes, unique_by_text, word_hashes
 
 THRESHOLD = 0.8
@@ -36,10 +38,9 @@ SAMPLES = BANDS * ROWS
 CHUNK_BYTES = 8 << 20
 CHUNK_DOCS = 1 << 16
 #: Input bytes for each bucket of shingle hashes.
-BUCKET_BYTES = 1 << 20
-#: Bytes of the shingle hashes and number of one leader's texts that are compared together.
+BUCKET_BYTES = 2 << 20
+#: Bytes of the shingle hashes of the texts that are compared together.
 PART_BYTES = 4 << 20
-PART_TEXTS = 4096
 HASH_BITS = 56
 _POOL = 1 << 16
 _rng = np.random.default_rng(20)
@@ -49,33 +50,53 @@ BETA = _rng.random(_POOL).astype(np.float32)
 SEEDS = mix(np.arange(101, 101 + SAMPLES, dtype=U))
 
 
-def pack(hashes: np.ndarray, doc: np.ndarray, tf: np.ndarray, copies: np.ndarray) -> bytes:
-    """Sorted hashes by their differences, 5 bytes each where they fit, in planes."""
-    gaps = np.diff(hashes, prepend=U(0))
-    width = 5 if not (gaps[1:] >> U(40)).any() else 7
-    first = hashes[:1].tobytes()
-    gaps[0] = 0
-    planes = np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
-    return bytes([width]) + len(hashes).to_bytes(4, "little") + first + planes + doc.astype("<u2").tobytes() + tf.astype("<u4").tobytes() + copies.astype("<u2").tobytes()
+class _Bytes:
+    """Arrays one behind the other in a binary, each with its length."""
 
+    def __init__(self, data: bytes = b""):
+        self.data, self.at = data, 0
 
-def unpack(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    width, n = b[0], int.from_bytes(b[1:5], "little")
-    gaps = np.zeros((n, 8), np.uint8)
-    at = 13
-    gaps[:, :width] = np.frombuffer(b, np.uint8, width * n, at).reshape(width, n).T
-    hashes = gaps.view(U).ravel().copy()
-    hashes[0] = np.frombuffer(b, U, 1, 5)[0]
-    at += width * n
-    return np.cumsum(hashes, dtype=U), np.frombuffer(b, "<u2", n, at), np.frombuffer(b, "<u4", n, at + 2 * n), np.frombuffer(b, "<u2", n, at + 6 * n)
+    def put(self, x: np.ndarray) -> _Bytes:
+        self.data += len(x).to_bytes(8, "little") + x.tobytes()
+        return self
 
+    def get(self, dtype) -> np.ndarray:
+        n = int.from_bytes(self.data[self.at : self.at + 8], "little")
+        out = np.frombuffer(self.data, dtype, n, self.at + 8)
+        self.at += 8 + out.nbytes
+        return out
 
-_SENT = pa.schema([("key", pa.int64()), ("chunk", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
-_SENT_DDL = "key long, chunk long, kind int, payload binary"
+    def put_sorted(self, x: np.ndarray) -> _Bytes:
+        """Sorted hashes by their differences, as many bytes each as the largest needs, in planes."""
+        gaps = np.diff(x)
+        width = max(1, -(-int(gaps.max()).bit_length() // 8)) if len(gaps) else 1
+        self.put(x[:1]).put(np.array([len(gaps), width], "<i8"))
+        return self.put(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, :width].T).ravel())
 
+    def get_sorted(self) -> np.ndarray:
+        first, (n, width) = self.get(U), self.get("<i8").tolist()
+        gaps = np.zeros((n, 8), np.uint8)
+        gaps[:, :width] = self.get(np.uint8).reshape(width, n).T
+        return np.cumsum(np.concatenate((first, gaps.view(U).ravel())), dtype=U)
 
-def _chunk_rows(chunk: int, ids: pa.Array, texts: list, buckets: int, id_type: pa.DataType):
-    """What one chunk sends: its texts' facts (kind 0) and its shingles by bucket (kind 1)."""
+    def put_counts(self, x: np.ndarray) -> _Bytes:
+        """Numbers of which most are 1."""
+        at = np.flatnonzero(x != 1)
+        return self.put(np.array([len(x)], "<i8")).put(at.astype("<u4")).put(x[at].astype("<u8"))
+
+    def get_counts(self) -> np.ndarray:
+        out = np.ones(int(self.get("<i8")[0]), np.int64)
+        at = self.get("<u4")
+        out[at] = self.get("<u8").astype(np.int64)
+        return out
+
+
+_SENT = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("chunk", pa.int64()), ("payload", pa.binary())])
+_SENT_DDL = "kind int, key long, chunk long, payload binary"
+
+
+def _chunk_rows(chunk: int, ids: pa.Array, rows: pa.Array, texts: list, buckets: int):
+    """What one chunk sends: its texts' facts and shingles (kind 0, for itself) and its distinct shingles by bucket (kind 1)."""
     import xxhash
 
     of: dict[bytes, int] = {}
@@ -90,45 +111,45 @@ def _chunk_rows(chunk: int, ids: pa.Array, texts: list, buckets: int, id_type: p
             members.append([i])
         else:
             members[of[key]].append(i)
-    h, d, tf, total = [], [], [], np.zeros(len(reps), np.int64)
+    h, tf, sizes, total = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(len(reps), np.int64)
     for first, block in blocks([texts[i] for i, _ in reps]):
         v, often, n = unique_by_text(*(lambda s, r: (s >> U(64 - HASH_BITS), r))(*shingle_hashes(*word_hashes(block))))
-        doc = np.repeat(np.arange(first, first + len(block)), n)
-        total[first : first + len(block)] = np.bincount(doc - first, weights=often, minlength=len(block)).astype(np.int64)
-        h.append(v), d.append(doc), tf.append(often)
+        total[first : first + len(block)] = np.bincount(np.repeat(np.arange(len(block)), n), weights=often, minlength=len(block)).astype(np.int64)
+        h.append(v), tf.append(often), sizes.append(n)
+    h, tf, sizes = np.concatenate(h), np.concatenate(tf), np.concatenate(sizes)
+    distinct, number = np.unique(h, return_inverse=True)
+    copies = np.array([len(m) for m in members])
     flat = pa.array(np.concatenate([np.array(m) for m in members]), pa.int32())
+    first_row = pa.array([i for i, _ in reps], pa.int64())
     facts = pa.RecordBatch.from_arrays(
-        [pa.array([k for _, k in reps], pa.binary()), pa.array(total), pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(m) for m in members]), pa.int32()), ids.take(flat))], ["key", "total", "members"]
+        [pa.array([k for _, k in reps], pa.binary()), rows.take(first_row), pa.array(total), pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(m) for m in members]), pa.int32()), ids.take(flat))],
+        ["key", "row", "total", "members"],
     )
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, facts.schema) as w:
         w.write_batch(facts)
-    yield -1 - chunk, chunk, 0, sink.getvalue().to_pybytes()
-    if not h:
-        return
-    h, d, tf = np.concatenate(h), np.concatenate(d), np.concatenate(tf)
-    copies = np.array([len(m) for m in members])
-    order = np.argsort(h, kind="stable")
-    h, d, tf = h[order], d[order], tf[order]
-    limits = np.searchsorted(h, (np.arange(1, buckets, dtype=np.float64) * (2.0**HASH_BITS / buckets)).astype(U))
-    cuts = [0, *limits.tolist(), len(h)]
+    own = _Bytes().put(np.frombuffer(sink.getvalue(), np.uint8)).put_sorted(distinct).put(number.astype("<u4")).put(sizes.astype("<u4")).put_counts(tf)
+    yield 0, None, chunk, own.data
+    holders = np.bincount(number, minlength=len(distinct))
+    held = np.bincount(number, weights=np.repeat(copies, sizes), minlength=len(distinct)).astype(np.int64)
+    cuts = [0, *np.searchsorted(distinct, (np.arange(1, buckets, dtype=np.float64) * (2.0**HASH_BITS / buckets)).astype(U)).tolist(), len(distinct)]
     for b in range(buckets):
         s = slice(cuts[b], cuts[b + 1])
         if s.start < s.stop:
-            yield b, chunk, 1, pack(h[s], d[s], tf[s], np.minimum(copies[d[s]], 65535))
+            yield 1, b, chunk, _Bytes().put(np.array([s.start], "<i8")).put_sorted(distinct[s]).put_counts(holders[s]).put_counts(held[s]).data
 
 
 def _send(buckets: int):
     def run(batches):
         part, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts, at = batch.column(1).to_pylist(), 0
+            texts, at = batch.column(2).to_pylist(), 0
             while at < len(texts):
                 end, size = at, 0
-                while end < len(texts) and end - at < CHUNK_DOCS and (size < CHUNK_BYTES):
+                while end < len(texts) and end - at < CHUNK_DOCS and size < CHUNK_BYTES:
                     size += len(texts[end] or "")
                     end += 1
-                rows = list(_chunk_rows(part << 16 | seq, batch.column(0).slice(at, end - at), texts[at:end], buckets, batch.schema.field(0).type))
+                rows = list(_chunk_rows(part << 24 | seq, batch.column(0).slice(at, end - at), batch.column(1).slice(at, end - at), texts[at:end], buckets))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT)
                 at, seq = end, seq + 1
 
@@ -136,31 +157,28 @@ def _send(buckets: int):
 
 
 def _frequencies(sent: pa.Table) -> pa.Table:
-    """One bucket's shingles of all chunks -> those that several texts hold, by chunk, with document frequencies; facts pass."""
-    chunks, kinds = sent.column("chunk").to_pylist(), sent.column("kind").to_pylist()
-    if kinds[0] == 0:
-        return sent.select(["chunk", "kind", "payload"])
-    parts = [unpack(p) for p in sent.column("payload").to_pylist()]
+    """One bucket's shingles of all chunks -> for each chunk its shingles that several texts hold, with document frequencies."""
+    chunks, parts = sent.column("chunk").to_pylist(), []
+    for p in sent.column("payload").to_pylist():
+        b = _Bytes(p)
+        start = int(b.get("<i8")[0])
+        h = b.get_sorted()
+        parts.append((h, b.get_counts(), b.get_counts(), np.arange(start, start + len(h))))
     sizes = [len(p[0]) for p in parts]
-    h, doc, tf, copies = (np.concatenate(x) for x in zip(*parts, strict=True))
+    h, texts, docs, at = (np.concatenate(x) for x in zip(*parts, strict=True))
     of = np.repeat(np.arange(len(parts)), sizes)
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     s = h[order]
     first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-    texts = np.diff(np.append(first, len(s)))
-    df = np.add.reduceat(copies[order].astype(np.int64), first)
-    keep = np.repeat(texts > 1, texts)
-    at, df = order[keep], np.repeat(df, texts)[keep]
-    rows = []
-    back = np.argsort(of[at], kind="stable")
-    at, df = at[back], df[back]
-    cuts = np.searchsorted(of[at], np.arange(len(parts) + 1))
-    for i in range(len(parts)):
-        a = at[cuts[i] : cuts[i + 1]]
-        if len(a):
-            rows.append((chunks[i], 1, len(a).to_bytes(4, "little") + h[a].tobytes() + df[cuts[i] : cuts[i + 1]].astype("<u4").tobytes() + tf[a].astype("<u4").tobytes() + doc[a].astype("<u2").tobytes()))
-    types = [pa.int64(), pa.int32(), pa.binary()]
-    return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["chunk", "kind", "payload"])
+    often = np.diff(np.append(first, len(s)))
+    keep = np.repeat(np.add.reduceat(texts[order], first) > 1, often)
+    df = np.repeat(np.add.reduceat(docs[order], first), often)[keep]
+    kept = order[keep]
+    back = np.lexsort((at[kept], of[kept]))
+    kept, df = kept[back], df[back]
+    cuts = np.searchsorted(of[kept], np.arange(len(parts) + 1))
+    rows = [(chunks[i], _Bytes().put(at[kept[a:b]].astype("<u4")).put_counts(df[a:b]).data) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+    return pa.table({"kind": pa.array(np.ones(len(rows), np.int32)), "chunk": pa.array([r[0] for r in rows], pa.int64()), "payload": pa.array([r[1] for r in rows], pa.binary())})
 
 
 def signatures(h: np.ndarray, w: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -196,32 +214,34 @@ def idf(df, n: int):
 
 
 def _weigh(n: int, id_type: pa.DataType):
-    schema = pa.schema([("uid", pa.int64()), ("key", pa.binary()), ("members", pa.list_(id_type)), ("weight", pa.float64()), ("hashes", pa.binary()), ("weights", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("uid", pa.int64()), ("key", pa.binary()), ("row", pa.binary()), ("members", pa.list_(id_type)), ("weight", pa.float64()), ("hashes", pa.binary()), ("weights", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(sent: pa.Table) -> pa.Table:
         chunk = sent.column("chunk")[0].as_py()
-        facts, parts = None, []
+        own, heard = None, []
         for kind, p in zip(sent.column("kind").to_pylist(), sent.column("payload").to_pylist(), strict=True):
             if kind == 0:
-                facts = pa.ipc.open_stream(p).read_all()
+                own = _Bytes(p)
             else:
-                m = int.from_bytes(p[:4], "little")
-                parts.append((np.frombuffer(p, U, m, 4), np.frombuffer(p, "<u4", m, 4 + 8 * m), np.frombuffer(p, "<u4", m, 4 + 12 * m), np.frombuffer(p, "<u2", m, 4 + 16 * m)))
+                heard.append(_Bytes(p))
+        facts = pa.ipc.open_stream(pa.py_buffer(own.get(np.uint8))).read_all()
+        distinct, number, sizes, tf = own.get_sorted(), own.get("<u4"), own.get("<u4"), own.get_counts()
+        frequency = np.zeros(len(distinct), np.int64)
+        for b in heard:
+            at = b.get("<u4")
+            frequency[at] = b.get_counts()
         members = facts.column("members").combine_chunks()
         total = facts.column("total").to_numpy()
-        copies = np.diff(members.offsets.to_numpy()) if len(members) else np.zeros(0, np.int64)
+        copies = np.diff(members.offsets.to_numpy())
         docs = len(total)
-        if parts:
-            h, df, tf, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((h, doc))
-            h, df, tf, doc = h[order], df[order].astype(np.float64), tf[order].astype(np.float64), doc[order].astype(np.int64)
-        else:
-            h, df, tf, doc = np.zeros(0, U), np.zeros(0), np.zeros(0), np.zeros(0, np.int64)
-        w = tf * idf(df, n)
-        shared = np.bincount(doc, weights=w, minlength=docs)
-        weight = shared + (total - np.bincount(doc, weights=tf, minlength=docs)) * idf(copies.astype(np.float64), n)
-        hopeful = (shared >= THRESHOLD * weight - 1e-9) & (shared > 0)
-        keep = hopeful[doc] if len(doc) else np.zeros(0, bool)
+        doc = np.repeat(np.arange(docs), sizes)
+        shared = frequency[number] > 0
+        doc, number, tf = doc[shared], number[shared], tf[shared].astype(np.float64)
+        h, w = distinct[number], tf * idf(frequency[number].astype(np.float64), n)
+        of_shared = np.bincount(doc, weights=w, minlength=docs)
+        weight = of_shared + (total - np.bincount(doc, weights=tf, minlength=docs)) * idf(copies.astype(np.float64), n)
+        hopeful = (of_shared >= THRESHOLD * weight - 1e-9) & (of_shared > 0)
+        keep = hopeful[doc]
         h, w, doc = h[keep], w[keep], doc[keep]
         chosen = np.flatnonzero(hopeful)
         hashes, weights, bands = ([None] * docs for _ in range(3))
@@ -230,128 +250,85 @@ def _weigh(n: int, id_type: pa.DataType):
             made = signatures(h, w, first).astype(np.int64).tolist()
             for k, (i, a, b) in enumerate(zip(chosen.tolist(), first.tolist(), [*first[1:].tolist(), len(h)], strict=True)):
                 hashes[i], weights[i], bands[i] = h[a:b].tobytes(), w[a:b].tobytes(), made[k]
-        return pa.table([pa.array((chunk << 16) + np.arange(docs)), facts.column("key"), members, pa.array(weight), pa.array(hashes, pa.binary()), pa.array(weights, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
+        uid = pa.array((chunk << 16) + np.arange(docs))
+        return pa.table([uid, facts.column("key"), facts.column("row"), members, pa.array(weight), pa.array(hashes, pa.binary()), pa.array(weights, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
 
-def _similarity(batches):
-    """(a, b, hashes, weights and total weight of both) -> (a, b, similarity): exact weighted Jaccard."""
-    for batch in batches:
-        a, b, *rest = (batch.column(i).to_pylist() for i in range(batch.num_columns))
-        out = []
-        for ha, wa, ta, hb, wb, tb in zip(*rest, strict=True):
-            _, i, j = np.intersect1d(np.frombuffer(ha, U), np.frombuffer(hb, U), assume_unique=True, return_indices=True)
-            both = float(np.minimum(np.frombuffer(wa)[i], np.frombuffer(wb)[j]).sum())
-            out.append(both / (ta + tb - both))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(out, pa.float64())], ["a", "b", "j"])
+def _entries(rows: pa.Table):
+    hashes, weights = ([np.frombuffer(x, t) for x in rows.column(c).to_pylist()] for c, t in (("hashes", U), ("weights", np.float64)))
+    return np.repeat(np.arange(len(hashes)), [len(x) for x in hashes]), np.concatenate(hashes), np.concatenate(weights), rows.column("weight").to_numpy()
 
 
-def _rest_of_leader(group: pa.Table) -> pa.Table:
-    """Links between a text that its leader doesn't join and other texts of that leader, by exact similarity.
+def _classes(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+    """(root, id, row, class_id, class_row, class_size, links), one row per row of docs: row is the text's key; class_id and
+    class_row are those of the class's least row, by id (null first) and text key."""
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    A shingle that one text of the group has alone is in no intersection, so a text of which less than THRESHOLD is left
-    without those has no link here. For the others, the postings of their shingles give all intersections at once. Of the
-    links found, those that join two components are kept.
-    """
-    uid = group.column("a").to_numpy()
-    order = np.argsort(uid)  # the order of arrival must not matter
-    uid, roots, part, total = uid[order], *(group.column(c).to_numpy()[order] for c in ("root", "part", "weight"))
-    failed = group.column("failed").to_numpy(zero_copy_only=False)[order]
-    hashes, weights = ([np.frombuffer(group.column(c)[int(i)].as_py(), t) for i in order] for c, t in (("hashes", U), ("weights", np.float64)))
-    sizes = np.array([len(x) for x in hashes])
-    texts = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.argsort(shingles := np.concatenate(hashes), kind="stable")
-    shingles, holders, w = shingles[order], texts[order], np.concatenate(weights)[order]
-    first = np.append(True, shingles[1:] != shingles[:-1])
-    number = np.cumsum(first) - 1
-    starts = np.flatnonzero(first)
-    often = np.diff(np.append(starts, len(shingles)))
-    common = np.bincount(holders, weights=w * (often[number] > 1), minlength=len(sizes))
-    of = np.empty(len(shingles), np.int64)
-    of[order] = number
-    offsets = np.cumsum(sizes) - sizes
-    across = len(np.unique(part)) > 1
-    found, forest = [], Forest()
-    for x in np.flatnonzero(failed & (common >= THRESHOLD * total - 1e-9)):
-        mine = of[offsets[x] : offsets[x] + sizes[x]]
-        both = np.zeros(len(sizes))
-        for s, n, own in zip(starts[mine].tolist(), often[mine].tolist(), weights[x].tolist(), strict=True):
-            if n > 1:
-                both[holders[s : s + n]] += np.minimum(w[s : s + n], own)
-        near = (both >= THRESHOLD * (total + total[x] - both) - 1e-12) & (roots != roots[x])
-        if across:  # pairs within one part are another group's
-            near &= part != part[x]
-        at = np.flatnonzero(near)
-        some = at[np.unique(roots[at], return_index=True)[1]]  # one of each component
-        found += [(int(uid[x]), int(uid[y])) for y in some.tolist() if forest.join(int(roots[x]), int(roots[y]))]
-    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
-
-
-def _second_round(first: DataFrame, roots: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b): links among the texts of one leader that the comparison with the leader didn't find.
-
-    A leader's texts are cut in parts of about PART_BYTES, and every two parts (or one alone) are a group, so no task gets
-    more than that; what a group yields is links, never pairs to be compared.
-    """
-    weak = first.where(F.col("j") < THRESHOLD).select("b").distinct()
-    members = first.join(weak, "b", "left_semi").select("a", "b", (F.col("j") < THRESHOLD).alias("failed"))
-    members = members.join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
-    full = scratch.put(members.join(texts.select(F.col("uid").alias("a"), "weight", "hashes", "weights"), "a"))
-    parts = full.groupBy("b").agg(F.ceil(F.greatest(F.sum(F.octet_length("hashes")) / PART_BYTES, F.count("*") / PART_TEXTS)).cast("int").alias("parts"))
-    cut = full.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cut = cut.select("a", "b", "failed", "root", "weight", "hashes", "weights", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
-    out = scratch.put(cut.groupBy("b", "lo", "hi").applyInArrow(_rest_of_leader, "a long, b long").distinct())
-    scratch.drop(full)
+    source = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("row"), F.col(text_col).alias("text"))
+    n, size = source.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    buckets = max(8, min(1 << 22, -(-int(size or 0) // BUCKET_BYTES)))
+    id_ddl = docs.schema[id_col].dataType.simpleString()
+    sent = scratch.put(source.mapInArrow(_send(buckets), _SENT_DDL), "kind")
+    shared = sent.where("kind = 1").groupBy("key").applyInArrow(_frequencies, "kind int, chunk long, payload binary")
+    both = sent.where("kind = 0").select("kind", "chunk", "payload").unionByName(shared)
+    weigh = _weigh(n, to_arrow_type(docs.schema[id_col].dataType))
+    texts = scratch.put(both.groupBy("chunk").applyInArrow(weigh, f"uid long, key binary, row binary, members array<{id_ddl}>, weight double, hashes binary, weights binary, bands array<long>"))
+    known = texts.where("key is not null")
+    least = known.groupBy("key").agg(F.min("uid").alias("rep"), F.count("*").alias("n")).where("n > 1").select("key", "rep")
+    copies = scratch.put(known.select("key", "uid").join(least, "key").where("uid <> rep").select("uid", "rep"))
+    copies = small(copies, 16 * copies.count())
+    hopeful = texts.where("bands is not null").join(copies, "uid", "left_anti")
+    bands = scratch.put(hopeful.select("uid", F.explode("bands").alias("band")))
+    least = bands.groupBy("band").agg(F.min("uid").alias("b"), F.count("*").alias("n")).where("n > 1").select("band", "b")
+    led = bands.join(least, "band").select(F.col("uid").alias("a"), "b").distinct()
+    members = scratch.put(led.join(texts.select(F.col("uid").alias("a"), "weight", "hashes", "weights"), "a"))
+    links = exact_links(members, "hashes", _entries, THRESHOLD, PART_BYTES, scratch)
+    roots = components(links, scratch)
+    roots = small(roots, 16 * roots.count())
+    rep = texts.select("uid", "row", "members").join(copies, "uid", "left").withColumn("rep", F.coalesce("rep", "uid"))
+    rooted = rep.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(F.coalesce("root", "rep").alias("root"), "row", "members")
+    counted = links.join(roots, links.a == roots.node).groupBy("root").agg(F.count("*").alias("links"))
+    # min of one row's ids first: ids of copies in a chunk are one list
+    first = F.struct(F.sort_array("members")[0].alias("id"), F.col("row"))
+    classes = rooted.groupBy("root").agg(F.min(first).alias("least"), F.sum(F.size("members")).cast("long").alias("class_size"), F.count("*").alias("nodes")).join(counted, "root", "left")
+    several = classes.where("nodes > 1 or class_size > 1").select("root", "least", "class_size", F.coalesce("links", F.lit(0)).alias("links"))
+    several = scratch.put(several)
+    joined = rooted.join(small(several, 72 * several.count()), "root", "left")
+    joined = joined.select("root", "row", "least", F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("links", F.lit(0)).alias("links"), F.explode("members").alias("id"))
+    alone = F.col("least").isNull()
+    out = joined.select("root", "id", "row", F.when(alone, F.col("id")).otherwise(F.col("least.id")).alias("class_id"), F.when(alone, F.col("row")).otherwise(F.col("least.row")).alias("class_row"), "class_size", "links")
+    out = scratch.put(out)
+    scratch.drop(sent, texts, bands, members)
     return out
 
 
-def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    side = lambda x: texts.select(F.col("uid").alias(x), F.col("hashes").alias(f"h{x}"), F.col("weights").alias(f"w{x}"), F.col("weight").alias(f"t{x}"))
-    full = pairs.join(side("b"), "b").join(side("a"), "a")
-    return full.select("a", "b", "ha", "wa", "ta", "hb", "wb", "tb").mapInArrow(_similarity, "a long, b long, j double")
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, class_id, class_size, links): one row per row of docs; class_id is the least id of the class.
+    """(id, class_id, class_size, links): one row per row of docs; class_id is the least id of the class (null is less).
 
     A class joins equal texts and texts of weighted Jaccard similarity THRESHOLD or more over TF-IDF weighted five-word
     shingles (texts of fewer words: one shingle of all), transitively. links: verified links between different texts that
     make the class. Null and empty texts are a class of their own each; texts without words are copies only of equal texts.
-    Rows that share an id have the same class id, and null ids count as less than others. Other columns are not read.
+    Rows that share an id are rows of their own: they have one class only if their texts do. An empty table gives no rows.
+    Other columns are not read.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "neardup")
-    n = docs.count()
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    buckets = max(8, min(1 << 22, -(-size // BUCKET_BYTES)))
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    id_ddl = docs.schema[id_col].dataType.simpleString()
-    sent = source.mapInArrow(_send(buckets), _SENT_DDL)
-    shared = sent.groupBy("key").applyInArrow(_frequencies, "chunk long, kind int, payload binary")
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    weigh = _weigh(n, to_arrow_type(docs.schema[id_col].dataType))
-    texts = scratch.put(shared.groupBy("chunk").applyInArrow(weigh, f"uid long, key binary, members array<{id_ddl}>, weight double, hashes binary, weights binary, bands array<long>"))
-    equal = texts.where("key is not null").groupBy("key").agg(F.min("uid").alias("b"))
-    copies = texts.where("key is not null").select("key", F.col("uid").alias("a")).join(equal, "key").where("a <> b").select("a", "b")
-    copies = scratch.put(copies)
-    hopeful = texts.where("bands is not null").join(copies.select(F.col("a").alias("uid")), "uid", "left_anti")
-    bands = scratch.put(hopeful.select("uid", F.explode("bands").alias("band")))
-    least = bands.groupBy("band").agg(F.min("uid").alias("b"), F.count("*").alias("n")).where("n > 1").select("band", "b")
-    led = scratch.put(bands.join(least, "band").where("uid <> b").select(F.col("uid").alias("a"), "b").distinct())
-    first = scratch.put(_verify(led, texts))
-    good = first.where(F.col("j") >= THRESHOLD).select("a", "b")
-    second = _second_round(first, components(good.unionByName(copies), scratch), texts, scratch)
-    links = good.unionByName(second)
-    roots = components(links.unionByName(copies), scratch)
-    rooted = texts.select("uid", "members").join(roots.withColumnRenamed("node", "uid"), "uid", "left").select(F.coalesce("root", "uid").alias("root"), F.explode("members").alias("id"))
-    counted = links.join(roots, links.a == roots.node).groupBy("root").agg(F.count("*").alias("links"))
-    classes = rooted.groupBy("root").agg(F.min(F.struct("id")).getField("id").alias("class_id"), F.count("*").alias("class_size")).join(counted, "root", "left")
-    out = rooted.join(classes, "root").select(F.col("id").alias(id_col), "class_id", "class_size", F.coalesce("links", F.lit(0)).alias("links"))
-    out = scratch.put(out)
-    scratch.drop(texts, copies, bands, led, first, second)
-    return out
+    out = _classes(docs, id_col, text_col, Scratch(docs.sparkSession, "neardup"))
+    return out.select(F.col("id").alias(id_col), "class_id", "class_size", "links")
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, with all its columns, without the rows whose class (see near_duplicates) has a row with a lesser id or, of equal
+    ids, a lesser text key; of rows that repeat an id and a text one stays. Null and empty texts all stay."""
+    scratch = Scratch(docs.sparkSession, "neardup")
+    classes = _classes(docs, id_col, text_col, scratch).where(F.col("row").isNotNull() & (F.col("row") != F.unhex(F.md5(F.lit("")))))
+    rows = scratch.put(classes.where("class_size > 1").groupBy("id", "row").agg(F.count("*").alias("n"), F.min(F.expr("id <=> class_id and row <=> class_row")).alias("stays")))
+    flagged, first = first_of_repeated(docs, rows.where("stays and n > 1").select("id", "row"), id_col, text_col, scratch)
+    key, rid, rkey = (fresh(c, flagged.columns) for c in ("_key", "_rid", "_rkey"))
+    gone = rows.where("not stays").select(F.col("id").alias(rid), F.col("row").alias(rkey))
+    keyed = flagged.withColumn(key, text_key(text_col))
+    left = keyed.join(small(gone, 40 * gone.count()), same_row(keyed, gone, [(id_col, rid), (key, rkey)]), "left_anti")
+    return left.where(first).select(*docs.columns)
 
 
 def op5_neardup(spark, sf_dir):
