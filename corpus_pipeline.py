@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textaudit.llm import bpe, decontaminate, linededup, neardup, quality
-from textaudit.llm.common import Scratch, small, table
+from textaudit.llm.common import Scratch, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -31,15 +31,15 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     out = linededup.dedup_lines(docs)
     dropped = out.columns[len(docs.columns)]
-    out = out.where(F.col(dropped).isNull() | (F.trim(F.regexp_replace("text", r"\\s+", " ")) != ""))
+    out = out.where(F.col(dropped).isNull() | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = neardup.near_duplicates(docs).where("doc_id <> class_id or (class_id is null and doc_id is not null)").select("doc_id").distinct()
-    return docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each class of copies and near copies, the least by id and text; null and empty texts all stay."""
+    return neardup.drop_copies(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
