@@ -1,10 +1,10 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles, banded, verified.
 
 1. Per chunk of texts: equal texts collapse to one. The chunk keeps the distinct five-word shingles of each text, with
-   counts, as one row; its distinct shingles, each with the number of texts and documents that hold it, go to buckets by
+   counts, as one row (by their numbers in the chunk); its distinct shingles, each with the number of texts and documents that hold it, go to buckets by
    range of their 56-bit hash, packed as one binary per chunk and bucket.
 2. Per bucket: exact document frequencies over the whole corpus. A shingle that only one text holds can't be shared by
-   two, so only the others' frequencies go back to their chunks. A shingle that a third of all documents hold is one entry
+   two, so only the others go back to their chunks, with frequencies. A shingle that a third of all documents hold is one entry
    per chunk here.
 3. Per chunk: weights tf x idf. The weight that a text shares with any other bounds its similarity to it, so a text whose
    shared weight is under THRESHOLD of its total has no near duplicate and needs no signature. The others get SAMPLES
@@ -128,7 +128,9 @@ def _chunk_rows(chunk: int, ids: pa.Array, rows: pa.Array, texts: list, buckets:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, facts.schema) as w:
         w.write_batch(facts)
-    own = _Bytes().put(np.frombuffer(sink.getvalue(), np.uint8)).put_sorted(distinct).put(number.astype("<u4")).put(sizes.astype("<u4")).put_counts(tf)
+    # its shingles by their number in the chunk; their hashes come back with the frequencies
+    of_doc = np.repeat(np.arange(len(reps)), sizes).astype(U)
+    own = _Bytes().put(np.frombuffer(sink.getvalue(), np.uint8)).put(np.array([len(distinct)], "<i8")).put_sorted(of_doc * U(len(distinct)) + number.astype(U)).put_counts(tf)
     yield 0, None, chunk, own.data
     holders = np.bincount(number, minlength=len(distinct))
     held = np.bincount(number, weights=np.repeat(copies, sizes), minlength=len(distinct)).astype(np.int64)
@@ -177,7 +179,7 @@ def _frequencies(sent: pa.Table) -> pa.Table:
     back = np.lexsort((at[kept], of[kept]))
     kept, df = kept[back], df[back]
     cuts = np.searchsorted(of[kept], np.arange(len(parts) + 1))
-    rows = [(chunks[i], _Bytes().put(at[kept[a:b]].astype("<u4")).put_counts(df[a:b]).data) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+    rows = [(chunks[i], _Bytes().put_sorted(at[kept[a:b]].astype(U)).put_sorted(h[kept[a:b]]).put_counts(df[a:b]).data) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
     return pa.table({"kind": pa.array(np.ones(len(rows), np.int32)), "chunk": pa.array([r[0] for r in rows], pa.int64()), "payload": pa.array([r[1] for r in rows], pa.binary())})
 
 
@@ -225,16 +227,18 @@ def _weigh(n: int, id_type: pa.DataType):
             else:
                 heard.append(_Bytes(p))
         facts = pa.ipc.open_stream(pa.py_buffer(own.get(np.uint8))).read_all()
-        distinct, number, sizes, tf = own.get_sorted(), own.get("<u4"), own.get("<u4"), own.get_counts()
-        frequency = np.zeros(len(distinct), np.int64)
+        n_distinct = max(1, int(own.get("<i8")[0]))
+        doc, number = np.divmod(own.get_sorted().astype(np.int64), n_distinct)
+        tf = own.get_counts()
+        frequency, distinct = np.zeros(n_distinct, np.int64), np.zeros(n_distinct, U)
         for b in heard:
-            at = b.get("<u4")
+            at = b.get_sorted().astype(np.int64)
+            distinct[at] = b.get_sorted()
             frequency[at] = b.get_counts()
         members = facts.column("members").combine_chunks()
         total = facts.column("total").to_numpy()
         copies = np.diff(members.offsets.to_numpy())
         docs = len(total)
-        doc = np.repeat(np.arange(docs), sizes)
         shared = frequency[number] > 0
         doc, number, tf = doc[shared], number[shared], tf[shared].astype(np.float64)
         h, w = distinct[number], tf * idf(frequency[number].astype(np.float64), n)
