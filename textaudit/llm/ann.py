@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by a permutation index (pivot inverted files).
 
 A vector is represented by its pivots ordered from the nearest. The index is sharded by rows: each block of vectors keeps
-one inverted file per pivot with the position that the pivot has for every vector of the block. A query reads its pivots'
-files, which sums up the footrule distance (the total displacement of the pivots) to every vector of the block; the
-DEPTH share of the block with the least footrule is reranked by the exact distance, and each block's best go to a merge.
+one inverted file per pivot with the position that the pivot has for every vector of the block. A query reads the files of
+its NEAR nearest pivots, which sums up the footrule distance (the displacement of these pivots) to every vector of the
+block; the DEPTH share of the block with the least footrule is reranked by the exact distance, and each block's best go to
+a merge. (Files that hold a pivot's nearest vectors only would leave most of a block unread, but find less than half of the
+neighbours where vectors have no low-dimensional structure: README.md.)
 The depth is a share of the block, so recall doesn't depend on the corpus's size; ``depth=1.0`` is exact.
 
 Equal vectors of a block are one entry with their least ids, so a vector that a third of the rows hold takes one place
@@ -24,8 +26,10 @@ PIVOTS = 256
 SAMPLE = 4096
 BLOCK = 4096
 QUERIES = 1024
-DEPTH = 0.08
-LEAST_DEPTH = 256
+#: Pivots, from a query's nearest, whose inverted files it reads.
+NEAR = 64
+DEPTH = 0.1
+LEAST_DEPTH = 96
 
 
 def usable(vector: Column) -> Column:
@@ -76,13 +80,14 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     take = len(distinct) if pivots is None else min(len(distinct), max(LEAST_DEPTH, int(np.ceil(depth * len(distinct)))))
     files = None if take == len(distinct) else np.ascontiguousarray(positions(distinct, pivots).T)  # one file per pivot
     spots = None if files is None else positions(queries, pivots)
+    nearest_pivots = None if files is None else np.argsort(spots, axis=1, kind="stable")[:, :NEAR]
     out = []
     for n, q in enumerate(queries):
         if files is None:
             candidates = np.arange(len(distinct))
         else:
             footrule = np.zeros(len(distinct), np.int32)
-            for p in range(len(files)):
+            for p in nearest_pivots[n].tolist():
                 footrule += np.abs(files[p] - spots[n, p])
             bound = np.partition(footrule, take - 1)[take - 1]
             below = np.flatnonzero(footrule < bound)
