@@ -379,6 +379,24 @@ def test_nearest_agrees_with_brute_force(spark, depth):
     assert ann.nearest(df.where("false"), df.where("false")).count() == 0
 
 
+def test_recall_on_a_given_table(spark):
+    """Against brute force on the whole embeddings table, through the index (a block reranks a fifth of it at most)."""
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in table.where(ann.usable(F.col("embedding"))).collect()]
+    ids, v = np.array([i for i, _ in rows]), np.array([x for _, x in rows], float)
+    assert ann.LEAST_DEPTH <= 0.2 * len(np.unique(v, axis=0))
+    hits = total = 0
+    found = defaultdict(set)
+    for r in ann.nearest(table, table.where("vec_id % 20 = 0")).collect():
+        found[r.query_id].add(r.vec_id)
+    for q in ids[ids % 20 == 0].tolist():
+        d = np.sqrt(((v - v[ids == q][0]) ** 2).sum(1))
+        order = [i for i in np.lexsort((ids, d)).tolist() if ids[i] != q][:10]
+        hits += len(found[q] & set(ids[order].tolist()))
+        total += 10
+    assert hits >= 0.9 * total
+
+
 # --- op 7 -------------------------------------------------------------------------------------------------------------
 def test_licenses(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation\nfiles (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy,\nmodify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
@@ -426,6 +444,57 @@ TAGS = {
 }
 
 
+GPL_OLD = "it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+HEADERS += [
+    *[(f"GPL-{v}.0-or-later", (f"This program is free software; you can redistribute it and/or modify {GPL_OLD.format('', v)}", *more)) for v in (2, 3) for more in ((), (GPL_HOPE,))],
+    ("LGPL-2.1", (f"This library is free software; you can redistribute it and/or modify {GPL_OLD.format('Lesser ', '2.1')}",)),
+    ("LGPL-3.0", (f"This library is free software; you can redistribute it and/or modify {GPL_OLD.format('Lesser ', '3')}",)),
+    *[("LGPL-3.0", (f"This {what} is free software: you can redistribute it and/or modify {GPL_BODY.format(3).replace('GNU ', 'GNU Lesser ')}",)) for what in ("library", "program")],
+    *[("AGPL-3.0", (f"This program is free software: you can redistribute it and/or modify {GPL_BODY.format(3).replace('GNU ', 'GNU Affero ')}", *more)) for more in ((), (GPL_HOPE,))],
+    ("Unlicense", ("This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.")),
+    ("Zlib", ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages.", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:")),
+    ("BSL-1.0", ("Distributed under the Boost Software License, Version 1.0.",)),
+    *[("EPL-2.0", (f"This program and the accompanying materials are made available under the terms of the Eclipse Public License {v}2.0 which is available at {h}://www.eclipse.org/legal/epl-2.0/",)) for v, h in (("", "https"), ("v. ", "http"))],
+]
+TAGS |= {"Unlicense": "Unlicense", "Zlib": "Zlib", "BSL-1.0": "BSL-1.0", "EPL-2.0": "EPL-2.0"}
+
+
+def walk(ids):
+    """Licences and identifiers left by a pointer for each rule, in plain Python."""
+    found, rest = [], list(enumerate(ids))
+    for name, need in license_scan.RULES:
+        seen, used, done = 0, [], set()
+        for at, k in rest:
+            if k == need[seen]:
+                used, seen = [*used, at], seen + 1
+                if seen == len(need):
+                    done |= set(used)
+                    seen, used = 0, []
+        if done:
+            found.append(name)
+            rest = [x for x in rest if x[0] not in done]
+    return found, [k for _, k in rest]
+
+
+def test_ordered_rules_agree_with_a_walk(spark):
+    rng = random.Random(6)
+    families = [["mit-grant", "mit-notice", "mit-asis", "mit-ref"], ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"], ["gpl-free-1", "gpl-free-2", "gpl-pub", "later-2", "later-3", "gpl-hope-1", "gpl-hope-2"]]
+    rows = [(["mit-notice", "mit-grant", "mit-notice"],), (["mit-grant", "mit-grant", "mit-notice", "mit-notice"],), ([],), (["bsd-binary", "bsd-source", "bsd-grant"],)]
+    rows += [([rng.choice(rng.choice(families[: 1 + k % 3])) for _ in range(rng.randrange(1, 12))],) for k in range(300)]
+    got = license_scan.match_rules(spark.createDataFrame(rows, "ids array<string>")).collect()
+    assert [(r.found, r.rest) for r in got] == [walk(r.ids) for r in got] and len(got) == len(rows)
+    assert got[0].found == ["MIT"] and got[0].rest == ["mit-notice"]
+
+
+def test_licences_of_long_tied_and_repeated_texts(spark):
+    """A sentence at the end of a long text; a tie of the two readings goes to lines; rows of one id are one text."""
+    long = (prose(1, 60) + ".\n") * 3000 + MIT_TEXT[0]
+    rows = [(1, long), (2, "Released under the MIT License."), (2, "Released under the MIT License."), (3, MIT_TEXT[1]), (3, MIT_TEXT[0]), (None, "Licensed under CC BY 4.0."), (4, "")]
+    got = {r.doc_id: (r.licenses, r.sentence_ids, r.unmatched_ids) for r in license_scan.scan_licenses(spark.createDataFrame([(i, t, 0, 1, 2, "s") for i, t in rows], DOCS)).collect()}
+    assert got[1] == ("", "mit-grant", "mit-grant") and got[2] == ("MIT", "mit-ref,mit-ref", "") and got[None] == ("CC-BY-4.0", "ccby4-ref", "")
+    assert set(got[3][1].split(",")) == {"mit-grant", "mit-notice"} and set(got) == {1, 2, 3, None}
+
+
 def test_licence_headers_in_both_readings(spark):
     """Every rule fires on its licence's header: a paragraph a line, and wrapped behind comment marks. No known sentence is one that the cutter never leaves whole."""
     texts = [(name, text) for name, parts in HEADERS for text in ("\n\n".join(parts), "\n\n".join(textwrap.fill(p, 60, initial_indent=" * ", subsequent_indent=" * ") for p in parts))]

@@ -2,8 +2,9 @@
 
 Text is cut into sentences in two readings (line by line, and with the lines of a paragraph joined), each sentence is
 normalised and looked up among known licence sentences; the identifiers found, in order, are matched against ordered
-licence rules. A rule that matches consumes its identifiers, so that a longer rule (tried first) leaves nothing for the
-shorter ones; identifiers that no rule consumes are reported. The sentence table is fixed and small, so it is broadcast;
+licence rules. A rule walks along the identifiers with a pointer to the one it needs next, and consumes the places it used
+each time it is complete, so that a longer rule (tried first) leaves nothing for the shorter ones; identifiers that no rule
+consumes are reported. The sentence table is fixed and small, so it is broadcast;
 only matched sentences are shuffled. DataFrame operations only.
 """
 
@@ -31,6 +32,26 @@ SENTENCES = {
     "gpl-free-1": ["this program is free software"],
     "gpl-free-2": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
     "gpl2-free-2": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"],
+    "gpl-pub": ["you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"],
+    "lgpl-free": ["this library is free software"],
+    "lgpl-pub": ["you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"],
+    "lgpl3-free-2": ["you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "agpl3-free-2": ["you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "later-2": ["either version 2 of the license or at your option any later version"],
+    "later-2.1": ["either version 2.1 of the license or at your option any later version"],
+    "later-3": ["either version 3 of the license or at your option any later version"],
+    "unlicense-free": ["this is free and unencumbered software released into the public domain"],
+    "unlicense-anyone": ["anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"],
+    "unlicense-ref": [],
+    "zlib-asis": ["this software is provided as is without any express or implied warranty"],
+    "zlib-grant": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"],
+    "zlib-ref": [],
+    "boost-dist": ["distributed under the boost software license version 1.0"],
+    "boost-ref": [],
+    "epl2-terms": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at https www.eclipse.org legal epl 2.0"],
+    "epl2-form": ["this program and the accompanying materials are made available under the terms of the eclipse public license v"],
+    "epl2-site": ["2.0 which is available at http www.eclipse.org legal epl 2.0"],
+    "epl2-ref": [],
     "gpl-hope-1": ["this program is distributed in the hope that it will be useful but without any warranty"],
     "gpl-hope-2": ["without even the implied warranty of merchantability or fitness for a particular purpose"],
     "gpl3-later": [],
@@ -57,7 +78,7 @@ SENTENCES = {
 SPDX = {
     "apache2-ref": ["apache 2.0"], "mit-ref": ["mit"], "bsd3-ref": ["bsd 3 clause"], "bsd2-ref": ["bsd 2 clause"], "isc-ref": ["isc"], "gpl3-later": ["gpl 3.0 or later"], "gpl2-later": ["gpl 2.0 or later"],
     "gpl3-ref": ["gpl 3.0 only"], "gpl2-ref": ["gpl 2.0 only"], "lgpl3-ref": ["lgpl 3.0 only", "lgpl 3.0 or later"], "agpl3-ref": ["agpl 3.0 only", "agpl 3.0 or later"],
-    "mpl2-ref": ["mpl 2.0"], "ccby4-ref": ["cc by 4.0"], "ccbync4-ref": ["cc by nc 4.0"], "ccbysa4-ref": ["cc by sa 4.0"], "cc0-ref": ["cc0 1.0"],
+    "mpl2-ref": ["mpl 2.0"], "unlicense-ref": ["unlicense"], "zlib-ref": ["zlib"], "boost-ref": ["bsl 1.0"], "epl2-ref": ["epl 2.0"], "ccby4-ref": ["cc by 4.0"], "ccbync4-ref": ["cc by nc 4.0"], "ccbysa4-ref": ["cc by sa 4.0"], "cc0-ref": ["cc0 1.0"],
 }
 #: Ordered: (licence, identifiers in order, with others between them allowed).
 RULES = (
@@ -77,6 +98,25 @@ RULES = (
     ("GPL-2.0-or-later", ("gpl-free-1", "gpl2-free-2", "gpl-hope-1", "gpl-hope-2")),
     ("GPL-2.0-or-later", ("gpl-free-1", "gpl2-free-2")),
     ("GPL-2.0-or-later", ("gpl2-later",)),
+    ("GPL-3.0-or-later", ("gpl-free-1", "gpl-pub", "later-3", "gpl-hope-1", "gpl-hope-2")),
+    ("GPL-3.0-or-later", ("gpl-free-1", "gpl-pub", "later-3")),
+    ("GPL-2.0-or-later", ("gpl-free-1", "gpl-pub", "later-2", "gpl-hope-1", "gpl-hope-2")),
+    ("GPL-2.0-or-later", ("gpl-free-1", "gpl-pub", "later-2")),
+    ("AGPL-3.0", ("gpl-free-1", "agpl3-free-2", "gpl-hope-1", "gpl-hope-2")),
+    ("AGPL-3.0", ("gpl-free-1", "agpl3-free-2")),
+    ("LGPL-3.0", ("lgpl-free", "lgpl-pub", "later-3")),
+    ("LGPL-2.1", ("lgpl-free", "lgpl-pub", "later-2.1")),
+    ("LGPL-3.0", ("lgpl-free", "lgpl3-free-2")),
+    ("LGPL-3.0", ("gpl-free-1", "lgpl3-free-2")),
+    ("Unlicense", ("unlicense-free", "unlicense-anyone")),
+    ("Unlicense", ("unlicense-ref",)),
+    ("Zlib", ("zlib-asis", "zlib-grant")),
+    ("Zlib", ("zlib-ref",)),
+    ("BSL-1.0", ("boost-dist",)),
+    ("BSL-1.0", ("boost-ref",)),
+    ("EPL-2.0", ("epl2-terms",)),
+    ("EPL-2.0", ("epl2-form", "epl2-site")),
+    ("EPL-2.0", ("epl2-ref",)),
     ("AGPL-3.0", ("agpl3-ref",)),
     ("LGPL-3.0", ("lgpl3-ref",)),
     ("GPL-3.0", ("gpl3-ref",)),
@@ -91,7 +131,7 @@ RULES = (
     ("CC0-1.0", ("cc0-ref",)),
 )
 #: Every known sentence holds one of these, so texts without any are not cut.
-HINTS = r"(?i)licen[sc]e|licensed|copyright|permission|redistribut|public|warrant|without|compliance|software|mozilla"
+HINTS = r"(?i)licen[sc]e|licensed|copyright|permission|redistribut|public|warrant|without|compliance|software|mozilla|either version|eclipse"
 TAG = r"(?i)spdx-license-identifier:[ \t]*"
 CUT = "\x01"
 
@@ -119,8 +159,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, licenses, sentence_ids, unmatched_ids), for every id with a known sentence; strings joined by commas.
 
     licenses: distinct, sorted. sentence_ids: as the better reading (more identifiers, by lines on a tie) has them, in
-    order. Null and empty texts and texts without known sentences give no row; rows of one id count as one text, in
-    reading order of each. Other columns are not read.
+    order. Null and empty texts, texts without known sentences and an empty table give no row. Whole texts are read, however
+    long. Rows of one id count as one text, in reading order of each: of rows that repeat, every sentence counts as often.
+    Null ids are one id. Other columns are not read.
     """
     spark = docs.sparkSession
     rows = ", ".join(f"('{s}', '{k}')" for s, k in sorted(known_sentences().items()))
@@ -138,20 +179,32 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("_id").alias(id_col), F.array_join("found", ",").alias("licenses"), F.array_join("best.ids", ",").alias("sentence_ids"), F.array_join("best.rest", ",").alias("unmatched_ids"))
 
 
-def match_rules(seqs: DataFrame) -> DataFrame:
-    """Adds found (licences) and rest (identifiers left) to rows with ids (array of identifiers)."""
+def _walk(rest: Column, need: tuple[str, ...]) -> Column:
+    """Places of `rest` that hold `need` in order, others between them allowed: from left to right, as often as it is complete."""
+    start = F.struct(F.lit(0).alias("seen"), F.array().cast("array<int>").alias("open"), F.array().cast("array<int>").alias("done"))
+    wanted = F.array(*map(F.lit, need))
+
+    def step(s: Column, x: Column) -> Column:
+        took = F.array_append(s.open, x.at)
+        last = F.struct(F.lit(0).alias("seen"), F.array().cast("array<int>").alias("open"), F.concat(s.done, took).alias("done"))
+        more = F.struct((s.seen + 1).alias("seen"), took.alias("open"), s.done.alias("done"))
+        return F.when(x.sid != F.get(wanted, s.seen), s).when(s.seen == len(need) - 1, last).otherwise(more)
 
-    def step(state: Column, rule: tuple[str, tuple[str, ...]]) -> Column:
-        name, need = rule
-        at = [F.array_position(state["rest"], k) for k in need]
-        ordered = reduce(lambda a, b: a & b, [at[0] > 0] + [y > x for x, y in zip(at, at[1:], strict=False)])
-        left = F.filter(state["rest"], lambda x: ~x.isin(*need))
-        return F.when(ordered, F.struct(F.array_append(state["found"], F.lit(name)).alias("found"), left.alias("rest"))).otherwise(state)
+    return F.aggregate(rest, start, step, lambda s: s.done)
 
-    out = seqs.withColumn("_s", F.struct(F.array().cast("array<string>").alias("found"), F.col("ids").alias("rest")))
-    for rule in RULES:
-        out = out.withColumn("_s", step(F.col("_s"), rule))
-    return out.select(*seqs.columns, "_s.found", "_s.rest")
+
+def match_rules(seqs: DataFrame) -> DataFrame:
+    """Adds found (licences) and rest (identifiers left) to rows with ids (array of identifiers)."""
+    rest = F.transform("ids", lambda x, i: F.struct(i.cast("int").alias("at"), x.alias("sid")))
+    out = seqs.withColumn("_found", F.array().cast("array<string>")).withColumn("_rest", rest)
+    for name, need in RULES:
+        # not without all it needs: most rules end here
+        possible = reduce(lambda a, b: a & b, (F.array_contains("ids", k) for k in need))
+        out = out.withColumn("_used", F.when(possible, _walk(F.col("_rest"), need)))
+        hit = F.coalesce(F.size("_used"), F.lit(0)) > 0
+        out = out.withColumn("_found", F.when(hit, F.array_append("_found", F.lit(name))).otherwise(F.col("_found")))
+        out = out.withColumn("_rest", F.when(hit, F.filter("_rest", lambda x: ~F.array_contains("_used", x.at))).otherwise(F.col("_rest")))
+    return out.select(*seqs.columns, F.col("_found").alias("found"), F.transform("_rest", lambda x: x.sid).alias("rest"))
 
 
 def op7_license_scan(spark, sf_dir):
@@ -161,15 +214,19 @@ def op7_license_scan(spark, sf_dir):
 
 
 def _sql() -> str:
-    values = ", ".join(f"('{s}', '{k}')" for s, k in sorted(known_sentences().items()))
+    """Identifiers as single letters, rules as regular expressions over them."""
+    names = sorted({*SENTENCES, *SPDX})
+    letter = {k: chr(0x4E00 + i) for i, k in enumerate(names)}
+    values = ", ".join(f"('{s}', '{letter[k]}')" for s, k in sorted(known_sentences().items()))
     ctes, prev = [], "s0"
     for i, (name, need) in enumerate(RULES, 1):
-        at = [f"list_position(rest, '{k}')" for k in need]
-        cond = " and ".join([f"coalesce({at[0]}, 0) > 0"] + [f"coalesce({y}, 0) > {x}" for x, y in zip(at, at[1:], strict=False)])
-        gone = ", ".join(f"'{k}'" for k in need)
-        ctes.append(f"s{i} as (select _id, way, ids, case when {cond} then list_append(found, '{name}') else found end as found, case when {cond} then list_filter(rest, lambda x: x not in ({gone})) else rest end as rest from {prev})")
+        pattern = "(.*?)".join(letter[k] for k in need)
+        between = "".join(rf"\{k}" for k in range(1, len(need)))
+        ctes.append(f"s{i} as (select _id, way, ids, case when regexp_matches(rest, '{pattern}') then list_append(found, '{name}') else found end as found, regexp_replace(rest, '{pattern}', '{between}', 'g') as rest from {prev})")
         prev = f"s{i}"
     lower = "translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    spelt = "map {" + ", ".join(f"'{letter[k]}': '{k}'" for k in names) + "}"
+    joined = lambda x: f"array_to_string(list_transform(list_filter(string_split({x}, ''), lambda c: c <> ''), lambda c: {spelt}[c]), ',')"
     return rf"""
 with known(sentence, sid) as (values {values}),
 d as (select doc_id as _id, regexp_replace(text, '{TAG}', 'spdx license identifier ', 'g') as text from documents where regexp_matches(text, '{HINTS}')),
@@ -177,11 +234,11 @@ lines as (select _id, 0 as way, string_split(regexp_replace(regexp_replace(text,
   union all select _id, 1, string_split(regexp_replace(regexp_replace(regexp_replace(text, '\n[ \t\r]*\n', chr(1), 'g'), '[ \t\r\n\f]+', ' ', 'g'), '([.!?;:]) ', '\1' || chr(1), 'g'), chr(1)) from d),
 pieces as (select _id, way, unnest(parts) as part, generate_subscripts(parts, 1) as pos from lines),
 norm as (select _id, way, pos, regexp_replace(regexp_replace(regexp_replace({lower}, '[^a-z0-9.]+', ' ', 'g'), '[ .]+$', ''), '^[ .]+', '') as sentence from pieces where length(part) >= 8),
-s0 as (select _id, way, list(sid order by pos) as ids, list(sid order by pos) as rest, []::varchar[] as found from norm join known using (sentence) group by _id, way),
+s0 as (select _id, way, string_agg(sid, '' order by pos) as ids, string_agg(sid, '' order by pos) as rest, []::varchar[] as found from norm join known using (sentence) group by _id, way),
 {", ".join(ctes)},
 found as (select _id, list_sort(list_distinct(flatten(list(found)))) as found from {prev} group by _id),
-best as (select * from {prev} qualify row_number() over (partition by _id order by len(ids) desc, way) = 1)
-select b._id as doc_id, array_to_string(f.found, ',') as licenses, array_to_string(b.ids, ',') as sentence_ids, array_to_string(b.rest, ',') as unmatched_ids
+best as (select * from {prev} qualify row_number() over (partition by _id order by length(ids) desc, way) = 1)
+select b._id as doc_id, array_to_string(f.found, ',') as licenses, {joined("b.ids")} as sentence_ids, {joined("b.rest")} as unmatched_ids
 from best b join found f using (_id)
 """
 
