@@ -78,6 +78,42 @@ def test_hinge_fit_is_deterministic_and_separates():
     assert np.array_equal(w, again[0]) and b == again[1]
 
 
+def test_quality_agrees_with_plain_counting(spark):
+    """Ratios, scaling, fit and scores, recomputed in one process over the same features; features by plain n-grams of bytes."""
+    rng = random.Random(12)
+    rows = [(i, (prose(i, rng.randrange(1, 40)) if i % 2 else prose(i, 30).upper() + "!?"), i % 2) for i in range(80)] + [(90, "", 1), (91, None, 0)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows if i % 5], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality.score(docs, quality.train(docs, labels)).collect()}
+    feats = dict(zip([i for i, _, _ in rows], quality.features([t for _, t, _ in rows]), strict=True))
+    for i, t, _ in rows:
+        grams = {(t or "").encode()[k : k + 4] for k in range(max(0, len(t or "") - 3))}
+        assert len(grams) <= len(feats[i]) <= len(grams) + 3 * len((t or "").split()) + 1
+    counts = np.full((2, quality.BUCKETS), quality.SMOOTHING)
+    for i, _, q in rows:
+        if i % 5:
+            for b in feats[i].tolist():
+                counts[q, b] += 1
+    r = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    train = sorted((feats[i].astype(np.int32).tobytes(), q) for i, _, q in rows if i % 5)
+    w, b = quality.fit_hinge([np.frombuffer(x, np.int32) for x, _ in train], np.array([1.0 if q else -1.0 for _, q in train]), r)
+    w = 0.75 * w + 0.25 * np.abs(w).mean()
+    for i, f in feats.items():
+        norm = np.sqrt((r[f] ** 2).sum()) or 1.0
+        assert abs(1 / (1 + np.exp(-4 * ((w * r)[f].sum() / norm + b))) - got[i]) < 1e-4
+
+
+def test_quality_sample_is_bounded_in_bytes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(i, 400)) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    seen, fit = [], quality.fit_hinge
+    monkeypatch.setattr(quality, "fit_hinge", lambda rows, y, r: (seen.append(sum(x.nbytes for x in rows)), fit(rows, y, r))[1])
+    quality.train(docs, labels)
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", seen[0] // 3)
+    quality.train(docs, labels)
+    assert 0 < seen[1] < seen[0] / 2
+
+
 # --- op 2 -------------------------------------------------------------------------------------------------------------
 def shingles_of(line):
     return {line[i : i + 5] for i in range(max(1, len(line) - 4))}
@@ -212,7 +248,7 @@ def test_near_threshold_members_visit_other_parts(spark, monkeypatch):
 
 # --- op 3 -------------------------------------------------------------------------------------------------------------
 def test_containment_agrees_with_brute_force(spark):
-    items = [(i, prose(200 + i, n)) for i, n in enumerate([4, 5, 9, 17, 33, 70, 140, 400])] + [(20, ""), (21, None), (3, prose(203, 17))]
+    items = [(i, prose(200 + i, n)) for i, n in enumerate([4, 5, 9, 17, 33, 70, 140, 400, 1, 6, 7, 8])] + [(20, ""), (21, None), (3, prose(203, 17))]
     rows = [(100 + i, prose(i, 300) + " " + (t or "") + ". " + prose(50 + i, 2000 * (i % 3))) for i, t in items]
     half = prose(206, 140).split()
     half[10:16] = ["x"] * 6
@@ -265,6 +301,39 @@ def test_bounded_loads_move_little():
     assert sum(hi - lo for _, lo, hi, *_ in sharding.runs(counts, 16)) == 50_000
 
 
+def test_shards_agree_with_a_ring_walk(spark):
+    """Row by row: the home's shard while it has room, then clockwise; and what one more shard moves."""
+    keys = {c: [f"{c}.{k}" for k in range(n)] for c, n in Counter(random.Random(2).choices(range(0, sharding.RING, 97), k=5000)).items()}
+    keys[5] = [f"hot.{k}" for k in range(2500)]
+    where = {}
+    for shards in (16, 17):
+        n = sum(map(len, keys.values()))
+        room = [n // shards + (s < n % shards) for s in range(shards)]
+        nodes = sharding.ring(shards)
+        home = {c: min((k for k, (cell, _) in enumerate(nodes) if cell >= c), default=0) for c in keys}
+        want, over = {}, []
+        for c in sorted(keys):
+            for k in range(len(keys[c])):
+                s = nodes[home[c]][1]
+                if room[s]:
+                    room[s] -= 1
+                    want[c, k] = s
+                else:
+                    over.append((c, k))
+        for c, k in over:
+            at = home[c]
+            while not room[nodes[at % len(nodes)][1]]:
+                at += 1
+            want[c, k] = nodes[at % len(nodes)][1]
+            room[want[c, k]] -= 1
+        runs = sharding.runs({c: len(x) for c, x in keys.items()}, shards)
+        got = {(c, k): s for c, lo, hi, s, _ in runs for k in range(lo, hi)}
+        assert got == want and sum(hi - lo for _, lo, hi, _, _ in runs) == n
+        where[shards] = got
+    moved = np.mean([where[16][x] != where[17][x] for x in where[16]])
+    assert moved < 0.35  # all keys placed anew would move 16 of 17
+
+
 # --- op 5 -------------------------------------------------------------------------------------------------------------
 def brute_near(rows):
     n, df, sets = len(rows), Counter(), []

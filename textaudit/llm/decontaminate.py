@@ -5,9 +5,10 @@ u shingles, every document is cut into windows of two blocks of u shingles that
 of u shingles lies in one window and an item's share of that window is at least about a fifth, however long the document
 is. A window is a candidate for an item when one of their SIGNATURE min-hashes agrees (bands of one row: at a Jaccard
 similarity of 0.19, the least that a containment of 0.8 leaves, a window is missed with a chance of 0.81**64 = 1e-6).
-Candidates are verified by the exact containment of the item's shingles in the whole document.
+Candidates are verified by the exact containment of the item's shingles in the whole document. Items of fewer than FEWEST
+shingles, whose windows would leave less than that, are candidates wherever one of their shingles stands.
 
-Items are taken in blocks of ITEMS; one scan of the documents serves a block, whose hashes are broadcast. Nothing is
+Items are taken in blocks of ITEMS and ITEM_BYTES; one scan of the documents serves a block, whose hashes are broadcast. Nothing is
 shuffled, and a passage that a third of the documents hold is verified where each of them stands.
 """
 
@@ -24,8 +25,11 @@ from .textblocks import SHINGLE, U, blocks, mix, shingle_hashes, word_hashes
 CONTAINMENT = 0.8
 SIGNATURE = 64
 LEAST_BLOCK = 8
-#: Items of one scan; with their shingle hashes and signatures about 1 KB each.
+#: An item of fewer shingles must be contained whole, so its first is looked up.
+FEWEST = 4
+#: Items of one scan, and bytes of their texts (their shingle hashes take about twice as much); both on average.
 ITEMS = 20_000
+ITEM_BYTES = 16 << 20
 SEEDS = mix(np.arange(1, SIGNATURE + 1, dtype=U))
 
 
@@ -45,10 +49,13 @@ class Items:
                     self.lengths.append(min(n, SHINGLE))
                 at += 1
         self.short: dict[int, list[int]] = {}
+        self.few: list[int] = []
         parts: dict[int, list[int]] = {}
         for i, (h, k) in enumerate(zip(self.shingles, self.lengths, strict=True)):
             if k < SHINGLE:
                 self.short.setdefault(k, []).append(i)
+            elif len(h) < FEWEST:
+                self.few.append(i)
             else:
                 parts.setdefault(max(LEAST_BLOCK, 1 << (len(h) - 1).bit_length()), []).append(i)
         self.partitions = []
@@ -86,6 +93,14 @@ class Items:
                         while j < len(values) and values[j] == windows[w]:
                             pairs.add((int(text[w]), int(members[j])))
                             j += 1
+        if self.few:
+            values = np.array([self.shingles[i][0] for i in self.few], U)
+            order = np.argsort(values, kind="stable")
+            values = values[order]
+            left, right = np.searchsorted(values, hashes), np.searchsorted(values, hashes, side="right")
+            text = np.repeat(np.arange(len(runs)), runs)
+            for w in np.flatnonzero(left < right).tolist():
+                pairs.update((int(text[w]), self.few[order[j]]) for j in range(left[w], right[w]))
         held: dict[int, np.ndarray] = {}
         for t, i in sorted(pairs):
             if t not in held:
@@ -104,9 +119,10 @@ class Items:
 
 
 def _item_blocks(items: DataFrame, item_id: str, item_text: str):
-    """Blocks of about ITEMS distinct items, as broadcasts."""
+    """Blocks of about ITEMS distinct items and ITEM_BYTES, as broadcasts."""
     known = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("t is not null").distinct()
-    scans = max(1, -(-known.count() // ITEMS))
+    n, size = known.agg(F.count("*"), F.sum(F.octet_length("t"))).first()
+    scans = max(1, -(-n // ITEMS), -(-int(size or 0) // ITEM_BYTES))
     for s in range(scans):
         block = sorted(known.where(F.pmod(F.xxhash64("i", "t"), F.lit(scans)) == s).collect(), key=str)  # about ITEMS rows
         yield items.sparkSession.sparkContext.broadcast(Items([r[0] for r in block], [r[1] for r in block]))
@@ -147,7 +163,11 @@ def find_contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that hold no item (as find_contained finds them)."""
+    """The rows of docs, with all their columns, that hold no item (as find_contained finds them).
+
+    Null and empty texts hold none and stay; rows that repeat stay or go together; an empty table, or no items, leave docs
+    as it is. Columns of docs may have any names.
+    """
     at = docs.columns.index(text_col)
     out = docs
     for shared in _item_blocks(items, item_id, item_text):
@@ -166,13 +186,14 @@ def op3_decontamination(spark, sf_dir):
     return find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-#: The exact answer, by joining shingles.
+#: The exact answer, by joining shingles; items of under five words are one run of so many.
 OP3_SQL = r"""
 with w as (select doc_id, regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+') as w from documents),
-bw as (select item_id, regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+') as w from (select distinct item_id, text from benchmark)),
-items as (select distinct item_id, array_to_string(w[i:i + 4], ' ') as s from (select item_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from bw where len(w) > 0)),
+bw as (select item_id, w, least(len(w), 5) as k from (select distinct item_id, regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+') as w from benchmark) where len(w) > 0),
+items as (select distinct item_id, k, array_to_string(w[i:i + k - 1], ' ') as s from (select item_id, w, k, unnest(range(1, len(w) - k + 2)) as i from bw)),
 sizes as (select item_id, count(*) as item_size from items group by item_id),
-grams as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from w where len(w) >= 5)),
-hits as (select doc_id, item_id, count(*) as shared from grams join items using (s) group by all)
+ks as (select distinct k from items),
+grams as (select distinct doc_id, k, array_to_string(w[i:i + k - 1], ' ') as s from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from w, ks where len(w) >= k)),
+hits as (select doc_id, item_id, count(*) as shared from grams join items using (k, s) group by all)
 select doc_id, item_id, shared, item_size from hits join sizes using (item_id) where shared >= 0.8 * item_size - 1e-9
 """

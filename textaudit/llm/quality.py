@@ -26,6 +26,8 @@ BUCKETS = 1 << BUCKET_BITS
 SMOOTHING = 1.0
 #: Labelled rows of each class that the linear model is fitted on, about; the ratios use all rows.
 SAMPLE = 2000
+#: Bytes of the sampled rows, which the driver holds: the sample is smaller where texts are so long that it would take more.
+SAMPLE_BYTES = 128 << 20
 COST = 1.0
 EPOCHS = 30
 INTERPOLATION = 0.25
@@ -122,13 +124,19 @@ UNKNOWN = Model(np.zeros(BUCKETS), np.zeros(BUCKETS), 1.0)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """The model of the labelled rows of docs. Ids whose rows in labels disagree, nulls and other labels are left out."""
+    """The model of the labelled rows of docs. Ids whose rows in labels disagree, nulls and other labels are left out.
+
+    Rows of docs that share a labelled id count each; null texts count as empty. Without rows of both classes (an empty
+    table, say) the model is UNKNOWN. Other columns are not read.
+    """
     y = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id"))
     y = y.agg(F.min(label_col).alias("_y"), F.max(label_col).alias("_most")).where("_y = _most").select("_id", F.col("_y").cast("int").alias("_y"))
-    sizes = {r[0]: r[1] for r in y.groupBy("_y").count().collect()}
-    rates = {k: min(1.0, sample / n) for k, n in sizes.items()}
+    n_labels = y.count()
+    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(small(y, 12 * n_labels), "_id")
+    most = 4 * F.least(F.octet_length("_text") + 64, F.lit(BUCKETS))  # a row has at most a bucket for each byte and some shapes
+    sizes = {r[0]: (r[1], r[2]) for r in d.groupBy("_y").agg(F.count("*"), F.coalesce(F.sum(most), F.lit(0))).collect()}
+    rates = {k: min(1.0, sample / n, SAMPLE_BYTES / 2 / max(size, 1)) for k, (n, size) in sizes.items()}
     rate = F.when(F.col("_y") == 1, F.lit(rates.get(1, 0.0))).otherwise(F.lit(rates.get(0, 0.0)))
-    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(small(y, 12 * sum(sizes.values())), "_id")
     d = d.select("_text", "_y", (F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < rate * (1 << 30)).alias("_in"))
 
     def run(batches):
@@ -169,7 +177,10 @@ def _rows(n: int, **columns) -> pa.RecordBatch:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, predicted), one row per row of docs; null texts score as empty ones, by the bias alone."""
+    """(id, score, predicted), one row per row of docs; null texts score as empty ones, by the bias alone.
+
+    Repeated rows score alike; an empty table gives no rows; whole texts are read, and no other columns.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two float tables of BUCKETS
 
     def run(batches):
@@ -182,7 +193,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that the model doesn't reject."""
+    """The rows of docs, with all their columns (of any names), that the model doesn't reject: score 0.5 or more.
+
+    Null and empty texts go by the bias alone; repeated rows stay or go together; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

@@ -18,7 +18,7 @@ import hashlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, small, table
 
 RING_BITS = 16
 RING = 1 << RING_BITS
@@ -76,14 +76,18 @@ def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "shards")
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     rows = docs.select(F.col(id_col).alias("_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"))
-    rows = rows.withColumn("_h", F.xxhash64("_id", "text_crc32", "size"))
-    rows = scratch.put(rows.withColumn("_cell", F.shiftrightunsigned("_h", 64 - RING_BITS).cast("int")))
+    rows = scratch.put(rows.withColumn("_h", F.xxhash64("_id", "text_crc32", "size")).withColumn("_n", F.monotonically_increasing_id()))
+    again = scratch.put(rows.groupBy("_h").agg((F.count("*") > 1).alias("_again")).where("_again"))
+    rows = rows.join(small(again, 12 * again.count()), "_h", "left")
+    # rows that repeat are dealt over the ring by their number, or a row that a third of all repeat would be one cell's
+    rows = rows.withColumn("_h", F.when(F.col("_again"), F.xxhash64("_h", "_n")).otherwise(F.col("_h"))).drop("_again")
+    rows = rows.withColumn("_cell", F.shiftrightunsigned("_h", 64 - RING_BITS).cast("int"))
     counts = {r[0]: r[1] for r in rows.groupBy("_cell").count().collect()}  # RING rows at most
     pieces = runs(counts, shards, nodes)
     if not pieces:
         return rows.select(F.col("_id").alias(id_col), "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     plan = F.broadcast(spark.createDataFrame(pieces, "_cell int, _lo long, _hi long, shard int, _slot long"))  # RING + shards runs or so
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_cell").orderBy("_h", "_id", "text_crc32", "size")) - 1)
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_cell").orderBy("_h", "_n")) - 1)
     out = ranked.join(plan, "_cell").where("_rank >= _lo and _rank < _hi")
     return out.select(F.col("_id").alias(id_col), "size", "text_crc32", "shard", (F.col("_slot") + F.col("_rank") - F.col("_lo")).alias("slot"))
 

@@ -90,6 +90,10 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     base = base.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("_text", F.coalesce("_url", F.lit("")))
     texts = base.groupBy("_text").agg(F.first("_rule.verdict").alias("cls"))
     texts = texts.withColumn("held", F.left(F.md5("_text"), F.lit(1)) < "5")
+    # distinct URLs are few bytes but many grams, so they are dealt out over more files than their bytes would fill
+    spark, size = pages.sparkSession, int(base.agg(F.sum(F.octet_length("_text"))).first()[0] or 0)
+    files = max(1, min(-(-size // (64 << 10)), 4 * spark.sparkContext.defaultParallelism), -(-size // (64 << 20)))
+    texts = Scratch(spark, "urls").put(texts.repartition(files, "_text"))
     exploded = texts.select("_text", "cls", "held", F.explode(_grams(F.col("_text"))).alias("gram"))
     counted = lambda v: F.count_if((F.col("cls") == v) & ~F.col("held"))
     scores = gram_scores(exploded.groupBy("gram").agg(counted("allow").alias("na"), counted("block").alias("nr")))
