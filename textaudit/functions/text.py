@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as L
 
 MARK = "\x01"
+FULL_WIDTH, ASCII_WIDTH = "０１２３４５６７８９％", "0123456789%"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once; inside lambdas Spark doesn't share common subexpressions."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def count_of(text: Column, pattern: str) -> Column:
@@ -31,23 +39,31 @@ def word_count(text: Column) -> Column:
 
 
 def language(text: Column) -> Column:
-    """'en' for enough Latin words against few CJK characters (a test of script, not of language), else 'default'."""
+    """'en' for enough Latin words against few CJK characters (a test of script, not of language), else 'default'.
+
+    Without CJK characters five words and 25 letters are enough; that search ends at the fifth word and the 25th letter.
+    """
     words, chars, cjk = latin_words(text), latin_chars(text), cjk_chars(text)
-    english = (
-        ((words >= 5) & (cjk == 0) & (chars >= 25))
-        | ((words >= 8) & (cjk <= 4) & (chars >= F.greatest(F.lit(30), cjk * 8)))
+    mixed = (
+        ((words >= 8) & (cjk <= 4) & (chars >= F.greatest(F.lit(30), cjk * 8)))
         | ((words >= 12) & (chars >= F.greatest(F.lit(40), cjk * 6)))
     )
-    return F.when(english, "en").otherwise("default")
+    plain = text.rlike(r"(?s)(?:[A-Za-z]++(?:[-'][A-Za-z]++)*+[^A-Za-z]*+){5}") & text.rlike(r"(?s)(?:[A-Za-z][^A-Za-z]*+){25}")
+    return F.when(text.rlike("[㐀-䶿一-鿿]"), F.when(mixed, "en").otherwise("default")).otherwise(F.when(plain, "en").otherwise("default"))
+
+
+#: White space of Unicode but the plain space.
+ODD_SPACE = "[\\t-\\r\\x85\\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def collapse(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    """Runs of white space as one space, ends trimmed."""
+    return F.trim(F.when(text.rlike(f"{ODD_SPACE}|  "), F.regexp_replace(text, r"(?U)\s+", " ")).otherwise(text))
 
 
 def excerpt(text: Column, limit: int = 180) -> Column:
-    flat = collapse(text)
-    return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.rtrim(F.left(flat, F.lit(limit))), F.lit("…")))
+    cut = lambda flat: F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.rtrim(F.left(flat, F.lit(limit))), F.lit("…")))
+    return let(collapse(text), cut)
 
 
 def unix_lines(text: Column) -> Column:
@@ -70,8 +86,7 @@ def _pieces(text: Column, pattern: str) -> Column:
 def sentences(text: Column) -> Column:
     """Behind 。！？；!?; and behind a full stop before white space; a text of one such sentence is cut at its line ends."""
     flat = F.regexp_replace(F.regexp_replace(collapse(text), r"([。！？；!?;])\s*", f"$1{MARK}"), r"(\.)\s+", f"$1{MARK}")
-    cut = _pieces(flat, MARK)
-    return F.when((F.size(cut) <= 1) & F.contains(text, F.lit("\n")), _pieces(text, r"\n+")).otherwise(cut)
+    return let(_pieces(flat, MARK), lambda cut: F.when((F.size(cut) <= 1) & F.contains(text, F.lit("\n")), _pieces(text, r"\n+")).otherwise(cut))
 
 
 def careful_sentences(text: Column) -> Column:
@@ -104,11 +119,14 @@ def total(array: Column) -> Column:
 
 def share(array: Column, p: float) -> Column:
     """Percentile by linear interpolation on the sorted array, in ten thousandths rounded half up."""
-    ordered = F.array_sort(array)
     at = (F.size(array) - 1) * F.lit(p)
     low = F.floor(at).cast("int")
-    a, b = F.get(ordered, low), F.get(ordered, F.least(low + 1, F.size(array) - 1))
-    return F.floor((a + (b - a) * (at - low)) * 10000 + 0.5).cast("long")
+
+    def between(ordered: Column) -> Column:
+        a, b = F.get(ordered, low), F.get(ordered, F.least(low + 1, F.size(array) - 1))
+        return F.floor((a + (b - a) * (at - low)) * 10000 + 0.5).cast("long")
+
+    return let(F.array_sort(array), between)
 
 
 def spread(array: Column) -> Column:
@@ -128,18 +146,26 @@ def opening_signature(sentence: Column) -> Column:
     """The first three CJK characters, or else the first two Latin words, of a sentence without its leading connector."""
     s = F.regexp_replace(F.trim(sentence), r"^[\s，,;；:：]+", "")
     s = F.trim(F.regexp_replace(s, r"^(?:首先|其次|再次|最后|此外|因此|然而|同时|另外)[，,]?", ""))
-    cjk = F.array_join(F.regexp_extract_all(s, F.lit("[㐀-䶿一-鿿]"), 0), "")
-    words = F.regexp_extract_all(F.lower(s), F.lit(r"[A-Za-z]+(?:[-'][A-Za-z]+)*"), 0)
-    return F.when(cjk != "", F.left(cjk, F.lit(3))).otherwise(F.array_join(F.slice(words, 1, 2), " "))
+    word = "([a-z]+(?:[-'][a-z]+)*)"
+    first_two = rf"^[^a-z]*{word}(?:[^a-z]+{word})?"
+
+    def signature(s: Column) -> Column:
+        cjk = F.left(F.array_join(F.regexp_extract_all(s, F.lit("[㐀-䶿一-鿿]"), 0), ""), F.lit(3))
+        words = let(F.lower(s), lambda x: F.concat_ws(" ", *[F.nullif(F.regexp_extract(x, first_two, i), F.lit("")) for i in (1, 2)]))
+        return F.when(s.rlike("[㐀-䶿一-鿿]"), cjk).otherwise(words)
+
+    return let(s, signature)
 
 
 def structure_class(sentence: Column) -> Column:
-    s = F.trim(sentence)
-    lead = F.when(s.rlike("^[被予加为受得]"), s).otherwise(F.concat(F.lit("。"), s))
-    return (
-        F.when(s == "", "plain_active").when(lead.rlike(L.STRUCT_PASSIVE), "passive").when(s.rlike(L.STRUCT_SUBORDINATE), "subordinate_lead")
-        .when(s.rlike(L.STRUCT_PREMODIFIER), "long_premodifier").when(s.rlike(L.STRUCT_ENUMERATIVE), "enumerative").otherwise("plain_active")
-    )
+    def kind(s: Column) -> Column:
+        lead = F.when(s.rlike("^[被予加为受得]"), s).otherwise(F.concat(F.lit("。"), s))
+        return (
+            F.when(s == "", "plain_active").when(lead.rlike(L.STRUCT_PASSIVE), "passive").when(s.rlike(L.STRUCT_SUBORDINATE), "subordinate_lead")
+            .when(s.rlike(L.STRUCT_PREMODIFIER), "long_premodifier").when(s.rlike(L.STRUCT_ENUMERATIVE), "enumerative").otherwise("plain_active")
+        )
+
+    return let(F.trim(sentence), kind)
 
 
 def sentence_core(sentence: Column) -> Column:
@@ -148,7 +174,10 @@ def sentence_core(sentence: Column) -> Column:
 
 
 def opening_family(sentence: Column) -> Column:
-    core = sentence_core(sentence)
+    return let(sentence_core(sentence), family_of_core)
+
+
+def family_of_core(core: Column) -> Column:
     english = (latin_words(core) >= 4) & (cjk_chars(core) <= 2)
     en, zh = F.lit("en.plain"), F.lit("cn.plain")
     for name, pattern in reversed(L.OPENINGS_EN):
@@ -159,20 +188,23 @@ def opening_family(sentence: Column) -> Column:
 
 
 def length_bucket(sentence: Column) -> Column:
-    n = F.length(F.regexp_replace(sentence, r"(?U)\s+", ""))
-    return F.when(n <= 12, "short").when(n <= 32, "medium").when(n <= 64, "long").otherwise("very_long")
+    size = lambda n: F.when(n <= 12, "short").when(n <= 32, "medium").when(n <= 64, "long").otherwise("very_long")
+    return let(F.length(F.regexp_replace(sentence, r"(?U)\s+", "")), size)
 
 
 def skeleton(sentence: Column) -> Column:
     """SHA-256 of a sentence's frame (language, opening family, punctuation, conjunctions, length), without its words."""
-    core = sentence_core(sentence)
     words = r"(?i)并且|而且|以及|同时|从而|进而|但是|然而|因此|因而|如果|虽然|不仅|而|并|且|\b(?:and|but|because|therefore|although|while|if)\b"
-    least = lambda pattern, most: F.least(count_of(core, pattern), F.lit(most)).cast("string")
-    parts = [
-        F.when((latin_words(core) >= 4) & (cjk_chars(core) <= 2), "en").otherwise("zh"), opening_family(sentence), length_bucket(core),
-        least("[，,]", 4), least("[；;]", 3), least("[：:]", 2), least(words, 4),
-    ]
-    return F.sha2(F.concat_ws("|", *parts), 256)
+
+    def frame(core: Column) -> Column:
+        least = lambda pattern, most: F.least(count_of(core, pattern), F.lit(most)).cast("string")
+        parts = [
+            F.when((latin_words(core) >= 4) & (cjk_chars(core) <= 2), "en").otherwise("zh"), family_of_core(core), length_bucket(core),
+            least("[，,]", 4), least("[；;]", 3), least("[：:]", 2), least(words, 4),
+        ]
+        return F.sha2(F.concat_ws("|", *parts), 256)
+
+    return let(sentence_core(sentence), frame)
 
 
 def content_terms(text: Column) -> Column:
@@ -184,8 +216,8 @@ def content_terms(text: Column) -> Column:
 
 
 def numbers(text: Column) -> Column:
-    """Numbers that stand by themselves, white space dropped, ％ as %."""
-    return F.transform(F.regexp_extract_all(text, F.lit(L.NUMBER), 0), lambda x: F.translate(F.regexp_replace(x, r"\s+", ""), "％", "%"))
+    """Numbers that stand by themselves, in any script's digits; white space dropped, full-width digits and ％ as ASCII."""
+    return F.transform(F.regexp_extract_all(text, F.lit("(?U)" + L.NUMBER), 0), lambda x: F.translate(F.regexp_replace(x, r"(?U)\s+", ""), FULL_WIDTH, ASCII_WIDTH))
 
 
 def citations(text: Column) -> Column:
@@ -197,7 +229,27 @@ def overlap(a: Column, b: Column) -> Column:
     return F.struct(F.size(F.array_intersect(a, b)).alias("both"), F.least(F.size(a), F.size(b)).alias("least"))
 
 
+def _runs(a: Column, b: Column, start: Column, at_end: Callable) -> Column:
+    """Folds at_end(state, value, count in a, count in b) over the distinct values of both arrays in order, in one pass over them sorted."""
+    both = F.array_sort(F.concat(F.transform(a, lambda x: F.struct(x.alias("v"), F.lit(0).alias("side"))), F.transform(b, lambda x: F.struct(x.alias("v"), F.lit(1).alias("side")))))
+    begin = F.struct(F.lit(None).cast("string").alias("v"), F.lit(0).alias("na"), F.lit(0).alias("nb"), start.alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        one, other = F.when(x["side"] == 0, 1).otherwise(0), F.when(x["side"] == 1, 1).otherwise(0)
+        same = F.struct(s["v"].alias("v"), (s["na"] + one).alias("na"), (s["nb"] + other).alias("nb"), s["out"].alias("out"))
+        new = F.struct(x["v"].alias("v"), one.alias("na"), other.alias("nb"), at_end(s["out"], s["v"], s["na"], s["nb"]).alias("out"))
+        return F.when(s["v"] == x["v"], same).otherwise(new)
+
+    return F.aggregate(both, begin, step, lambda s: at_end(s["out"], s["v"], s["na"], s["nb"]))
+
+
+def multiset_shared(a: Column, b: Column) -> Column:
+    """How many elements two arrays of strings have in common, counted as often as both have them."""
+    return _runs(a, b, F.lit(0), lambda n, v, x, y: n + F.least(x, y))
+
+
 def multiset_minus(a: Column, b: Column) -> Column:
     """Elements of a beyond their count in b, sorted."""
-    count = lambda xs, v: F.size(F.filter(xs, lambda y: y == v))
-    return F.flatten(F.transform(F.array_sort(F.array_distinct(a)), lambda v: F.array_repeat(v, F.greatest(F.lit(0), count(a, v) - count(b, v)))))
+    none = F.array().cast("array<struct<v: string, n: int>>")
+    beyond = _runs(a, b, none, lambda out, v, x, y: F.when(x > y, F.array_append(out, F.struct(v.alias("v"), (x - y).alias("n")))).otherwise(out))
+    return F.flatten(F.transform(beyond, lambda e: F.array_repeat(e["v"], e["n"])))

@@ -143,7 +143,8 @@ def summarize_delta(delta: DataFrame, *keys: str) -> DataFrame:
 def hotspots(df: DataFrame, key: str, order: list[str], text: str = "text", limit: int = L.MOST_HOTSPOTS) -> DataFrame:
     """The `limit` riskiest texts of each key: by points, high risks, number of risks, then the given order."""
     w = Window.partitionBy(key).orderBy(F.desc("risk_points"), F.desc("high_count"), F.desc("risk_count"), *order)
-    found = audit(df, text).where("risk_count > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    # texts without risks sort last; a filter before the window would be pushed down with a second copy of the audit in it
+    found = audit(df, text).withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= limit) & (F.col("risk_count") > 0))
     return found.withColumn("excerpt", T.excerpt(F.col(text)))
 
 

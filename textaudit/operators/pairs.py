@@ -31,9 +31,12 @@ def language_check(a: Column, b: Column) -> Column:
 def retention(a: Column, b: Column) -> Column:
     """0.55 coverage + 0.20 precision + 0.25 length similarity over the multisets of lexical units, in ten thousandths."""
     units = lambda t: F.transform(F.regexp_extract_all(t, F.lit(L.RETENTION_UNIT), 0), lambda x: F.lower(x))
-    x, y = units(a), units(b)
-    gone = F.size(T.multiset_minus(x, y))
-    both = (F.size(x) - gone).cast("double")
+    return retention_of(units(a), units(b))
+
+
+def retention_of(x: Column, y: Column) -> Column:
+    """retention from the arrays of lexical units."""
+    both = T.multiset_shared(x, y).cast("double")
     coverage, precision = both / F.greatest(F.size(x), F.lit(1)), both / F.greatest(F.size(y), F.lit(1))
     size = F.least(F.size(x), F.size(y)).cast("double") / F.greatest(F.size(x), F.size(y), F.lit(1))
     c, p, s = L.RETENTION_WEIGHTS
