@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small
+from .common import Scratch, lean, small
 from .components import Forest
 from .textblocks import U, mix
 
@@ -177,7 +177,7 @@ def exact_links(members: DataFrame, bytes_col: str, entries_of: Callable, least:
     here = F.array(F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
     cut = cut.withColumn("part", F.explode(F.when(F.col("a") == F.col("b"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(here)))
     binned = cut.withColumn("bin", F.pmod(F.xxhash64("b", "part"), F.lit(bins)))
-    first = scratch.put(binned.groupBy("bin").applyInArrow(_first_search(entries_of, least), _SCHEMA))
+    first = scratch.put(binned.groupBy("bin").applyInArrow(lean(_first_search(entries_of, least)), _SCHEMA))
     links = first.where("link").select("a", "b")
     alone = first.where("not link").select("a", "b", "part")
     if not large or alone.isEmpty():
@@ -193,5 +193,5 @@ def exact_links(members: DataFrame, bytes_col: str, entries_of: Callable, least:
     to = to.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("part <> own").select(*hosts.columns)
     both = hosts.unionByName(to)
     # a group is two parts at most, so it is a bin of its own
-    second = scratch.put(both.groupBy("b", "part", "block").applyInArrow(_visit(entries_of, least), _SCHEMA))
+    second = scratch.put(both.groupBy("b", "part", "block").applyInArrow(lean(_visit(entries_of, least)), _SCHEMA))
     return links.unionByName(second.select("a", "b"))

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 #: Words that a task remembers; beyond it the memory starts anew.
 CACHE_WORDS = 1_000_000
 #: Bytes of text that are split and replayed together.
@@ -277,7 +279,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"id {typ}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), schema)
     return out.withColumnRenamed("id", id_col)
 
 

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import inspect
 import tempfile
+import time
 import uuid
 from functools import reduce
 
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes up to which one side of a join is broadcast; a larger side is shuffled.
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +67,43 @@ class Scratch:
             _delete(self.spark, df._textaudit_path)
 
 
+_trimmed = [0.0]
+
+
+def trim() -> None:
+    """Gives the memory that a Python worker has freed back to the system; the allocators would keep it for the next task."""
+    if time.monotonic() - _trimmed[0] < 1:
+        return
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+    _trimmed[0] = time.monotonic()
+
+
+def lean(run):
+    """run, a function for applyInArrow or a generator of them for mapInArrow, with a trim behind each group or batch."""
+
+    @functools.wraps(run)
+    def of_group(x):
+        out = run(x)
+        trim()
+        return out
+
+    @functools.wraps(run)
+    def of_batches(batches):
+        for out in run(batches):
+            yield out
+            del out
+            trim()
+        trim()
+
+    return of_batches if inspect.isgeneratorfunction(run) else of_group
+
+
 def small(df: DataFrame, size: int, most: int = BROADCAST_BYTES) -> DataFrame:
     """df, marked for broadcast if its size (bytes, from counted rows) is within the bound; else unmarked, for a shuffled join."""
     return F.broadcast(df) if size <= most else df

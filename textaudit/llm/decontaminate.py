@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 from .textblocks import SHINGLE, U, blocks, mix, shingle_hashes, word_hashes
 
 CONTAINMENT = 0.8
@@ -157,7 +157,7 @@ def find_contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
                     at, item, n = (list(x) for x in zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array([found.ids[i] for i in item]), pa.array(n, pa.int64()), pa.array([len(found.shingles[i]) for i in item], pa.int64())], ["id", "item_id", "shared", "item_size"])
 
-        one = d.mapInArrow(run, schema)
+        one = d.mapInArrow(lean(run), schema)
         out = one if out is None else out.unionByName(one)
     return out.withColumnRenamed("id", id_col)
 
@@ -178,7 +178,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
                 clean[[t for t, _, _ in _search(shared.value, batch.column(at).to_pylist())]] = False
                 yield batch.filter(pa.array(clean))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(lean(run), docs.schema)
     return out
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bandsearch import exact_links
-from .common import Scratch, first_of_repeated, fresh, same_row, small, table, text_key
+from .common import Scratch, first_of_repeated, fresh, lean, same_row, small, table, text_key
 from .components import components
 from .textblocks import U, char_grams, mix, slices
 
@@ -37,7 +37,7 @@ CHUNK_BYTES = 8 << 20
 #: Bytes of the band entries of a bucket.
 BUCKET_BYTES = 4 << 20
 #: Bytes of the lines that are compared together.
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 19
 EMPTY = np.uint32(0xFFFFFFFF)
 _rng = np.random.default_rng(3)
 #: For each attempt the bin that an empty bin looks at.
@@ -229,9 +229,9 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # a line of 300 characters has 15 entries of 13 bytes
     run, ddl = _send(max(8, min(1 << 22, -(-int(size) * 2 // 3 // BUCKET_BYTES))), to_arrow_type(docs.schema[id_col].dataType), docs.schema[id_col].dataType.simpleString())
-    sent = scratch.put(source.mapInArrow(run, ddl), "kind")
+    sent = scratch.put(source.mapInArrow(lean(run), ddl), "kind")
     lines = sent.where("kind = 0")
-    led = scratch.put(sent.where("kind = 1").select("bucket", "uid", "payload").groupBy("bucket").applyInArrow(_leaders, "a long, b long").distinct())
+    led = scratch.put(sent.where("kind = 1").select("bucket", "uid", "payload").groupBy("bucket").applyInArrow(lean(_leaders), "a long, b long").distinct())
     texts = lines.select(F.col("uid").alias("a"), "text")
     texts = texts.join(small(led.select("a").distinct(), 8 * led.count()), "a", "left_semi")
     members = scratch.put(led.join(texts, "a"))
@@ -295,7 +295,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     from pyspark.sql.types import IntegerType, StructField, StructType
 
-    return joined.mapInArrow(run, StructType([*joined.schema.fields, StructField(n_lines, IntegerType())]))
+    return joined.mapInArrow(lean(run), StructType([*joined.schema.fields, StructField(n_lines, IntegerType())]))
 
 
 def op2_line_dedup(spark, sf_dir):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small, table
+from .common import Scratch, lean, small, table
 from .textblocks import U, blocks, byte_grams, mix, shingle_hashes, spans, word_hashes
 
 GRAM_BYTES = (4,)
@@ -61,10 +61,9 @@ def token_shapes(block: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return shape * 4 + same, counts
 
 
-def features(texts: list[str]) -> list[np.ndarray]:
-    """The distinct n-gram buckets of every text, sorted: n-grams of its bytes and of the shapes of its tokens."""
-    out: list[np.ndarray] = []
-    for _, block in blocks(texts, lower=False):
+def features_by_block(texts: list[str]):
+    """(first index, features) of every block of texts: a batch of texts has many times their bytes in features."""
+    for first, block in blocks(texts, lower=False):
         grams = [byte_grams(block, k) for k in GRAM_BYTES]
         shapes, counts = token_shapes(block)
         words = mix(shapes.astype(U) + U(1))
@@ -76,8 +75,12 @@ def features(texts: list[str]) -> list[np.ndarray]:
         key = np.sort(np.concatenate(keys))
         key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
         cut = np.searchsorted(key >> BUCKET_BITS, np.arange(1, len(block)))
-        out += [x.astype(np.int32) for x in np.split(key & (BUCKETS - 1), cut)]
-    return out
+        yield first, [x.astype(np.int32) for x in np.split(key & (BUCKETS - 1), cut)]
+
+
+def features(texts: list[str]) -> list[np.ndarray]:
+    """The distinct n-gram buckets of every text, sorted: n-grams of its bytes and of the shapes of its tokens."""
+    return [x for _, rows in features_by_block(texts) for x in rows]
 
 
 def log_count_ratio(positive: np.ndarray, negative: np.ndarray) -> np.ndarray:
@@ -115,6 +118,9 @@ class Model:
     def margins(self, rows: list[np.ndarray]) -> np.ndarray:
         return np.array([float(self.weights[i].sum(dtype=np.float64)) / max(float(np.sqrt(self.squares[i].sum(dtype=np.float64))), 1e-12) + self.bias for i in rows], np.float64)
 
+    def score_texts(self, texts: list[str]) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *[self.scores(rows) for _, rows in features_by_block(texts)]])
+
     def scores(self, rows: list[np.ndarray]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(SLOPE * self.margins(rows), -30, 30)))
 
@@ -143,18 +149,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         counts = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
             y, chosen = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
-            rows = features(batch.column(0).to_pylist())
-            for k, row in zip(y, rows, strict=True):
-                counts[k, row] += 1
-            at = np.flatnonzero(chosen)
-            if len(at):
-                yield _rows(len(at), y=y[at], row=[rows[i].tobytes() for i in at])
+            for first, rows in features_by_block(batch.column(0).to_pylist()):
+                for k, row in zip(y[first : first + len(rows)], rows, strict=True):
+                    counts[k, row] += 1
+                at = np.flatnonzero(chosen[first : first + len(rows)])
+                if len(at):
+                    yield _rows(len(at), y=y[first + at], row=[rows[i].tobytes() for i in at])
         at = np.flatnonzero(counts.any(axis=0))
         if len(at):
             yield _rows(len(at), bucket=at, negative=counts[0, at], positive=counts[1, at])
 
     scratch = Scratch(docs.sparkSession, "quality")
-    both = scratch.put(d.mapInArrow(run, _SCHEMA))
+    both = scratch.put(d.mapInArrow(lean(run), _SCHEMA))
     sums = both.where("bucket is not null").groupBy("bucket").agg(F.sum("negative").alias("n"), F.sum("positive").alias("p")).toPandas()  # BUCKETS rows
     chosen = both.where("row is not null").select("y", "row").toPandas()  # about 2 x sample rows
     scratch.drop(both)
@@ -185,11 +191,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         for batch in batches:
-            s = shared.value.scores(features(batch.column(1).to_pylist()))
+            s = shared.value.score_texts(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], ["id", "score", "predicted"])
 
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, score double, predicted int").withColumnRenamed("id", id_col)
+    return d.mapInArrow(lean(run), f"id {docs.schema[id_col].dataType.simpleString()}, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -202,9 +208,9 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(shared.value.scores(features(batch.column(at).to_pylist())) >= 0.5))
+            yield batch.filter(pa.array(shared.value.score_texts(batch.column(at).to_pylist()) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):
