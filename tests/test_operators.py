@@ -253,3 +253,28 @@ def test_queries_and_sql_agree_in_name():
 def test_pack_paragraph_bounds(text, limit):
     got = segment.pack_paragraph(text, limit, True)
     assert all(0 < len(x) <= limit for x in got) and "".join("".join(got).split()) == "".join(text.split())
+
+
+def test_last_change_wins(spark):
+    base = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k long, v string")
+    changes = spark.createDataFrame([(2, "late", 9), (2, "early", 1), (4, "new", 3)], "k long, v string, seq int")
+    assert {(r.k, r.v) for r in history.upsert(base, changes, "k", "seq").collect()} == {(1, "a"), (2, "late"), (3, "c"), (4, "new")}
+
+
+def test_multisets_are_counted(spark):
+    rows = [(["b", "a", "b", "b"], ["b", "c"]), ([], ["x"]), (["x"], []), ([], [])]
+    out = spark.createDataFrame(rows, "x array<string>, y array<string>").select(T.multiset_minus(F.col("x"), F.col("y")).alias("m"), T.multiset_shared(F.col("x"), F.col("y")).alias("n")).collect()
+    assert [(r.m, r.n) for r in out] == [(["a", "b", "b"], 1), ([], 0), (["x"], 0), ([], 0)]
+
+
+def test_full_width_numbers_and_not_only(spark):
+    row = spark.createDataFrame([(1, "共１２ ％, 3.5 and １２", "It is not only fast, only here. Not  only so.")], "k long, a string, b string")
+    assert row.select(T.numbers(F.col("a")).alias("n")).first().n == ["12%", "3.5", "12"]
+    assert [(r.kind, r.n) for r in guards.scope_profile(row, "k", "b").collect()] == [("exclusive", 1)]
+
+
+def test_ranking_holds_each_expression_once(spark):
+    """A filter on the audit isn't pushed below the window with a second copy of it."""
+    docs = spark.createDataFrame([(1, "k", "Some text. " * 9)], "doc_id long, lang string, text string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all")
+    assert plan(audit.hotspots(docs, "lang", ["doc_id"])) <= plan(audit.audit(docs)) + 2

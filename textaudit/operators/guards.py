@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 # --- fixed values: scope qualifiers, longest first, by kind -----------------------------------------------------------
 SCOPE_ZH = r"不仅仅|不仅|不只|只要|只需|只须|仅需|仅须|只有|唯有|唯一|仅仅|全部|全都|所有|任何|任一|一律|必然|必定|势必|仅|只|均"
 SCOPE_EN = r"(?i)\b(?:only|solely|all|every|any|necessarily|always)\b"
+NOT_ONLY = r"(?i)\bnot\s{1,5}only\b"
 ADDITIVE = ("不仅仅", "不仅", "不只")
 KINDS = (("sufficient", ("只要", "只需", "只须", "仅需", "仅须")), ("exclusive", ("只有", "唯有", "唯一", "仅仅", "仅", "只", "only", "solely")), ("universal", ("全部", "全都", "所有", "任何", "任一", "一律", "均", "all", "every", "any", "always")), ("necessary", ("必然", "必定", "势必", "necessarily")))
+# --- patterns of this library -----------------------------------------------------------------------------------------
 NEGATION = r"(?i)不|没有|未|无法|并非|\b(?:no|not|never|without|cannot|neither|nor)\b|n't\b"
 #: kind -> pattern of an entity; where they overlap the one that starts first wins, of equals the longest.
 ENTITIES = (("url", r"https?://[^\s，。；)）\]]+"), ("tech", r"(?<![A-Za-z0-9])(?:[A-Z]{2,}[A-Za-z0-9]*(?:[-_][A-Za-z0-9]+)*|[A-Z][a-z0-9]+[A-Z][A-Za-z0-9]*)(?![A-Za-z0-9])"), ("title", r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\b"))
@@ -17,9 +19,9 @@ ORDER_CUE = r"分别|依次|(?i:\brespectively\b|\bin turn\b)"
 
 
 def scope_profile(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, paragraph, kind, n): scope qualifiers by paragraph (blank lines) and kind; additive pairs aren't counted."""
+    """(key, paragraph, kind, n): scope qualifiers by paragraph (blank lines) and kind; additive pairs ("not only", too) aren't counted."""
     cut = df.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"\n\s*\n+")).alias("paragraph", "p"))
-    found = F.concat(F.regexp_extract_all("p", F.lit(SCOPE_ZH), F.lit(0)), F.transform(F.regexp_extract_all("p", F.lit(SCOPE_EN), F.lit(0)), lambda x: F.lower(x)))
+    found = F.concat(F.regexp_extract_all("p", F.lit(SCOPE_ZH), F.lit(0)), F.transform(F.regexp_extract_all(F.regexp_replace("p", NOT_ONLY, "not"), F.lit(SCOPE_EN), F.lit(0)), lambda x: F.lower(x)))
     tokens = cut.select(key, "paragraph", F.explode(found).alias("token")).where(~F.col("token").isin(*ADDITIVE))
     kind = F.lit(None).cast("string")
     for name, members in KINDS:

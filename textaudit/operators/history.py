@@ -48,8 +48,11 @@ def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
     return rows.groupBy(key).agg(best).select(key, *[F.col(f"m.{c}").alias(c) for c in (*order, *rest)])
 
 
-def upsert(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """base with the rows of changes in place of those with the same key; changes are unique by key."""
+def upsert(base: DataFrame, changes: DataFrame, key: str, *order: str) -> DataFrame:
+    """base with the rows of changes in place of those with the same key. With order (columns that only changes has) the
+    last change of a key by them wins; without, changes must be unique by key."""
+    if order:
+        changes = latest(changes, key, *order).select(*base.columns)
     return base.join(changes.select(key), key, "left_anti").unionByName(changes)
 
 

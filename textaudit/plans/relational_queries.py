@@ -62,10 +62,11 @@ def latest_round(spark, sf_dir):
 
 
 def upsert_last_wins(spark, sf_dir):
-    """Orders of even keys get a change of status; the changed row replaces the old one."""
+    """Orders of even keys get two changes of status, the later first; the last by sequence replaces the old row."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    changes = o.where("o_orderkey % 2 = 0").withColumn("o_orderstatus", F.lit("X"))
-    return H.upsert(o, changes, "o_orderkey").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"))
+    change = lambda status, seq: o.where("o_orderkey % 2 = 0").withColumn("o_orderstatus", F.lit(status)).withColumn("seq", F.lit(seq))
+    changes = change("X", 2).unionByName(change("Y", 1))
+    return H.upsert(o, changes, "o_orderkey", "seq").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"))
 
 
 def delete_impact(spark, sf_dir):

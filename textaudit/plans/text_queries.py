@@ -353,8 +353,12 @@ def scope_profile(spark, sf_dir):
     return guards.scope_profile(d, "doc_id").groupBy("kind").agg(F.count_distinct("doc_id").alias("documents"), F.sum("n").alias("n"))
 
 
-SCOPE_SQL = """with t as (select doc_id, unnest(regexp_extract_all(lower(text), '\\b(?:only|solely|all|every|any|necessarily|always)\\b')) as token from documents where lang = 'en')
-select case when token in ('only', 'solely') then 'exclusive' when token = 'necessarily' then 'necessary' else 'universal' end as kind, count(distinct doc_id) as documents, count(*) as n from t group by 1"""
+SCOPE_SQL = """with p as (select doc_id, regexp_replace(lower(text), '\\bnot\\s{1,5}only\\b', 'not', 'g') as text from documents),
+t as (select doc_id, unnest(regexp_extract_all(text, '\\b(?:only|solely|all|every|any|necessarily|always)\\b')) as token from p
+union all select doc_id, unnest(regexp_extract_all(text, '不仅仅|不仅|不只|只要|只需|只须|仅需|仅须|只有|唯有|唯一|仅仅|全部|全都|所有|任何|任一|一律|必然|必定|势必|仅|只|均')) from p)
+select case when token in ('只要', '只需', '只须', '仅需', '仅须') then 'sufficient' when token in ('only', 'solely', '只有', '唯有', '唯一', '仅仅', '仅', '只') then 'exclusive'
+  when token in ('necessarily', '必然', '必定', '势必') then 'necessary' else 'universal' end as kind, count(distinct doc_id) as documents, count(*) as n
+from t where token not in ('不仅仅', '不仅', '不只') group by 1"""
 
 
 def negation_loss(spark, sf_dir):
