@@ -279,6 +279,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> D
     both = sent.where("kind = 0").select("kind", "chunk", "payload").unionByName(shared)
     weigh = _weigh(n, to_arrow_type(docs.schema[id_col].dataType))
     texts = scratch.put(both.groupBy("chunk").applyInArrow(lean(weigh), f"uid long, key binary, row binary, members array<{id_ddl}>, weight double, hashes binary, weights binary, bands array<long>"))
+    scratch.drop(sent)
     known = texts.where("key is not null")
     least = known.groupBy("key").agg(F.min("uid").alias("rep"), F.count("*").alias("n")).where("n > 1").select("key", "rep")
     copies = scratch.put(known.select("key", "uid").join(least, "key").where("uid <> rep").select("uid", "rep"))
@@ -288,7 +289,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> D
     least = bands.groupBy("band").agg(F.min("uid").alias("b"), F.count("*").alias("n")).where("n > 1").select("band", "b")
     led = bands.join(least, "band").select(F.col("uid").alias("a"), "b").distinct()
     members = scratch.put(led.join(texts.select(F.col("uid").alias("a"), "weight", "hashes", "weights"), "a"))
+    scratch.drop(bands)
     links = exact_links(members, "hashes", _entries, THRESHOLD, PART_BYTES, scratch)
+    scratch.drop(members)  # links are written
     roots = components(links, scratch)
     roots = small(roots, 16 * roots.count())
     rep = texts.select("uid", "row", "members").join(copies, "uid", "left").withColumn("rep", F.coalesce("rep", "uid"))
@@ -304,7 +307,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> D
     alone = F.col("least").isNull()
     out = joined.select("root", "id", "row", F.when(alone, F.col("id")).otherwise(F.col("least.id")).alias("class_id"), F.when(alone, F.col("row")).otherwise(F.col("least.row")).alias("class_row"), "class_size", "links")
     out = scratch.put(out)
-    scratch.drop(sent, texts, bands, members)
+    scratch.drop(texts)
     return out
 
 
