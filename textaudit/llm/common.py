@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import functools
+import gc
 import inspect
 import tempfile
 import time
@@ -66,6 +67,16 @@ class Scratch:
         for df in dfs:
             _delete(self.spark, df._textaudit_path)
 
+    def drop_part(self, df: DataFrame, part: str) -> None:
+        """Deletes one partition's folder ("column=value") of a table; the others can still be read."""
+        _delete(self.spark, f"{df._textaudit_path}/{part}")
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more: it acts when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
 
 _trimmed = [0.0]
 

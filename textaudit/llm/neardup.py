@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bandsearch import exact_links
-from .common import Scratch, first_of_repeated, fresh, lean, same_row, small, table, text_key
+from .common import Scratch, first_of_repeated, fresh, lean, release_shuffles, same_row, small, table, text_key
 from .components import components
 from .textblocks import U, blocks, mix, shingle_hashes, unique_by_text, word_hashes
 
@@ -275,11 +275,15 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> D
     buckets = max(8, min(1 << 22, -(-int(size or 0) // BUCKET_BYTES)))
     id_ddl = docs.schema[id_col].dataType.simpleString()
     sent = scratch.put(source.mapInArrow(lean(_send(buckets)), _SENT_DDL), "kind")
-    shared = sent.where("kind = 1").groupBy("key").applyInArrow(lean(_frequencies), "kind int, chunk long, payload binary")
+    # what one phase has read is deleted before the next one shuffles, so their disks don't add up
+    shared = scratch.put(sent.where("kind = 1").groupBy("key").applyInArrow(lean(_frequencies), "kind int, chunk long, payload binary"))
+    scratch.drop_part(sent, "kind=1")
+    release_shuffles(docs.sparkSession)
     both = sent.where("kind = 0").select("kind", "chunk", "payload").unionByName(shared)
     weigh = _weigh(n, to_arrow_type(docs.schema[id_col].dataType))
     texts = scratch.put(both.groupBy("chunk").applyInArrow(lean(weigh), f"uid long, key binary, row binary, members array<{id_ddl}>, weight double, hashes binary, weights binary, bands array<long>"))
-    scratch.drop(sent)
+    scratch.drop(sent, shared)
+    release_shuffles(docs.sparkSession)
     known = texts.where("key is not null")
     least = known.groupBy("key").agg(F.min("uid").alias("rep"), F.count("*").alias("n")).where("n > 1").select("key", "rep")
     copies = scratch.put(known.select("key", "uid").join(least, "key").where("uid <> rep").select("uid", "rep"))
