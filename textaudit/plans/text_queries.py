@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textaudit.functions import lexicons as L
 from textaudit.functions import text as T
-from textaudit.operators import audit, guards, pairs, segment, select
+from textaudit.operators import audit, guards, pairs, readability, segment, select
 from textaudit.sources.tables import table
 
 # --- SQL of the shared measures, over a relation src(id..., text) -----------------------------------------------------
@@ -353,25 +353,38 @@ def scope_profile(spark, sf_dir):
     return guards.scope_profile(d, "doc_id").groupBy("kind").agg(F.count_distinct("doc_id").alias("documents"), F.sum("n").alias("n"))
 
 
-SCOPE_SQL = """with p as (select doc_id, regexp_replace(lower(text), '\\bnot\\s{1,5}only\\b', 'not', 'g') as text from documents),
+#: The given tables hold no Chinese, so of its qualifiers this has those that need no look at their clause.
+SCOPE_SQL = """with p as (select doc_id, regexp_replace(lower(text), '\\bnot\\s{1,5}(?:only|solely)\\b', 'not', 'g') as text from documents),
 t as (select doc_id, unnest(regexp_extract_all(text, '\\b(?:only|solely|all|every|any|necessarily|always)\\b')) as token from p
-union all select doc_id, unnest(regexp_extract_all(text, '不仅仅|不仅|不只|只要|只需|只须|仅需|仅须|只有|唯有|唯一|仅仅|全部|全都|所有|任何|任一|一律|必然|必定|势必|仅|只|均')) from p)
-select case when token in ('只要', '只需', '只须', '仅需', '仅须') then 'sufficient' when token in ('only', 'solely', '只有', '唯有', '唯一', '仅仅', '仅', '只') then 'exclusive'
-  when token in ('necessarily', '必然', '必定', '势必') then 'necessary' else 'universal' end as kind, count(distinct doc_id) as documents, count(*) as n
-from t where token not in ('不仅仅', '不仅', '不只') group by 1"""
+union all select doc_id, unnest(regexp_extract_all(text, '只要|唯一|全部|全都|任何|任一|一律|必然|必定|势必')) from p)
+select case when token in ('only', 'solely', '唯一') then 'exclusive_restriction' when token = '只要' then 'condition_sufficient' when token in ('any', '任何', '任一') then 'universal_any'
+  when token in ('all', 'every', '全部', '全都', '一律') then 'universal_totality' else 'certainty_absolute' end as kind, count(distinct doc_id) as documents, count(*) as n from t group by 1"""
 
 
 def negation_loss(spark, sf_dir):
-    """Turns whose negations the next turn lacks, and entities it doesn't name."""
-    p = guards.relation_issues(turn_pairs(spark, sf_dir))
-    return p.select("conv_id", "turn", guards.negations(F.coalesce("input_text", F.lit(""))).cast("long").alias("negations"), F.array_contains("relation_issues", "negation_scope_removed").alias("lost"))
+    """Turns whose negations the next turn lacks."""
+    p = turn_pairs(spark, sf_dir).withColumns({"_a": guards.negations(F.coalesce("input_text", F.lit(""))), "_b": guards.negations(F.coalesce("output_text", F.lit("")))})
+    return p.select("conv_id", "turn", F.col("_a").cast("long").alias("negations"), ((F.col("_a") > 0) & (F.col("_b") == 0)).alias("lost"))
 
 
-NEGATION_SQL = """with p as (select conv_id, turn, coalesce(text, '') as a, lead(coalesce(text, '')) over w as b, lead(turn) over w as nx from conversations window w as (partition by conv_id order by turn)),
-n as (select *, len(regexp_extract_all(a, '(?i)不|没有|未|无法|并非|\\b(?:no|not|never|without|cannot|neither|nor)\\b|n''t\\b')) as x, len(regexp_extract_all(b, '(?i)不|没有|未|无法|并非|\\b(?:no|not|never|without|cannot|neither|nor)\\b|n''t\\b')) as y from p where nx is not null)
+_NEGATION_SQL = r"(?i)并非|并不|并未|尚未|不得|不能|不可|不会|没有|并无|毫无|无法|未[^来知]|不[^仅但论管妨]|\b(?:not|no|never|without|cannot|can''t|isn''t|aren''t|wasn''t|weren''t|doesn''t|don''t|didn''t)\b"
+NEGATION_SQL = f"""with p as (select conv_id, turn, coalesce(text, '') as a, lead(coalesce(text, '')) over w as b, lead(turn) over w as nx from conversations window w as (partition by conv_id order by turn)),
+n as (select *, len(regexp_extract_all(a, '{_NEGATION_SQL}')) as x, len(regexp_extract_all(b, '{_NEGATION_SQL}')) as y from p where nx is not null)
 select conv_id, turn, x::bigint as negations, x > 0 and y = 0 as lost from n"""
 
 
+def relation_issues(spark, sf_dir):
+    """Turns whose facts the next turn changes, by code: no SQL, as places and look-around are beyond it (tests: by hand)."""
+    p = guards.relation_issues(turn_pairs(spark, sf_dir)).where("size(relation_issues) > 0")
+    return p.select("conv_id", "turn", F.array_join("relation_issues", ",").alias("issues"))
+
+
+def readability_delta(spark, sf_dir):
+    """Forms of five kinds that a turn has more of than the turn before, by kind."""
+    p = readability.delta(turn_pairs(spark, sf_dir)).select(F.explode("readability").alias("r")).select("r.*")
+    return p.groupBy("code").agg(*[F.sum(c).alias(c) for c in ("input", "output", "introduced", "resolved")])
+
+
 # --- chunks, masks, candidates, folds ---------------------------------------------------------------------------------
 def chunk_manifest(spark, sf_dir):
     """Each document's chunks of at most 850 characters: their number, the longest, and the characters in all."""
@@ -427,7 +440,7 @@ f as (select g.*, g.growth <= 12 or t <= 12 as accepted, case when g.growth <= 1
 select conv_id, turn, n, growth, accepted from f"""
 
 QUERIES = {
-    "scope_profile": (scope_profile, SCOPE_SQL), "negation_loss": (negation_loss, NEGATION_SQL),
+    "scope_profile": (scope_profile, SCOPE_SQL), "negation_loss": (negation_loss, NEGATION_SQL), "relation_issues": (relation_issues, None), "readability_delta": (readability_delta, None),
     "chunk_manifest": (chunk_manifest, None), "split_reasons": (split_reasons, SPLIT_SQL), "mask_round_trip": (mask_round_trip, None), "candidate_choice": (candidate_choice, CANDIDATE_SQL), "document_fold": (document_fold, FOLD_SQL),
     "sentence_length_stats": (sentence_length_stats, SENTENCE_LENGTH_SQL), "paragraph_uniformity": (paragraph_uniformity, PARAGRAPH_SQL), "opening_profile": (opening_profile, OPENING_SQL),
     "language_crosstab": (language_crosstab, LANGUAGE_SQL), "sentence_length_buckets": (length_buckets, BUCKET_SQL), "excerpts": (excerpts, EXCERPT_SQL), "exact_copies": (exact_copies, COPIES_SQL),
