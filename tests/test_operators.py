@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textaudit.functions import text as T
-from textaudit.operators import audit, docroles, events, guards, history, pairs, readability, segment, select
+from textaudit.operators import audit, docroles, events, guards, history, pairs, readability, repetition, segment, select, validators
 from textaudit.plans import text_queries
 from textaudit.sources import tables
 
@@ -203,6 +203,49 @@ def test_readability_delta(spark):
     assert tuple(rows["exchanged"].readability[0])[1:] == (1, 1, 1, 1) and rows["chain"].readability[3].introduced == 3
 
 
+CHAIN = [
+    ("same", "1. 系统读取数据（李明等，2020）并写入 MySQL8 中。", "1. 系统读取数据（李明等，2020）并写入 MySQL8 中。", []), ("empty", "Some text.", " ", ["empty_output"]), ("paragraphs", "One part.\n\nOther part.", "One part. Other part.", ["paragraph_count_changed"]),
+    ("breaks", "One part. Other part.", "One part.\n\nOther part.", ["paragraph_breaks_added"]), ("answer", "系统读取数据。", "改写后：系统读取数据。", ["answer_style"]), ("markdown", "One part.", "**One** part.", ["markdown_introduced"]), ("marker", "（1）读取", "（2）读取", ["leading_marker_changed"]),
+    ("cited", "Seen before (Smith et al., 2020a; Doe, 1999).", "Seen before (Doe, 1999).", ["citations_removed", "citations_introduced"]), ("number", "It takes 7 rounds.", "It takes 8 rounds.", ["numbers_removed", "numbers_introduced"]), ("term", "It reads config.yaml by PyTorch 2.1 now.", "It reads a file now.", ["terms_removed"]),
+    ("spacing", "The unit of the second probe reads one row in each new series.", "The unit ofthe second probe reads one row in each new series.", ["english_spacing_removed"]), ("order", "MySQL, RESTful and JSON are used.", "JSON, RESTful and MySQL are used.", ["entity_order_changed"]),
+    ("long", "x" * 20, "x" * 240, ["expanded", "expanded_twice"]), ("english", "The unit reads one row in each new series, and the second probe reads a second row of it.", "The unit reads 系统读取数据并写入结果表中供后续分析使用和检查系统读取数据并写入结果表中", ["english_drift", "chinese_introduced"]),
+    ("fragment", "系统读取数据并写入结果表中供后续分析使用和检查。", "系统读取数据并写入结果表中供后续分析使用和检查的", ["surface"]), ("null", None, None, ["empty_output"]),
+]
+
+
+def test_validator_chain(spark):
+    rows = {r.id: r for r in validators.validate(spark.createDataFrame([(k, a, b) for k, a, b, _ in CHAIN], "id string, input_text string, output_text string")).collect()}
+    for k, _, _, want in CHAIN:
+        got = rows[k].codes
+        assert [c for c in got if c in want] == want and (want or not got) and rows[k].first_code == (got[0] if got else None), (k, got)
+    out = spark.createDataFrame([(["@1@", "@2@"], t) for t in ("@1@ @2@", "@1@", "@1@ @2@ @3@", "@1@ @2@ @2@", "@2@ @1@")], "e array<string>, t string")
+    assert [r[0] for r in out.select(validators.placeholder_issue(F.col("e"), F.col("t"), r"@\d@")).collect()] == [None, "missing", "unknown", "duplicated", "reordered"]
+    counts = spark.createDataFrame([("MySQL8 and MySQL8, AB.",)], "t string").select(validators.term_counts(F.col("t"))).first()[0]
+    assert [tuple(c) for c in counts] == [("MySQL8", 2)]
+
+
+def test_repetition_finds_what_brute_force_finds(spark):
+    rng = random.Random(5)
+    words = [a + b + c for a in "bdfg" for b in "aeiou" for c in ("lan", "mer")]
+    base = [rng.sample(words, rng.randrange(8, 16)) for _ in range(6)]
+    docs = [(d, "\n\n".join(" ".join(rng.sample(p, rng.randrange(max(5, len(p) - 3), len(p) + 1)) + rng.sample(words, rng.randrange(4))) for p in (rng.choice(base) for _ in range(9)))) for d in range(12)]
+    same = " ".join(words[:9])
+    docs += [(50, "\n\n".join([same] * 4)), (51, ""), (52, None), (53, same)]
+    want, equal = set(), set()
+    for d, t in docs:
+        sets = [frozenset(p.split()) for p in (t or "").split("\n\n")]
+        first = {s: sets.index(s) for s in sets}
+        for i, x in enumerate(sets):
+            if len(x) >= 8 and first[x] < i:
+                equal.add((d, first[x], i))
+            for j, y in enumerate(sets[:i]):
+                if min(len(x), len(y)) >= 8 and x != y and first[x] == i and first[y] == j and len(x & y) >= 0.72 * min(len(x), len(y)):
+                    want.add((d, j, i))
+    got = [(r.d, r.left_unit, r.right_unit) for r in repetition.repeated(spark.createDataFrame(docs, "d int, text string"), "d").collect()]
+    assert len(got) == len(set(got)) and set(got) == want | equal and len(want) > 20
+    assert [r.d for r in repetition.introduced(spark.createDataFrame([(1, same)], "d int, text string"), spark.createDataFrame([(1, same + "\n\n" + same)], "d int, text string"), "d").collect()] == [1]
+
+
 def test_scope_profile_reads_every_language(spark, tmp_path):
     """Against a count by hand: documents labelled zh, otherwise or not at all, and null texts."""
     rows = [(1, "en", "Only this. All of any."), (2, "zh", "只有通过测试才能发布。\n\n不仅如此，所有结果均有效，必然如此。只要一次。"), (3, None, "It is always so, only here."), (4, "fr", "任何人 only"), (5, "zh", None), (6, None, "")]

@@ -88,3 +88,38 @@ TITLE_PHRASES = ("abstract", "key words", "keywords", "table", "figure")
 STRONG_CUE = r"(?i)(?:→|->|=>|\brespectively\b|分别|依次|对应|顺序|排序|排名|先后)"
 DELIMITER = r"(?i)(?:、|，|,|/|\band\b|\bor\b)"
 INLINE_CODE = r"`[^`]+`"
+# --- fixed values: markers that lead a text ---------------------------------------------------------------------------
+_CJK_NUMBER = "一二三四五六七八九十百零"
+LEADING_MARKER = (
+    rf"^(?:(?:第[{_CJK_NUMBER}0-9]+[章节])|(?:[0-9]+(?:\.[0-9]+){{1,4}})(?=\s)|(?:[0-9]+[.．、])|(?:[{_CJK_NUMBER}]+[.．、])|(?:[0-9]+)(?=\s)"
+    rf"|(?:[（(]\s*(?:[0-9]+|[{_CJK_NUMBER}]+)\s*[）)])|(?:[0-9]+[)）]))"
+)
+# --- fixed values: terms that a revision must keep --------------------------------------------------------------------
+VERSIONED = (
+    r"(?<![A-Za-z0-9])(?:(?:GPT|BERT|RoBERTa|YOLO|ResNet|VGG|LLaMA|Qwen|DeepSeek|CUDA|PyTorch|TensorFlow|Python|Node\.js|React|Vue|Vite|Flask|Django)\s*v?\d+(?:\.\d+)*[A-Za-z0-9._-]*"
+    r"|(?:[A-Z][A-Za-z]*[A-Z][A-Za-z0-9]*(?:[-_][A-Za-z0-9.]+)+)|(?:[A-Z][A-Za-z0-9]*[a-z][A-Za-z0-9]*[A-Z][A-Za-z0-9]*)"
+    r"|(?:[A-Za-z]{2,}[.-]?\d+(?:\.\d+)*(?:[-_][A-Za-z0-9.]+)?)|(?:(?:v|V)\d+(?:\.\d+){1,3}))(?![A-Za-z0-9])"
+)
+CODE_LIKE = (
+    r"(?<![A-Za-z0-9_])(?:[A-Za-z_][A-Za-z0-9_]*(?:[./:_-][A-Za-z0-9_]+)+|[A-Z][A-Za-z0-9_]*[a-z][A-Za-z0-9_]*[A-Z][A-Za-z0-9_]*|[A-Z]{2,}[A-Za-z0-9]*(?:[-_][A-Za-z0-9]+)*"
+    r"|Django|RESTful|API|JWT|ORM|S3|RGW|Ceph|MySQL|Vue|React|Flask|Python|Boto3|Vite|DOCX|PDF|AI|AIGC|GPT|GPTZero|Google|DeepSeek|Qwen|LLM|CSS|HTML|JSON|HTTP|REST|URL|OpenAI|LangChain)"
+    r"(?![A-Za-z0-9_])"
+)
+# --- fixed values: English words that run together --------------------------------------------------------------------
+SPACED_TOKEN = r"[A-Za-z0-9]+(?:[._+-][A-Za-z0-9]+)*"
+GLUE_LEFT = (
+    "a", "an", "the", "as", "is", "are", "was", "were", "be", "been", "being", "in", "on", "at", "of", "to", "for", "with", "by", "from", "and", "or",
+    "but", "then", "using", "employing",
+)
+GLUE_RIGHT = GLUE_LEFT + ("addition",)
+# --- fixed values: answers in place of texts, formatting, fragments ---------------------------------------------------
+LEADING_MARKUP = r"^[>\-\*\s#]+"
+ANSWERS = ("如果你愿意", "可以改成", "改写后：", "修改后：", "说明：", "原因很简单", "我也可以继续帮你", "请把需要", "你可以直接贴")
+ANSWER_WRAPPER = r"(?i)^(?:以下|下面|当然|好的|已根据|根据你的要求|here\s+(?:is|are)|the\s+rewritten|rewritten\s+text|revised\s+text).{0,80}[:：]"
+MARKDOWN = r"\*\*|### |## |- \*\*|> "
+FRAGMENT_ZH = r"(?:的|和|与|及|以及|并|但|而|或|在|对|把|被|将|为|以|从|向|通过|由于|因为|因此|同时|其中|例如|包括|并且|从而|为了)$"
+FRAGMENT_EN = r"(?i)\b(?:and|or|the|a|an|of|to|with|by|from|as|is|are|was|were|that|which|while|because|therefore|including|using|employing|in|on|at|for)$"
+# --- fixed values: author-year citations ------------------------------------------------------------------------------
+_AUTHOR = r"(?:[一-鿿]{2,12}\s*(?:等)?(?:和[一-鿿]{2,12})?|[A-Z][A-Za-z]+(?:\s+(?:&|and)\s+[A-Z][A-Za-z]+|\s+et\s+al\.)?)"
+_AUTHOR_YEAR = rf"(?:{_AUTHOR}\s*[,，]\s*\d{{4}}[a-z]?(?:\s*[,，]\s*\d{{4}}[a-z]?)*)"
+AUTHOR_YEAR = rf"[（(]{_AUTHOR_YEAR}(?:\s*[;；]\s*{_AUTHOR_YEAR})*[）)]"

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import guard_values as V
 from . import lexicons as L
 
 MARK = "\x01"
@@ -221,7 +222,9 @@ def numbers(text: Column) -> Column:
 
 
 def citations(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(L.NUMERIC_CITATION), 0), lambda x: F.translate(F.regexp_replace(x, r"\s+", ""), "，；", ",;"))
+    """Numeric and author-year citations, white space dropped, commas and semicolons as ASCII."""
+    found = F.concat(F.regexp_extract_all(text, F.lit(L.NUMERIC_CITATION), 0), F.regexp_extract_all(text, F.lit(V.AUTHOR_YEAR), 0))
+    return F.transform(found, lambda x: F.translate(F.regexp_replace(x, r"\s+", ""), "，；", ",;"))
 
 
 def overlap(a: Column, b: Column) -> Column:

@@ -53,18 +53,20 @@ def chained_actions(t: Column) -> Column:
 
 def loose_references(t: Column) -> Column:
     """Causal references with nothing named in the LOOK_BACK characters before them."""
-    before = F.regexp_extract_all(t, F.lit(rf"(?<=(.{{{V.LOOK_BACK}}}|^.{{0,{V.LOOK_BACK - 1}}}))(?:{V.CAUSAL})"), F.lit(1))
+    before = F.regexp_extract_all(t, F.lit(rf"(?=(?:{V.CAUSAL}))(?<=(.{{{V.LOOK_BACK}}}|^.{{0,{V.LOOK_BACK - 1}}}))(?:{V.CAUSAL})"), F.lit(1))
     return F.size(F.filter(before, lambda b: ~b.rlike(V.ANTECEDENT)))
 
 
 def profile(text: Column) -> Column:
-    """Counts by kind and rule: array<array<int>>, kinds in the order of CODES."""
+    """Counts by kind and rule: array<array<int>>, kinds in the order of CODES. Every form has a Chinese character, so a text without one isn't searched."""
+    sizes = (len(V.COLLOQUIAL), len(V.COLLOCATIONS), 2, 1, 1)
+    nothing = F.array(*[F.array(*[F.lit(0)] * n) for n in sizes])
 
     def counts(t: Column) -> Column:
         kinds = (
             [T.count_of(t, p) for _, p in V.COLLOQUIAL], [T.count_of(t, p) for _, p in V.COLLOCATIONS], list(clause_counts(t)), [chained_actions(t)], [loose_references(t)],
         )
-        return F.array(*[F.array(*k) for k in kinds])
+        return F.when(t.rlike("[㐀-鿿]"), F.array(*[F.array(*k) for k in kinds])).otherwise(nothing)
 
     return T.let(unquoted(F.coalesce(text, F.lit(""))), counts)
 

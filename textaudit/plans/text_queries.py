@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textaudit.functions import lexicons as L
 from textaudit.functions import text as T
-from textaudit.operators import audit, guards, pairs, readability, segment, select
+from textaudit.operators import audit, guards, pairs, readability, repetition, segment, select, validators
 from textaudit.sources.tables import table
 
 # --- SQL of the shared measures, over a relation src(id..., text) -----------------------------------------------------
@@ -379,6 +379,28 @@ def relation_issues(spark, sf_dir):
     return p.select("conv_id", "turn", F.array_join("relation_issues", ",").alias("issues"))
 
 
+def chunk_validation(spark, sf_dir):
+    """Turns that the next turn would fail as a revision, by first code and number of codes."""
+    v = validators.validate(turn_pairs(spark, sf_dir)).select(F.coalesce("first_code", F.lit("valid")).alias("first_code"), F.size("codes").cast("long").alias("codes"))
+    return v.groupBy("first_code", "codes").agg(F.count("*").alias("n"))
+
+
+def internal_repetition(spark, sf_dir):
+    """Pairs of each document's paragraphs (or sentences, of one paragraph) that share most terms; sets of terms that recur are paired with their first place."""
+    return repetition.repeated(docs(spark, sf_dir), "doc_id")
+
+
+REPETITION_SQL = rf"""
+with d as (select doc_id, trim(coalesce(text, '')) as t from documents), c as (select doc_id, {pieces_sql(r"regexp_split_to_array(t, '\n\s*\n')")} as p, {sentences_sql('t')} as s from d),
+l as (select doc_id, case when len(p) >= 2 then p else s end as us from c), u0 as (select doc_id, generate_subscripts(us, 1) - 1 as unit, unnest(us) as x from l),
+u as (select doc_id, unit, list_sort({terms_sql('x')}) as terms from u0), v as (select doc_id, terms, min(unit) as unit, len(terms) as n from u where len(terms) >= 8 group by 1, 2),
+w as (select doc_id, unit, n, unnest(terms) as term from v),
+near as (select a.doc_id, a.unit as left_unit, b.unit as right_unit, count(*) as shared, least(any_value(a.n), any_value(b.n)) as least_terms from w a join w b on a.doc_id = b.doc_id and a.term = b.term and a.unit < b.unit group by 1, 2, 3)
+select doc_id, left_unit::int as left_unit, right_unit::int as right_unit, shared::int as shared, least_terms::int as least_terms from near where shared >= 0.72 * least_terms
+union all select u.doc_id, v.unit::int, u.unit::int, v.n::int, v.n::int from u join v on u.doc_id = v.doc_id and u.terms = v.terms and u.unit > v.unit
+"""
+
+
 def readability_delta(spark, sf_dir):
     """Forms of five kinds that a turn has more of than the turn before, by kind."""
     p = readability.delta(turn_pairs(spark, sf_dir)).select(F.explode("readability").alias("r")).select("r.*")
@@ -440,7 +462,7 @@ f as (select g.*, g.growth <= 12 or t <= 12 as accepted, case when g.growth <= 1
 select conv_id, turn, n, growth, accepted from f"""
 
 QUERIES = {
-    "scope_profile": (scope_profile, SCOPE_SQL), "negation_loss": (negation_loss, NEGATION_SQL), "relation_issues": (relation_issues, None), "readability_delta": (readability_delta, None),
+    "scope_profile": (scope_profile, SCOPE_SQL), "negation_loss": (negation_loss, NEGATION_SQL), "relation_issues": (relation_issues, None), "readability_delta": (readability_delta, None), "chunk_validation": (chunk_validation, None), "internal_repetition": (internal_repetition, REPETITION_SQL),
     "chunk_manifest": (chunk_manifest, None), "split_reasons": (split_reasons, SPLIT_SQL), "mask_round_trip": (mask_round_trip, None), "candidate_choice": (candidate_choice, CANDIDATE_SQL), "document_fold": (document_fold, FOLD_SQL),
     "sentence_length_stats": (sentence_length_stats, SENTENCE_LENGTH_SQL), "paragraph_uniformity": (paragraph_uniformity, PARAGRAPH_SQL), "opening_profile": (opening_profile, OPENING_SQL),
     "language_crosstab": (language_crosstab, LANGUAGE_SQL), "sentence_length_buckets": (length_buckets, BUCKET_SQL), "excerpts": (excerpts, EXCERPT_SQL), "exact_copies": (exact_copies, COPIES_SQL),
