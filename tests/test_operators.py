@@ -66,6 +66,26 @@ def test_delta_recommendation_and_next_step(spark):
     assert step == {"a": "stop", "b": "targeted_rerun", "c": "manual_review"}
 
 
+LADDER = [  # ready, source_only, has_next, bound, after points, recommended: (dimension, trend, executable, high risks, targets)
+    ("blocked", False, False, True, None, 9, [("templates", "regressed", True, 1, 1)]), ("clean", True, True, True, None, 0, []), ("source", True, True, True, None, 4, [("register", "stable", False, 0, 1)]),
+    ("manual", True, False, True, "templates", 4, [("register", "stable", False, 1, 1)]), ("worse", True, False, True, "templates", 4, [("rhythm", "regressed", True, 0, 1)]), ("high", True, False, True, "templates", 4, [("rhythm", "stable", True, 1, 1)]),
+    ("better", True, False, True, "templates", 4, [("rhythm", "stable", True, 0, 1)]), ("no next", True, False, False, "templates", 4, [("rhythm", "stable", True, 0, 1)]), ("unbound", True, False, True, None, 4, [("rhythm", "stable", True, 0, 1)]),
+    ("no target", True, False, False, None, 4, [("rhythm", "stable", True, 0, 0)]), ("later", True, False, False, None, 4, [("register", "regressed", False, 2, 1), ("rhythm", "stable", True, 0, 1)]), ("null", None, None, None, None, 2, []),
+]
+
+
+def test_decision_ladder(spark):
+    summary = spark.createDataFrame([(k, 5, p) for k, _, _, _, _, p, _ in LADDER], "id string, before_points int, after_points int")
+    recs = spark.createDataFrame([(k, i + 1, *r) for k, *_, rs in LADDER for i, r in enumerate(rs)], "id string, rank int, dimension string, trend string, executable boolean, high_count int, targets int")
+    state = spark.createDataFrame([(k, a, b, c, d) for k, a, b, c, d, _, _ in LADDER], "id string, ready boolean, source_only boolean, has_next boolean, bound string")
+    delta = spark.createDataFrame([(k, "templates", 2, "improved") for k, *_ in LADDER], "id string, dimension string, after_points int, trend string")
+    got = {r.id: r.decision for r in audit.next_step(summary, recs, "id", state=state, delta=delta).collect()}
+    assert got == {
+        "blocked": "blocked", "clean": "stop", "source": "next_dimension", "manual": "manual_review", "worse": "targeted_rerun", "high": "targeted_rerun", "better": "next_dimension", "no next": "targeted_rerun",
+        "unbound": "targeted_rerun", "no target": "stop", "later": "targeted_rerun", "null": "manual_review",
+    }
+
+
 def test_sentences_openings_and_bounds(spark):
     df = spark.createDataFrame([("One two. Three! 四五。六；seven\neight",), ("first line\nsecond line\n\nthird",), ("",), ("a" * 50 + "\n" + "b" * 9,)], "t string")
     got = [r[0] for r in df.select(T.sentences(F.col("t"))).collect()]

@@ -157,12 +157,39 @@ def recommendations(delta: DataFrame, dims: DataFrame, *keys: str, limit: int =
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).withColumn("executable", can)
 
 
-def next_step(summary: DataFrame, first: DataFrame, *keys: str) -> DataFrame:
-    """One of stop, targeted_rerun, next_dimension, manual_review per key, from the delta's sums and the first recommendation."""
-    top = first.where("rank = 1").select(*keys, F.col("dimension").alias("target"), "trend", "executable")
-    out = summary.join(top, list(keys), "left")
+def primary_dimension(recommended: DataFrame, *keys: str) -> DataFrame:
+    """The dimension to decide about, per key: the first that can be executed on some target, else the first manual one, else the first.
+
+    recommended: rows of recommendations(); a column targets (texts to work on), where there is one, says how many; else each has one.
+    """
+    targets = F.col("targets") if "targets" in recommended.columns else F.lit(1)
+    kind = F.when(F.col("executable") & (targets > 0), 0).when(~F.col("executable"), 1).otherwise(2)
+    best = recommended.groupBy(*keys).agg(F.min(F.struct(kind.alias("kind"), "rank", "dimension", "trend", "executable", "high_count", targets.alias("targets"))).alias("m"))
+    return best.select(*keys, F.col("m.dimension").alias("target"), F.col("m.trend").alias("trend"), F.col("m.executable").alias("executable"), F.col("m.high_count").alias("high_count"), F.col("m.targets").alias("targets"))
+
+
+def next_step(summary: DataFrame, recommended: DataFrame, *keys: str, state: DataFrame | None = None, delta: DataFrame | None = None) -> DataFrame:
+    """One of blocked, stop, next_dimension, manual_review, targeted_rerun per key; the first that applies:
+
+    blocked: the contract isn't ready. stop: no points. next_dimension: there is but the source. manual_review: the primary dimension
+    can't be executed. targeted_rerun: it regressed or has a high risk. next_dimension: there is a next one, and the bound dimension
+    improved or has no points left. targeted_rerun: there are targets. stop.
+
+    state (key, ready, source_only, has_next, bound): a null or a missing row counts as ready, not source only, without a next
+    dimension and without a bound one. delta: the stage delta, where bound dimensions are looked up.
+    """
+    out = summary.join(primary_dimension(recommended, *keys), list(keys), "left")
+    if state is None:
+        out = out.withColumns({"ready": F.lit(True), "source_only": F.lit(False), "has_next": F.lit(False), "bound": F.lit(None).cast("string")})
+    else:
+        out = out.join(state.select(*keys, "ready", "source_only", "has_next", "bound"), list(keys), "left")
+    advanced = F.lit(False)
+    if delta is not None:
+        of_bound = delta.select(*keys, F.col("dimension").alias("bound"), ((F.col("trend") == "improved") | (F.col("after_points") <= 0)).alias("_advanced"))
+        out, advanced = out.join(of_bound, [*keys, "bound"], "left"), F.coalesce("_advanced", F.lit(False))
     step = (
-        F.when(F.col("after_points") == 0, "stop").when(F.col("target").isNull(), "stop").when(~F.col("executable"), "manual_review")
-        .when((F.col("trend") == "regressed") | (F.col("regressed") > 0), "targeted_rerun").otherwise("next_dimension")
+        F.when(~F.coalesce("ready", F.lit(True)), "blocked").when(F.col("after_points") <= 0, "stop").when(F.coalesce("source_only", F.lit(False)), "next_dimension")
+        .when(~F.coalesce("executable", F.lit(False)), "manual_review").when((F.col("trend") == "regressed") | (F.col("high_count") > 0), "targeted_rerun")
+        .when(F.coalesce("has_next", F.lit(False)) & advanced, "next_dimension").when(F.col("targets") > 0, "targeted_rerun").otherwise("stop")
     )
     return out.select(*keys, "before_points", "after_points", "target", step.alias("decision"))

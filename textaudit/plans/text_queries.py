@@ -259,14 +259,20 @@ DELTA_SQL = STAGES_SQL + " select *, case when before_points > 0 then floor(poin
 
 
 def audit_next_step(spark, sf_dir):
+    """What to do about each conversation's last assistant turn; those with one such turn have but a source. The bound dimension is templates."""
     before, after = _stages(spark, sf_dir)
     delta = audit.stage_delta(before, after, "conv_id")
-    return audit.next_step(audit.summarize_delta(delta, "conv_id"), audit.recommendations(delta, after, "conv_id"), "conv_id")
+    c = table(spark, sf_dir, "conversations").where("role = 'assistant'").groupBy("conv_id").agg((F.min("turn") == F.max("turn")).alias("source_only"))
+    state = c.select("conv_id", F.lit(True).alias("ready"), "source_only", F.lit(True).alias("has_next"), F.lit("templates").alias("bound"))
+    return audit.next_step(audit.summarize_delta(delta, "conv_id"), audit.recommendations(delta, after, "conv_id"), "conv_id", state=state, delta=delta)
 
 
 _ORDER = "list_position([" + ", ".join(f"'{d[0]}'" for d in L.DIMENSIONS) + "], dimension)"
-NEXT_SQL = STAGES_SQL + f""", top as (select conv_id, dimension as target, trend, dimension in ('rhythm', 'transitions', 'templates') as executable from d2 where after_points > 0 qualify row_number() over (partition by conv_id order by (trend <> 'regressed')::int, after_points desc, high_count desc, {_ORDER}) = 1)
-select s.conv_id, before_points, after_points, target, case when after_points = 0 then 'stop' when target is null then 'stop' when not executable then 'manual_review' when trend = 'regressed' or regressed > 0 then 'targeted_rerun' else 'next_dimension' end as decision from summary s left join top using (conv_id)"""
+NEXT_SQL = STAGES_SQL + f""", recs as (select *, dimension in ('rhythm', 'transitions', 'templates') as executable, row_number() over (partition by conv_id order by (trend <> 'regressed')::int, after_points desc, high_count desc, {_ORDER}) as rank from d2 where after_points > 0),
+top as (select conv_id, dimension as target, trend, executable, high_count from recs where rank <= 3 qualify row_number() over (partition by conv_id order by (not executable)::int, rank) = 1),
+one as (select conv_id, min(turn) = max(turn) as source_only from conversations where role = 'assistant' group by 1), bound as (select conv_id, trend = 'improved' or after_points <= 0 as advanced from d2 where dimension = 'templates')
+select s.conv_id, before_points, after_points, target, case when after_points <= 0 then 'stop' when source_only then 'next_dimension' when not coalesce(executable, false) then 'manual_review' when trend = 'regressed' or high_count > 0 then 'targeted_rerun'
+  when advanced then 'next_dimension' else 'targeted_rerun' end as decision from summary s left join top using (conv_id) left join one using (conv_id) left join bound using (conv_id)"""
 
 
 # --- pairs of turns ---------------------------------------------------------------------------------------------------
