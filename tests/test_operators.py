@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textaudit.functions import text as T
-from textaudit.operators import audit, docroles, events, guards, history, pairs, readability, repetition, segment, select, validators
+from textaudit.operators import audit, docroles, events, guards, history, pairs, phrases, readability, records, repetition, segment, select, validators
 from textaudit.plans import text_queries
 from textaudit.sources import tables
 
@@ -366,3 +366,23 @@ def test_ranking_holds_each_expression_once(spark):
     docs = spark.createDataFrame([(1, "k", "Some text. " * 9)], "doc_id long, lang string, text string")
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all")
     assert plan(audit.hotspots(docs, "lang", ["doc_id"])) <= plan(audit.audit(docs)) + 2
+
+
+def test_records_become_rounds_and_references(spark):
+    rows = [
+        (" .\\docs\\a.txt", [(1, "p", "out/x.v1.txt", "out/x_compare.json", "2024-01-01"), (1, "p", "out/y.txt", None, "2024-01-02"), (2, "p", "", "", "2024-01-01"), None]), ("docs/a.txt", [(1, "p", "out/z.txt", None, "2023-01-01")]),
+        ("", [(1, "p", "out/n.txt", None, "2024-01-01")]), ("docs/b.txt", None), (None, [(1, "p", "out/n.txt", None, "2024-01-01")]),
+    ]
+    df = spark.createDataFrame(rows, "doc string, rounds array<struct<number: int, profile: string, output_path: string, compare_path: string, ts: string>>")
+    flat = records.flat_rounds(df, "doc", "rounds", ("number", "profile"), "ts")
+    assert {(r.doc, r.number, r.output_path) for r in flat.collect()} == {("docs/a.txt", 1, "out/y.txt"), ("docs/a.txt", 2, "")}
+    got = {(r.path, r.role) for r in records.artifact_refs(df.selectExpr("doc", "inline(rounds)").where("ts = '2024-01-01' and doc like ' %'"), ["doc"], ["output_path", "compare_path"], "output_path", "compare_path").collect()}
+    assert len(got) == 19 and {("out/x.v1_quality.json", "derived_from_output"), ("finish/web_exports/x.v1_reviewed.docx", "derived_from_output"), ("out/x_compare_review_decisions.json", "review_decisions"), ("out/x.v1.txt", "output_path")} <= got
+    paths = spark.createDataFrame([("a/b.c/d",), (".hidden",), ("a/.x",), ("n.tar.gz",)], "p string").select(records.stem(F.col("p"))).collect()
+    assert [r[0] for r in paths] == ["a/b.c/d", ".hidden", "a/.x", "n.tar"]
+
+
+def test_top_phrases(spark):
+    rows = [("a", "Moreover, it was seen there by many people. Furthermore they left. moreover it Further  improves nothing at all here."), ("a", "此外，系统运行。此外，结果写入。"), ("a", None), ("b", "")]
+    got = phrases.top_counts(phrases.phrase_counts(spark.createDataFrame(rows, "k string, text string"), "k"), "k", "kind")
+    assert {(r.k, r.kind, r.phrase, r.n, r["rank"]) for r in got.collect()} == {("a", "connector", "moreover", 2, 1), ("a", "connector", "此外", 2, 2)}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from textaudit.operators import events as E
 from textaudit.operators import history as H
+from textaudit.operators import records as R
 from textaudit.sources.tables import table
 
 LARGE = 30
@@ -104,6 +105,24 @@ def integrity_counts(spark, sf_dir):
     return out.select("check", "n")
 
 
+def derived_refs(spark, sf_dir):
+    """References of each customer's last round by month and priority, with what their outputs imply: by role, with the ends of the paths' range."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", F.month("o_orderdate").alias("number"), F.col("o_orderpriority").alias("profile"), "o_orderdate", "o_orderkey")
+    last = R.last_rounds(o, ("o_custkey", "number", "profile"), "o_orderdate", "o_orderkey")
+    path = lambda end: F.concat(F.lit(".\\\\out\\\\"), F.col("o_custkey").cast("string"), F.lit("/"), F.col("o_orderkey").cast("string"), F.lit(end))
+    last = last.withColumns({"output_path": path(".v1.txt"), "compare_path": path("_compare.json")})
+    refs = R.artifact_refs(last, ["o_custkey"], ["output_path", "compare_path"], "output_path", "compare_path")
+    return refs.groupBy("role", "derived").agg(F.count("*").alias("n"), F.count_distinct("path").alias("paths"), F.min("path").alias("first"), F.max("path").alias("last"))
+
+
+_DERIVED = [f"p || '.v1{end}'" for end in R.BESIDE] + [f"'{folder}' || k || '.v1{mark}{end}'" for mark in ("", R.REVIEWED) for folder, end in (*((R.EXPORTS, e) for e in R.EXPORTED), (R.PREFLIGHTS, R.PREFLIGHT))]
+REFS_SQL = f"""with o as (select *, row_number() over (partition by o_custkey, month(o_orderdate), o_orderpriority order by o_orderdate desc, o_orderkey desc) as r from orders),
+l as (select 'out/' || o_custkey || '/' || o_orderkey as p, o_orderkey::varchar as k from o where r = 1),
+f as (select p || '.v1.txt' as path, 'output_path' as role, false as derived from l union all select p || '_compare.json', 'compare_path', false from l
+  union all select p || '_compare_review_decisions.json', 'review_decisions', true from l union all select unnest([{', '.join(_DERIVED)}]), 'derived_from_output', true from l)
+select role, derived, count(*) as n, count(distinct path) as paths, min(path) as first, max(path) as last from f group by role, derived"""
+
+
 # --- events -----------------------------------------------------------------------------------------------------------
 def _events(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
@@ -169,6 +188,7 @@ def turn_coverage(spark, sf_dir):
 _EV = "ev as (select event_id, ts, user_id, event_type, value, json_extract_string(props, '$.k')::int as k from events)"
 _KEEP = f"{_EV}, kept as (select * from ev qualify row_number() over (partition by event_type order by event_id desc) <= 512)"
 QUERIES = {
+    "derived_refs": (derived_refs, REFS_SQL),
     "artifact_query": (artifact_query, HISTORY_SQL.replace("WHERE", f"where kind in ('Brand#11', 'Brand#12') and present and bytes >= {LARGE}") + " select * from rows0 order by bytes desc, refs desc, kind, path limit 200 offset 5"),
     "artifact_totals": (artifact_totals, HISTORY_SQL.replace("WHERE", "") + " select count(*) as artifacts, count(*) filter (present) as present, count(*) filter (not present) as missing, coalesce(sum(bytes), 0)::bigint as bytes, coalesce(sum(bytes) filter (present), 0)::bigint as present_bytes, count(distinct kind) as kinds, sum(refs)::bigint as refs from rows0"),
     "artifact_kinds": (artifact_kinds, HISTORY_SQL.replace("WHERE", "where number <= 2") + " select k.kind, count(path) as n, coalesce(sum(r.bytes), 0)::bigint as total from (select distinct kind from artifacts) k left join (select * from rows0 where present) r using (kind) group by 1"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textaudit.functions import lexicons as L
 from textaudit.functions import text as T
-from textaudit.operators import audit, guards, pairs, readability, repetition, segment, select, validators
+from textaudit.operators import audit, guards, pairs, phrases, readability, repetition, segment, select, validators
 from textaudit.sources.tables import table
 
 # --- SQL of the shared measures, over a relation src(id..., text) -----------------------------------------------------
@@ -391,6 +391,25 @@ def chunk_validation(spark, sf_dir):
     return v.groupBy("first_code", "codes").agg(F.count("*").alias("n"))
 
 
+def top_phrases(spark, sf_dir):
+    """The five commonest connectors, templates and sentence openings of each source's documents."""
+    d = table(spark, sf_dir, "documents").select("source", "text")
+    opens = d.select("source", F.lit("opening").alias("kind"), F.explode(F.transform(T.sentences(F.coalesce("text", F.lit(""))), T.opening_signature)).alias("phrase"))
+    counts = phrases.phrase_counts(d, "source").unionByName(opens.where("phrase <> ''").groupBy("source", "kind", "phrase").agg(F.count("*").alias("n")))
+    return phrases.top_counts(counts, "source", "kind").select("source", "kind", "rank", "phrase", "n")
+
+
+def _phrases_sql(kind: str, zh: list[str], en: list[str]) -> str:
+    return rf"""select source, '{kind}' as kind, unnest(case when {lang_sql('t')} = 'en' then regexp_extract_all(lower(t), '\b{_q(L.any_of(en))}\b') else regexp_extract_all(t, '{_q(L.any_of(zh))}') end) as phrase from d"""
+
+
+PHRASES_SQL = f"""with d as (select source, coalesce(text, '') as t from documents), f as ({_phrases_sql('connector', L.CONNECTORS_ZH, L.CONNECTORS_EN)} union all {_phrases_sql('template', L.TEMPLATES_ZH, L.TEMPLATES_EN)}),
+s as (select source, unnest({sentences_sql('t')}) as s from d),
+g as (select * from f union all select source, 'opening', array_to_string(regexp_extract_all(lower(regexp_replace(trim(s), '^[\\s，,;；:：]+', '')), '[A-Za-z]+(?:[-''][A-Za-z]+)*')[1:2], ' ') from s),
+n as (select source, kind, lower({flat_sql('phrase')}) as phrase, count(*) as n from g where phrase <> '' group by all having count(*) >= 2)
+select source, kind, row_number() over (partition by source, kind order by n desc, phrase)::int as rank, phrase, n from n qualify row_number() over (partition by source, kind order by n desc, phrase) <= 5"""
+
+
 def internal_repetition(spark, sf_dir):
     """Pairs of each document's paragraphs (or sentences, of one paragraph) that share most terms; sets of terms that recur are paired with their first place."""
     return repetition.repeated(docs(spark, sf_dir), "doc_id")
@@ -468,7 +487,7 @@ f as (select g.*, g.growth <= 12 or t <= 12 as accepted, case when g.growth <= 1
 select conv_id, turn, n, growth, accepted from f"""
 
 QUERIES = {
-    "scope_profile": (scope_profile, SCOPE_SQL), "negation_loss": (negation_loss, NEGATION_SQL), "relation_issues": (relation_issues, None), "readability_delta": (readability_delta, None), "chunk_validation": (chunk_validation, None), "internal_repetition": (internal_repetition, REPETITION_SQL),
+    "scope_profile": (scope_profile, SCOPE_SQL), "negation_loss": (negation_loss, NEGATION_SQL), "relation_issues": (relation_issues, None), "readability_delta": (readability_delta, None), "chunk_validation": (chunk_validation, None), "top_phrases": (top_phrases, PHRASES_SQL), "internal_repetition": (internal_repetition, REPETITION_SQL),
     "chunk_manifest": (chunk_manifest, None), "split_reasons": (split_reasons, SPLIT_SQL), "mask_round_trip": (mask_round_trip, None), "candidate_choice": (candidate_choice, CANDIDATE_SQL), "document_fold": (document_fold, FOLD_SQL),
     "sentence_length_stats": (sentence_length_stats, SENTENCE_LENGTH_SQL), "paragraph_uniformity": (paragraph_uniformity, PARAGRAPH_SQL), "opening_profile": (opening_profile, OPENING_SQL),
     "language_crosstab": (language_crosstab, LANGUAGE_SQL), "sentence_length_buckets": (length_buckets, BUCKET_SQL), "excerpts": (excerpts, EXCERPT_SQL), "exact_copies": (exact_copies, COPIES_SQL),
