@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat_format, decontaminate, fill_in_middle, license_scan, linededup, merkle, neardup, quality, sharding, url_filter
+from . import ann, bpe, chat_format, decontaminate, fill_in_middle, license_scan, linededup, merkle, neardup, quality, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_bpe": bpe.op9_bpe,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_toxicity": toxicity.op11_toxicity,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
     "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
 }
