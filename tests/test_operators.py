@@ -386,3 +386,21 @@ def test_top_phrases(spark):
     rows = [("a", "Moreover, it was seen there by many people. Furthermore they left. moreover it Further  improves nothing at all here."), ("a", "此外，系统运行。此外，结果写入。"), ("a", None), ("b", "")]
     got = phrases.top_counts(phrases.phrase_counts(spark.createDataFrame(rows, "k string, text string"), "k"), "k", "kind")
     assert {(r.k, r.kind, r.phrase, r.n, r["rank"]) for r in got.collect()} == {("a", "connector", "moreover", 2, 1), ("a", "connector", "此外", 2, 2)}
+
+
+def test_terms_may_hold_any_mark(spark):
+    """Names and URLs with backslashes, quotes of patterns and metacharacters are found as they stand, and no text kills a job."""
+    marks = ["\\E", "\\Q", "\\E(", "$", "\\", "\\\\E\\Q", "[a-", "(?", "*+", "{2,1}", "|", "^", ")", "$0", "\\1"]
+    terms = [f"http://a.example/x{m}y{m}" for m in marks] + marks
+    df = spark.createDataFrame([(t,) for t in terms], "t string")
+    there = df.select("t", guards.contains_entity(F.concat(F.lit("see / "), F.col("t"), F.lit(" there")), F.col("t")).alias("y"), guards.contains_entity(F.lit("see / there"), F.col("t")).alias("n")).collect()
+    assert all(r.y and not r.n for r in there), [r.t for r in there if not r.y or r.n]
+    rng = random.Random(6)
+    words = ["http://a.example/" + m + "x" for m in marks] + ["BERT-2", "LoRA-7", "respectively", "We", "compare", "and", "not only", "12%", "`code`", "accuracy", "."] + marks
+    rows = [(k, " ".join(rng.choices(words, k=14)) + " respectively.", " ".join(rng.choices(words, k=14))) for k in range(150)] + [(200, "We compare http://a.example/\\E( and http://b.example/c and BERT-2 respectively.", "We compare http://b.example/c and http://a.example/\\E( and BERT-2 respectively.")]
+    both = spark.createDataFrame(rows, "id int, input_text string, output_text string")
+    codes = {r.id: r.relation_issues for r in guards.relation_issues(both).collect()}
+    assert "entity_order_changed" in codes[200] and len(codes) == len(rows)
+    same = both.withColumn("output_text", F.col("input_text"))
+    assert validators.validate(both).count() == len(rows) and all(r.relation_issues == [] for r in guards.relation_issues(same).collect())
+    assert all(r.codes is not None for r in validators.validate(both).select("codes").collect())

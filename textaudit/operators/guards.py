@@ -121,8 +121,9 @@ def entities(text: Column) -> Column:
 
 
 def _pattern_of(term: Column) -> Column:
-    """A pattern of a term that stands by itself; names with a slash or a full stop may stand anywhere."""
-    literal = F.concat(F.lit(r"\Q"), F.replace(term, F.lit(" "), F.lit(r"\E\s+\Q")), F.lit(r"\E"))
+    """A pattern of a term that stands by itself; names with a slash or a full stop may stand anywhere. Whatever a pattern could read as
+    more than itself is escaped, as a URL may hold any mark."""
+    literal = F.replace(F.regexp_replace(term, r"[\\^$.|?*+()\[\]{}]", r"\\$0"), F.lit(" "), F.lit(r"\s+"))
     return F.when(term.rlike(r"[/.]"), literal).otherwise(F.concat(F.lit("(?<![A-Za-z0-9_/-])"), literal, F.lit("(?![A-Za-z0-9_/-])")))
 
 
