@@ -449,11 +449,11 @@ def test_nearest_agrees_with_brute_force(spark, depth):
 
 
 def test_recall_on_a_given_table(spark):
-    """Against brute force on the whole embeddings table, through the index (a block reranks a fifth of it at most)."""
+    """Against brute force on the whole embeddings table, through the index: a block of any size reranks the same share of itself."""
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = [(r.vec_id, r.embedding) for r in table.where(ann.usable(F.col("embedding"))).collect()]
     ids, v = np.array([i for i, _ in rows]), np.array([x for _, x in rows], float)
-    assert ann.LEAST_DEPTH <= 0.2 * len(np.unique(v, axis=0))
+    assert ann.DEPTH * len(v) < 100
     hits = total = 0
     found = defaultdict(set)
     for r in ann.nearest(table, table.where("vec_id % 20 = 0")).collect():
@@ -550,18 +550,19 @@ def test_ordered_rules_agree_with_a_walk(spark):
     families = [["mit-grant", "mit-notice", "mit-asis", "mit-ref"], ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"], ["gpl-free-1", "gpl-free-2", "gpl-pub", "later-2", "later-3", "gpl-hope-1", "gpl-hope-2"]]
     rows = [(["mit-notice", "mit-grant", "mit-notice"],), (["mit-grant", "mit-grant", "mit-notice", "mit-notice"],), ([],), (["bsd-binary", "bsd-source", "bsd-grant"],)]
     rows += [([rng.choice(rng.choice(families[: 1 + k % 3])) for _ in range(rng.randrange(1, 12))],) for k in range(300)]
-    got = license_scan.match_rules(spark.createDataFrame(rows, "ids array<string>")).collect()
+    got = spark.createDataFrame(rows, "ids array<string>").select("ids", license_scan.matched(F.col("ids")).alias("m")).select("ids", "m.found", "m.rest").collect()
     assert [(r.found, r.rest) for r in got] == [walk(r.ids) for r in got] and len(got) == len(rows)
     assert got[0].found == ["MIT"] and got[0].rest == ["mit-notice"]
 
 
 def test_licences_of_long_tied_and_repeated_texts(spark):
-    """A sentence at the end of a long text; a tie of the two readings goes to lines; rows of one id are one text."""
+    """A sentence at the end of a long text; a tie of the two readings goes to lines; rows that share an id, repeat or have none are texts of their own."""
     long = (prose(1, 60) + ".\n") * 3000 + MIT_TEXT[0]
-    rows = [(1, long), (2, "Released under the MIT License."), (2, "Released under the MIT License."), (3, MIT_TEXT[1]), (3, MIT_TEXT[0]), (None, "Licensed under CC BY 4.0."), (4, "")]
-    got = {r.doc_id: (r.licenses, r.sentence_ids, r.unmatched_ids) for r in license_scan.scan_licenses(spark.createDataFrame([(i, t, 0, 1, 2, "s") for i, t in rows], DOCS)).collect()}
-    assert got[1] == ("", "mit-grant", "mit-grant") and got[2] == ("MIT", "mit-ref,mit-ref", "") and got[None] == ("CC-BY-4.0", "ccby4-ref", "")
-    assert set(got[3][1].split(",")) == {"mit-grant", "mit-notice"} and set(got) == {1, 2, 3, None}
+    rows = [(1, long), (2, "Released under the MIT License."), (2, "Released under the MIT License."), (3, MIT_TEXT[1]), (3, MIT_TEXT[0]), (None, "Licensed under CC BY 4.0."), (None, "Released under the MIT License."), (4, "")]
+    got = [tuple(r) for r in license_scan.scan_licenses(spark.createDataFrame([(i, t, 0, 1, 2, "s") for i, t in rows], DOCS)).collect()]
+    mit = (2, "MIT", "mit-ref", "")
+    want = [(1, "", "mit-grant", "mit-grant"), mit, mit, (3, "", "mit-notice", "mit-notice"), (3, "", "mit-grant", "mit-grant"), (None, "CC-BY-4.0", "ccby4-ref", ""), (None, "MIT", "mit-ref", "")]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
 def test_licence_headers_in_both_readings(spark):

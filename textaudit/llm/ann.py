@@ -28,8 +28,7 @@ BLOCK = 4096
 QUERIES = 1024
 #: Pivots, from a query's nearest, whose inverted files it reads.
 NEAR = 64
-DEPTH = 0.1
-LEAST_DEPTH = 96
+DEPTH = 0.15
 
 
 def usable(vector: Column) -> Column:
@@ -77,7 +76,7 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     sizes = np.diff(np.append(first, len(ids)))
     place = np.argsort(least, kind="stable")  # ties of the footrule go to smaller ids
     distinct, first, sizes = distinct[place], first[place], sizes[place]
-    take = len(distinct) if pivots is None else min(len(distinct), max(LEAST_DEPTH, int(np.ceil(depth * len(distinct)))))
+    take = len(distinct) if pivots is None else min(len(distinct), max(k + 1, int(np.ceil(depth * len(distinct)))))
     files = None if take == len(distinct) else np.ascontiguousarray(positions(distinct, pivots).T)  # one file per pivot
     spots = None if files is None else positions(queries, pivots)
     nearest_pivots = None if files is None else np.argsort(spots, axis=1, kind="stable")[:, :NEAR]

@@ -4,14 +4,12 @@ Text is cut into sentences in two readings (line by line, and with the lines of
 normalised and looked up among known licence sentences; the identifiers found, in order, are matched against ordered
 licence rules. A rule walks along the identifiers with a pointer to the one it needs next, and consumes the places it used
 each time it is complete, so that a longer rule (tried first) leaves nothing for the shorter ones; identifiers that no rule
-consumes are reported. The sentence table is fixed and small, so it is broadcast;
-only matched sentences are shuffled. DataFrame operations only.
+consumes are reported. Sentence table and rules are fixed and small, so they are literals of one expression over the row: nothing is
+shuffled. DataFrame operations only.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,55 +154,57 @@ def by_paragraph(text: Column) -> Column:
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, licenses, sentence_ids, unmatched_ids), for every id with a known sentence; strings joined by commas.
+    """(id, licenses, sentence_ids, unmatched_ids), for every row with a known sentence; strings joined by commas.
 
     licenses: distinct, sorted. sentence_ids: as the better reading (more identifiers, by lines on a tie) has them, in
     order. Null and empty texts, texts without known sentences and an empty table give no row. Whole texts are read, however
-    long. Rows of one id count as one text, in reading order of each: of rows that repeat, every sentence counts as often.
-    Null ids are one id. Other columns are not read.
+    long. Rows are texts of their own, whether they share an id, repeat or have none. Other columns are not read. Nothing is shuffled.
     """
-    spark = docs.sparkSession
-    rows = ", ".join(f"('{s}', '{k}')" for s, k in sorted(known_sentences().items()))
-    known = F.broadcast(spark.sql(f"select * from values {rows} as t(sentence, sid)"))
     d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_text").rlike(HINTS))
-    d = d.withColumn("_text", F.regexp_replace("_text", TAG, "spdx license identifier "))  # its colon ends no sentence
-    readings = F.array(F.struct(F.lit(0).alias("way"), by_line(F.col("_text")).alias("parts")), F.struct(F.lit(1).alias("way"), by_paragraph(F.col("_text")).alias("parts")))
-    pieces = d.select("_id", F.explode(readings).alias("r")).select("_id", "r.way", F.posexplode("r.parts").alias("pos", "part"))
-    # the longest known sentence bounds what is worth normalising
-    hits = pieces.where(F.length("part") >= 8).withColumn("sentence", normal(F.col("part"))).join(known, "sentence")
-    seqs = hits.groupBy("_id", "way").agg(F.array_sort(F.collect_list(F.struct("pos", "sid"))).alias("hits")).select("_id", "way", F.transform("hits", lambda h: h.sid).alias("ids"))
-    matched = match_rules(seqs)
-    best = F.max_by(F.struct("ids", "rest"), F.struct(F.size("ids"), -F.col("way")))
-    out = matched.groupBy("_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"), best.alias("best"))
-    return out.select(F.col("_id").alias(id_col), F.array_join("found", ",").alias("licenses"), F.array_join("best.ids", ",").alias("sentence_ids"), F.array_join("best.rest", ",").alias("unmatched_ids"))
-
-
-def _walk(rest: Column, need: tuple[str, ...]) -> Column:
-    """Places of `rest` that hold `need` in order, others between them allowed: from left to right, as often as it is complete."""
+    text = F.regexp_replace("_text", TAG, "spdx license identifier ")  # its colon ends no sentence
+    d = d.select("_id", F.explode(F.array(F.array(_identifiers(by_line(text)), _identifiers(by_paragraph(text))))).alias("ways"))  # explode: both readings are made once
+    d = d.where("size(ways[0]) + size(ways[1]) > 0").select("_id", F.transform("ways", matched).alias("ways"))
+    found = F.array_sort(F.array_distinct(F.flatten(F.transform("ways", lambda w: w.found))))
+    best = F.when(F.size(F.col("ways")[1].ids) > F.size(F.col("ways")[0].ids), F.col("ways")[1]).otherwise(F.col("ways")[0])
+    d = d.select("_id", found.alias("found"), best.alias("best"))
+    return d.select(F.col("_id").alias(id_col), F.array_join("found", ",").alias("licenses"), F.array_join("best.ids", ",").alias("sentence_ids"), F.array_join("best.rest", ",").alias("unmatched_ids"))
+
+
+def _identifiers(parts: Column) -> Column:
+    """Of the parts that are known sentences the identifiers, in order."""
+    known = F.create_map(*[F.lit(x) for pair in sorted(known_sentences().items()) for x in pair])
+    ids = F.transform(F.filter(parts, lambda p: F.length(p) >= 8), lambda p: F.try_element_at(known, normal(p)))
+    return F.filter(ids, lambda k: k.isNotNull())
+
+
+_PLACES = "array<struct<at: int, sid: string>>"
+
+
+def _walk(rest: Column, need: Column) -> Column:
+    """Places of `rest` that hold the identifiers `need` in order, others between them allowed: from left to right, as often as they are complete."""
     start = F.struct(F.lit(0).alias("seen"), F.array().cast("array<int>").alias("open"), F.array().cast("array<int>").alias("done"))
-    wanted = F.array(*map(F.lit, need))
 
     def step(s: Column, x: Column) -> Column:
         took = F.array_append(s.open, x.at)
         last = F.struct(F.lit(0).alias("seen"), F.array().cast("array<int>").alias("open"), F.concat(s.done, took).alias("done"))
         more = F.struct((s.seen + 1).alias("seen"), took.alias("open"), s.done.alias("done"))
-        return F.when(x.sid != F.get(wanted, s.seen), s).when(s.seen == len(need) - 1, last).otherwise(more)
+        return F.when(x.sid != F.get(need, s.seen), s).when(s.seen == F.size(need) - 1, last).otherwise(more)
 
     return F.aggregate(rest, start, step, lambda s: s.done)
 
 
-def match_rules(seqs: DataFrame) -> DataFrame:
-    """Adds found (licences) and rest (identifiers left) to rows with ids (array of identifiers)."""
-    rest = F.transform("ids", lambda x, i: F.struct(i.cast("int").alias("at"), x.alias("sid")))
-    out = seqs.withColumn("_found", F.array().cast("array<string>")).withColumn("_rest", rest)
-    for name, need in RULES:
+def matched(ids: Column) -> Column:
+    """struct(ids, found: licences, rest: identifiers left) of an array of identifiers: one fold over the rules."""
+    rules = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, need)).alias("need")) for name, need in RULES])
+    start = F.struct(F.transform(ids, lambda x, i: F.struct(i.cast("int").alias("at"), x.alias("sid"))).cast(_PLACES).alias("rest"), F.array().cast("array<string>").alias("found"))
+
+    def step(s: Column, rule: Column) -> Column:
+        left = lambda used: F.struct(F.filter(s.rest, lambda x: ~F.array_contains(used, x.at)).cast(_PLACES).alias("rest"), F.array_append(s.found, rule["name"]).alias("found"))
+        after = F.get(F.transform(F.array(_walk(s.rest, rule.need)), lambda used: F.when(F.size(used) == 0, s).otherwise(left(used))), F.lit(0))
         # not without all it needs: most rules end here
-        possible = reduce(lambda a, b: a & b, (F.array_contains("ids", k) for k in need))
-        out = out.withColumn("_used", F.when(possible, _walk(F.col("_rest"), need)))
-        hit = F.coalesce(F.size("_used"), F.lit(0)) > 0
-        out = out.withColumn("_found", F.when(hit, F.array_append("_found", F.lit(name))).otherwise(F.col("_found")))
-        out = out.withColumn("_rest", F.when(hit, F.filter("_rest", lambda x: ~F.array_contains("_used", x.at))).otherwise(F.col("_rest")))
-    return out.select(*seqs.columns, F.col("_found").alias("found"), F.transform("_rest", lambda x: x.sid).alias("rest"))
+        return F.when(F.size(F.array_except(rule.need, F.transform(s.rest, lambda x: x.sid))) > 0, s).otherwise(after)
+
+    return F.aggregate(rules, start, step, lambda s: F.struct(ids.alias("ids"), s.found.alias("found"), F.transform(s.rest, lambda x: x.sid).alias("rest")))
 
 
 def op7_license_scan(spark, sf_dir):
@@ -229,7 +229,7 @@ def _sql() -> str:
     joined = lambda x: f"array_to_string(list_transform(list_filter(string_split({x}, ''), lambda c: c <> ''), lambda c: {spelt}[c]), ',')"
     return rf"""
 with known(sentence, sid) as (values {values}),
-d as (select doc_id as _id, regexp_replace(text, '{TAG}', 'spdx license identifier ', 'g') as text from documents where regexp_matches(text, '{HINTS}')),
+d as (select row_number() over () as _id, doc_id, regexp_replace(text, '{TAG}', 'spdx license identifier ', 'g') as text from documents where regexp_matches(text, '{HINTS}')),
 lines as (select _id, 0 as way, string_split(regexp_replace(regexp_replace(text, '\r?\n', chr(1), 'g'), '([.!?;:])[ \t]+', '\1' || chr(1), 'g'), chr(1)) as parts from d
   union all select _id, 1, string_split(regexp_replace(regexp_replace(regexp_replace(text, '\n[ \t\r]*\n', chr(1), 'g'), '[ \t\r\n\f]+', ' ', 'g'), '([.!?;:]) ', '\1' || chr(1), 'g'), chr(1)) from d),
 pieces as (select _id, way, unnest(parts) as part, generate_subscripts(parts, 1) as pos from lines),
@@ -238,8 +238,8 @@ s0 as (select _id, way, string_agg(sid, '' order by pos) as ids, string_agg(sid,
 {", ".join(ctes)},
 found as (select _id, list_sort(list_distinct(flatten(list(found)))) as found from {prev} group by _id),
 best as (select * from {prev} qualify row_number() over (partition by _id order by length(ids) desc, way) = 1)
-select b._id as doc_id, array_to_string(f.found, ',') as licenses, {joined("b.ids")} as sentence_ids, {joined("b.rest")} as unmatched_ids
-from best b join found f using (_id)
+select d.doc_id, array_to_string(f.found, ',') as licenses, {joined("b.ids")} as sentence_ids, {joined("b.rest")} as unmatched_ids
+from best b join found f using (_id) join d using (_id)
 """
 
 

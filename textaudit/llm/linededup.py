@@ -81,8 +81,9 @@ def signatures(hashes: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return x
 
 
-#: One entry of a bucket: the low bits of the band value (the bucket has the high ones), the line within its chunk, and
-#: bits of the line's key. Different lines with equal bits of their keys (2**-32 a pair) would count as equal in a band.
+#: One entry of a bucket: the low bits of the band value (the bucket has the high ones), the line within its chunk, and bits
+#: that equal lines have in common. They are drawn from the line's key for each band anew: different lines of equal bits (2**-32
+#: a pair) would count as equal there, but not in the other bands that they share.
 ENTRY = np.dtype([("band", "<u4"), ("more", "u1"), ("owner", "<u4"), ("key", "<u4")])
 
 
@@ -123,7 +124,7 @@ def _send(buckets: int, id_type: pa.DataType, ddl_id: str):
         counts = np.bincount([x[0] for x in more], minlength=n) if more else np.zeros(n, np.int64)
         others = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), places([x[1] for x in more], ids, rows), mask=pa.array(counts == 0))
         yield batch_of(n, kind=pa.array(np.zeros(n, np.int32)), uid=pa.array(uid), key=pa.array(keys, pa.binary()), place=places(at, ids, rows), text=pa.array(lines, pa.string()), more=others)
-        bits = np.frombuffer(b"".join(keys), "<u4")[::4]
+        bits = np.frombuffer(b"".join(keys), "<u8")[::2]
         bands, owner = [], []
         for first, block in slices(lines):
             hashes, grams = char_grams(block, SHINGLE)
@@ -137,7 +138,7 @@ def _send(buckets: int, id_type: pa.DataType, ddl_id: str):
         order = np.argsort(band)
         band, owner = band[order], owner[order]
         entry = np.empty(len(band), ENTRY)
-        entry["band"], entry["more"], entry["owner"], entry["key"] = band & U(0xFFFFFFFF), band >> U(32) & U(0xFF), owner, bits[owner]
+        entry["band"], entry["more"], entry["owner"], entry["key"] = band & U(0xFFFFFFFF), band >> U(32) & U(0xFF), owner, mix(bits[owner] ^ band) >> U(32)
         cuts = [0, *np.searchsorted(band, edges).tolist(), len(band)]
         packed = [(b, entry[x:y].tobytes()) for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if x < y]
         yield batch_of(len(packed), kind=pa.array(np.ones(len(packed), np.int32)), uid=pa.array(np.full(len(packed), base)), bucket=pa.array([r[0] for r in packed], pa.int64()), payload=pa.array([r[1] for r in packed], pa.binary()))
