@@ -20,6 +20,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that a classifier learnt from the labelled ones doesn't reject. Null and empty texts go by its bias alone; repeated rows
+    share a fate; without labels of both kinds all stay."""
     model = quality.train(docs, table(spark, sf_dir, "labels").where(~quality.held_out()))
     return quality.keep_good(docs, model)
 
@@ -43,21 +45,27 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that hold no benchmark item. Null and empty texts stay, repeated rows share a fate; an empty benchmark leaves all."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row as its id, token ids, their number and digest, and the digest of the text decoded from them; null texts encode as empty ones."""
     return bpe.encode_documents(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, keep_ids=True)
 
 
 STAGES = [("quality", quality_stage), ("lines", line_stage), ("near", near_stage), ("benchmark", benchmark_stage), ("encode", encode_stage)]
-#: SQL can't express the fitted classifier, so run() is tested stage by stage against brute force.
+#: SQL can't express the fitted classifier: tests/llm/test_pipeline.py holds the stages and run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "pipeline")
+    """The rows that the stages leave of documents, encoded. Each stage's table goes once the next one's is written; the last is
+    read by what is returned."""
+    scratch, before = Scratch(spark, "pipeline"), []
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = scratch.put(stage(spark, docs, sf_dir))
+        scratch.drop(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
