@@ -87,6 +87,12 @@ OPENINGS_EN = (
     ("en.sequence", r"(?i)^(?:first|second|third|finally|lastly)\b"),
     ("en.article_stance", r"(?i)^(?:this (?:study|paper|chapter)|we)\b"),
 )
+#: Marks before a sentence's core, and connectives that its frame counts.
+CORE_MARKER = r"^(?:第[一二三四五六七八九十百零0-9]+[章节]|[（(]?[一二三四五六七八九十0-9]+[）).、．]|[0-9]+(?:\.[0-9]+){0,4})\s*"
+CONJUNCTION_ZH = "并且|而且|以及|同时|从而|进而|但是|然而|因此|因而|如果|虽然|不仅|而|并|且"
+CONJUNCTION_EN = "and|but|because|therefore|although|while|if"
+# --- fixed values: growth of patterns (new count, growth) that blocks: in a chunk, in its document, over a whole document ---
+LOCAL_GROWTH, DOCUMENT_GROWTH, CUMULATIVE_GROWTH = (3, 2), (4, 2), (4, 1)
 # --- fixed values: numbers, citations, terms --------------------------------------------------------------------------
 NUMBER = r"(?<![A-Za-z0-9_.])\d+(?:[.,]\d+)*(?:\.\d+)?\s*(?:%|％)?(?![A-Za-z0-9_.])"
 NUMERIC_CITATION = r"\[(?:\d+|\d+[-–—]\d+)(?:[,，;；]\s*(?:\d+|\d+[-–—]\d+))*\]"

@@ -90,17 +90,21 @@ def sentences(text: Column) -> Column:
     return let(_pieces(flat, MARK), lambda cut: F.when((F.size(cut) <= 1) & F.contains(text, F.lit("\n")), _pieces(text, r"\n+")).otherwise(cut))
 
 
+#: What may stand behind the mark that ends a sentence, and before the word that begins one.
+CLOSE, OPEN = r"[\"'”’)\]）】》]*", r"[\"'“‘(\[（]*"
+
+
 def careful_sentences(text: Column) -> Column:
     """Like sentences, but no sentence ends at the full stop of an abbreviation, an initial, a number or a dotted token, or
-    before a small letter; closing quotes and brackets stay with the sentence before them."""
-    close, held = r"[\"'”’)\]）】》]*", "\x02"
+    before a small letter; closing quotes and brackets stay with the sentence before them. Line ends are white space."""
+    held, behind = "\x02", rf"(?={CLOSE}\s)"
     t = collapse(text)
     for pattern in (
-        r"(?i)\b(" + "|".join(L.ABBREVIATIONS) + r")\.", r"(?<![A-Za-z])([A-Za-z])\.", r"(\d)\.(?=" + close + r"\s+\d)",
-        r"((?<![A-Za-z0-9_.-])[A-Za-z0-9_-]*(?:\d[A-Za-z0-9_-]*\.|\.[A-Za-z0-9_.-]*\d)[A-Za-z0-9_.-]*)\.(?=\s)",
+        r"((?<![A-Za-z0-9_.-])[A-Za-z0-9_-]*(?:\d[A-Za-z0-9_-]*\.|\.[A-Za-z0-9_.-]*\d)[A-Za-z0-9_.-]*)\." + behind, r"(?i)(?<![a-z])(" + "|".join(L.ABBREVIATIONS) + r")\." + behind,
+        r"(?<![A-Za-z])([A-Za-z])\." + behind, rf"(\p{{Nd}})\.(?={CLOSE}\s\p{{Nd}})",
     ):
-        t = F.regexp_replace(t, pattern + r"(?!" + close + r"$)", f"$1{held}")
-    t = F.regexp_replace(t, r"([。！？!?；;]" + close + r"|\." + close + r"(?=\s+[\"'“‘(\[（]*[\p{Lu}\d㐀-䶿一-鿿]|$))", f"$1{MARK}")
+        t = F.regexp_replace(t, pattern, f"$1{held}")
+    t = F.regexp_replace(t, rf"([。！？!?；;]{CLOSE}|\.{CLOSE}(?=\s{OPEN}(?:[\p{{Lu}}\p{{Nd}}㐀-䶿一-鿿]|$)|$))", f"$1{MARK}")
     return F.transform(_pieces(t, MARK), lambda x: F.replace(x, F.lit(held), F.lit(".")))
 
 
@@ -170,8 +174,9 @@ def structure_class(sentence: Column) -> Column:
 
 
 def sentence_core(sentence: Column) -> Column:
+    """Without quotes around it, and without the number or chapter mark and the punctuation that it begins with."""
     s = F.regexp_replace(F.regexp_replace(F.trim(sentence), r"^[“”‘’\"' ]+", ""), r"[“”‘’\"' ]+$", "")
-    return F.regexp_replace(F.regexp_replace(s, r"^[（(]?[一二三四五六七八九十\d]+[）).、]\s*", ""), r"^[，,、：:；;。.!！？?]+", "")
+    return F.regexp_replace(F.regexp_replace(s, L.CORE_MARKER, ""), r"^[，,、：:；;。.!！？?]+", "")
 
 
 def opening_family(sentence: Column) -> Column:
@@ -193,19 +198,32 @@ def length_bucket(sentence: Column) -> Column:
     return let(F.length(F.regexp_replace(sentence, r"(?U)\s+", "")), size)
 
 
+#: What a frame doesn't tell apart: marks of masked spans, URLs, code, numbers.
+FRAME_MASKS = ((r"@\d+;", " TOKEN "), (r"(?i)https?://\S+", " URL "), (r"`[^`\n]+`", " CODE "), (r"\d+(?:[.,]\d+)*(?:\.\d+)?", " NUMBER "))
+
+
+def frame(core: Column) -> Column:
+    """A sentence's frame without its words, as canonical JSON (keys in order, no spaces): language, opening family, punctuation, conjunctions, length."""
+    masked = core
+    for pattern, name in FRAME_MASKS:
+        masked = F.regexp_replace(masked, pattern, name)
+
+    def json(m: Column) -> Column:
+        least = lambda pattern, most: F.least(count_of(m, pattern), F.lit(most)).cast("string")
+        parts = (
+            ("colonBucket", least("[：:]", 2), False), ("commaBucket", least("[，,]", 4), False), ("conjunctionBucket", least(f"(?U){L.CONJUNCTION_ZH}|(?i:\\b(?:{L.CONJUNCTION_EN})\\b)", 4), False),
+            ("language", F.when((latin_words(core) >= 4) & (cjk_chars(core) <= 2), "en").otherwise("zh"), True), ("lengthBucket", length_bucket(core), True),
+            ("openingFamily", family_of_core(sentence_core(core)), True), ("semicolonBucket", least("[；;]", 3), False),
+        )
+        pieces = [x for i, (k, v, text) in enumerate(parts) for x in (F.lit(("{" if not i else ",") + f'"{k}":' + ('"' if text else "")), v, F.lit('"' if text else ""))]
+        return F.concat(*pieces, F.lit("}"))
+
+    return let(masked, json)
+
+
 def skeleton(sentence: Column) -> Column:
-    """SHA-256 of a sentence's frame (language, opening family, punctuation, conjunctions, length), without its words."""
-    words = r"(?i)并且|而且|以及|同时|从而|进而|但是|然而|因此|因而|如果|虽然|不仅|而|并|且|\b(?:and|but|because|therefore|although|while|if)\b"
-
-    def frame(core: Column) -> Column:
-        least = lambda pattern, most: F.least(count_of(core, pattern), F.lit(most)).cast("string")
-        parts = [
-            F.when((latin_words(core) >= 4) & (cjk_chars(core) <= 2), "en").otherwise("zh"), family_of_core(core), length_bucket(core),
-            least("[，,]", 4), least("[；;]", 3), least("[：:]", 2), least(words, 4),
-        ]
-        return F.sha2(F.concat_ws("|", *parts), 256)
-
-    return let(sentence_core(sentence), frame)
+    """SHA-256 of a sentence's frame."""
+    return let(sentence_core(sentence), lambda core: F.sha2(frame(core), 256))
 
 
 def content_terms(text: Column) -> Column:

@@ -320,39 +320,6 @@ select conv_id, right_pos, left_pos, shared::int as shared, least_terms::int as
 """
 
 
-def opening_growth(spark, sf_dir):
-    """Opening families that the assistant's turns use more than the user's, by conversation."""
-    c = table(spark, sf_dir, "conversations")
-    side = lambda r: pairs.pattern_profile(c.where(F.col("role") == r), "conv_id").where("kind = 'opening'")
-    return pairs.pattern_growth(side("user"), side("assistant"), "conv_id").select("conv_id", "pattern", "n_before", "n_after", "growth", "blocks")
-
-
-_CORE = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(s), '^[“”‘’"'' ]+', ''), '[“”‘’"'' ]+$', ''), '^[（(]?[一二三四五六七八九十\d]+[）).、]\s*', ''), '^[，,、：:；;。.!！？?]+', '')"""
-_FAMILY = "case when " + WORDS.format(t="core") + " >= 4 and " + CJK.format(t="core") + " <= 2 then case " + " ".join(f"when regexp_matches(core, '{_q(p)}') then '{k}'" for k, p in L.OPENINGS_EN) + " else 'en.plain' end else case " + " ".join(f"when regexp_matches(core, '{_q(p)}') then '{k}'" for k, p in L.OPENINGS_ZH) + " else 'cn.plain' end end"
-GROWTH_SQL = f"""
-with s as (select conv_id, role, unnest({sentences_sql("coalesce(text, '')")}) as s from conversations where role in ('user', 'assistant')), f as (select conv_id, role, {_CORE} as core from s),
-n as (select conv_id, {_FAMILY} as pattern, count(*) filter (role = 'user') as n_before, count(*) filter (role = 'assistant') as n_after from f group by 1, 2)
-select *, n_after - n_before as growth, n_after >= 3 and n_after - n_before >= 2 as blocks from n where n_after > n_before
-"""
-
-
-def skeleton_concentration(spark, sf_dir):
-    """The number of distinct sentence frames of each source, and the share of its commonest."""
-    d = table(spark, sf_dir, "documents").select("source", "text")
-    p = pairs.pattern_profile(d, "source").where("kind = 'skeleton'")
-    return p.groupBy("source").agg(F.count("*").alias("skeletons"), F.sum("n").alias("sentences"), F.max("n").alias("commonest"))
-
-
-_SKELETON_WORDS = r"(?i)并且|而且|以及|同时|从而|进而|但是|然而|因此|因而|如果|虽然|不仅|而|并|且|\b(?:and|but|because|therefore|although|while|if)\b"
-SKELETON_SQL = rf"""
-with s as (select source, unnest({sentences_sql("coalesce(text, '')")}) as s from documents), f as (select source, {_CORE} as core from s),
-k as (select source, case when {WORDS.format(t='core')} >= 4 and {CJK.format(t='core')} <= 2 then 'en' else 'zh' end as lang, {_FAMILY} as family, least(length(regexp_replace(core, '\s+', '', 'g')), 65) as w, least(len(regexp_extract_all(core, '[，,]')), 4) as c1, least(len(regexp_extract_all(core, '[；;]')), 3) as c2, least(len(regexp_extract_all(core, '[：:]')), 2) as c3, least(len(regexp_extract_all(core, '{_SKELETON_WORDS}')), 4) as c4 from f),
-n as (select source, lang, family, case when w <= 12 then 0 when w <= 32 then 1 when w <= 64 then 2 else 3 end as b, c1, c2, c3, c4, count(*) as n from k group by all)
-select source, count(*) as skeletons, sum(n)::bigint as sentences, max(n)::bigint as commonest from n group by source
-"""
-
-
-
 def scope_profile(spark, sf_dir):
     """Scope qualifiers of all documents by kind, Chinese and English ones, whatever language a document is labelled with."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -493,5 +460,5 @@ QUERIES = {
     "language_crosstab": (language_crosstab, LANGUAGE_SQL), "sentence_length_buckets": (length_buckets, BUCKET_SQL), "excerpts": (excerpts, EXCERPT_SQL), "exact_copies": (exact_copies, COPIES_SQL),
     "numbers_and_citations": (numbers_and_citations, None), "term_overlap_benchmark": (term_overlap_benchmark, OVERLAP_SQL), "style_audit": (style_audit, STYLE_SQL), "dimension_status": (dimension_status, DIMENSION_SQL),
     "hotspot_topk": (hotspot_topk, HOTSPOT_SQL), "audit_delta": (audit_delta, DELTA_SQL), "audit_next_step": (audit_next_step, NEXT_SQL), "pair_checks": (pair_checks, PAIR_SQL),
-    "adjacent_turn_overlap": (adjacent_turn_overlap, ADJACENT_SQL), "opening_growth": (opening_growth, GROWTH_SQL), "skeleton_concentration": (skeleton_concentration, SKELETON_SQL),
+    "adjacent_turn_overlap": (adjacent_turn_overlap, ADJACENT_SQL),
 }
