@@ -225,3 +225,42 @@ def test_tampered_and_torn_evidence_is_found(spark, both):
     for column, value, name in (("chunks", "-1L", "chunks"), ("result_chunks_sha256", "'no'", "binding"), ("baseline_chunks_sha256", "result_chunks_sha256", "digest"), ("advisory_codes", "array('x')", "codes"), ("skeleton", "null", "torn")):
         bad = whole.where("baseline_chunks_sha256 <> result_chunks_sha256").withColumn(column, F.expr(value).cast(whole.schema[column].dataType))
         assert {r.broken for r in deltas.broken_document(bad, "doc").collect()} == {name}, column
+
+
+def brute_arbitration(rows):
+    """In order, chunk by chunk, over counters of the whole document."""
+    out, docs = {}, defaultdict(list)
+    for d, n, a, b in rows:
+        docs[d].append((n, counts(a), counts(b)))
+    for d, chunks in docs.items():
+        base = {k: sum((a[k] for _, a, _ in chunks), Counter()) for k, *_ in deltas.KINDS}
+
+        def over(state, base=base):
+            return [code for k, code, _ in deltas.KINDS if any(v >= 4 and v - base[k][p] >= 1 for p, v in state[k].items())]
+
+        whole = {k: sum((b[k] for _, _, b in chunks), Counter()) for k, *_ in deltas.KINDS}
+        now, fine = {k: Counter(v) for k, v in base.items()}, not over(whole)
+        for n, a, b in sorted(chunks, key=lambda c: c[0]):
+            trial = {k: Counter(v) for k, v in now.items()}
+            for k in trial:
+                trial[k].subtract(a[k])
+                trial[k].update(b[k])
+            codes = [] if fine else over(trial)
+            now = now if codes else trial
+            out[d, n] = (not codes, codes)
+    return out
+
+
+def test_arbitration_agrees_with_a_walk(spark):
+    rng = random.Random(2)
+    short = ["However, it rains now.", "We see the rows come in.", "The rows go out again, then.", "因此数据被读取。", "Rows, and more rows, and yet more rows."]
+    text = lambda: " ".join(rng.choice(short) for _ in range(rng.randrange(3)))
+    rows = [("long", n, random_text(rng, 6), random_text(rng, 6)) for n in range(200)] + [(f"d{d}", n, text(), text()) for d in range(25) for n in range(rng.randrange(1, 9))]
+    move = "However, it rains now. " * 4
+    rows += [("moved", 0, "", move), ("moved", 1, move, ""), ("one", 0, None, move), ("one", 1, "", "We see the rows come in."), ("one", 2, "", "However, it rains now."), ("empty", 0, None, None)]
+    df = spark.createDataFrame(rows, "doc string, chunk int, input_text string, output_text string").repartition(5)
+    got = {(r.doc, r.chunk): (r.accepted, r.codes) for r in deltas.arbitrate(df, "doc", "chunk").collect()}
+    want = brute_arbitration(rows)
+    assert got == want and 0 < sum(not a for (d, _), (a, _) in got.items() if d == "long") < 200
+    assert got["moved", 0][0] and not got["one", 0][0] and got["one", 2][0]
+    assert deltas.arbitrate(df.where("false"), "doc", "chunk").count() == 0

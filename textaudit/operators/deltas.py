@@ -195,6 +195,46 @@ def document_delta(pairs: DataFrame, doc: str, chunk: str, a: str = "input_text"
     return _sealed(out.withColumns({"blocking_codes": blocking, "advisory_codes": advisory}).withColumn("passed", F.size("blocking_codes") == 0))
 
 
+# --- arbitration ------------------------------------------------------------------------------------------------------
+def arbitrate(pairs: DataFrame, doc: str, chunk: str, a: str = "input_text", b: str = "output_text") -> DataFrame:
+    """(doc, chunk, accepted, codes): which revised chunks a document can take, in order, before a pattern repeats too often in it.
+
+    A chunk is refused (and its source stays) where with those accepted before it any pattern would reach CUMULATIVE_GROWTH; codes then
+    names the kinds. A document that passes with all its chunks takes them all: what one chunk adds another may remove.
+
+    The fold's state is a map of counters. It holds the patterns alone that could reach the limits if every chunk that adds to them were
+    taken, and only chunks that change one of these are steps; the others are accepted without it. (doc, chunk) must be unique.
+    """
+    least, growth_least = L.CUMULATIVE_GROWTH
+    patterns = chunk_patterns(pairs, [doc, chunk], a, b)
+    change = F.col("n_out") - F.col("n_in")
+    whole = patterns.groupBy(doc, "kind", "pattern").agg(F.sum("n_in").alias("base"), F.sum("n_out").alias("all_taken"), F.sum(F.greatest(change, F.lit(0))).alias("added"))
+    refused = (F.col("all_taken") >= least) & (F.col("all_taken") - F.col("base") >= growth_least)
+    failing = whole.groupBy(doc).agg(F.max(refused).alias("fails")).where("fails").select(doc)
+    contended = whole.where((F.col("base") + F.col("added") >= least) & (F.col("added") >= growth_least)).join(failing, doc, "left_semi").select(doc, "kind", "pattern", "base")
+    changes = patterns.where("n_out <> n_in").join(contended, [doc, "kind", "pattern"], "left_semi").select(doc, chunk, F.concat_ws(":", "kind", "pattern").alias("k"), change.alias("change"))
+    steps = changes.groupBy(doc, chunk).agg(F.map_from_entries(F.collect_list(F.struct("k", "change"))).alias("changes"))
+    steps = steps.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(chunk, "changes")), lambda x, y: F.when(x[chunk] < y[chunk], -1).otherwise(1)).alias("steps"))
+    state = contended.groupBy(doc).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "kind", "pattern"), F.struct("base", F.col("base").alias("now"))))).alias("state"))
+    codes = "array<struct<chunk: " + pairs.schema[chunk].dataType.simpleString() + ", codes: array<string>>>"
+
+    def step(s: Column, x: Column) -> Column:
+        def judged(trial: Column) -> Column:
+            over = F.map_filter(trial, lambda _, v: (v["now"] >= least) & (v["now"] - v["base"] >= growth_least))
+            broken = F.filter(F.array(*[F.when(F.exists(F.map_keys(over), lambda k: F.startswith(k, F.lit(f"{kind}:"))), code) for kind, code, _ in KINDS]), lambda c: c.isNotNull())
+            kept = F.struct(s["state"].alias("state"), F.array_append(s["refused"], F.struct(x[chunk].alias("chunk"), broken.alias("codes"))).alias("refused"))
+            return F.when(F.size(over) == 0, F.struct(trial.alias("state"), s["refused"].alias("refused"))).otherwise(kept)
+
+        added = F.map_zip_with(s["state"], x["changes"], lambda _, v, d: F.struct(v["base"].alias("base"), (v["now"] + F.coalesce(d, F.lit(0).cast("long"))).alias("now")))
+        return T.let(added, judged)
+
+    begin = F.struct("state", F.array().cast(codes).alias("refused"))
+    folded = steps.join(state, doc).select(doc, F.explode(F.aggregate("steps", begin, step, lambda s: s["refused"])).alias("r"))
+    refused = folded.select(doc, F.col("r.chunk").alias(chunk), F.col("r.codes").alias("codes"))
+    out = pairs.select(doc, chunk).join(refused, [doc, chunk], "left")
+    return out.select(doc, chunk, F.col("codes").isNull().alias("accepted"), F.coalesce("codes", F.array().cast("array<string>")).alias("codes"))
+
+
 # --- checking evidence ------------------------------------------------------------------------------------------------
 _HASH = "^[0-9a-f]{64}$"
 FAMILIES = sorted({k for k, _ in (*L.OPENINGS_ZH, *L.OPENINGS_EN)} | {"cn.plain", "en.plain"})

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,25 +27,26 @@ def best_candidate(candidates: DataFrame, key: str) -> DataFrame:
 
 
 def accept_in_order(chunks: DataFrame, key: str, order: str, growth: str, most: int) -> DataFrame:
-    """Adds accepted: chunks are taken in order, and one is refused where the accepted growth would exceed `most`.
+    """Adds accepted: chunks are taken in order (of equal ones the lesser growth first), and one is refused where the accepted growth would exceed `most`.
 
-    A document whose whole growth stays within `most` is accepted at once, without the fold; only the others are folded,
-    one document at a time (the fold is neither associative nor commutative).
+    A document whose whole growth stays within `most` is accepted at once, without the fold; of the others the growths alone are
+    folded, one document at a time (the fold is neither associative nor commutative).
     """
     total = chunks.groupBy(key).agg(F.sum(growth).alias("_total"))
     marked = chunks.join(total, key)
     fine = marked.where(F.col("_total") <= most).drop("_total").withColumn("accepted", F.lit(True))
-    rest = marked.where(F.col("_total") > most).drop("_total")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, total, taken = pdf.sort_values(order), 0, []
-        for g in pdf[growth]:
-            ok = total + g <= most
-            total += g if ok else 0
-            taken.append(ok)
-        return pdf.assign(accepted=taken)
-
-    return fine.unionByName(rest.groupBy(key).applyInPandas(fold, fine.schema))
+    rest = marked.where(F.col("_total") > most).drop("_total").withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order, growth)))
+    steps = rest.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_n", F.col(growth).cast("long").alias("g")))).alias("_steps"))
+    start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<boolean>").alias("taken"))
+
+    def step(state, chunk):
+        new = state["total"] + chunk["g"]
+        taken = lambda total, ok: F.struct(total.alias("total"), F.array_append(state["taken"], F.lit(ok)).alias("taken"))
+        return F.when(new <= most, taken(new, True)).otherwise(taken(state["total"], False))
+
+    taken = steps.select(F.col(key), F.posexplode(F.aggregate("_steps", start, step, lambda state: state["taken"])).alias("_at", "accepted")).withColumn("_n", F.col("_at") + 1)
+    folded = rest.join(taken.drop("_at"), [key, "_n"]).select(*chunks.columns, "accepted")
+    return fine.select(*chunks.columns, "accepted").unionByName(folded)
 
 
 def positions_in_order(df: DataFrame, key: str, order: str, position: str) -> DataFrame:

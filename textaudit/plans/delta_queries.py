@@ -171,6 +171,26 @@ from r join ({_profile_sql('n_in')}) x using (conv_id) join ({_profile_sql('n_ou
 """
 
 
+def document_arbitration(spark, sf_dir):
+    """Which revised turns their conversation can take, in order, before an opening or a frame repeats too often in it."""
+    out = deltas.arbitrate(turn_pairs(spark, sf_dir), "conv_id", "turn")
+    return out.select("conv_id", "turn", "accepted", F.array_join("codes", ",").alias("codes"))
+
+
+ARBITRATION_SQL = rf"""
+with recursive {_grown_ctes()},
+fails as (select conv_id from whole group by 1 having bool_or(n_out >= 4 and n_out - n_in >= 1)),
+keys as (select conv_id, list(kind order by kind, pattern) as kinds, list(pattern order by kind, pattern) as patterns, list(n_in order by kind, pattern) as base from whole join fails using (conv_id) group by 1),
+steps as (select conv_id, turn, row_number() over (partition by conv_id order by turn) as i, list(change order by kind, pattern) as change
+  from (select p.conv_id, p.turn, whole.kind, whole.pattern, coalesce(n.n_out - n.n_in, 0) as change from p join fails using (conv_id) join whole using (conv_id) left join n on n.conv_id = p.conv_id and n.turn = p.turn and n.kind = whole.kind and n.pattern = whole.pattern) group by 1, 2),
+fold as (select conv_id, 0::bigint as i, base as now, null::bigint as turn, []::varchar[] as over from keys
+  union all select f.conv_id, s.i, case when len(o.over) = 0 then o.trial else f.now end, s.turn, o.over from fold f join steps s on s.conv_id = f.conv_id and s.i = f.i + 1 join keys k on k.conv_id = f.conv_id,
+    lateral (select trial, list_transform(list_filter(list_zip(trial, k.base, k.kinds), lambda v: v[1] >= 4 and v[1] > v[2]), lambda v: v[3]) as over from (select list_transform(list_zip(f.now, s.change), lambda v: v[1] + v[2]) as trial)) o)
+select p.conv_id, p.turn, coalesce(len(over), 0) = 0 as accepted, coalesce(array_to_string([case when list_contains(over, 'opening') then 'repeated_opening_family_introduced' end, case when list_contains(over, 'skeleton') then 'repeated_sentence_skeleton_introduced' end], ','), '') as codes
+from p left join fold on fold.conv_id = p.conv_id and fold.turn = p.turn
+"""
+
+
 #: What is planted into every tenth row: by (conv_id + turn) % 7 the field that is changed, and what must be found.
 TAMPERED = ("passed", "boundary", "binding", "torn", "digest", "skeleton_counts", "codes")
 
@@ -196,5 +216,5 @@ select conv_id, turn, ([{_NAMES}])[((conv_id + turn) % 7 + 1)::int] as broken fr
 
 QUERIES = {
     "opening_growth": (opening_growth, GROWTH_SQL), "skeleton_concentration": (skeleton_concentration, SKELETON_SQL), "style_delta": (style_delta, STYLE_DELTA_SQL),
-    "document_style_delta": (document_style_delta, DOCUMENT_DELTA_SQL), "evidence_check": (evidence_check, EVIDENCE_SQL),
+    "document_style_delta": (document_style_delta, DOCUMENT_DELTA_SQL), "evidence_check": (evidence_check, EVIDENCE_SQL), "document_arbitration": (document_arbitration, ARBITRATION_SQL),
 }
