@@ -23,6 +23,32 @@ def after_cursor(events: DataFrame, key: str, order: str, cursors: DataFrame, cu
     return out.join(dropped, key, "left").withColumn("truncated", F.coalesce("_cut", F.lit(False))).drop("_first", "_cut")
 
 
+def coalesced_buffer(events: DataFrame, key: str, order: str, chunk: str, round_: str, stream: str, done: str, most: int = EVENT_BUFFER) -> DataFrame:
+    """What each key's buffer holds at the end: events with seq, their number in the key from 1, however many were left out before.
+
+    stream marks progress events of a chunk. One that isn't done gives way to the chunk's next event if that is one, too, of the same round; so
+    a chunk's progress takes one place. Of what is left the last `most` stay: an event is pushed out by as many later ones as
+    are there at the end, as those that gave way had their places taken. Null and empty chunks are one chunk, null rounds are 0. seq counts a key in its order, so a key
+    is one task's; its columns alone are sorted, and the buffer is cut before the next shuffle.
+    """
+    w = Window.partitionBy(key, F.coalesce(chunk, F.lit(""))).orderBy(order)
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    e = events.withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy(order)).cast("long"))
+    gives_way = F.coalesce(flag(stream) & ~flag(done) & F.coalesce(F.lead(stream).over(w), F.lit(False)) & (F.lead(F.coalesce(round_, F.lit(0))).over(w) == F.coalesce(round_, F.lit(0))), F.lit(False))
+    return buffer(e.withColumn("_way", gives_way).where("not _way").drop("_way"), key, "seq", most)
+
+
+def replies(kept: DataFrame, key: str, cursors: DataFrame, cursor: str) -> DataFrame:
+    """What a client that has seen seq up to its cursor is told, from a buffer with seq: the events behind it, with snapshot false; or, where some of
+    these are no longer there, the last event alone, with snapshot true, as a tail would pass for the whole. A null cursor has seen nothing
+    and asks for what there is; one beyond the end has seen all. Keys without a cursor get no reply."""
+    w = Window.partitionBy(key)
+    bounds = kept.withColumns({"_first": F.min("seq").over(w), "_last": F.max("seq").over(w)})  # a buffer is bounded
+    seen = F.when(F.col("_cursor").isNull(), F.col("_first") - 1).otherwise(F.least("_cursor", "_last"))
+    out = bounds.join(cursors.select(key, F.col(cursor).cast("long").alias("_cursor")), key).withColumn("_seen", seen).withColumn("snapshot", F.col("_seen") < F.col("_first") - 1)
+    return out.where(F.when(F.col("snapshot"), F.col("seq") == F.col("_last")).otherwise(F.col("seq") > F.col("_seen"))).drop("_first", "_last", "_cursor", "_seen")
+
+
 def rate_limit(events: DataFrame, key: str, ts: str, seconds: int, most: int) -> DataFrame:
     """in_window: events of the key in the `seconds` up to each event; allowed: no more than `most`."""
     w = Window.partitionBy(key).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)

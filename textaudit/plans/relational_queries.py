@@ -141,6 +141,16 @@ def events_after_cursor(spark, sf_dir):
     return E.after_cursor(ev, "event_type", "event_id", cursors, "cursor").select("event_type", "event_id", "truncated")
 
 
+def run_replies(spark, sf_dir):
+    """What each user's client is told behind its cursor (none, an old one, a recent one, one beyond the end), from a buffer of twenty events in which
+    views, the progress of four chunks, are coalesced."""
+    ev = _events(spark, sf_dir).select("user_id", "event_id", (F.col("event_id") % 4).cast("string").alias("chunk"), F.expr("event_id div 3000").cast("int").alias("round"), (F.col("event_type") == "view").alias("stream"), (F.col("k") > 80).alias("done"))
+    kept = E.coalesced_buffer(ev, "user_id", "event_id", "chunk", "round", "stream", "done", 20)
+    seen = F.when(F.col("user_id") % 4 == 0, F.lit(None)).when(F.col("user_id") % 4 == 1, F.lit(1)).when(F.col("user_id") % 4 == 2, F.col("n") - 5).otherwise(F.col("n") + 5)
+    cursors = ev.groupBy("user_id").agg(F.count("*").alias("n")).select("user_id", seen.alias("cursor"))
+    return E.replies(kept, "user_id", cursors, "cursor").select("user_id", "seq", "event_id", "snapshot")
+
+
 def rate_limit(spark, sf_dir):
     r = E.rate_limit(_events(spark, sf_dir), "user_id", "ts", 3600, 1)
     return r.groupBy("user_id").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("refused"), F.max("in_window").alias("most"))
@@ -203,6 +213,11 @@ QUERIES = {
     "integrity_counts": (integrity_counts, "select 'refs_without_artifact' as \"check\", count(*) as n from lineitem where l_partkey not in (select p_partkey from part) union all select 'artifacts_without_refs', count(*) from part where p_partkey not in (select l_partkey from lineitem) union all select 'refs_without_round', count(*) from lineitem where l_orderkey not in (select o_orderkey from orders) union all select 'distinct_paths', count(distinct l_partkey) from lineitem"),
     "event_buffer": (event_buffer, f"with {_KEEP} select event_type, count(*) as n, min(event_id) as first_id, max(event_id) as last_id, sum(k)::bigint as k from kept group by 1"),
     "events_after_cursor": (events_after_cursor, f"with {_KEEP}, cur as (select event_type, case when length(event_type) % 2 = 0 then 5 else max(event_id) - 100 end as cursor from ev group by 1), f as (select event_type, min(event_id) as first from kept group by 1) select event_type, event_id, exists (select 1 from ev where ev.event_type = kept.event_type and ev.event_id > cursor and ev.event_id < f.first) as truncated from kept join cur using (event_type) join f using (event_type) where event_id > cursor"),
+    "run_replies": (run_replies, f"""with {_EV}, e as (select *, row_number() over (partition by user_id order by event_id) as seq, lead(event_type) over c as next_type, lead(event_id // 3000) over c as next_round from ev window c as (partition by user_id, event_id % 4 order by event_id)),
+      kept as (select user_id, event_id, seq from e where not (event_type = 'view' and k <= 80 and coalesce(next_type = 'view' and next_round = event_id // 3000, false)) qualify row_number() over (partition by user_id order by seq desc) <= 20),
+      b as (select user_id, min(seq) as first, max(seq) as last from kept group by 1), n as (select user_id, count(*) as n from ev group by 1),
+      s as (select b.*, case user_id % 4 when 0 then first - 1 when 1 then least(1, last) when 2 then least(n - 5, last) else least(n + 5, last) end as seen from b join n using (user_id))
+      select user_id, seq, event_id, seen < first - 1 as snapshot from kept join s using (user_id) where case when seen < first - 1 then seq = last else seq > seen end"""),
     "rate_limit": (rate_limit, f"with {_EV}, w as (select user_id, count(*) over (partition by user_id order by ts range between interval 1 hour preceding and current row) as c from ev) select user_id, count(*) filter (c <= 1) as allowed, count(*) filter (c > 1) as refused, max(c) as most from w group by 1"),
     "failure_cooldown": (failure_cooldown, f"with {_EV}, a as (select *, sum(case when event_type = 'error' then 0 else 1 end) over (partition by user_id order by event_id) as ok from ev), b as (select *, sum(case when event_type = 'error' then 1 else 0 end) over (partition by user_id, ok order by event_id) as streak from a) select event_id, user_id, streak::bigint as streak, least(60, streak * 3)::bigint as cooldown from b where streak > 0"),
     "expired_runs": (expired_runs, f"with {_EV}, l as (select * from ev qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1) select user_id, ts as last_ts from l where event_type in ('purchase', 'click') and ts < timestamp '2024-01-30 12:00:00' - interval 1800 seconds"),
