@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textaudit.functions import text as T
-from textaudit.operators import audit, docroles, events, guards, history, pairs, phrases, readability, records, repetition, segment, select, validators
+from textaudit.operators import audit, events, guards, history, pairs, phrases, readability, records, repetition, segment, select, validators
 from textaudit.plans import text_queries
 from textaudit.sources import tables
 
@@ -274,13 +274,6 @@ def test_scope_profile_reads_every_language(spark, tmp_path):
     assert got == {"exclusive_restriction": (3, 3), "universal_totality": (2, 3), "universal_any": (2, 2), "condition_necessary": (1, 1), "certainty_absolute": (2, 2), "condition_sufficient": (1, 1)}
 
 
-def test_document_roles(spark):
-    units = ["Title", "Abstract", "This is about a method.", "1 Introduction", "The text of the body stands here.", "Figure 1 The set-up", "x = y + 2", "References", "[1] Someone, A title."]
-    got = docroles.classify(spark.createDataFrame([("d", i, t) for i, t in enumerate(units)], "doc string, i int, text string"), "doc", "i").orderBy("i").collect()
-    assert [r.phase for r in got] == ["front", "abstract", "abstract", "body", "body", "body", "body", "references", "references"]
-    assert [r.role for r in got][1:] == ["heading", "text", "heading", "text", "caption", "formula", "heading", "reference"] and [r.i for r in got if r.editable] == [2, 4]
-
-
 def test_history_and_events(spark):
     rows = spark.createDataFrame([(1, 1, "a"), (1, 3, "b"), (2, 2, "c")], "k int, ts int, v string")
     assert {(r.k, r.v) for r in history.latest(rows, "k", "ts").collect()} == {(1, "b"), (2, "c")}
