@@ -1,6 +1,7 @@
 """The reference operators on inline fixtures: codes that must and must not appear, and order-dependent folds."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -395,3 +396,45 @@ def test_terms_may_hold_any_mark(spark):
     same = both.withColumn("output_text", F.col("input_text"))
     assert validators.validate(both).count() == len(rows) and all(r.relation_issues == [] for r in guards.relation_issues(same).collect())
     assert all(r.codes is not None for r in validators.validate(both).select("codes").collect())
+
+
+def test_words_written_as_one(spark):
+    """Against a search of the whole revision for each pair of neighbouring words."""
+    from textaudit.functions import guard_values as V
+
+    def plain(a, b):
+        if len(re.findall("[A-Za-z]+(?:[-'][A-Za-z]+)*", a)) < 5 or len(re.findall("[A-Za-z]", a)) < 25:
+            return []
+        found, words = [], list(re.finditer(V.SPACED_TOKEN, a))
+        telling = lambda w: bool(re.search(r"[0-9._/-]|[a-z].*[A-Z]|[A-Z].*[a-z]", w))
+        for x, y in zip(words, words[1:]):
+            left, right, gap = x[0], y[0], a[x.end() : y.start()]
+            mark = "".join(gap.split())
+            if not re.search(r"\s", gap) or not (mark or telling(left) or telling(right) or left.lower() in V.GLUE_LEFT or right.lower() in V.GLUE_RIGHT) or max(len(left), len(right)) < 2:
+                continue
+            form = next((f for f in ((left + mark + right).lower(), (left + right).lower()) if len(f) >= 5 and f not in a.lower() and f in b.lower()), None)
+            if form and form not in found:
+                found.append(form)
+        return found
+
+    rng, rows = random.Random(1), []
+    words, gaps = ["the", "a", "data", "set", "Model", "GPT-4", "of", "in", "row", "rows", "x2", "e.g", "table", "Fig", "and", "over-fit", "is"], [" "] * 5 + [", ", "-", " (", ") ", "; ", "/", "  ", "\n"]
+    for k in range(300):
+        w, g = [rng.choice(words) for _ in range(rng.randrange(2, 40))], [rng.choice(gaps) for _ in range(40)]
+        other = [("" if rng.random() < 0.15 else y.replace(" ", "") if rng.random() < 0.1 else y) for y in g]
+        rows.append((k, "".join(x + y for x, y in zip(w, g)), "".join(x + y for x, y in zip(w, other if k % 3 else g))))
+    got = spark.createDataFrame(rows, "k int, a string, b string").select("a", "b", validators.run_together(F.col("a"), F.col("b")).alias("found")).collect()
+    assert all(r.found == plain(r.a, r.b) for r in got) and sum(bool(r.found) for r in got) > 50
+
+
+def test_containment_agrees_with_every_pair(spark):
+    rng = random.Random(3)
+    words = [f"{a}{b}" for a in ("row", "table", "key", "sum", "join", "sort") for b in "abcdefghij"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    texts = [(k, text(rng.choice([5, 12, 30, 80]))) for k in range(120)] + [(500, None), (None, text(30)), (7, text(20))]
+    queries = [(k, " ".join(rng.sample((texts[k][1] or "").split(), min(9, len(texts[k][1].split())))) + " " + text(rng.randrange(6))) for k in range(0, 60)] + [(100, text(90)), (101, "")]
+    terms = lambda rows: {i: {w for j, t in rows if j == i for w in (t or "").split()} for i in {j for j, _ in rows if j is not None}}
+    a, b = terms(texts), terms(queries)
+    want = {(q, t, len(x & y), min(len(x), len(y))) for q, x in b.items() for t, y in a.items() if min(len(x), len(y)) >= 8 and len(x & y) >= 0.72 * min(len(x), len(y))}
+    found = pairs.containment_search(spark.createDataFrame(texts, "i int, text string"), spark.createDataFrame(queries, "j int, text string"), "i", "j")
+    assert {tuple(r) for r in found.collect()} == want and len(want) > 40

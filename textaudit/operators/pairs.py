@@ -103,16 +103,31 @@ def adjacent_overlap(chunks: DataFrame, key: str, pos: str, text: str = "text",
 
 
 def containment_search(texts: DataFrame, queries: DataFrame, text_id: str, query_id: str, text: str = "text", threshold: float = L.OVERLAP_THRESHOLD) -> DataFrame:
-    """(query, text, shared, least_terms) with an overlap coefficient of the terms of at least `threshold`, by an inverted index.
+    """(query, text, shared, least_terms) with an overlap coefficient of the terms of at least `threshold`, by an inverted index of rare terms.
 
-    Texts are matched term by term with the queries' terms, so only texts that share a term meet. The queries' side is the
-    smaller one; a term that very many texts hold is split over tasks by the adaptive skew join.
+    The smaller of a pair can lack so many of its terms, so one of its rarest few (the more, the more it may lack) must be in the other; only those
+    meet, and what meets is verified. Terms are ranked by how many of the other side hold them, and those that none holds are misses already.
+    Texts of fewer than 8 terms take no part. Rows that share an id are one text with the terms of all; null ids take no part.
     """
-    a = texts.select(F.col(text_id).alias("t_id"), T.content_terms(F.coalesce(F.col(text), F.lit(""))).alias("ta"))
-    b = queries.select(F.col(query_id).alias("q_id"), T.content_terms(F.coalesce(F.col(text), F.lit(""))).alias("tb"))
-    left = a.select("t_id", F.size("ta").alias("na"), F.explode("ta").alias("term")).where(F.col("na") >= L.OVERLAP_LEAST_TERMS)
-    right = b.select("q_id", F.size("tb").alias("nb"), F.explode("tb").alias("term")).where(F.col("nb") >= L.OVERLAP_LEAST_TERMS)
-    out = left.join(right, "term").groupBy("q_id", "t_id").agg(F.count("*").alias("shared"), F.least(F.first("na"), F.first("nb")).alias("least_terms"))
+    def side(df: DataFrame, key: str, name: str) -> DataFrame:
+        t = df.where(F.col(key).isNotNull()).select(F.col(key).alias(f"{name}_id"), F.explode(T.content_terms(F.coalesce(F.col(text), F.lit("")))).alias("term")).distinct()
+        return t.withColumn(f"n_{name}", F.count("*").over(Window.partitionBy(f"{name}_id"))).where(F.col(f"n_{name}") >= L.OVERLAP_LEAST_TERMS)
+
+    def prefix(mine: DataFrame, name: str, held: DataFrame) -> DataFrame:
+        """The rarest terms of each text, of those that the other side holds: one of them is in whatever holds enough of its terms."""
+        both, own = mine.join(held, "term"), Window.partitionBy(f"{name}_id")
+        ranked = both.withColumns({"_rank": F.row_number().over(own.orderBy("_held", "term")), "_met": F.count("*").over(own)})
+        return ranked.where(F.col("_rank") <= F.col("_met") - F.ceil(F.col(f"n_{name}") * F.lit(threshold) - F.lit(1e-9)) + 1).select(f"{name}_id", f"n_{name}", "term")
+
+    a, b = side(texts, text_id, "t"), side(queries, query_id, "q")
+    held = lambda df: df.groupBy("term").agg(F.count("*").alias("_held"))
+    met = a.join(b.select("term").distinct(), "term", "left_semi")
+    small_q = prefix(b, "q", held(met)).join(met, "term").where("n_q <= n_t")
+    small_t = prefix(met, "t", held(b)).join(b, "term").where("n_t < n_q")
+    pairs = small_q.select("q_id", "t_id").unionByName(small_t.select("q_id", "t_id")).distinct()
+    sets = lambda df, name: df.groupBy(f"{name}_id").agg(F.first(f"n_{name}").alias(f"n_{name}"), F.collect_set("term").alias(f"terms_{name}"))
+    checked = pairs.join(sets(met, "t"), "t_id").join(sets(b, "q"), "q_id").withColumn("shared", F.size(F.array_intersect("terms_t", "terms_q")))
+    out = checked.select("q_id", "t_id", F.col("shared").cast("long").alias("shared"), F.least("n_t", "n_q").cast("int").alias("least_terms"))
     return out.where(F.col("shared") >= threshold * F.col("least_terms"))
 
 

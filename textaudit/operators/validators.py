@@ -1,7 +1,6 @@
 """The chain of checks that a revised chunk must pass: one array of codes, in the order in which a first-failure validator runs.
 
 Every check is an expression over one row; only repetition (operators/repetition.py) needs a join, and is asked for apart.
-Pairs are chunks: the search for words that run together looks through the output once for each pair of neighbouring words.
 """
 
 from __future__ import annotations
@@ -38,26 +37,33 @@ def leading_marker(text: Column) -> Column:
 
 
 def run_together(a: Column, b: Column) -> Column:
-    """Neighbouring words of an English text that the revision writes as one: array<string>, distinct, in order, as in the revision's lower case."""
+    """Neighbouring words of an English text that the revision writes as one: array<string>, distinct, in order, as in the revision's lower case.
+
+    What is written as one stands in a run of letters and digits that the source doesn't have, so forms without a mark are looked up in
+    those runs alone, each once; whole texts are searched only for words with a mark between them.
+    """
     words, gaps = F.regexp_extract_all(a, F.lit(V.SPACED_TOKEN), F.lit(0)), F.split(a, V.SPACED_TOKEN)
     low_a, low_b = F.lower(a), F.lower(b)
     telling = lambda w: w.rlike(r"[0-9._/-]|[a-z].*[A-Z]|[A-Z].*[a-z]")
 
-    def joined(p: Column) -> Column:
+    def joined(p: Column, new: Column) -> Column:
         left, right, mark = p["left"], p["right"], F.regexp_replace(p["gap"], r"(?U)\s+", "")
         marked = mark != ""
         sensitive = marked | telling(left) | telling(right) | F.lower(left).isin(*V.GLUE_LEFT) | F.lower(right).isin(*V.GLUE_RIGHT)
         fit = p["gap"].rlike(r"(?U)\s") & sensitive & ((F.length(left) > 1) | (F.length(right) > 1))
         forms = F.array(F.lower(F.concat(left, mark, right)), F.lower(F.concat(left, right)))
-        return F.when(fit, F.get(F.filter(forms, lambda f: (F.length(f) >= 5) & ~F.contains(low_a, f) & F.contains(low_b, f)), F.lit(0)))
+        held = lambda f: F.contains(new, f) | (marked & F.contains(low_b, f))
+        return F.when(fit & ((new != "") | marked), F.get(F.filter(forms, lambda f: (F.length(f) >= 5) & held(f) & ~F.contains(low_a, f)), F.lit(0)))
 
     def found(both: Column) -> Column:
         w, g = both["words"], both["gaps"]
         n = F.size(w) - 1
         next_to = F.arrays_zip(F.slice(w, 1, n).alias("left"), F.slice(w, 2, n).alias("right"), F.slice(g, 2, n).alias("gap"))
-        return F.when(n >= 1, F.array_distinct(F.filter(F.transform(next_to, joined), lambda f: f.isNotNull()))).otherwise(F.array().cast("array<string>"))
+        return F.when(n >= 1, F.array_distinct(F.filter(F.transform(next_to, lambda p: joined(p, both["new"])), lambda f: f.isNotNull()))).otherwise(F.array().cast("array<string>"))
 
-    return F.when(T.language(a) == "en", T.let(F.struct(words.alias("words"), gaps.alias("gaps")), found)).otherwise(F.array().cast("array<string>"))
+    runs = lambda low: F.regexp_extract_all(low, F.lit(r"[a-z0-9._+-]{5,}"), F.lit(0))
+    new = F.array_join(F.array_except(runs(low_b), runs(low_a)), " ")
+    return F.when(T.language(a) == "en", T.let(F.struct(words.alias("words"), gaps.alias("gaps"), new.alias("new")), found)).otherwise(F.array().cast("array<string>"))
 
 
 def answer_style(a: Column, b: Column) -> Column:
