@@ -138,14 +138,42 @@ def test_chunks_keep_every_character_and_the_limit(spark):
 
 
 def test_mask_round_trip(spark):
-    texts = ["Use `x[1]` and $a+b$ at https://e.org/a?b, see [3,4] for 12.5 % of 7.", "@@0@@ literal @@ 5 @", "", "no spans", "@@@@ 3 @@1@@"]
-    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", segment.mask(F.col("t")).alias("m")).select("t", "m", segment.unmask(F.col("m.masked"), F.col("m.spans")).alias("back"))
+    texts = ["Use `x[1]` and $a+b$ at https://e.org/a?b, see [3,4] for 12.5 % of 7.", "@@0@@ literal @@ 5 @", "", "no spans", "@@@@ 3 @@1@@", "@NUM_1; is no mark, 5 is", "7", "5@x 6", "x@", "😀 9 😀"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", segment.mask(F.col("t")).alias("m")).select("t", "m", segment.unmask(F.col("m.masked"), F.col("m.tokens")).alias("back"))
     rows = df.collect()
-    assert [r.back for r in rows] == texts and "12.5" not in rows[0].m.masked
+    assert [r.back for r in rows] == texts and rows[0].m.masked == "Use @CODE_1; and @EQN_2; at @URL_3;, see @REF_4; for @NUM_5; of 7."
+    assert rows[5].m.masked == "@-@TOK_1;; is no mark, @NUM_2; is" and rows[9].m.masked == "😀 @NUM_1;😀"
     types = spark.createDataFrame([(texts[0],)], "t string").select(segment.span_types(F.col("t"))).first()[0]
     assert types == {"CODE": 1, "EQN": 1, "URL": 1, "REF": 1, "NUM": 1}
 
 
+def test_span_types_are_told_in_order(spark):
+    want = {
+        "`a 1`": "CODE", "$x_1$": "EQN", "$$x$$": "EQN", "\\(y\\)": "EQN", "\\[z 2\\]": "EQN", "https://a.b/c": "URL", "10.1234/ab.c-1": "URL", "[1, 2-4]": "REF", "(Doe and Row, 2019; Li et al., 2020a)": "REF", "（张三等，2019）": "REF",
+        "图 3-1": "CAP", "表2": "CAP", "公式（2）": "EQN", "式(3)": "EQN", "(12)": "EQN", "3-5 kg": "NUM", "3.5~4 mm": "NUM", "12 min": "NUM", "1,000.5": "NUM", "50%": "NUM", "GPT-4": "TOK", "ResNet50": "TOK", "v1.2.3": "TOK", "MyName": "TOK", "AB-Z.2": "TOK", "（三）": "TOK",
+    }
+    text = " 并且 ".join(want)
+    spans = spark.createDataFrame([(text,)], "t string").select(segment.protected(F.col("t")).alias("p")).first().p
+    assert {s.text.strip(): s.type for s in spans} == want and all(text[s.start : s.stop] == s.text for s in spans)
+
+
+def test_anchors_and_placeholders(spark):
+    cases = [
+        ("see MyName 5 now", ["now"], "see @TOK_1; @NUM_2; @FMT_3;", None), ("see MyName 5 now", ["MyName 5 now"], "see @FMT_1;", None), ("see `a b` now", ["a"], "see @CODE_1; now", None), ("one one", ["one"], None, "anchor_missing_or_ambiguous"),
+        ("aaa", ["aa"], None, "anchor_missing_or_ambiguous"), ("x", ["y"], None, "anchor_missing_or_ambiguous"), ("see `a b` now", ["b` now"], None, "anchor_overlaps"), ("x y", ["x", "x"], None, "duplicate_anchors"), ("x y", [], "x y", None), ("x y", None, "x y", None), ("p q r", ["r", "p", ""], "@FMT_1; q @FMT_2;", None),
+    ]
+    df = spark.createDataFrame([(k, t, a) for k, (t, a, _, _) in enumerate(cases)], "k int, t string, a array<string>").select("k", "t", segment.with_anchors(F.col("t"), F.col("a")).alias("w"))
+    df = df.select("k", "t", "w", segment.mask_spans(F.col("t"), F.col("w.spans")).alias("m")).select("*", segment.unmask(F.col("m.masked"), F.col("m.tokens")).alias("back"))
+    for r, (t, _, masked, problem) in zip(df.orderBy("k").collect(), cases, strict=True):
+        assert r.w.problem == problem and r.back == t and (masked is None or r.m.masked == masked), (r, masked)
+    m = spark.createDataFrame([("a 1 b 2 c",)], "t string").select(segment.mask(F.col("t")).alias("m"))
+    told = lambda out: m.select(segment.placeholder_problem(F.col("m.tokens"), F.lit(out))).first()[0]
+    assert [told(x) for x in ("@NUM_1; @NUM_2;", "@NUM_1;", "@NUM_1; @NUM_2; @NUM_3;", "@NUM_1; @NUM_1; @NUM_2;", "@NUM_2; @NUM_1;", "")] == [None, "missing", "unknown", "duplicated", "reordered", "missing"]
+    rows = [("x y z", "x then z", None), ("x x", "x", "invalid_source"), ("x z", "x", "removed"), ("x z", "x z z", "duplicated"), ("x z", "z x", "reordered")]
+    got = spark.createDataFrame([(s, o) for s, o, _ in rows], "s string, o string").select(segment.anchor_problem(F.col("s"), F.col("o"), F.array(F.lit("x"), F.lit("z")))).collect()
+    assert [r[0] for r in got] == [p for *_, p in rows]
+
+
 def test_candidates_and_fold(spark):
     rows = [("a", "base", "baseline", 0, True, 1.0, 1.0), ("a", "m1", "model", 1, True, 0.9, 0.8), ("a", "m2", "model", 2, True, 0.9, 0.9), ("a", "m3", "model", 3, False, 0.1, 1.0), ("b", "base", "baseline", 0, True, 1.0, 1.0), ("b", "m1", "model", 1, True, 0.97, 1.0), ("c", "base", "baseline", 0, True, None, 1.0)]
     got = {r.k: (r.candidate_id, r.reason) for r in select.best_candidate(spark.createDataFrame(rows, "k string, candidate_id string, origin string, attempt int, eligible boolean, penalty double, retention double"), "k").collect()}

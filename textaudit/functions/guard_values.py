@@ -1,5 +1,7 @@
 """Fixed values of the pair guards: patterns and word lists that must be as they are for the same results."""
 
+from textaudit.functions import lexicons as L
+
 # --- fixed values: colloquial forms, by rule --------------------------------------------------------------------------
 _DEGREE = r"(?:更(?:加|为)?|较(?:为)?|比较|相对|很|挺)"
 _STATE_END = r"(?=$|[^㐀-鿿A-Za-z0-9_]|[且而并但或也了的地])"
@@ -123,3 +125,17 @@ FRAGMENT_EN = r"(?i)\b(?:and|or|the|a|an|of|to|with|by|from|as|is|are|was|were|t
 _AUTHOR = r"(?:[一-鿿]{2,12}\s*(?:等)?(?:和[一-鿿]{2,12})?|[A-Z][A-Za-z]+(?:\s+(?:&|and)\s+[A-Z][A-Za-z]+|\s+et\s+al\.)?)"
 _AUTHOR_YEAR = rf"(?:{_AUTHOR}\s*[,，]\s*\d{{4}}[a-z]?(?:\s*[,，]\s*\d{{4}}[a-z]?)*)"
 AUTHOR_YEAR = rf"[（(]{_AUTHOR_YEAR}(?:\s*[;；]\s*{_AUTHOR_YEAR})*[）)]"
+# --- fixed values: spans that a revision must give back as they are ---------------------------------------------------
+URL_SPAN = r"https?://[^\s`，,。；;）)\]】>\"']+"
+DOI_SPAN = r"(?<![A-Za-z0-9])10\.\d{4,9}/[-._;()/:A-Za-z0-9]+"
+_UNIT = r"(?:%|％|cm|mm|m|km|kg|g|mg|μg|ug|L|mL|ml|s|min|h|d|℃|°C|K|Pa|kPa|MPa|Hz|kHz|MHz|GHz|px|dpi)"
+WITH_UNIT = rf"(?<![\d.])\d+(?:\.\d+)?\s*{_UNIT}(?![A-Za-z0-9.])"
+RANGE_WITH_UNIT = rf"(?<![\d.])\d+(?:\.\d+)?\s*(?:-|–|—|~|～|至)\s*\d+(?:\.\d+)?\s*{_UNIT}(?![A-Za-z0-9.])"
+PLAIN_NUMBER = r"(?<![A-Za-z0-9_.])\d+(?:[.,]\d+)*(?:\.\d+)?\s*(?:%|％)?(?![A-Za-z0-9_.])"
+CODE_SPAN = r"`[^`\n]+`"
+LATEX_SPAN = r"\$\$[^$\n]+\$\$|\$[^$\n]+\$|\\\([^\n]+?\\\)|\\\[[^\n]+?\\\]"
+#: Tried in this order at each place.
+PROTECTED = "|".join((
+    CODE_SPAN, LATEX_SPAN, URL_SPAN, DOI_SPAN, L.NUMERIC_CITATION, AUTHOR_YEAR, r"[图表]\s*\d+(?:[.\-–—]\d+)*", r"式\s*[（(]?\s*\d+(?:[-–—]\d+)?\s*[）)]?", r"公式\s*[（(]?\s*\d+(?:[-–—]\d+)?\s*[）)]?",
+    RANGE_WITH_UNIT, WITH_UNIT, rf"[（(]\s*(?:[0-9]+|[{_CJK_NUMBER}]+)\s*[）)]", PLAIN_NUMBER, VERSIONED,
+))

@@ -199,7 +199,7 @@ def length_bucket(sentence: Column) -> Column:
 
 
 #: What a frame doesn't tell apart: marks of masked spans, URLs, code, numbers.
-FRAME_MASKS = ((r"@\d+;", " TOKEN "), (r"(?i)https?://\S+", " URL "), (r"`[^`\n]+`", " CODE "), (r"\d+(?:[.,]\d+)*(?:\.\d+)?", " NUMBER "))
+FRAME_MASKS = ((r"@(?:[A-Z]+_)?\d+;", " TOKEN "), (r"(?i)https?://\S+", " URL "), (r"`[^`\n]+`", " CODE "), (r"\d+(?:[.,]\d+)*(?:\.\d+)?", " NUMBER "))
 
 
 def frame(core: Column) -> Column:

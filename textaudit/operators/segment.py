@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from textaudit.functions import guard_values as V
+from textaudit.functions import lexicons as L
+
 TARGET, SOFT_CUT = 0.8, 0.55
 #: Characters that a chunk needs to stand alone, for English and other texts.
 LEAST = {"en": 160, "default": 60}
@@ -80,36 +83,107 @@ def chunks(df: DataFrame, key: str, text: str = "text", limit: int = 850) -> Dat
     return out.withColumn("chunk_id", F.concat(F.lit("p"), "paragraph", F.lit("_c"), "chunk")).withColumn("chars", F.length("text"))
 
 
-#: type -> pattern, tried in this order at each place.
-PROTECTED = (("CODE", r"`[^`\n]+`"), ("EQN", r"\$[^$\n]+\$"), ("URL", r"https?://[^\s`，,。；;）)\]】>\"']+"), ("REF", r"\[\d+(?:[-–—,，;；]\s*\d+)*\]"), ("NUM", r"(?<![A-Za-z0-9_.])\d+(?:\.\d+)?\s*(?:%|％)?(?![A-Za-z0-9_.])"))
+#: Mark of a masked span: its type and its number, from 1; a literal @ is written @- in masked texts, so none is one by chance.
+PLACEHOLDER = r"@[A-Z]+_\d+;"
+_TOKENS = "array<struct<start: int, stop: int, type: string, text: string>>"
 
 
 def protected(text: Column) -> Column:
-    """The protected spans of a text, in order."""
-    return F.regexp_extract_all(text, F.lit("|".join(f"(?:{p})" for _, p in PROTECTED)), F.lit(0))
+    """The protected spans of a text in order, none of which overlap: array<struct<start, stop, type, text>>, in code points from 0.
+
+    Types: CODE, EQN, URL (and DOI), REF, CAP, NUM (with units, and ranges), TOK (versioned names and the like).
+    """
+    gaps, found = F.split(text, V.PROTECTED), F.regexp_extract_all(text, F.lit(V.PROTECTED), F.lit(0))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(_TOKENS).alias("out"))
+
+    def step(s: Column, m: Column) -> Column:
+        start = s["at"] + F.length(m["gap"])
+        stop = start + F.length(m["found"])
+        return F.struct(stop.alias("at"), F.array_append(s["out"], F.struct(start.alias("start"), stop.alias("stop"), span_type(m["found"]).alias("type"), m["found"].alias("text"))).alias("out"))
+
+    # of a split's pieces the last may be missing where nothing stands behind the last match
+    return F.aggregate(F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("found")), none, step, lambda s: s["out"])
+
+
+def span_type(span: Column) -> Column:
+    t, whole = F.trim(span), lambda p: F.trim(span).rlike(f"^(?:{p})$")
+    return (
+        F.when(whole("(?s)`.*`"), "CODE").when(t.rlike(r"^(?:\$|\\\(|\\\[)"), "EQN").when(whole(f"(?i){V.URL_SPAN}|{V.DOI_SPAN}"), "URL").when(whole(f"{L.NUMERIC_CITATION}|{V.AUTHOR_YEAR}"), "REF")
+        .when(t.rlike("^[图表]"), "CAP").when(t.rlike(r"^(?:公?式|\(\s*\d)"), "EQN").when(whole("|".join((V.RANGE_WITH_UNIT, V.WITH_UNIT, V.PLAIN_NUMBER))), "NUM").otherwise("TOK")
+    )
+
+
+def with_anchors(text: Column, anchors: Column) -> Column:
+    """struct(spans, problem): the protected spans together with a text's anchors (exact strings, type FMT).
+
+    An anchor inside a span is kept by it, and takes the place of spans inside itself. problem is null, or 'duplicate_anchors',
+    'anchor_missing_or_ambiguous' (each must stand once), or 'anchor_overlaps'.
+    """
+    at = lambda a: F.position(a, text)
+    start = F.struct(protected(text).alias("spans"), F.when(F.size(F.array_distinct(anchors)) < F.size(anchors), "duplicate_anchors").cast("string").alias("problem"))
+
+    def step(s: Column, a: Column) -> Column:
+        first, second = at(a), F.position(a, text, at(a) + 1)
+        x, y = first - 1, first - 1 + F.length(a)
+        inside = lambda p: (x >= p["start"]) & (y <= p["stop"])
+        around = lambda p: (p["start"] >= x) & (p["stop"] <= y)
+        cut = lambda p: (x < p["stop"]) & (y > p["start"]) & ~inside(p) & ~around(p)
+        kept = F.filter(s["spans"], lambda p: ~around(p) | inside(p))
+        new = F.when(F.exists(s["spans"], inside), kept).otherwise(F.array_append(kept, F.struct(x.alias("start"), y.alias("stop"), F.lit("FMT").alias("type"), a.alias("text"))))
+        problem = F.when((first == 0) | (second > 0), "anchor_missing_or_ambiguous").when(F.exists(s["spans"], cut), "anchor_overlaps")
+        return F.struct(F.when(problem.isNull(), new).otherwise(s["spans"]).cast(_TOKENS).alias("spans"), F.coalesce(s["problem"], problem).alias("problem"))
+
+    given = F.filter(F.coalesce(anchors, F.array().cast("array<string>")), lambda a: a != "")
+    return F.aggregate(given, start, step, lambda s: F.struct(F.array_sort(s["spans"]).alias("spans"), s["problem"].alias("problem")))
+
+
+def mask_spans(text: Column, spans: Column) -> Column:
+    """struct(masked, tokens): each span stands as its placeholder; tokens: array<struct<placeholder, type, text>> in their order."""
+    safe = lambda c: F.replace(c, F.lit("@"), F.lit("@-"))
+    none = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit("").alias("masked"), F.array().cast("array<struct<placeholder: string, type: string, text: string>>").alias("tokens"))
+
+    def step(s: Column, p: Column) -> Column:
+        name = F.concat(F.lit("@"), p["type"], F.lit("_"), (s["n"] + 1).cast("string"), F.lit(";"))
+        masked = F.concat(s["masked"], safe(F.substring(text, s["at"] + 1, p["start"] - s["at"])), name)
+        return F.struct(p["stop"].alias("at"), (s["n"] + 1).alias("n"), masked.alias("masked"), F.array_append(s["tokens"], F.struct(name.alias("placeholder"), p["type"].alias("type"), p["text"].alias("text"))).alias("tokens"))
+
+    end = lambda s: F.struct(F.concat(s["masked"], safe(F.substring(text, s["at"] + 1, F.length(text)))).alias("masked"), s["tokens"].alias("tokens"))
+    return F.aggregate(spans, none, step, end)
 
 
 def mask(text: Column) -> Column:
-    """struct(masked, spans): each protected span stands as @n; (n from 0); a literal @ becomes @- before."""
-    safe = F.replace(text, F.lit("@"), F.lit("@-"))
-    spans = protected(safe)
-    gaps = F.split(safe, "|".join(f"(?:{p})" for _, p in PROTECTED))
-    marks = F.transform(gaps, lambda g, i: F.when(i < F.size(spans), F.concat(g, F.lit("@"), i.cast("string"), F.lit(";"))).otherwise(g))
-    return F.struct(F.array_join(marks, "").alias("masked"), spans.alias("spans"))
+    return mask_spans(text, protected(text))
+
+
+def unmask(masked: Column, tokens: Column) -> Column:
+    """The text again, with each placeholder's own span, wherever it stands; unknown placeholders stay as they are."""
+    marks = F.regexp_extract_all(masked, F.lit(PLACEHOLDER), F.lit(0))
+    gaps = F.transform(F.split(masked, PLACEHOLDER), lambda g: F.replace(g, F.lit("@-"), F.lit("@")))
+    names, texts = F.transform(tokens, lambda t: t["placeholder"]), F.transform(tokens, lambda t: t["text"])
+    own = F.transform(marks, lambda m: F.coalesce(F.get(texts, F.array_position(names, m).cast("int") - 1), m))
+    return F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(own, i), F.lit("")))), "")
+
+
+def placeholder_problem(tokens: Column, output: Column) -> Column:
+    """What became of a masked text's placeholders: null, or 'missing', 'unknown', 'duplicated' or 'reordered', in this order."""
+    from textaudit.operators.validators import placeholder_issue
+
+    return placeholder_issue(F.transform(tokens, lambda t: t["placeholder"]), output, PLACEHOLDER)
 
 
-def unmask(masked: Column, spans: Column) -> Column:
-    """The text again, from the pieces between the marks."""
-    order = F.transform(F.regexp_extract_all(masked, F.lit(r"@(\d+);"), F.lit(1)), lambda i: F.get(spans, i.cast("int")))
-    gaps = F.split(masked, r"@\d+;")
-    whole = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(order, i), F.lit("")))), "")
-    return F.replace(whole, F.lit("@-"), F.lit("@"))
+def anchor_problem(source: Column, output: Column, anchors: Column) -> Column:
+    """Of anchors that must stay as they are, once each and in order: null, or 'invalid_source', 'removed', 'duplicated' or 'reordered'."""
+    once = lambda t, a: (F.position(a, t) > 0) & (F.position(a, t, F.position(a, t) + 1) == 0)
+    places = F.transform(anchors, lambda a: F.position(a, output))
+    return (
+        F.when(F.exists(anchors, lambda a: ~once(source, a)), "invalid_source").when(F.exists(anchors, lambda a: F.position(a, output) == 0), "removed")
+        .when(F.exists(anchors, lambda a: ~once(output, a)), "duplicated").when(places != F.array_sort(places), "reordered")
+    )
 
 
 def span_types(text: Column) -> Column:
     """map<type, count> of the protected spans."""
-    kind = lambda s: F.coalesce(*[F.when(s.rlike(f"^(?:{p})$"), F.lit(k)) for k, p in PROTECTED], F.lit("NUM"))
-    kinds = F.transform(protected(text), kind)
+    kinds = F.transform(protected(text), lambda p: p["type"])
     return F.map_from_entries(F.transform(F.array_sort(F.array_distinct(kinds)), lambda k: F.struct(k, F.size(F.filter(kinds, lambda x: x == k)))))
 
 

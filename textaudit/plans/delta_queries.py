@@ -56,7 +56,7 @@ def frames_ctes(sentences: str, keys: str) -> str:
     )
     return rf"""cores as (select {keys}, s, {core_sql('s')} as core from {sentences}),
 facts as (select {keys}, length(regexp_replace(s, '\s+', '', 'g')) as size, {family_sql('core')} as opening, {language_sql('core')} as language, length(regexp_replace(core, '\s+', '', 'g')) as width, {core_sql('core')} as inner_core,
-  regexp_replace(regexp_replace(regexp_replace(regexp_replace(core, '@\d+;', ' TOKEN ', 'g'), '(?i)https?://\S+', ' URL ', 'g'), '`[^`\n]+`', ' CODE ', 'g'), '\d+(?:[.,]\d+)*(?:\.\d+)?', ' NUMBER ', 'g') as m from cores),
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(core, '@(?:[A-Z]+_)?\d+;', ' TOKEN ', 'g'), '(?i)https?://\S+', ' URL ', 'g'), '`[^`\n]+`', ' CODE ', 'g'), '\d+(?:[.,]\d+)*(?:\.\d+)?', ' NUMBER ', 'g') as m from cores),
 named as (select *, {family_sql('inner_core')} as inner_family from facts),
 frames as (select {keys}, opening, size, sha256({json}) as skeleton from named)"""
 

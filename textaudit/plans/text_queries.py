@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textaudit.functions import guard_values
 from textaudit.functions import lexicons as L
 from textaudit.functions import text as T
 from textaudit.operators import audit, guards, pairs, phrases, readability, repetition, segment, select, validators
@@ -416,10 +417,27 @@ SPLIT_SQL = f"""with l as (select unnest({lines_sql("coalesce(text, '')")}) as l
 
 
 def mask_round_trip(spark, sf_dir):
-    """Documents with protected spans: how many of each, and that the text comes back."""
-    m = docs(spark, sf_dir).where("text is not null").select("doc_id", "text", segment.mask(F.col("text")).alias("m"))
-    m = m.where("size(m.spans) > 0").select("doc_id", F.size("m.spans").cast("long").alias("spans"), (segment.unmask(F.col("m.masked"), F.col("m.spans")) == F.col("text")).alias("same"))
-    return m.groupBy("spans", "same").agg(F.count("*").alias("n"))
+    """Documents with code, formulas, links or numeric citations: how many of each, what a revision that swaps or drops a placeholder is told, and that the text
+    comes back."""
+    m = docs(spark, sf_dir).where("text is not null").select("doc_id", "text", F.explode(F.array(segment.mask(F.col("text")))).alias("m"))  # explode: made once
+    count = lambda *types: F.size(F.filter("m.tokens", lambda t: t["type"].isin(*types) & ~t["text"].rlike(r"^(?:[(（]|10\.|公?式)"))).cast("long")
+    first, last = F.col("m.tokens")[0]["placeholder"], F.element_at("m.tokens", -1)["placeholder"]
+    m = m.select("doc_id", count("CODE").alias("code"), count("EQN").alias("eqn"), count("URL").alias("url"), count("REF").alias("ref"), "m", "text", F.when(F.size("m.tokens") > 1, F.struct(first.alias("a"), last.alias("b"))).alias("ends"))
+    m = m.where("code + eqn + url + ref > 0")
+    swapped = F.replace(F.replace(F.replace("m.masked", F.col("ends.a"), F.lit("\x00")), F.col("ends.b"), F.col("ends.a")), F.lit("\x00"), F.col("ends.b"))
+    told = lambda output: F.when(F.col("ends").isNotNull(), segment.placeholder_problem(F.col("m.tokens"), output))
+    return m.select(
+        "doc_id", "code", "eqn", "url", "ref", F.sha2(segment.unmask(F.col("m.masked"), F.col("m.tokens")), 256).alias("restored_sha256"), F.col("ends").isNotNull().alias("several"),
+        told(swapped).alias("swapped"), told(F.replace("m.masked", F.col("ends.a"), F.lit(""))).alias("dropped"), told(F.concat("m.masked", F.col("ends.a"))).alias("repeated"), segment.placeholder_problem(F.col("m.tokens"), F.col("m.masked")).alias("kept"),
+    ).where("several").drop("several")
+
+
+_SPANS = "|".join((guard_values.CODE_SPAN, guard_values.LATEX_SPAN, guard_values.URL_SPAN, L.NUMERIC_CITATION))
+MASK_SQL = f"""
+with s as (select doc_id, text, regexp_extract_all(text, '{_q(_SPANS)}') as x, len(regexp_extract_all(text, '[0-9]+')) as n from documents where text is not null),
+c as (select doc_id, text, n, x, len(list_filter(x, lambda v: v[1] = '`')) as code, len(list_filter(x, lambda v: v[1] = '$' or v[1:2] in ('\\(', '\\['))) as eqn, len(list_filter(x, lambda v: v[1:4] = 'http')) as url, len(list_filter(x, lambda v: v[1] = '[')) as ref from s)
+select doc_id, code, eqn, url, ref, sha256(text) as restored_sha256, 'reordered' as swapped, 'missing' as dropped, 'duplicated' as repeated, null::varchar as kept from c where code + eqn + url + ref > 0
+"""
 
 
 def candidate_choice(spark, sf_dir):
@@ -455,7 +473,7 @@ select conv_id, turn, n, growth, accepted from f"""
 
 QUERIES = {
     "scope_profile": (scope_profile, SCOPE_SQL), "negation_loss": (negation_loss, NEGATION_SQL), "relation_issues": (relation_issues, None), "readability_delta": (readability_delta, None), "chunk_validation": (chunk_validation, None), "top_phrases": (top_phrases, PHRASES_SQL), "internal_repetition": (internal_repetition, REPETITION_SQL),
-    "chunk_manifest": (chunk_manifest, None), "split_reasons": (split_reasons, SPLIT_SQL), "mask_round_trip": (mask_round_trip, None), "candidate_choice": (candidate_choice, CANDIDATE_SQL), "document_fold": (document_fold, FOLD_SQL),
+    "chunk_manifest": (chunk_manifest, None), "split_reasons": (split_reasons, SPLIT_SQL), "mask_round_trip": (mask_round_trip, MASK_SQL), "candidate_choice": (candidate_choice, CANDIDATE_SQL), "document_fold": (document_fold, FOLD_SQL),
     "sentence_length_stats": (sentence_length_stats, SENTENCE_LENGTH_SQL), "paragraph_uniformity": (paragraph_uniformity, PARAGRAPH_SQL), "opening_profile": (opening_profile, OPENING_SQL),
     "language_crosstab": (language_crosstab, LANGUAGE_SQL), "sentence_length_buckets": (length_buckets, BUCKET_SQL), "excerpts": (excerpts, EXCERPT_SQL), "exact_copies": (exact_copies, COPIES_SQL),
     "numbers_and_citations": (numbers_and_citations, None), "term_overlap_benchmark": (term_overlap_benchmark, OVERLAP_SQL), "style_audit": (style_audit, STYLE_SQL), "dimension_status": (dimension_status, DIMENSION_SQL),
