@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, small, table
 
 #: (verdict, host, path): a rule fits its host and all subdomains when the path starts with the rule's; longest wins.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -97,10 +97,10 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     exploded = texts.select("_text", "cls", "held", F.explode(_grams(F.col("_text"))).alias("gram"))
     counted = lambda v: F.count_if((F.col("cls") == v) & ~F.col("held"))
     scores = gram_scores(exploded.groupBy("gram").agg(counted("allow").alias("na"), counted("block").alias("nr")))
-    scored = (
-        exploded.groupBy("_text", "gram").agg(F.count("*").alias("n"), F.first("cls").alias("cls"), F.first("held").alias("held"))
-        .join(scores, "gram").groupBy("_text").agg(F.floor(F.sum(F.col("llr") * F.col("n")) / F.sum("n")).alias("score_micro"), F.first("cls").alias("cls"), F.first("held").alias("held"))
-    )
+    scores = Scratch(spark, "scores").put(scores)
+    # a URL's grams hardly repeat, so they aren't summed by gram first; where the scores are within the bound a URL's grams stay in its task
+    met = exploded.join(small(scores, 64 * scores.count()), "gram")
+    scored = met.groupBy("_text").agg(F.floor(F.sum("llr") / F.count("*")).alias("score_micro"), F.first("cls").alias("cls"), F.first("held").alias("held"))
     limit = threshold(scored.where("held and cls is not null"))
     judged = scored.select("_text", "score_micro").crossJoin(F.broadcast(limit))  # one row
     return base.join(judged, "_text").select(
