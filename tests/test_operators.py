@@ -192,13 +192,7 @@ def test_careful_sentences(spark):
     assert [r[0] for r in got] == [w for _, w in cases]
 
 
-def test_merged_paragraphs_ratios_and_json(spark):
-    lines = ["A heading", "First line of the text stands here.", "Second line of the text stands here.", "这一行是中文并且有句号。", "x" * 300 + "."]
-    got = segment.merge_paragraphs(spark.createDataFrame([("d", "\n".join(lines)), ("e", None)], "k string, text string"), "k", limit=120).orderBy("chunk").collect()
-    assert [(r.first, r.last) for r in got] == [(0, 0), (1, 2), (3, 3), (4, 4)]
-    parts = segment.split_by_ratio("One short sentence. A second, longer sentence follows it. End.", [20, 38, 4])
-    assert parts == ["One short sentence.", "A second, longer sentence follows it.", "End."]
-    assert segment.split_by_ratio("abc", [1, 1, 1, 1, 1])[-1] == "" or len(segment.split_by_ratio("abc", [1, 1, 1])) == 3
+def test_json_payloads(spark):
     texts = ['say {"b": 1, "a": [2]} end', "none", None, '{"a": [1, 2,], // x\n "b": 3', "[1, {bad} 2] {\"ok\": true}"]
     assert [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(segment.json_payload("t")).collect()] == ['{"a":[2],"b":1}', None, None, '{"a":[1,2],"b":3}', '{"ok":true}']
 

@@ -187,45 +187,6 @@ def span_types(text: Column) -> Column:
     return F.map_from_entries(F.transform(F.array_sort(F.array_distinct(kinds)), lambda k: F.struct(k, F.size(F.filter(kinds, lambda x: x == k)))))
 
 
-def merge_paragraphs(df: DataFrame, key: str, text: str = "text", limit: int = 850, most: int = 4) -> DataFrame:
-    """(key, chunk, first, last, text): neighbouring lines of one language packed into chunks of at most `most` lines and
-    `limit` characters; a line over the limit or a short one without a sentence end (a heading) stands alone."""
-    from textaudit.functions import text as T
-
-    lines = F.transform(T.lines(F.coalesce(F.col(text), F.lit(""))), lambda x: F.struct(x.alias("line"), T.language(x).alias("lang")))
-
-    @F.pandas_udf("array<struct<first:int,last:int,text:string>>")
-    def pack(docs: pd.Series) -> pd.Series:
-        return pd.Series([_merge([(x["line"], x["lang"]) for x in d], limit, most) for d in docs])
-
-    out = df.select(key, F.posexplode(pack(lines)).alias("chunk", "c"))
-    return out.select(key, "chunk", "c.first", "c.last", "c.text")
-
-
-def _merge(lines: list[tuple[str, str]], limit: int, most: int) -> list[tuple[int, int, str]]:
-    out: list[list] = []
-    for i, (line, lang) in enumerate(lines):
-        alone = len(line) > limit or len(line) <= 40 and not re.search(r"[.。！？!?；;]$", line)
-        if out and not alone and not out[-1][4] and out[-1][3] == lang and i - out[-1][0] < most and len(out[-1][2]) + 2 + len(line) <= limit:
-            out[-1][1], out[-1][2] = i, out[-1][2] + "\n\n" + line
-        else:
-            out.append([i, i, line, lang, alone])
-    return [(a, b, t) for a, b, t, _, _ in out]
-
-
-def split_by_ratio(text: str, lengths: list[int], near: int = 40) -> list[str]:
-    """text in len(lengths) parts in proportion to the lengths, each cut at the sentence end nearest to its place within `near`."""
-    text, parts, at, total = text.strip(), [], 0, sum(max(1, n) for n in lengths)
-    for k, n in enumerate(lengths[:-1]):
-        least, rest = at + 1, len(text) - (len(lengths) - 1 - k)
-        place = min(max(at + round(len(text) * max(1, n) / total), least), max(least, rest))
-        ends = [m.end() for m in re.finditer(r"[.。！？!?；;]", text) if least <= m.end() <= rest and abs(m.end() - place) <= near]
-        cut = min(ends, key=lambda e: (abs(e - place), e), default=place)
-        parts.append(text[at:cut].strip())
-        at = cut
-    return [*parts, text[at:].strip()]
-
-
 @F.pandas_udf(StringType())
 def json_payload(texts: pd.Series) -> pd.Series:
     """The first JSON object or array in each text that parses, as compact JSON with sorted keys; null where there is none.
