@@ -354,9 +354,9 @@ def relation_issues(spark, sf_dir):
 
 
 def chunk_validation(spark, sf_dir):
-    """Turns that the next turn would fail as a revision, by first code and number of codes."""
-    v = validators.validate(turn_pairs(spark, sf_dir)).select(F.coalesce("first_code", F.lit("valid")).alias("first_code"), F.size("codes").cast("long").alias("codes"))
-    return v.groupBy("first_code", "codes").agg(F.count("*").alias("n"))
+    """Turns that the next turn would fail as a revision, with all codes in the order of the chain."""
+    v = validators.validate(turn_pairs(spark, sf_dir)).where("size(codes) > 0")
+    return v.select("conv_id", "turn", F.array_join("codes", ",").alias("codes"))
 
 
 def top_phrases(spark, sf_dir):
@@ -394,10 +394,23 @@ union all select u.doc_id, v.unit::int, u.unit::int, v.n::int, v.n::int from u j
 """
 
 
+#: Invented pairs (conversation -1, by turn), as the tables hold no Chinese, with what must be counted of each: (code, input, output, introduced, resolved).
+READABILITY_PAIRS = (
+    ("系统更稳定，结果较好。", "系统更稳，结果挺好的。", (("colloquial_register_introduced", 0, 2, 2, 0),)), ("说白了，甲。", "挺好的，甲。", (("colloquial_register_introduced", 1, 1, 1, 1),)), ("甲", "适配系统要求", (("academic_collocation_conflict_introduced", 0, 1, 1, 0),)),
+    ("甲。", "“说白了”甲。", ()), ("甲。", "由此可见，效果好。", (("vague_causal_reference_introduced", 0, 1, 1, 0),)),
+)
+
+
 def readability_delta(spark, sf_dir):
-    """Forms of five kinds that a turn has more of than the turn before, by kind."""
-    p = readability.delta(turn_pairs(spark, sf_dir)).select(F.explode("readability").alias("r")).select("r.*")
-    return p.groupBy("code").agg(*[F.sum(c).alias(c) for c in ("input", "output", "introduced", "resolved")])
+    """Forms of five kinds in a turn or the turn before it: how many each holds, and what came and went. Invented pairs stand beside the turns."""
+    planted = spark.createDataFrame([(-1, k, a, b) for k, (a, b, _) in enumerate(READABILITY_PAIRS)], "conv_id long, turn long, input_text string, output_text string")
+    both = turn_pairs(spark, sf_dir).select("conv_id", F.col("turn").cast("long").alias("turn"), "input_text", "output_text").unionByName(planted)
+    return readability.delta(both).select("conv_id", "turn", F.explode("readability").alias("r")).select("conv_id", "turn", "r.*").where("input + output > 0")
+
+
+_PLANTED = ", ".join(f"(-1, {k}, '{code}', {a}, {b}, {c}, {d})" for k, (_, _, want) in enumerate(READABILITY_PAIRS) for code, a, b, c, d in want)
+#: Every form holds a Chinese character; turns that hold one are looked at only where they are invented.
+READABILITY_SQL = f"select conv_id::bigint as conv_id, turn::bigint as turn, code, input, output, introduced, resolved from (values {_PLANTED}) as t(conv_id, turn, code, input, output, introduced, resolved) union all select conv_id, turn, 'not told in SQL', 0, 0, 0, 0 from conversations where regexp_matches(text, '[㐀-鿿]')"
 
 
 # --- chunks, masks, candidates, folds ---------------------------------------------------------------------------------
@@ -472,7 +485,7 @@ f as (select g.*, g.growth <= 12 or t <= 12 as accepted, case when g.growth <= 1
 select conv_id, turn, n, growth, accepted from f"""
 
 QUERIES = {
-    "scope_profile": (scope_profile, SCOPE_SQL), "negation_loss": (negation_loss, NEGATION_SQL), "relation_issues": (relation_issues, None), "readability_delta": (readability_delta, None), "chunk_validation": (chunk_validation, None), "top_phrases": (top_phrases, PHRASES_SQL), "internal_repetition": (internal_repetition, REPETITION_SQL),
+    "scope_profile": (scope_profile, SCOPE_SQL), "negation_loss": (negation_loss, NEGATION_SQL), "relation_issues": (relation_issues, None), "readability_delta": (readability_delta, READABILITY_SQL), "chunk_validation": (chunk_validation, None), "top_phrases": (top_phrases, PHRASES_SQL), "internal_repetition": (internal_repetition, REPETITION_SQL),
     "chunk_manifest": (chunk_manifest, None), "split_reasons": (split_reasons, SPLIT_SQL), "mask_round_trip": (mask_round_trip, MASK_SQL), "candidate_choice": (candidate_choice, CANDIDATE_SQL), "document_fold": (document_fold, FOLD_SQL),
     "sentence_length_stats": (sentence_length_stats, SENTENCE_LENGTH_SQL), "paragraph_uniformity": (paragraph_uniformity, PARAGRAPH_SQL), "opening_profile": (opening_profile, OPENING_SQL),
     "language_crosstab": (language_crosstab, LANGUAGE_SQL), "sentence_length_buckets": (length_buckets, BUCKET_SQL), "excerpts": (excerpts, EXCERPT_SQL), "exact_copies": (exact_copies, COPIES_SQL),
