@@ -2,9 +2,12 @@
 
 import time
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from textaudit.operators import segment
+from textaudit.plans import text_queries
 
 
 def test_mask_round_trip_of_many_spans_in_one_text(spark):
@@ -18,3 +21,13 @@ def test_mask_round_trip_of_many_spans_in_one_text(spark):
     assert time.time() - began < 60
     moved = m.select(segment.unmask(F.lit("a @EQN_2; b @EQN_1;"), F.reverse(F.slice("m.tokens", 1, 2))).alias("t"), segment.unmask(F.lit("@-EQN_1;"), F.col("m.tokens")).alias("u")).first()
     assert moved.t == "a $a_1$ b $a_0$" and moved.u == "@EQN_1;"
+
+
+@pytest.mark.parametrize("text", ["Noñboos no", "ciónno éno noé", "x是not的 not", "未来未知未不得不仅不但未", "can't can'tx xcan't can'tno don't'no", "ISN'T wıthout İsn't K", "nó no", "\x01no\x02 \x02'\x01", "并未来 尚未知 不不得不", "no_ no-no no1"])
+def test_negation_sql_has_the_querys_word_boundaries(spark, tmp_path, text):
+    rows = [(1, 0, "user", text), (1, 1, "assistant", "a"), (1, 2, "user", text)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(tuple(r) for r in text_queries.negation_loss(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    assert sorted(con.execute(text_queries.NEGATION_SQL).fetchall()) == got
