@@ -6,6 +6,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from textaudit.functions import lexicons as L
+from textaudit.functions import text as T
 from textaudit.operators import segment
 from textaudit.plans import text_queries
 
@@ -31,3 +33,17 @@ def test_negation_sql_has_the_querys_word_boundaries(spark, tmp_path, text):
     con = duckdb.connect()
     con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
     assert sorted(con.execute(text_queries.NEGATION_SQL).fetchall()) == got
+
+
+def test_patterns_found_once_are_those_found_apart(spark):
+    odd = ["Based on A, b: c; d", "1. However we if And but 3.5 https://x.y `a` @EQN_2;", "并且因此IF a b c d 中中中", "ıf a because ſ İf x WHILE", "", "“(1) 2. first a b c", "this paper, and:,;，；", "第一章 在系统中，a", "\"a b c d\"\n", "if_ andé éand", " 'x\u2028", "a\u3000b-c d'e f"]
+    x = F.col("s")
+    plain = F.regexp_replace(F.regexp_replace(F.trim(x), r"^[“”‘’\"' ]+", ""), r"[“”‘’\"' ]+$", "")
+    plain = F.regexp_replace(F.regexp_replace(plain, L.CORE_MARKER, ""), r"^[，,、：:；;。.!！？?]+", "")
+    both = spark.createDataFrame([(t,) for t in odd], "s string").select(
+        T.sentence_patterns(x).alias("p"), T.opening_family(x).alias("o"), T.skeleton(x).alias("k"), T.sentence_core(x).alias("c"), plain.alias("plain"), T.solid_length(x).alias("n"), F.length(F.regexp_replace(x, r"(?U)\s+", "")).alias("m"),
+        T.english_core(x).alias("e"), ((T.latin_words(x) >= 4) & (T.cjk_chars(x) <= 2)).alias("f"),
+        T.count_of(x, T.CONJUNCTION).alias("a"), T.count_of(x, f"(?U){L.CONJUNCTION_ZH}|(?i:\\b(?:{L.CONJUNCTION_EN})\\b)").alias("b"),
+    )
+    for r in both.collect():
+        assert (r.p.opening, r.p.skeleton, r.c, r.n, r.e, r.a) == (r.o, r.k, r.plain, r.m, r.f, r.b), r

@@ -40,17 +40,17 @@ def digest_of_sums(head: list[Column], sums: list[Column]) -> Column:
 # --- counters ---------------------------------------------------------------------------------------------------------
 def sentence_facts(text: Column) -> Column:
     """array<struct<opening, skeleton, size>> of a text's sentences; size without white space."""
-    fact = lambda s: F.struct(T.opening_family(s).alias("opening"), T.skeleton(s).alias("skeleton"), F.length(F.regexp_replace(s, r"(?U)\s+", "")).alias("size"))
+    fact = lambda s: T.let(T.sentence_patterns(s), lambda p: F.struct(p["opening"].alias("opening"), p["skeleton"].alias("skeleton"), T.solid_length(s).alias("size")))
     return F.transform(T.careful_sentences(text), fact)
 
 
 def chunk_patterns(chunks: DataFrame, keys: list[str], a: str = "input_text", b: str | None = "output_text") -> DataFrame:
     """(keys, kind, pattern, n_in, n_out): how often each pattern stands in either text; n_out is 0 without a column b. Null texts are empty."""
     def side(k: int, c: str) -> Column:
-        return F.transform(sentence_facts(F.coalesce(F.col(c), F.lit(""))), lambda f: F.struct(F.lit(k).alias("side"), f["opening"].alias("opening"), f["skeleton"].alias("skeleton")))
+        return F.transform(T.careful_sentences(F.coalesce(F.col(c), F.lit(""))), lambda x: F.struct(F.lit(k).alias("side"), T.sentence_patterns(x).alias("p")))
 
     s = chunks.select(*keys, F.explode(F.concat(*[side(k, c) for k, c in enumerate((a, b)) if c])).alias("s"))
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col("s")[k].alias("pattern")) for k, *_ in KINDS])
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col("s.p")[k].alias("pattern")) for k, *_ in KINDS])
     counted = s.select(*keys, "s.side", F.explode(kinds).alias("p")).groupBy(*keys, "p.kind", "p.pattern")
     return counted.agg(*[F.count_if(F.col("side") == k).alias(n) for k, n in enumerate(("n_in", "n_out"))])
 
@@ -162,7 +162,7 @@ def style_delta(pairs: DataFrame, doc: str, chunk: str, a: str = "input_text", b
     whole = merged(patterns, [doc]) if document else None
     grown = growth(patterns, doc, chunk, whole).groupBy(doc, chunk).agg(*[_summary(k, _ROW, LISTED, "document_after") for k, *_ in KINDS])
     x, y = (F.coalesce(F.col(c), F.lit("")) for c in (a, b))
-    sizes = lambda t: F.transform(T.careful_sentences(t), lambda s: F.length(F.regexp_replace(s, r"(?U)\s+", "")))
+    sizes = lambda t: F.transform(T.careful_sentences(t), T.solid_length)
     facts = pairs.select(doc, chunk, F.sha2(F.trim(x), 256).alias("baseline_sha256"), F.sha2(F.trim(y), 256).alias("candidate_sha256"), F.struct(sizes(x).alias("a"), sizes(y).alias("b")).alias("_sizes"))
     facts = facts.withColumn("boundary", boundary_delta(F.col("_sizes.a"), F.col("_sizes.b"))).drop("_sizes")
     out = facts.join(grown, [doc, chunk], "left")

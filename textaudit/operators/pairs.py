@@ -133,8 +133,8 @@ def containment_search(texts: DataFrame, queries: DataFrame, text_id: str, query
 
 def pattern_profile(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Counts of opening families and sentence skeletons per key: (key, kind, pattern, n). Sentences as careful_sentences cuts them."""
-    s = texts.select(key, F.explode(T.careful_sentences(F.coalesce(F.col(text), F.lit("")))).alias("s"))
-    kinds = F.array(F.struct(F.lit("opening").alias("kind"), T.opening_family(F.col("s")).alias("pattern")), F.struct(F.lit("skeleton").alias("kind"), T.skeleton(F.col("s")).alias("pattern")))
+    s = texts.select(key, F.explode(F.transform(T.careful_sentences(F.coalesce(F.col(text), F.lit(""))), T.sentence_patterns)).alias("s"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col("s")[k].alias("pattern")) for k in ("opening", "skeleton")])
     return s.select(key, F.explode(kinds).alias("p")).groupBy(key, "p.kind", "p.pattern").agg(F.count("*").alias("n"))
 
 
