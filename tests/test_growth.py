@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from textaudit.functions import lexicons as L
 from textaudit.functions import text as T
-from textaudit.operators import segment
+from textaudit.operators import repetition, segment
 from textaudit.plans import text_queries
 
 
@@ -47,3 +47,27 @@ def test_patterns_found_once_are_those_found_apart(spark):
     )
     for r in both.collect():
         assert (r.p.opening, r.p.skeleton, r.c, r.n, r.e, r.a) == (r.o, r.k, r.plain, r.m, r.f, r.b), r
+
+
+def test_repetition_shuffles_a_text_once(spark):
+    # every (text, unit, term) was shuffled several times before, and terms were found anew for each
+    text = "\n\n".join(["alpha beta gamma delta epsilon zeta theta kappa"] * 3)
+    r = repetition.repeated(spark.createDataFrame([(1, text), (None, text)], "k long, text string"), "k")
+    plan = r._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 1 and "Join" not in plan
+    # as in the SQL, null keys take no part; rows that share a key are one text
+    assert sorted((x.k, x.left_unit, x.right_unit, x.shared, x.least_terms) for x in r.collect()) == [(1, 0, 1, 8, 8), (1, 0, 2, 8, 8)]
+    both = repetition.repeated(spark.createDataFrame([(1, "ignored words here\n\n" + text[:47]), (1, text[:47])], "k long, text string"), "k")
+    assert [(x.left_unit, x.right_unit) for x in both.collect()] == [(0, 1)]
+
+
+def test_repetition_in_many_blocks_is_the_same(spark, monkeypatch):
+    words = [a + b + c for a in "bdfg" for b in "aeiou" for c in ("lan", "mer")]
+    texts = [("\n\n".join(" ".join(words[(i * k) % 9 : (i * k) % 9 + 8 + i % 5]) for i in range(30)),) for k in range(1, 6)]
+    df = spark.createDataFrame(texts, "text string").select(repetition.F.monotonically_increasing_id().alias("k"), "text")
+    batch = [df.select("k", "text").transform(lambda d: repetition.units(d, "k")).groupBy("k").agg(F.collect_list(F.struct("unit", "terms")).alias("u")).select("k", "u.unit", "u.terms").toArrow()]
+    rows = lambda: sorted(r for b in batch for x in repetition._pairs(0.72)(b.combine_chunks().to_batches()) for r in zip(*x.to_pydict().values(), strict=True))
+    whole = rows()
+    monkeypatch.setattr(repetition, "SLICE_TERMS", 300)
+    monkeypatch.setattr(repetition, "LOOKUPS", 640)
+    assert rows() == whole and len(whole) > 100 and len(set(whole)) == len(whole)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textaudit.functions import lexicons as L
@@ -14,9 +17,10 @@ def units(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     unit is the place among the paragraphs or sentences. Null texts have no unit.
     """
-    cut = df.select(key, T.unix_lines(F.trim(F.coalesce(F.col(text), F.lit("")))).alias("_t")).withColumn("_p", T.paragraphs(F.col("_t")))
-    cut = cut.select(key, F.posexplode(F.when(F.size("_p") >= 2, F.col("_p")).otherwise(T.sentences(F.col("_t")))).alias("unit", "_u"))
-    return cut.select(key, "unit", T.content_terms(F.col("_u")).alias("terms")).where(F.size("terms") >= L.OVERLAP_LEAST_TERMS)
+    cut = df.select(key, F.explode(F.array(T.unix_lines(F.trim(F.coalesce(F.col(text), F.lit("")))))).alias("_t"))
+    cut = cut.select(key, F.posexplode(T.let(T.paragraphs(F.col("_t")), lambda p: F.when(F.size(p) >= 2, p).otherwise(T.sentences(F.col("_t"))))).alias("unit", "_u"))
+    # explode: a unit's terms are found once, and not again for the condition
+    return cut.select(key, "unit", F.explode(F.filter(F.array(T.content_terms(F.col("_u"))), lambda t: F.size(t) >= L.OVERLAP_LEAST_TERMS)).alias("terms"))
 
 
 def repeated(df: DataFrame, key: str, text: str = "text", threshold: float = L.OVERLAP_THRESHOLD) -> DataFrame:
@@ -25,29 +29,102 @@ def repeated(df: DataFrame, key: str, text: str = "text", threshold: float = L.O
     Units with the same set of terms are one while they are compared; each but the first is paired with the first, so what a
     text repeats a thousand times gives a thousand rows, not their square. Of different units every pair is found: the
     smaller of two can lack a fifth of its terms or so, so one of its rarest few terms must be in the other, and only
-    those meet, on (key, term). Texts are told apart by key, so rows that share one are one text.
+    those meet. Nothing but the units of one text meets, so a text's units are shuffled once, as a row, and compared
+    there. Texts are told apart by key, so rows that share one are one text; null keys take no part.
     """
-    u = units(df, key, text).withColumn("terms", F.array_sort("terms"))
-    sets = u.groupBy(key, "terms").agg(F.min("unit").alias("unit"), F.collect_set("unit").alias("_all")).withColumn("n", F.size("terms"))
-    equal = sets.select(key, F.col("unit").alias("left_unit"), F.explode(F.filter("_all", lambda x: x > F.col("unit"))).alias("right_unit"), F.col("n").alias("shared"), F.col("n").alias("least_terms"))
-    terms = sets.select(key, "unit", "n", F.explode("terms").alias("term"))
-    held = terms.groupBy(key, "term").agg(F.count("*").alias("_held")).where("_held > 1")
-    shared = terms.join(held, [key, "term"])
-    rarest = Window.partitionBy(key, "unit").orderBy("_held", "term")
-    # at least ceil(threshold * n) terms are in the other unit; those that no other unit holds are misses already
-    met = Window.partitionBy(key, "unit")
-    tops = shared.withColumn("_rank", F.row_number().over(rarest)).withColumn("_left", F.count("*").over(met))
-    tops = tops.where(F.col("_rank") <= F.col("_left") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1)
-    a = tops.select(F.col(key).alias("_k"), F.col("term").alias("_term"), F.col("unit").alias("_small"), F.col("n").alias("_n"))
-    b = shared.select(key, "term", F.col("unit").alias("_large"), "n")
-    order = (F.col("_n") < F.col("n")) | ((F.col("_n") == F.col("n")) & (F.col("_small") < F.col("_large")))
-    # of equal sizes either may hold the rare term, so the smaller place alone asks: its rarest terms are enough
-    pairs = a.join(b, (F.col("_k") == F.col(key)) & (F.col("_term") == F.col("term")) & order).select(key, "_small", "_large").distinct()
-    side = lambda name: sets.select(key, F.col("unit").alias(name), F.col("terms").alias(name + "_terms"))
-    both = pairs.join(side("_small"), [key, "_small"]).join(side("_large"), [key, "_large"]).withColumn("o", T.overlap(F.col("_small_terms"), F.col("_large_terms")))
-    near = both.where(F.col("o.both") >= threshold * F.col("o.least"))
-    near = near.select(key, F.least("_small", "_large").alias("left_unit"), F.greatest("_small", "_large").alias("right_unit"), F.col("o.both").alias("shared"), F.col("o.least").alias("least_terms"))
-    return near.unionByName(equal)
+    u = units(df, key, text).where(F.col(key).isNotNull())
+    texts = u.groupBy(key).agg(F.collect_list(F.struct("unit", "terms")).alias("units")).where(F.size("units") > 1).select(key, "units.unit", "units.terms")
+    ddl = ", ".join(f"{c} int" for c in PAIR)
+    return texts.mapInArrow(_pairs(threshold), f"`{key}` {df.schema[key].dataType.simpleString()}, {ddl}")
+
+
+PAIR = ("left_unit", "right_unit", "shared", "least_terms")
+#: Terms of the texts that are compared at once, and term lookups at once.
+SLICE_TERMS, LOOKUPS = 1 << 19, 1 << 22
+
+
+def _pairs(threshold: float):
+    def run(batches):
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column(1)).to_numpy()
+            terms = np.diff(np.append(0, np.cumsum(pc.list_value_length(pc.list_flatten(batch.column(2))).to_numpy()))[np.append(0, np.cumsum(sizes))])
+            at = 0
+            while at < len(sizes):
+                end, n = at + 1, terms[at]
+                while end < len(sizes) and n + terms[end] <= SLICE_TERMS:
+                    n, end = n + terms[end], end + 1
+                rows = batch.slice(at, end - at)
+                for of, *columns in _similar(rows.column(1), rows.column(2), threshold):
+                    yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(of)), *[pa.array(c, pa.int32()) for c in columns]], [batch.schema.names[0], *PAIR])
+                at = end
+
+    return run
+
+
+def _similar(places: pa.ListArray, terms: pa.ListArray, threshold: float):
+    """Blocks of (text, left, right, shared, least) over texts whose units have the given places and terms."""
+    text, unit = np.repeat(np.arange(len(places)), pc.list_value_length(places).to_numpy()), pc.list_flatten(places).to_numpy()
+    lists = pc.list_flatten(terms)
+    code = pc.list_flatten(lists).dictionary_encode().indices.to_numpy().astype(np.int64)
+    sizes = pc.list_value_length(lists).to_numpy()
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    code = code[np.lexsort((code, of))]
+    # sets: units of equal terms, at the first's place
+    ends = np.cumsum(sizes)
+    order = np.lexsort((unit, text))
+    first: dict[tuple[int, bytes], int] = {}
+    kept = np.zeros(len(sizes), bool)
+    equal = set()
+    for i in order.tolist():
+        same = (int(text[i]), code[ends[i] - sizes[i] : ends[i]].tobytes())
+        j = first.setdefault(same, i)
+        kept[i] = j == i
+        if unit[j] < unit[i]:
+            equal.add((same[0], int(unit[j]), int(unit[i]), int(sizes[i])))
+    if equal:
+        t, a, b, n = np.array(sorted(equal)).T
+        yield t, a, b, n, n
+    # (set, term) of the sets, by (text, term)
+    here = kept[of]
+    of, code = of[here], code[here]
+    words = int(code.max()) + 1 if len(code) else 1
+    order = np.lexsort((of, code, text[of]))
+    of, code = of[order], code[order]
+    term = text[of] * words + code
+    starts = np.flatnonzero(np.append(True, term[1:] != term[:-1])[: len(term)])
+    group_size = np.diff(np.append(starts, len(term)))
+    group = np.repeat(np.arange(len(starts)), group_size)
+    held = group_size[group]
+    # at least ceil(threshold * n) terms are in the other set; those that no other set holds are misses already
+    several = np.flatnonzero(held > 1)
+    several = several[np.lexsort((group[several], held[several], of[several]))]
+    sets, at, met = np.unique(of[several], return_index=True, return_counts=True)
+    rank = np.arange(len(several)) - np.repeat(at, met) + 1
+    needed = np.ceil(sizes[sets] * threshold - 1e-9).astype(np.int64)
+    tops = several[rank <= np.repeat(met - needed + 1, met)]
+    # the smaller set's rarest terms ask all that hold them; of equal sizes the first place asks
+    known = np.sort(of * words + code)
+    own, bounds = np.argsort(of, kind="stable"), np.append(0, np.cumsum(np.bincount(of, minlength=len(sizes))))
+    most = np.cumsum(held[tops] * sizes[of[tops]])
+    cuts = np.unique(np.append(np.searchsorted(most, np.arange(LOOKUPS, (most[-1] if len(most) else 0), LOOKUPS)), len(tops)))
+    # a set's terms ask in one block, so each pair is found in one
+    cuts = np.unique(np.searchsorted(of[tops], of[tops][np.minimum(cuts, len(tops) - 1)], side="right")) if len(tops) else []
+    for x, y in zip([0, *cuts], cuts, strict=False):
+        asks = tops[x:y]
+        n = held[asks]
+        small = np.repeat(of[asks], n)
+        large = of[np.arange(n.sum()) + np.repeat(starts[group[asks]] - np.cumsum(n) + n, n)]
+        fit = (sizes[small] < sizes[large]) | ((sizes[small] == sizes[large]) & ((unit[small] < unit[large]) | ((unit[small] == unit[large]) & (small < large))))
+        small, large = np.divmod(np.unique(small[fit] * len(sizes) + large[fit]), len(sizes))
+        for k in range(0, len(small), LOOKUPS // 64):
+            s, g = small[k : k + LOOKUPS // 64], large[k : k + LOOKUPS // 64]
+            n = sizes[s]
+            wanted = np.repeat(g, n) * words + code[own[np.arange(n.sum()) + np.repeat(bounds[s] - np.cumsum(n) + n, n)]]
+            found = known[np.minimum(np.searchsorted(known, wanted), len(known) - 1)] == wanted
+            shared = np.add.reduceat(found.astype(np.int32), np.cumsum(n) - n) if len(n) else n
+            near = shared >= threshold * n
+            s, g, n, shared = s[near], g[near], n[near], shared[near]
+            yield text[s], np.minimum(unit[s], unit[g]), np.maximum(unit[s], unit[g]), shared, n
 
 
 def introduced(before: DataFrame, after: DataFrame, key: str, text: str = "text") -> DataFrame:
