@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from textaudit.functions import lexicons as L
 from textaudit.functions import text as T
-from textaudit.operators import repetition, segment
+from textaudit.operators import guards, repetition, segment, validators
 from textaudit.plans import text_queries
 
 
@@ -71,3 +71,14 @@ def test_repetition_in_many_blocks_is_the_same(spark, monkeypatch):
     monkeypatch.setattr(repetition, "SLICE_TERMS", 300)
     monkeypatch.setattr(repetition, "LOOKUPS", 640)
     assert rows() == whole and len(whole) > 100 and len(set(whole)) == len(whole)
+
+
+@pytest.mark.parametrize("checked, codes", [(validators.validate, "codes"), (guards.relation_issues, "relation_issues")])
+def test_a_filter_on_codes_does_not_find_them_again(spark, checked, codes):
+    # the filter was pushed below the codes, with all of their expressions in it
+    df = spark.createDataFrame([(1, "ABC2 and DEF3 have 4 and 5 respectively.", "DEF3 and ABC2 have 5 and 4 respectively."), (2, "a", "a"), (3, None, None)], "k int, input_text string, output_text string")
+    out = checked(df).where(F.size(codes) > 0)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("regexp" in x.lower() or "rlike" in x.lower() for x in plan.splitlines() if "Filter" in x.split("(")[0])
+    got = {r.k: r[codes] for r in out.collect()}
+    assert got[1][:2] == ["entity_order_changed", "number_order_changed"] and 2 not in got and got.get(3) == (["empty_output"] if codes == "codes" else None)

@@ -12,6 +12,8 @@ from textaudit.functions import guard_values as V
 from textaudit.functions import text as T
 
 SCOPE_KINDS = ("certainty_absolute", "condition_necessary", "condition_sufficient", "exclusive_requirement", "exclusive_restriction", "universal_any", "universal_totality")
+#: What a Chinese qualifier begins with.
+SCOPE_BEGINS = "[不只仅唯全所任一必势均]"
 SCOPE_CHANGED = "factual_scope_qualifier_changed"
 
 
@@ -44,6 +46,7 @@ def scope_kinds(paragraph: Column) -> Column:
     """The kinds of a paragraph's scope qualifiers, one entry for each that counts."""
     # each match is looked at together with what follows it in its clause, up to 96 characters
     zh = F.regexp_extract_all(paragraph, F.lit(rf"(?=((?:{V.SCOPE_ZH}){V.CLAUSE}{{0,96}}))(?:{V.SCOPE_ZH})"), F.lit(1))
+    zh = F.when(paragraph.rlike(SCOPE_BEGINS), zh).otherwise(F.array().cast("array<string>"))
     en = F.regexp_extract_all(paragraph, F.lit(V.SCOPE_EN), F.lit(0))
     return F.filter(F.concat(F.transform(zh, _kind_zh), F.transform(en, _kind_en)), lambda k: k.isNotNull())
 
@@ -88,7 +91,6 @@ _SPANS = "array<struct<start: int, size: int, rank: int, kind: string, term: str
 
 def _located(text: Column, rank: int, kind: str, pattern: str) -> Column:
     """Matches with their places and lengths (negative), from what a split leaves between them."""
-    gaps, found = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     none = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
 
     def step(s: Column, m: Column) -> Column:
@@ -96,7 +98,8 @@ def _located(text: Column, rank: int, kind: str, pattern: str) -> Column:
         hit = F.struct(start.alias("start"), (-size).alias("size"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), T.collapse(m["found"]).alias("term"))
         return F.struct((start + size).alias("at"), F.array_append(s["out"], hit).alias("out"))
 
-    return F.aggregate(F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("found")), none, step, lambda s: s["out"])
+    placed = lambda found: F.aggregate(F.arrays_zip(F.slice(F.split(text, pattern), 1, F.size(found)).alias("gap"), found.alias("found")), none, step, lambda s: s["out"])
+    return T.let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(F.array().cast(_SPANS)))
 
 
 def entity_spans(text: Column) -> Column:
@@ -105,14 +108,15 @@ def entity_spans(text: Column) -> Column:
     Of two that overlap the one that starts first stays, of equal starts the longer, of equal places the kind named first.
     """
     named = F.filter(F.concat(_located(text, 1, "tech", V.TECH), _located(text, 2, "title", V.TITLE)), lambda e: ~noise(e["term"]))
-    every = F.array_sort(F.concat(_located(text, 0, "url", V.URL), named, _located(text, 3, "metric", V.METRIC)))
+    every = F.concat(_located(text, 0, "url", V.URL), named, _located(text, 3, "metric", V.METRIC))
     none = F.struct(F.lit(0).alias("end"), F.array().cast(_SPANS).alias("out"))
 
     def step(s: Column, e: Column) -> Column:
         kept = F.struct((e["start"] - e["size"]).alias("end"), F.array_append(s["out"], e).alias("out"))
         return F.when(e["start"] < s["end"], s).otherwise(kept)
 
-    return F.aggregate(every, none, step, lambda s: s["out"])
+    first = lambda found: F.when(F.size(found) > 1, F.aggregate(F.array_sort(found), none, step, lambda s: s["out"])).otherwise(found)
+    return T.let(every, first)
 
 
 def entities(text: Column) -> Column:
@@ -149,12 +153,19 @@ def segments(text: Column) -> Column:
     paired>>. terms and numbers are distinct. terms_fixed: a cue of order, two metrics with two numbers, or a list of three or more.
     numbers_fixed: a cue, two entities or a delimiter. paired: a cue, and as many entities as numbers.
     """
-    def facts(s: Column) -> Column:
+    def found(s: Column) -> Column:
+        spans = T.let(entity_spans(s), lambda e: F.struct(e.alias("spans"), F.array_distinct(F.transform(e, lambda x: x["term"])).alias("terms")))
+        return F.struct(s.alias("s"), spans.alias("e"), T.let(bound_numbers(s), lambda n: F.struct(n.alias("all"), F.array_distinct(n).alias("numbers"))).alias("n"))
+
+    def facts(x: Column) -> Column:
+        # cues and delimiters say something of two terms or numbers alone
+        s, n = x["s"], F.size(x["e"]["terms"])
         bare = F.regexp_replace(F.regexp_replace(s, V.URL, " "), V.INLINE_CODE, " ")
-        return F.struct(s.alias("s"), entity_spans(s).alias("spans"), bound_numbers(s).alias("all"), s.rlike(V.STRONG_CUE).alias("cue"), F.regexp_count(bare, F.lit(V.DELIMITER)).alias("listed"))
+        cue, listed = F.when((n >= 2) | (F.size(x["n"]["numbers"]) >= 2), s.rlike(V.STRONG_CUE)).otherwise(False), F.when(n >= 3, F.regexp_count(bare, F.lit(V.DELIMITER))).otherwise(0)
+        return F.struct(s.alias("s"), x["e"]["spans"].alias("spans"), x["e"]["terms"].alias("terms"), x["n"]["all"].alias("all"), x["n"]["numbers"].alias("numbers"), cue.alias("cue"), listed.alias("listed"))
 
     def judged(f: Column) -> Column:
-        terms, numbers = F.array_distinct(F.transform(f["spans"], lambda e: e["term"])), F.array_distinct(f["all"])
+        terms, numbers = f["terms"], f["numbers"]
         metrics = F.size(F.array_distinct(F.transform(F.filter(f["spans"], lambda e: e["kind"] == "metric"), lambda e: e["term"])))
         n = F.size(terms)
         ordered = f["cue"] | ((metrics >= 2) & (F.size(f["all"]) >= 2)) | ((n >= 3) & (f["listed"] >= F.greatest(F.lit(2), n - 2)))
@@ -164,7 +175,7 @@ def segments(text: Column) -> Column:
         )
 
     cut = F.filter(F.split(T.unix_lines(text), r"[。！？!?；;]\s*|\n+"), lambda s: F.trim(s) != "")
-    return F.transform(F.transform(cut, facts), judged)
+    return F.transform(F.transform(F.transform(cut, found), facts), judged)
 
 
 def relation_issues(pairs: DataFrame, a: str = "input_text", b: str = "output_text") -> DataFrame:
@@ -185,4 +196,5 @@ def relation_issues(pairs: DataFrame, a: str = "input_text", b: str = "output_te
         F.when((negations(x) > 0) & (negations(y) == 0), "negation_scope_removed"), F.when(_scope_marks(x) != _scope_marks(y), SCOPE_CHANGED),
     )
     found = F.filter(codes, lambda c: c.isNotNull())
-    return out.withColumn("relation_issues", F.when(x == y, F.array().cast("array<string>")).otherwise(found)).drop("_seg", "_num")
+    # explode: found once, whatever is filtered by it later
+    return out.select("*", F.explode(F.array(F.when(x == y, F.array().cast("array<string>")).otherwise(found))).alias("relation_issues")).drop("_seg", "_num")
