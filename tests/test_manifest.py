@@ -80,3 +80,23 @@ def test_revised_chunks_come_back_in_as_many_parts(spark):
     for (t, n), r in zip(rows, got, strict=True):
         assert r.parts == plain_cut(t, n), (t, n)
         assert len(r.parts) == len(n) and "".join("".join(r.parts).split()) == "".join(t.split())
+
+
+def test_best_cut_is_the_one_that_a_look_at_each_place_finds(spark):
+    rng = random.Random(8)
+    rows = [("".join(rng.choice("aB9 ,.;。、中😀\n-"[: rng.randrange(2, 15)]) if rng.random() < 0.2 else rng.choice("abc中") for _ in range(400)), rng.randrange(1, 390)) for _ in range(300)]
+
+    def best(t, ideal):
+        def kind(i):
+            a, b = t[i - 1], t[i : i + 1]
+            word = lambda c: c.isascii() and c.isalnum()
+            return 0 if a in "。！？；：.!?;:" else 1 if a in "，、, \t\r\n" or b in "，、, \t\r\n" else 3 if word(a) and word(b) else 2
+
+        to = max(5, min(395, ideal))
+        k, _, at = min((kind(i), abs(i - to), i) for i in range(max(5, to - M.NEAR), min(395, to + M.NEAR) + 1))
+        return at if k < 3 else to
+
+    got = spark.createDataFrame(rows, "t string, ideal int").select("t", "ideal", M._best_cut(F.col("t"), F.col("ideal"), F.lit(5), F.lit(395)).alias("at"))
+    # every place of a window was cut out and matched by itself before
+    assert "sequence(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.t, r.at) for r in got.collect()] == [(t, best(t, i)) for t, i in rows]

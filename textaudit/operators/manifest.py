@@ -5,6 +5,8 @@ The greedy merge depends on order, so it is a fold over one text's paragraphs; b
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,9 @@ HEADINGS = (
 )
 STANDALONE = "(?i)^(?:" + "|".join(HEADINGS) + ")"
 #: Where a sentence may end, where a phrase may; elsewhere a cut is better between characters that don't make one word.
-SENTENCE_END, PHRASE_END, WORD = "[。！？；：.!?;:]", r"[，、, \t\r\n]", "[A-Za-z0-9]"
+SENTENCE_END, PHRASE_END, WORD = "。！？；：.!?;:", "，、, \t\r\n", string.ascii_letters + string.digits
+#: Each of them as one character: . for a sentence's end, a comma for a phrase's, w for those of words.
+CHARS = SENTENCE_END + PHRASE_END + WORD, "." * len(SENTENCE_END) + "," * len(PHRASE_END) + "w" * len(WORD)
 
 
 def standalone(paragraph: Column) -> Column:
@@ -90,15 +94,21 @@ def _best_cut(text: Column, ideal: Column, least: Column, most: Column) -> Colum
 
 
 def _ranked(x: Column) -> Column:
-    def of(i: Column) -> Column:
-        def kind(two: Column) -> Column:
-            left, right = F.left(two, F.lit(1)), F.substring(two, 2, 1)
-            return F.when(left.rlike(SENTENCE_END), 0).when(left.rlike(PHRASE_END) | right.rlike(PHRASE_END), 1).when(~(left.rlike(WORD) & right.rlike(WORD)), 2)
+    """The place nearest to x.to of the best kind there is. A string with a mark for each place is searched from there to both sides: a look at
+    each place by itself took nine tenths of the whole."""
+    to = x["to"]
+
+    def nearest(marks: Column, mark: str) -> Column:
+        back = F.instr(F.reverse(F.left(marks, to - x["lo"] + 1)), F.lit(mark))
+        ahead = F.instr(F.substring(marks, to - x["lo"] + 2, x["hi"] - to), F.lit(mark))
+        return T.let(F.struct(back.alias("back"), ahead.alias("ahead")), lambda d: F.when((d["back"] > 0) & ((d["ahead"] == 0) | (d["back"] - 1 <= d["ahead"])), to - d["back"] + 1).when(d["ahead"] > 0, to + d["ahead"]))
 
-        return F.struct(F.coalesce(kind(F.substring(x["w"], i - x["lo"] + 1, F.lit(2))), F.lit(3)).alias("kind"), F.abs(i - x["to"]).alias("off"), i.alias("at"))
+    def between(chars: Column) -> Column:
+        # w before w: within a word; what stands before a phrase's end is as good a place as the end
+        marks = F.regexp_replace(F.regexp_replace(F.regexp_replace(chars, "[^w.,]", "o"), "w(?=w)", "x"), "[wo](?=,)", ",")
+        return T.let(F.translate(F.left(marks, x["hi"] - x["lo"] + 1), "w", "o"), lambda m: F.coalesce(nearest(m, ","), nearest(m, "o"), to))
 
-    best = F.array_min(F.transform(F.sequence(x["lo"], x["hi"]), of))
-    return T.let(best, lambda b: F.when(b["kind"] < 3, b["at"]).otherwise(x["to"]))
+    return T.let(F.translate(x["w"], *CHARS), lambda chars: F.coalesce(nearest(chars, "."), between(chars)))
 
 
 def restored(manifest: DataFrame, outputs: DataFrame, key: str, output: str = "output_text") -> DataFrame:
