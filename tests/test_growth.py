@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from textaudit.functions import lexicons as L
 from textaudit.functions import text as T
-from textaudit.operators import guards, repetition, segment, validators
-from textaudit.plans import text_queries
+from textaudit.operators import guards, pairs, records, repetition, segment, validators
+from textaudit.plans import relational_queries, text_queries
 
 
 def test_mask_round_trip_of_many_spans_in_one_text(spark):
@@ -82,3 +82,16 @@ def test_a_filter_on_codes_does_not_find_them_again(spark, checked, codes):
     assert not any("regexp" in x.lower() or "rlike" in x.lower() for x in plan.splitlines() if "Filter" in x.split("(")[0])
     got = {r.k: r[codes] for r in out.collect()}
     assert got[1][:2] == ["entity_order_changed", "number_order_changed"] and 2 not in got and got.get(3) == (["empty_output"] if codes == "codes" else None)
+
+
+def test_references_are_counted_by_hash_before_their_ends_are_found(spark, tmp_path):
+    # a distinct count beside the ends sorted every reference by its path
+    spark.sql("select id % 3 as o_custkey, date'2024-01-01' + cast(id % 40 as int) as o_orderdate, 'p' as o_orderpriority, id as o_orderkey from range(50)").write.parquet(f"{tmp_path}/orders.parquet")
+    out = relational_queries.derived_refs(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert any("HashAggregate(keys=[role" in x.replace("derived#", "") and "path" in x.split("functions")[0] and "Sort" not in x.split("HashAggregate")[0] for x in plan.splitlines())
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    assert sorted(tuple(r) for r in out.collect()) == sorted(con.execute(relational_queries.REFS_SQL).fetchall())
+    odd = spark.createDataFrame([(1, " ./a//b.txt "), (2, "http://x//y.d/z"), (3, "\\\\s\\t"), (4, "././ "), (5, None), (6, ":///q")], "k int, p string")
+    assert [r.p for r in odd.orderBy("k").select(records.normal_path(F.col("p")).alias("p")).collect()] == ["a/b.txt", "http://x/y.d/z", "/s/t", None, None, "://q"]

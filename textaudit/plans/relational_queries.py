@@ -112,7 +112,9 @@ def derived_refs(spark, sf_dir):
     path = lambda end: F.concat(F.lit(".\\\\out\\\\"), F.col("o_custkey").cast("string"), F.lit("/"), F.col("o_orderkey").cast("string"), F.lit(end))
     last = last.withColumns({"output_path": path(".v1.txt"), "compare_path": path("_compare.json")})
     refs = R.artifact_refs(last, ["o_custkey"], ["output_path", "compare_path"], "output_path", "compare_path")
-    return refs.groupBy("role", "derived").agg(F.count("*").alias("n"), F.count_distinct("path").alias("paths"), F.min("path").alias("first"), F.max("path").alias("last"))
+    # paths are counted by hash first: a distinct count beside the ends sorts every reference, with its path three times
+    paths = refs.groupBy("role", "derived", "path").agg(F.count("*").alias("n"))
+    return paths.groupBy("role", "derived").agg(F.sum("n").alias("n"), F.count("*").alias("paths"), F.min("path").alias("first"), F.max("path").alias("last"))
 
 
 _DERIVED = [f"p || '.v1{end}'" for end in R.BESIDE] + [f"'{folder}' || k || '.v1{mark}{end}'" for mark in ("", R.REVIEWED) for folder, end in (*((R.EXPORTS, e) for e in R.EXPORTED), (R.PREFLIGHTS, R.PREFLIGHT))]
