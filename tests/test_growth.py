@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from textaudit.functions import lexicons as L
 from textaudit.functions import text as T
-from textaudit.operators import guards, pairs, records, repetition, segment, validators
+from textaudit.operators import guards, records, repetition, segment, validators
 from textaudit.plans import relational_queries, text_queries
 
 
