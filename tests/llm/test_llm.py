@@ -246,6 +246,30 @@ def test_near_threshold_members_visit_other_parts(spark, monkeypatch):
     assert sum(len(k[2] or ()) for k in want) >= 60
 
 
+def test_bands_of_lines_are_on_disk_once(spark, monkeypatch):
+    """Buckets are gone round by round before the lines are joined; a payload numbers few lines, and more payloads lose no link."""
+    from pathlib import Path
+
+    kept, entries, put = [], [], linededup.Scratch.put
+
+    def watched(self, df, *by):
+        out = put(self, df, *by)
+        where = Path(self.base.removeprefix("file://"))
+        kept.append(len(list(where.glob("*/kind=*"))))
+        if by:
+            entries.append(out.selectExpr("sum(octet_length(payload))", "count_if(kind = 0)").first())
+        return out
+
+    monkeypatch.setattr(linededup.Scratch, "put", watched)
+    monkeypatch.setattr(linededup, "SEGMENT", 16, raising=False)
+    rows = [(i, "\n".join([prose(40 + i % 5, 20), prose(900 + i, 12), prose(60 + i % 7, 16) + " x" * (i % 2)])) for i in range(40)]
+    assert_lines(spark, rows)
+    sent, lines = entries[0]
+    assert sent == 10 * linededup.BANDS * lines > 0
+    at = [n for n in kept if n]
+    assert at[0] > 1 and at[: at[0] + 1] == [at[0], *range(at[0], 0, -1)]  # one less at each put behind the first round's
+
+
 # --- op 3 -------------------------------------------------------------------------------------------------------------
 def test_containment_agrees_with_brute_force(spark):
     items = [(i, prose(200 + i, n)) for i, n in enumerate([4, 5, 9, 17, 33, 70, 140, 400, 1, 6, 7, 8])] + [(20, ""), (21, None), (3, prose(203, 17))]

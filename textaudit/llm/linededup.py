@@ -5,7 +5,8 @@
    characters: one permutation cut in SAMPLES bins, empty bins filled from others (optimal densification), in bands.
 2. Band values go to buckets by range, packed as one binary per chunk and bucket (where chunks and buckets are so many
    that a binary holds one line, there are as many rows as lines and bands). Equal lines of a band count once, and a bucket
-   yields the least line of each band with its other lines, never all pairs.
+   yields the least line of each band with its other lines, never all pairs. Buckets are shuffled in ROUNDS, and those of a
+   round are deleted before the next, so the bands are never on disk twice.
 3. Lines that share a least line are compared by exact Jaccard similarity of their shingle sets (bandsearch.py): all links
    between different lines are found, those that join components leave.
 4. Distributed union-find over those links; equal lines follow the least of them. Each component keeps its line at the
@@ -16,6 +17,8 @@ A line that a third of the documents hold meets as one row per chunk.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bandsearch import exact_links
-from .common import Scratch, first_of_repeated, fresh, lean, same_row, small, table, text_key
+from .common import Scratch, first_of_repeated, fresh, lean, release_shuffles, same_row, small, table, text_key
 from .components import components
 from .textblocks import U, char_grams, mix, slices
 
@@ -37,6 +40,8 @@ SAMPLES = BANDS * ROWS
 CHUNK_BYTES = 8 << 20
 #: Bytes of the band entries of a bucket.
 BUCKET_BYTES = 4 << 20
+#: Shuffles of the buckets, one after the other.
+ROUNDS = 4
 #: Bytes of the lines that are compared together.
 PART_BYTES = 1 << 19
 EMPTY = np.uint32(0xFFFFFFFF)
@@ -81,10 +86,13 @@ def signatures(hashes: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return x
 
 
-#: One entry of a bucket: the low bits of the band value (the bucket has the high ones), the line within its chunk, and bits
-#: that equal lines have in common. They are drawn from the line's key for each band anew: different lines of equal bits (2**-32
-#: a pair) would count as equal there, but not in the other bands that they share.
-ENTRY = np.dtype([("band", "<u4"), ("more", "u1"), ("owner", "<u4"), ("key", "<u4")])
+#: One entry of a bucket: the low bits of the band value (the bucket has the high ones; different bands of equal bits are one,
+#: whose lines are compared all the same), the line within its payload's SEGMENT, and bits that equal lines have in common.
+#: They are drawn from the line's key for each band anew: different lines of equal bits (2**-32 a pair) would count as equal
+#: there, but not in the other bands that they share.
+ENTRY = np.dtype([("band", "<u4"), ("owner", "<u2"), ("key", "<u4")])
+#: Lines of a chunk that a payload numbers.
+SEGMENT = 1 << 16
 
 
 def _send(buckets: int, id_type: pa.DataType, ddl_id: str):
@@ -135,13 +143,16 @@ def _send(buckets: int, id_type: pa.DataType, ddl_id: str):
         if not bands:
             return
         band, owner = np.concatenate(bands), np.concatenate(owner)
-        order = np.argsort(band)
-        band, owner = band[order], owner[order]
-        entry = np.empty(len(band), ENTRY)
-        entry["band"], entry["more"], entry["owner"], entry["key"] = band & U(0xFFFFFFFF), band >> U(32) & U(0xFF), owner, mix(bits[owner] ^ band) >> U(32)
-        cuts = [0, *np.searchsorted(band, edges).tolist(), len(band)]
-        packed = [(b, entry[x:y].tobytes()) for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if x < y]
-        yield batch_of(len(packed), kind=pa.array(np.ones(len(packed), np.int32)), uid=pa.array(np.full(len(packed), base)), bucket=pa.array([r[0] for r in packed], pa.int64()), payload=pa.array([r[1] for r in packed], pa.binary()))
+        for first in range(0, n, SEGMENT):
+            here = slice(*np.searchsorted(owner, (first, first + SEGMENT)))
+            order = np.argsort(band[here])
+            values, of_line = band[here][order], owner[here][order]
+            entry = np.empty(len(values), ENTRY)
+            entry["band"], entry["owner"], entry["key"] = values & U(0xFFFFFFFF), of_line - first, mix(bits[of_line] ^ values) >> U(32)
+            cuts = [0, *np.searchsorted(values, edges).tolist(), len(values)]
+            packed = [(b, entry[x:y].tobytes()) for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if x < y]
+            kind = pa.array([1 + b * ROUNDS // buckets for b, _ in packed], pa.int32())
+            yield batch_of(len(packed), kind=kind, uid=pa.array(np.full(len(packed), base + first)), bucket=pa.array([r[0] for r in packed], pa.int64()), payload=pa.array([r[1] for r in packed], pa.binary()))
 
     def run(batches):
         base = TaskContext.get().partitionId() << 32
@@ -167,7 +178,7 @@ def _leaders(sent: pa.Table) -> pa.Table:
     payloads = sent.column("payload").to_pylist()
     entry = np.frombuffer(b"".join(payloads), ENTRY)
     line = np.repeat(sent.column("uid").to_numpy(), [len(p) // ENTRY.itemsize for p in payloads]) + entry["owner"]
-    band = entry["band"].astype(np.int64) | entry["more"].astype(np.int64) << 32
+    band = entry["band"]
     order = np.argsort(band)
     band = band[order]
     twice = np.append(band[1:] == band[:-1], False)
@@ -220,8 +231,8 @@ def _entries(rows: pa.Table):
 
 def repeated_lines(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """(id, key, lines array<struct<line, keeper, kept>>, copies), one row per row (told by id and text_key) that holds lines
-    which stand elsewhere, too: the line (from 0), the id that keeps it, whether this is the place that keeps it; and how
-    many rows there are with this id and text.
+    which stand elsewhere, too: the line (from 0), the id that keeps it, whether this is the place that keeps it (left out
+    where copies is 1); and how many rows there are with this id and text.
 
     Lines are cut at \\n. Lines that are empty in normal form are nobody's copies.
     """
@@ -229,15 +240,23 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch
 
     source = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("row"), F.col(text_col).alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # a line of 300 characters has 18 entries of 13 bytes
-    run, ddl = _send(max(8, min(1 << 22, -(-int(size) * 4 // 5 // BUCKET_BYTES))), to_arrow_type(docs.schema[id_col].dataType), docs.schema[id_col].dataType.simpleString())
+    # a line of 300 characters has 18 entries of 10 bytes
+    run, ddl = _send(max(8, min(1 << 22, -(-int(size) * 3 // 5 // BUCKET_BYTES))), to_arrow_type(docs.schema[id_col].dataType), docs.schema[id_col].dataType.simpleString())
     sent = scratch.put(source.mapInArrow(lean(run), ddl), "kind")
     lines = sent.where("kind = 0")
-    led = scratch.put(sent.where("kind = 1").select("bucket", "uid", "payload").groupBy("bucket").applyInArrow(lean(_leaders), "a long, b long").distinct())
+    found = []
+    for k in range(1, ROUNDS + 1):
+        found.append(scratch.put(sent.where(F.col("kind") == k).select("bucket", "uid", "payload").groupBy("bucket").applyInArrow(lean(_leaders), "a long, b long")))
+        scratch.drop_part(sent, f"kind={k}")
+        release_shuffles(docs.sparkSession)
+    led = scratch.put(reduce(DataFrame.unionByName, found).distinct())
+    scratch.drop(*found)
     texts = lines.select(F.col("uid").alias("a"), "text")
     texts = texts.join(small(led.select("a").distinct(), 8 * led.count()), "a", "left_semi")
     members = scratch.put(led.join(texts, "a"))
     links = exact_links(members, "text", _entries, THRESHOLD, PART_BYTES, scratch)
+    scratch.drop(led, members)
+    release_shuffles(docs.sparkSession)
     roots = components(links, scratch)
     least = lines.groupBy("key").agg(F.min("uid").alias("rep"), F.count("*").alias("n"), F.max(F.col("more").isNotNull()).alias("again")).where("n > 1 or again").select("key", "rep")
     # a line is known by the least of its equals; one that stands once and has no links is dropped here
@@ -246,6 +265,8 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch
     of_key = scratch.put(rooted.unionByName(single).distinct())
     of_key = small(of_key, 40 * of_key.count())
     held = scratch.put(lines.select("key", "place", "more").join(of_key, "key").select("root", "place", "more"))
+    scratch.drop(sent)
+    release_shuffles(docs.sparkSession)
     keep = scratch.put(held.groupBy("root").agg(F.min("place").alias("keep")))
     kept = held.join(small(keep, 64 * keep.count()), "root")
     nothing = F.array().cast(held.schema["more"].dataType)
@@ -253,8 +274,11 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch
     every = every.groupBy("at").agg(F.min("keep").alias("keep"), F.count("*").alias("n"))
     line = F.struct(F.col("at.line").alias("line"), F.col("keep.id").alias("keeper"), (F.col("at") == F.col("keep")).alias("kept"))
     every = every.groupBy(F.col("at.id").alias("id"), F.col("at.row").alias("key")).agg(F.array_sort(F.collect_list(line)).alias("lines"), F.max("n").alias("copies"))
-    out = scratch.put(every.where("copies > 1 or exists(lines, x -> not x.kept)"))
-    scratch.drop(sent, led, members, held)
+    # where a row has no copy, what it keeps is not asked for
+    every = every.withColumn("lines", F.when(F.col("copies") > 1, F.col("lines")).otherwise(F.filter("lines", lambda x: ~x["kept"])))
+    out = scratch.put(every.where("copies > 1 or size(lines) > 0"))
+    scratch.drop(held)
+    release_shuffles(docs.sparkSession)
     return out
 
 
