@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from textaudit.functions import lexicons as L
 from textaudit.functions import text as T
-from textaudit.operators import guards, records, repetition, segment, validators
+from textaudit.operators import guards, pairs, records, repetition, segment, validators
 from textaudit.plans import relational_queries, text_queries
 
 
@@ -95,3 +95,32 @@ def test_references_are_counted_by_hash_before_their_ends_are_found(spark, tmp_p
     assert sorted(tuple(r) for r in out.collect()) == sorted(con.execute(relational_queries.REFS_SQL).fetchall())
     odd = spark.createDataFrame([(1, " ./a//b.txt "), (2, "http://x//y.d/z"), (3, "\\\\s\\t"), (4, "././ "), (5, None), (6, ":///q")], "k int, p string")
     assert [r.p for r in odd.orderBy("k").select(records.normal_path(F.col("p")).alias("p")).collect()] == ["a/b.txt", "http://x/y.d/z", "/s/t", None, None, "://q"]
+
+
+def test_overlap_search_finds_the_terms_of_a_text_once(spark):
+    # they were found for each step that reads them; rows that share an id are one text, whatever their number
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    alone = [(i, " ".join(words[i : i + 10 + i])) for i in range(20)] + [(None, " ".join(words)), (90, None), (91, "few")]
+    shared = [(95, " ".join(words[k : k + 4])) for k in (3, 7, 5)] + [(96, "word")] * 2
+    queries = [(k, " ".join(words[k : k + 12])) for k in range(0, 40, 5)]
+    b = spark.createDataFrame(queries, "q int, text string")
+
+    def brute(rows):
+        sets = {}
+        for i, t in rows:
+            if i is not None:
+                sets.setdefault(i, set()).update((t or "").split())
+        both = ((q, i, len(set(t.split()) & s), min(len(s), 12)) for q, t in queries for i, s in sets.items() if len(s) >= 8)
+        return {r for r in both if r[2] >= L.OVERLAP_THRESHOLD * r[3]}
+
+    for rows in (alone, alone + shared):
+        calls = spark.sparkContext.accumulator(0)
+
+        def seen(t, calls=calls):
+            calls.add(1)
+            return t
+
+        texts = spark.createDataFrame(rows, "i int, text string").withColumn("text", F.udf(seen, "string")("text"))
+        got = {tuple(r) for r in pairs.containment_search(texts, b, "i", "q").collect()}
+        assert got == brute(rows) and len(got) > 8
+        assert rows is not alone or calls.value <= len(rows)

@@ -108,10 +108,24 @@ def containment_search(texts: DataFrame, queries: DataFrame, text_id: str, query
     The smaller of a pair can lack so many of its terms, so one of its rarest few (the more, the more it may lack) must be in the other; only those
     meet, and what meets is verified. Terms are ranked by how many of the other side hold them, and those that none holds are misses already.
     Texts of fewer than 8 terms take no part. Rows that share an id are one text with the terms of all; null ids take no part.
+    A text's terms are found once and shuffled once, as a row that all steps read; whether ids repeat is asked at once.
     """
     def side(df: DataFrame, key: str, name: str) -> DataFrame:
-        t = df.where(F.col(key).isNotNull()).select(F.col(key).alias(f"{name}_id"), F.explode(T.content_terms(F.coalesce(F.col(text), F.lit("")))).alias("term")).distinct()
-        return t.withColumn(f"n_{name}", F.count("*").over(Window.partitionBy(f"{name}_id"))).where(F.col(f"n_{name}") >= L.OVERLAP_LEAST_TERMS)
+        rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias(f"{name}_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+        repeated = rows.groupBy(f"{name}_id").agg(F.count("*").alias("_rows")).where("_rows > 1").select(f"{name}_id")
+        # a condition in the generator isn't pushed below the terms, which would find them twice
+        whole = lambda df: df.select(f"{name}_id", F.explode(F.filter(F.array(T.content_terms(F.col("_text"))), lambda t: F.size(t) >= L.OVERLAP_LEAST_TERMS)).alias(f"terms_{name}"))
+        if repeated.isEmpty():
+            out = whole(rows)
+        else:
+            terms = rows.join(repeated, f"{name}_id", "left_semi").select(f"{name}_id", F.explode(T.content_terms(F.col("_text"))).alias("term")).distinct()
+            several = terms.groupBy(f"{name}_id").agg(F.collect_list("term").alias(f"terms_{name}")).where(F.size(f"terms_{name}") >= L.OVERLAP_LEAST_TERMS)
+            out = whole(rows.join(repeated, f"{name}_id", "left_anti")).unionByName(several)
+        # one row a group: a shuffle below which no step's conditions are pushed, so that all steps read the same
+        return out.groupBy(f"{name}_id").agg(F.max(f"terms_{name}").alias(f"terms_{name}"))
+
+    def each(sets: DataFrame, name: str) -> DataFrame:
+        return sets.select(f"{name}_id", F.size(f"terms_{name}").cast("long").alias(f"n_{name}"), F.explode(f"terms_{name}").alias("term"))
 
     def prefix(mine: DataFrame, name: str, held: DataFrame) -> DataFrame:
         """The rarest terms of each text, of those that the other side holds: one of them is in whatever holds enough of its terms."""
@@ -119,15 +133,17 @@ def containment_search(texts: DataFrame, queries: DataFrame, text_id: str, query
         ranked = both.withColumns({"_rank": F.row_number().over(own.orderBy("_held", "term")), "_met": F.count("*").over(own)})
         return ranked.where(F.col("_rank") <= F.col("_met") - F.ceil(F.col(f"n_{name}") * F.lit(threshold) - F.lit(1e-9)) + 1).select(f"{name}_id", f"n_{name}", "term")
 
-    a, b = side(texts, text_id, "t"), side(queries, query_id, "q")
+    sets_t, sets_q = side(texts, text_id, "t"), side(queries, query_id, "q")
+    a, b = each(sets_t, "t"), each(sets_q, "q")
     held = lambda df: df.groupBy("term").agg(F.count("*").alias("_held"))
     met = a.join(b.select("term").distinct(), "term", "left_semi")
     small_q = prefix(b, "q", held(met)).join(met, "term").where("n_q <= n_t")
-    small_t = prefix(met, "t", held(b)).join(b, "term").where("n_t < n_q")
+    # a text is the smaller of a pair only if it is smaller than the largest query
+    smaller = met.join(sets_q.agg(F.max(F.size("terms_q")).alias("_most")), F.col("n_t") < F.col("_most")).drop("_most")
+    small_t = prefix(smaller, "t", held(b)).join(b, "term").where("n_t < n_q")
     pairs = small_q.select("q_id", "t_id").unionByName(small_t.select("q_id", "t_id")).distinct()
-    sets = lambda df, name: df.groupBy(f"{name}_id").agg(F.first(f"n_{name}").alias(f"n_{name}"), F.collect_set("term").alias(f"terms_{name}"))
-    checked = pairs.join(sets(met, "t"), "t_id").join(sets(b, "q"), "q_id").withColumn("shared", F.size(F.array_intersect("terms_t", "terms_q")))
-    out = checked.select("q_id", "t_id", F.col("shared").cast("long").alias("shared"), F.least("n_t", "n_q").cast("int").alias("least_terms"))
+    checked = pairs.join(sets_t, "t_id").join(sets_q, "q_id").withColumn("shared", F.size(F.array_intersect("terms_t", "terms_q")))
+    out = checked.select("q_id", "t_id", F.col("shared").cast("long").alias("shared"), F.least(F.size("terms_t"), F.size("terms_q")).cast("int").alias("least_terms"))
     return out.where(F.col("shared") >= threshold * F.col("least_terms"))
 
 
