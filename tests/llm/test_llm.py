@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from math import log
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -270,6 +271,48 @@ def test_bands_of_lines_are_on_disk_once(spark, monkeypatch):
     assert at[0] > 1 and at[: at[0] + 1] == [at[0], *range(at[0], 0, -1)]  # one less at each put behind the first round's
 
 
+def test_lines_that_met_by_chance_are_parted(spark, monkeypatch):
+    """Where all lines share all bands, only those that could be alike are compared, and no link is lost."""
+    made, compare, compared = linededup.signatures, linededup.exact_links, []
+
+    def all_meet(hashes, grams):
+        out = made(hashes, grams)
+        bands = out[0] if isinstance(out, tuple) else out
+        bands[:] = np.arange(bands.shape[1])
+        return out
+
+    def watched(members, *rest):
+        compared.extend(members.select("text").distinct().collect())
+        return compare(members, *rest)
+
+    monkeypatch.setattr(linededup, "signatures", all_meet)
+    monkeypatch.setattr(linededup, "exact_links", watched)
+    alone, pairs = [prose(2000 + i, 90) for i in range(30)], [(prose(3000 + i, 90), prose(3000 + i, 90) + " x y") for i in range(6)]
+    rows = [(i, t) for i, t in enumerate([*(a for a, _ in pairs), *alone, *(b for _, b in pairs)])]
+    assert_lines(spark, rows)
+    texts, alike = {r.text for r in compared}, {t for p in pairs for t in p}
+    assert alike <= texts and len(texts - alike) <= 4  # a pair in a thousand has near sketches, too
+
+
+def test_screen_parts_groups_at_far_sketches():
+    bits = [np.zeros(108, np.uint8) for _ in range(6)]
+    bits[1][:] = bits[2][:] = bits[3][:] = 1  # far from the leader
+    bits[2][:36], bits[3][:72] = 0, 0  # 2 is near 1 and 3; 3 is far from 1, and near the leader by one bit at most
+    bits[3][71] = 1
+    bits[4][:50] = 1  # far from all others
+    bits[4][90:] = 1
+    sketch = [np.packbits(b).tobytes() for b in bits]
+
+    def screen(rows):
+        out = linededup._screen(pa.table({"a": pa.array([r[0] for r in rows], pa.int64()), "b": pa.array([r[1] for r in rows], pa.int64()), "sketch": pa.array([r[2] for r in rows], pa.binary())}))
+        return sorted(zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True))
+
+    assert screen([(13, 10, sketch[3]), (10, 10, sketch[0]), (12, 10, sketch[2]), (11, 10, sketch[1]), (14, 10, sketch[4])]) == [(11, 11), (12, 11), (13, 11)]
+    # groups are apart, whatever their order; a line without a sketch is near to all; a group can be gone
+    assert screen([(5, 3, sketch[1]), (9, 2, None), (2, 2, sketch[0]), (3, 3, sketch[0]), (7, 2, sketch[1])]) == [(2, 2), (7, 2), (9, 2)]
+    assert screen([]) == []
+
+
 # --- op 3 -------------------------------------------------------------------------------------------------------------
 def test_containment_agrees_with_brute_force(spark):
     items = [(i, prose(200 + i, n)) for i, n in enumerate([4, 5, 9, 17, 33, 70, 140, 400, 1, 6, 7, 8])] + [(20, ""), (21, None), (3, prose(203, 17))]

@@ -28,15 +28,28 @@ EPSILON = 1e-9
 
 
 class Entries:
-    """The (row, key, weight) entries of a bin in order of (group, key): rows that share a key in a group are one run."""
+    """The (row, key, weight) entries of a bin in order of (group, key): rows that share a key in a group are one run.
 
-    def __init__(self, group: np.ndarray, row: np.ndarray, key: np.ndarray, weight: np.ndarray | None):
+    Without weights a row may name a key twice, which counts once, and total is found here. Key and row are then sorted as one
+    number, which leaves 64 bits less those of the bin's rows (some 10) to tell a group's keys apart.
+    """
+
+    def __init__(self, group: np.ndarray, row: np.ndarray, key: np.ndarray, weight: np.ndarray | None, total: np.ndarray | None):
         # keys are hashes, so those of different groups stay apart
-        salted = key ^ mix(np.arange(1, group[-1] + 2, dtype=U))[group[row]]
-        order = np.argsort(salted)
-        salted = salted[order]
-        self.row = row[order]
-        self.weight = np.ones(len(row)) if weight is None else weight[order]
+        salted = key ^ mix(np.arange(1, group[-1] + 2, dtype=U))[group][row]
+        if weight is None:
+            bits = U(max(1, (len(group) - 1).bit_length()))
+            salted >>= bits
+            salted <<= bits
+            salted |= row.astype(U)
+            salted.sort()
+            salted = salted[np.append(True, salted[1:] != salted[:-1])[: len(salted)]]
+            self.row = (salted & ((U(1) << bits) - U(1))).astype(np.int64)
+            salted >>= bits
+            self.weight, self.total = np.ones(len(salted)), np.bincount(self.row, minlength=len(group)).astype(np.float64)
+        else:
+            order = np.argsort(salted)
+            salted, self.row, self.weight, self.total = salted[order], row[order], weight[order], total
         first = np.append(True, salted[1:] != salted[:-1]) if len(salted) else np.zeros(0, bool)
         self.run = np.cumsum(first) - 1
         self.runs = int(self.run[-1]) + 1 if len(salted) else 0
@@ -60,18 +73,22 @@ def search(e: Entries, seek: np.ndarray, home: np.ndarray, group: np.ndarray, to
     A row that has come to the main component needs no search: a link between it and a row outside is found from there.
     """
     n = len(group)
+    others = np.bincount(group, weights=home)[group] - home
+    useful = np.zeros(group[-1] + 1, bool)
+    useful[group[seek & (others > 0)]] = True  # a group of a leader and one member ends here
+    at = np.flatnonzero((useful[group] & (home | seek))[e.row])
+    row, run, weight = e.row[at], e.run[at], e.weight[at]
     # keys of two rows at least, the leader's aside where it has been compared
-    counts = np.bincount(e.run, weights=home[e.row] | seek[e.row], minlength=e.runs)
-    shared = (counts > 1)[e.run] & (home | seek)[e.row]
-    common = np.bincount(e.row, weights=e.weight * shared, minlength=n)
+    shared = (np.bincount(run, minlength=e.runs) > 1)[run]
+    common = np.bincount(row, weights=weight * shared, minlength=n)
     hopeful = seek & (common >= least * total - EPSILON) & (common > 0)
     if not hopeful.any():
         return
-    useful = np.zeros(group[-1] + 1, bool)
+    useful[:] = False
     useful[group[hopeful]] = True
-    at = np.flatnonzero(shared & useful[group[e.row]])
-    at = at[np.argsort(group[e.row[at]], kind="stable")]
-    row, run, weight = e.row[at], e.run[at], e.weight[at]
+    at = np.flatnonzero(shared & useful[group[row]])
+    at = at[np.argsort(group[row[at]], kind="stable")]
+    row, run, weight = row[at], run[at], weight[at]
     cuts = np.searchsorted(group[row], np.arange(group[-1] + 2))
     rows = np.searchsorted(group, np.arange(group[-1] + 2))
     for g in np.flatnonzero(useful).tolist():
@@ -127,7 +144,8 @@ def _first_search(entries_of: Callable, least: float):
         a, b, part, parts = (rows.column(c).to_numpy() for c in ("a", "b", "part", "parts"))
         leader = a == b
         row, key, weight, total = entries_of(rows)
-        e = Entries(group, row, key, weight)
+        e = Entries(group, row, key, weight, total)
+        total = e.total
         main = leader_links(e, leader, group, total, least)
         out = [_rows(a[main & ~leader], b[main & ~leader], 0, True)]
         found = list(search(e, ~main, ~leader, group, total, least, main))
@@ -154,7 +172,8 @@ def _visit(entries_of: Callable, least: float):
         new = np.append(False, (b[1:] != b[:-1]) | (part[1:] != part[:-1]) | (block[1:] != block[:-1]))
         group, visitor, a = np.cumsum(new), rows.column("visitor").to_numpy() == 1, rows.column("a").to_numpy()
         row, key, weight, total = entries_of(rows)
-        found = list(search(Entries(group, row, key, weight), visitor, ~visitor, group, total, least, None))
+        e = Entries(group, row, key, weight, total)
+        found = list(search(e, visitor, ~visitor, group, e.total, least, None))
         return _rows(a[[f[0] for f in found]], a[[f[1] for f in found]], 0, True)
 
     return run
@@ -164,7 +183,7 @@ def exact_links(members: DataFrame, bytes_col: str, entries_of: Callable, least:
     """(a, b): links of similarity `least` or more that join all members of a group that such links join.
 
     members: (a, b, payload columns): a is a member, b its leader, and each leader is a member of itself; bytes_col is the
-    column that gives a member's size. entries_of(table) -> (row, key, weight or None, total weight of each row).
+    column that gives a member's size. entries_of(table) -> (row, key, weight or None, total weight of each row or None).
     """
     sizes = members.groupBy("b").agg(F.sum(F.octet_length(bytes_col)).alias("bytes"))
     parts = F.ceil(F.col("bytes") / part_bytes).cast("int")

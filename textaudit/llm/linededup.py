@@ -7,8 +7,9 @@
    that a binary holds one line, there are as many rows as lines and bands). Equal lines of a band count once, and a bucket
    yields the least line of each band with its other lines, never all pairs. Buckets are shuffled in ROUNDS, and those of a
    round are deleted before the next, so the bands are never on disk twice.
-3. Lines that share a least line are compared by exact Jaccard similarity of their shingle sets (bandsearch.py): all links
-   between different lines are found, those that join components leave.
+3. Long lines that met by chance (their number grows with the square of the lines) are parted by sketches of a bit a sample, before
+   their texts are moved. Lines that share a least line then are compared by exact Jaccard similarity of their shingle sets
+   (bandsearch.py): all links between different lines are found, those that join components leave.
 4. Distributed union-find over those links; equal lines follow the least of them. Each component keeps its line at the
    least place: by id, text, line number.
 
@@ -44,6 +45,15 @@ BUCKET_BYTES = 4 << 20
 ROUNDS = 4
 #: Bytes of the lines that are compared together.
 PART_BYTES = 1 << 19
+#: Lines of as many shingles have a sketch: a bit of each of their samples. With fewer too many of the samples are copies.
+SKETCHED = 2 * SAMPLES
+#: Lines whose sketches differ in more bits aren't compared. A link of similarity 0.8 that met in one band alone differs in 14 of
+#: the others' 102 on the mean, and in more than 36 with a chance of about 1e-8; lines of 0.1 in 46, and in 36 or fewer with 0.03.
+FAR = SAMPLES // 3
+#: Members of a leader that are screened; larger groups are compared as they are.
+SCREENED = 512
+#: Members that are screened together.
+SCREEN_ROWS = 1 << 14
 EMPTY = np.uint32(0xFFFFFFFF)
 _rng = np.random.default_rng(3)
 #: For each attempt the bin that an empty bin looks at.
@@ -51,6 +61,8 @@ FILL = np.stack([_rng.integers(0, SAMPLES, SAMPLES) for _ in range(512)])
 #: White space that isn't a plain space or the end of a line.
 ODD_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
 
+ODD_ASCII = [c for c in ODD_SPACES if c.isascii()]
+
 
 def normal(line: str) -> str:
     return " ".join(line.lower().split())
@@ -59,13 +71,13 @@ def normal(line: str) -> str:
 def normal_lines(text: str) -> list[str]:
     """The normal forms of a text's lines."""
     text = text.lower()
-    if "  " in text or any(c in text for c in ODD_SPACES):
+    if "  " in text or any(c in text for c in (ODD_ASCII if text.isascii() else ODD_SPACES)):
         return [" ".join(x.split()) for x in text.split("\n")]
     return [x.strip(" ") for x in text.split("\n")]
 
 
-def signatures(hashes: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    """Bands of every text with any gram: hashes of their grams in order, number of grams by text."""
+def signatures(hashes: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bands, sketch as bytes) of every text with any gram: hashes of their grams in order, number of grams by text."""
     n = len(grams)
     sig = np.full(n * SAMPLES, EMPTY, np.uint32)
     where = (((hashes >> U(32)) * U(SAMPLES)) >> U(32)).astype(np.int64)
@@ -83,7 +95,7 @@ def signatures(hashes: np.ndarray, grams: np.ndarray) -> np.ndarray:
     x = np.tile(np.arange(BANDS, dtype=U), (n, 1))
     for k in range(ROWS):
         x = mix(x ^ sig[:, :, k]) + U(1)
-    return x
+    return x, np.packbits((filled & np.uint32(1)).astype(np.uint8).reshape(n, SAMPLES), axis=1)
 
 
 #: One entry of a bucket: the low bits of the band value (the bucket has the high ones; different bands of equal bits are one,
@@ -97,7 +109,7 @@ SEGMENT = 1 << 16
 
 def _send(buckets: int, id_type: pa.DataType, ddl_id: str):
     place = pa.struct([("id", id_type), ("row", pa.binary()), ("line", pa.int32())])
-    schema = pa.schema([("kind", pa.int32()), ("uid", pa.int64()), ("key", pa.binary()), ("place", place), ("text", pa.string()), ("more", pa.list_(place)), ("bucket", pa.int64()), ("payload", pa.binary())])
+    schema = pa.schema([("kind", pa.int32()), ("uid", pa.int64()), ("key", pa.binary()), ("place", place), ("text", pa.string()), ("sketch", pa.binary()), ("more", pa.list_(place)), ("bucket", pa.int64()), ("payload", pa.binary())])
     edges = (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(U)
 
     def batch_of(n: int, **columns) -> pa.RecordBatch:
@@ -113,7 +125,7 @@ def _send(buckets: int, id_type: pa.DataType, ddl_id: str):
         digest = xxhash.xxh3_128_digest
         order = sorted(range(len(texts)), key=lambda i, a=ids.to_pylist(), b=rows.to_pylist(): (a[i] is not None, a[i] or 0, b[i] or b""))
         of: dict[bytes, int] = {}
-        lines, at, more = [], [], []
+        lines, at_of, more = [], [], []
         for i in order:  # so the first place of a line is its least
             for k, line in enumerate(normal_lines(texts[i]) if texts[i] else ()):
                 if line:
@@ -121,7 +133,7 @@ def _send(buckets: int, id_type: pa.DataType, ddl_id: str):
                     n = len(lines)
                     known = of.setdefault(key, n)
                     if known == n:
-                        lines.append(line), at.append((i, k))
+                        lines.append(line), at_of.append((i, k))
                     else:
                         more.append((known, (i, k)))
         n = len(lines)
@@ -131,15 +143,19 @@ def _send(buckets: int, id_type: pa.DataType, ddl_id: str):
         more.sort(key=lambda x: x[0])
         counts = np.bincount([x[0] for x in more], minlength=n) if more else np.zeros(n, np.int64)
         others = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), places([x[1] for x in more], ids, rows), mask=pa.array(counts == 0))
-        yield batch_of(n, kind=pa.array(np.zeros(n, np.int32)), uid=pa.array(uid), key=pa.array(keys, pa.binary()), place=places(at, ids, rows), text=pa.array(lines, pa.string()), more=others)
         bits = np.frombuffer(b"".join(keys), "<u8")[::2]
-        bands, owner = [], []
+        bands, owner, sketches = [], [], [None] * n
         for first, block in slices(lines):
             hashes, grams = char_grams(block, SHINGLE)
             long = np.array([len(x) for x in block]) >= SHINGLE  # a shorter line is its only shingle
             if long.any():
-                bands.append(signatures(hashes if long.all() else hashes[np.repeat(long, grams)], grams[long]).ravel())
-                owner.append(np.repeat(np.flatnonzero(long) + first, BANDS))
+                at = np.flatnonzero(long) + first
+                made, sketch = signatures(hashes if long.all() else hashes[np.repeat(long, grams)], grams[long])
+                bands.append(made.ravel())
+                owner.append(np.repeat(at, BANDS))
+                for i in np.flatnonzero(grams[long] >= SKETCHED).tolist():
+                    sketches[at[i]] = sketch[i].tobytes()
+        yield batch_of(n, kind=pa.array(np.zeros(n, np.int32)), uid=pa.array(uid), key=pa.array(keys, pa.binary()), place=places(at_of, ids, rows), text=pa.array(lines, pa.string()), sketch=pa.array(sketches, pa.binary()), more=others)
         if not bands:
             return
         band, owner = np.concatenate(bands), np.concatenate(owner)
@@ -170,7 +186,7 @@ def _send(buckets: int, id_type: pa.DataType, ddl_id: str):
                 base, at = base + n, end
 
     ddl_place = f"struct<id: {ddl_id}, row: binary, line: int>"
-    return run, f"kind int, uid long, key binary, place {ddl_place}, text string, more array<{ddl_place}>, bucket long, payload binary"
+    return run, f"kind int, uid long, key binary, place {ddl_place}, text string, sketch binary, more array<{ddl_place}>, bucket long, payload binary"
 
 
 def _leaders(sent: pa.Table) -> pa.Table:
@@ -203,30 +219,68 @@ def _leaders(sent: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a[new]), "b": pa.array(b[new])})
 
 
-def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, shingle) of every distinct shingle hash of every text, in order."""
-    owner, found = [np.zeros(0, np.int64)], [np.zeros(0, U)]
-    for at, block in slices(texts):
-        hashes, grams = char_grams(block, SHINGLE)
-        text = np.repeat(np.arange(at, at + len(block)), grams)
-        order = np.lexsort((hashes, text))
-        hashes, text = hashes[order], text[order]
-        new = np.append(True, (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1]))[: len(hashes)]
-        owner.append(text[new]), found.append(hashes[new])
-    return np.concatenate(owner), np.concatenate(found)
+def _screen(sent: pa.Table) -> pa.Table:
+    """(a, b, sketch) of whole groups -> (a, b) of the parts that a group falls into when lines of far sketches are parted: b is
+    then the least line of the part. Lines alone go; lines without a sketch are near to all."""
+    a, b = (sent.column(c).to_numpy() for c in ("a", "b"))
+    order = np.lexsort((a, b))
+    a, b, sketches = a[order], b[order], sent.column("sketch").to_pylist()
+    known = np.array([x is not None for x in sketches], bool)[order]
+    width = -(-SAMPLES // 64) * 8
+    sketch = np.frombuffer(b"".join((x or b"").ljust(width, b"\0") for x in sketches), U).reshape(-1, width // 8)[order]
+
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return (np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1) <= FAR) | ~known[x] | ~known[y]
+
+    n = len(a)
+    first = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
+    size = np.diff(np.append(first, n))
+    start, size = np.repeat(first, size), np.repeat(size, size)
+    each = np.arange(n)
+    part = np.where(near(each, start), start, each)
+    x = np.flatnonzero(part != start)  # each of them meets all others, in a circle
+    links = [(x, x)]
+    for step in range(1, int(size[x].max(initial=0))):
+        x = x[size[x] > step]
+        y = start[x] + (x - start[x] + step) % size[x]
+        here = near(x, y)
+        links.append((x[here], y[here]))
+    x, y = (np.concatenate(z) for z in zip(*links, strict=True))
+    while True:
+        least = np.minimum(part[x], part[y])
+        before = part.copy()
+        for z in (x, y):
+            np.minimum.at(part, before[z], least), np.minimum.at(part, z, least)
+        part = part[part]
+        if (part == before).all():
+            break
+    keep = np.bincount(part, minlength=n)[part] > 1
+    return pa.table({"a": pa.array(a[keep]), "b": pa.array(a[part[keep]])})
+
+
+def screened(led: DataFrame, lines: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """led (a, b; n rows) with groups parted where sketches tell that no line of one part is like one of another."""
+    wide = scratch.put(led.groupBy("b").count().where(F.col("count") > SCREENED).select("b"))
+    few = wide.count()
+    sketches = lines.where("sketch is not null").select(F.col("uid").alias("a"), "sketch")
+    sketches = sketches.join(small(led.select("a").distinct(), 8 * n), "a", "left_semi")
+    narrow = led.join(small(wide, 8 * few), "b", "left_anti") if few else led
+    of_bin = F.pmod(F.xxhash64("b"), F.lit(-(-n // SCREEN_ROWS) or 1)).alias("bin")
+    parted = narrow.join(sketches, "a", "left").select(of_bin, "a", "b", "sketch").groupBy("bin").applyInArrow(lean(_screen), "a long, b long")
+    if few:
+        parted = parted.unionByName(led.join(small(wide, 8 * few), "b", "left_semi").select("a", "b"))
+    out = scratch.put(parted.distinct())
+    scratch.drop(wide)
+    return out
 
 
 def _entries(rows: pa.Table):
-    texts = rows.column("text").to_pylist()
-    distinct = list(dict.fromkeys(texts))  # a line of several leaders is cut once
-    owner, found = shingle_sets(distinct)
-    sizes = np.bincount(owner, minlength=len(distinct))
-    starts = np.cumsum(sizes) - sizes
-    number = {t: i for i, t in enumerate(distinct)}
-    of = np.array([number[t] for t in texts])
-    each = sizes[of]
-    at = np.arange(each.sum()) + np.repeat(starts[of] - np.cumsum(each) + each, each)
-    return np.repeat(np.arange(len(texts)), each), found[at], None, each.astype(np.float64)
+    """(row, hash of a shingle) of every shingle of every line."""
+    texts, owner, found = rows.column("text").to_pylist(), [], []
+    for at, block in slices(texts):
+        hashes, grams = char_grams(block, SHINGLE)
+        owner.append(np.repeat(np.arange(at, at + len(block)), grams)), found.append(hashes)
+    return np.concatenate(owner), np.concatenate(found), None, None
 
 
 def repeated_lines(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
@@ -249,15 +303,18 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch
         found.append(scratch.put(sent.where(F.col("kind") == k).select("bucket", "uid", "payload").groupBy("bucket").applyInArrow(lean(_leaders), "a long, b long")))
         scratch.drop_part(sent, f"kind={k}")
         release_shuffles(docs.sparkSession)
-    led = scratch.put(reduce(DataFrame.unionByName, found).distinct())
+    met = scratch.put(reduce(DataFrame.unionByName, found).distinct())
     scratch.drop(*found)
+    led = screened(met, lines, met.count(), scratch)
+    scratch.drop(met)
     texts = lines.select(F.col("uid").alias("a"), "text")
     texts = texts.join(small(led.select("a").distinct(), 8 * led.count()), "a", "left_semi")
     members = scratch.put(led.join(texts, "a"))
     links = exact_links(members, "text", _entries, THRESHOLD, PART_BYTES, scratch)
     scratch.drop(led, members)
     release_shuffles(docs.sparkSession)
-    roots = components(links, scratch)
+    roots = scratch.put(components(links, scratch))
+    roots = small(roots, 16 * roots.count())
     least = lines.groupBy("key").agg(F.min("uid").alias("rep"), F.count("*").alias("n"), F.max(F.col("more").isNotNull()).alias("again")).where("n > 1 or again").select("key", "rep")
     # a line is known by the least of its equals; one that stands once and has no links is dropped here
     rooted = least.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("root"))
@@ -271,7 +328,7 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch
     kept = held.join(small(keep, 64 * keep.count()), "root")
     nothing = F.array().cast(held.schema["more"].dataType)
     every = kept.select("keep", F.explode(F.concat(F.array("place"), F.coalesce("more", nothing))).alias("at"))
-    every = every.groupBy("at").agg(F.min("keep").alias("keep"), F.count("*").alias("n"))
+    every = every.groupBy("at", "keep").agg(F.count("*").alias("n"))  # a place has one line, so one keeper
     line = F.struct(F.col("at.line").alias("line"), F.col("keep.id").alias("keeper"), (F.col("at") == F.col("keep")).alias("kept"))
     every = every.groupBy(F.col("at.id").alias("id"), F.col("at.row").alias("key")).agg(F.array_sort(F.collect_list(line)).alias("lines"), F.max("n").alias("copies"))
     # where a row has no copy, what it keeps is not asked for
@@ -291,7 +348,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text is then empty. Null texts stay null, null and empty texts have no lines to lose. Rows that share an id are rows of
     their own; of rows that repeat an id and a text one may keep lines, the others lose all. An empty table gives none.
     """
-    scratch = Scratch(docs.sparkSession, "lines")
+    # hashes are most of what is written: they don't compress, and none comes twice
+    scratch = Scratch(docs.sparkSession, "lines", {"parquet.compression.codec.zstd.level": "1", "parquet.enable.dictionary": "false"})
     fate = repeated_lines(docs, id_col, text_col, scratch)
     flagged, first = first_of_repeated(docs, fate.where("copies > 1").select("id", "key"), id_col, text_col, scratch)
     size = fate.agg(F.sum(48 + 24 * F.size("lines"))).first()[0] or 0
@@ -327,4 +385,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def op2_line_dedup(spark, sf_dir):
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     gone = F.coalesce("dropped_lines", F.array().cast("array<int>"))
-    return out.select("doc_id", "n_lines", F.size(gone).alias("n_dropped"), gone.alias("dropped_lines"), F.coalesce("keepers", F.array().cast("array<long>")).alias("keeper_doc_ids"), F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", F.size(gone).alias("n_dropped"), gone.alias("dropped_lines"), F.coalesce("keepers", F.array().cast("array<long>")).alias("keeper_doc_ids"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
