@@ -128,3 +128,18 @@ def test_overlap_search_finds_the_terms_of_a_text_once(spark):
         if rows is alone:  # no shuffle of a row a term before the terms are known
             plan = out._jdf.queryExecution().executedPlan().toString()
             assert calls.value <= len(rows) and "hashpartitioning(t_id#" in plan and not re.search(r"hashpartitioning\(t_id#\d+L?, term#", plan)
+
+
+def _mask_round_trip_and_its_sql(spark, folder, texts):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
+    both = text_queries.mask_round_trip(spark, str(folder)).collect(), con.execute(text_queries.MASK_SQL).fetchall()
+    return [sorted((tuple(r) for r in rows), key=lambda r: r[0]) for rows in both]
+
+
+def test_mask_round_trip_keeps_texts_of_one_placeholder(spark, tmp_path):
+    # they were left out
+    texts = ["a `b` c", "$x$", "[3]", "see https://e.org/a", "\\(y\\)", "$a$ @; @NUM_1; @-", "@EQN_2; $a$", "7", "$ 5", "", None, "`a` and `a`"]
+    got, want = _mask_round_trip_and_its_sql(spark, tmp_path, texts)
+    assert got == want and [r[0] for r in got] == [*range(7), 11]
